@@ -54,6 +54,8 @@ def _large_groups(values: DataFrame, by: Sequence[str], rows: Column, limits: Li
 
     Groups left out hold at most a ``max_listed``-th of everything each.
     """
+    if limits.proven_small:
+        return []
     grouped = values.groupBy(*by) if by else values.groupBy()
     sizes = grouped.agg(F.count(F.lit(1)).alias("_n"), F.coalesce(F.sum(rows), F.lit(0)).alias("_rows"))
     large = sizes.filter((F.col("_n") > limits.split_rows) | (F.col("_rows") > limits.hot_rows))

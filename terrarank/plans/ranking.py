@@ -28,12 +28,12 @@ def _bounds_sql(by: str) -> str:
 @query("E1 E2", with_(*base.PLACE_SQL, LONG, _bounds_sql("PARTITION BY metric"),
        select=f"SELECT place, metric, value, {rs('lo')} AS lo, {rs('hi')} AS hi, {rs('(lo + hi) / 2')} AS mid FROM bounds"))
 def percentile_bounds(t):
-    ranked = rank.rank_rows(_long(t), ["place"], ["metric"])
+    ranked = rank.rank_rows(_long(t), ["place"], ["metric"], limits=t.bound("customer"))
     return ranked.select("place", "metric", "value", r("lo").alias("lo"), r("hi").alias("hi"), r("mid").alias("mid"))
 
 
 @query("E2", with_(*base.PLACE_SQL, LONG, _bounds_sql("PARTITION BY metric, state"),
        select=f"SELECT place, state, metric, {rs('lo')} AS lo, {rs('hi')} AS hi FROM bounds"))
 def percentile_bounds_by_state(t):
-    ranked = rank.rank_rows(_long(t), ["place"], ["metric", "state"])
+    ranked = rank.rank_rows(_long(t), ["place"], ["metric", "state"], limits=t.bound("customer"))
     return ranked.select("place", "state", "metric", r("lo").alias("lo"), r("hi").alias("hi"))

@@ -8,6 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import Limits, rows_table
+
+
+_COUNTED: dict[tuple[str, str, str], int] = {}
+_READ: dict[tuple[str, str, str], DataFrame] = {}
+
 
 class Tables:
     """``t.orders`` reads ``<folder>/orders.parquet``."""
@@ -19,7 +25,21 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        # Reading the schema costs a job: once per session and table is enough.
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _READ:
+            _READ[key] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return _READ[key]
+
+    def bound(self, name: str, factor: int = 1) -> Limits:
+        """Limits for groups that hold at most ``factor`` rows per row of a table (counted in its footers)."""
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _COUNTED:
+            _COUNTED[key] = getattr(self, name).count()
+        return Limits(at_most=_COUNTED[key] * factor)
+
+    def rows(self, rows: list[tuple], schema: str) -> DataFrame:
+        return rows_table(self.spark, rows, schema)
 
 
 @dataclass(frozen=True)

@@ -41,28 +41,29 @@ STATUS = """status AS (
     concat_ws(';', CASE WHEN spend IS NULL THEN 'spend' END) FROM places)"""
 SCORED = """scored AS (
   SELECT s.search, s.place, s.status, s.failed, s.unknown,
-    CASE WHEN s.status <> 2 THEN (coalesce(sum(weight * points), 0) + 50 * (tot - coalesce(sum(weight), 0))) / tot END AS score,
-    (asked - count(points))::BIGINT AS missing
+    CASE WHEN s.status <> 2 THEN (coalesce(sw, 0) + 50 * (tot - coalesce(w, 0))) / tot END AS score,
+    (asked - coalesce(kn, 0))::BIGINT AS missing
   FROM status s JOIN (SELECT search, sum(weight) AS tot, count(*) AS asked FROM criteria GROUP BY search) USING (search)
-  LEFT JOIN contrib c ON c.search = s.search AND c.place = s.place GROUP BY ALL)"""
+  LEFT JOIN (SELECT search, place, sum(weight * points) AS sw, sum(weight) AS w, count(*) AS kn FROM contrib GROUP BY ALL) c
+    ON c.search = s.search AND c.place = s.place)"""
 BOUNDS = _bounds_sql("PARTITION BY metric")
 SEARCH_SQL = (*base.PLACE_SQL, LONG, BOUNDS, CRITERIA, CONTRIB, STATUS, SCORED)
 
 
 def criteria(t):
-    return t.spark.createDataFrame(CRITERIA_ROWS, "search string, metric string, weight double, direction string")
+    return t.rows(CRITERIA_ROWS, "search string, metric string, weight double, direction string")
 
 
 def limits(t):
-    return t.spark.createDataFrame(LIMIT_ROWS, "search string, metric string, min double, max double")
+    return t.rows(LIMIT_ROWS, "search string, metric string, min double, max double")
 
 
 def accepts(t):
-    return t.spark.createDataFrame(ACCEPT_ROWS, "search string, category string, accept array<string>")
+    return t.rows(ACCEPT_ROWS, "search string, category string, accept array<string>")
 
 
 def _known(t):
-    return score.contributions(base.places(t), "place", criteria(t), MEASURES)
+    return score.contributions(base.places(t), "place", criteria(t), MEASURES, t.bound("customer"))
 
 
 def _statuses(t):
@@ -98,9 +99,9 @@ def search_scores(t):
   SELECT *, row_number() OVER (PARTITION BY search ORDER BY status, round(score, 9) DESC NULLS LAST, place) AS position
   FROM scored WHERE status < 2) WHERE position <= 100"""))
 def search_ranking(t):
-    s = _scored(t).withColumn("score", r("score", 9))
+    s = _scored(t).withColumn("exact", F.col("score")).withColumn("score", r("score", 9))
     top = score.ranked(s, "place", 100)
-    return top.select("search", "place", F.col("status").cast("long"), r("score").alias("score"), F.col("position").cast("long"))
+    return top.select("search", "place", F.col("status").cast("long"), r("exact").alias("score"), F.col("position").cast("long"))
 
 
 @query("F5", with_(*SEARCH_SQL, """imp AS (SELECT *, weight * (points - 50) AS impact FROM contrib)""",
@@ -119,7 +120,7 @@ def search_explanations(t):
   WHERE lo >= 95 AND metric IN ('spend', 'orders') AND NOT EXISTS (
     SELECT 1 FROM criteria c WHERE c.search = s.search AND c.metric = bounds.metric)"""))
 def search_watch_outs(t):
-    rows = rank.rank_rows(_long(t), ["place"], ["metric"])
+    rows = rank.rank_rows(_long(t), ["place"], ["metric"], limits=t.bound("customer"))
     return score.watch_outs(rows, "place", ["spend", "orders"], criteria(t)).select("search", "place", "metric", "worse_than")
 
 
@@ -134,12 +135,13 @@ def search_watch_outs(t):
 def place_search(t):
     """The flagship: scope, ranks, points, weighted score, a must-have, the best fifty."""
     scope = base.places(t).filter(F.col("state") != 4)
-    asked = t.spark.createDataFrame(
+    asked = t.rows(
         [("s", "balance", 5.0, "higher"), ("s", "spend", 3.0, "higher"), ("s", "orders", 2.0, "lower")],
         "search string, metric string, weight double, direction string")
-    must = t.spark.createDataFrame([("s", "balance", 0.0, None)], "search string, metric string, min double, max double")
-    known = score.contributions(scope, "place", asked, MEASURES)
+    must = t.rows([("s", "balance", 0.0, None)], "search string, metric string, min double, max double")
+    known = score.contributions(scope, "place", asked, MEASURES, t.bound("customer"))
     statuses = score.filter_results(scope.select("place", "balance"), "place", must)
-    scored = score.scores(scope, "place", asked, known, statuses).withColumn("score", r("score", 9))
+    scored = score.scores(scope, "place", asked, known, statuses)
+    scored = scored.withColumn("exact", F.col("score")).withColumn("score", r("score", 9))
     best = scored.filter(score.shown("status")).orderBy(*score.result_order("place")).limit(50)
-    return best.select("place", F.col("status").cast("long"), r("score").alias("score"))
+    return best.select("place", F.col("status").cast("long"), r("exact").alias("score"))

@@ -26,6 +26,12 @@ class Limits:
     hot_rows: int = 1_000_000     # rows of one join key above which the key is salted
     max_listed: int = 4_096       # groups or keys listed on the driver (the largest ones)
     salts: int = 64               # pieces a hot key is spread over
+    at_most: int | None = None    # a proven bound on rows per group, when the caller has one
+
+    @property
+    def proven_small(self) -> bool:
+        """No group can need splitting or salting, so no sizing job is run."""
+        return self.at_most is not None and self.at_most <= min(self.split_rows, self.hot_rows)
 
 
 DEFAULT_LIMITS = Limits()
@@ -36,7 +42,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "ter
     builder = (
         SparkSession.builder.master(f"local[{cores}]").appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.ui.enabled", "false")
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
     )
     for key, value in SETTINGS.items():
@@ -62,3 +68,23 @@ def durable(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="terrarank-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def broadcast_checked(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Hint a broadcast only after counting that the side has at most ``max_rows`` rows.
+
+    Larger sides keep the planner's own choice (a shuffled join).
+    """
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def rows_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A short literal list as a table held in the plan itself."""
+    import pyarrow as pa
+    from pyspark.sql.types import StructType
+
+    struct = StructType.fromDDL(schema)
+    columns = {f.name: [row[i] for row in rows] for i, f in enumerate(struct.fields)}
+    return spark.createDataFrame(pa.table(columns), schema=struct)
