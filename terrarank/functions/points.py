@@ -53,21 +53,27 @@ def budget_points(value: Column | str, budget: Column | str) -> Column:
 def normal_cdf(z: Column | str) -> Column:
     z = col(z)
     x = F.abs(z) / F.sqrt(F.lit(2.0))
-    t = 1 / (1 + F.lit(ERF_P) * x)
-    poly = F.lit(0.0)
-    for c in reversed(ERF_COEFFICIENTS):
-        poly = (poly + F.lit(c)) * t
-    erf = 1 - poly * F.exp(-x * x)
-    return F.when(z >= 0, 0.5 * (1 + erf)).otherwise(0.5 * (1 - erf))
+    # Bound once: the polynomial reads t five times.
+    erf = F.transform(F.array(F.struct(x.alias("x"), (1 / (1 + F.lit(ERF_P) * x)).alias("t"))), _erf)[0]
+    return 0.5 * (1 + F.signum(z) * erf)
+
+
+def _erf(v: Column) -> Column:
+    x, t = v["x"], v["t"]
+    poly = F.lit(ERF_COEFFICIENTS[-1])
+    for c in reversed(ERF_COEFFICIENTS[:-1]):
+        poly = poly * t + F.lit(c)
+    return 1 - poly * t * F.exp(-x * x)
 
 
 def banded_points(value: Column | str, edges: list[float], points: list[float], sigma: float) -> Column:
     """Expected band points of a value known only to ± sigma."""
     v = col(value)
-    total = F.lit(points[-1])
-    # Summed by edge: passing an edge downward trades the band above for the band below it.
-    for edge, below, above in zip(edges, points, points[1:]):
-        total = total + (below - above) * normal_cdf((F.lit(edge) - v) / F.lit(sigma))
+    # Summed by edge: each edge trades the band above it for the band below it.
+    steps = F.array(*[F.struct(F.lit(e).alias("edge"), F.lit(lo - hi).alias("gain"))
+                      for e, lo, hi in zip(edges, points, points[1:])])
+    total = F.aggregate(steps, F.lit(points[-1]),
+                        lambda acc, s: acc + s["gain"] * normal_cdf((s["edge"] - v) / F.lit(sigma)))
     return F.when(v.isNotNull(), total)
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.flags import read_flags
 from ..operators import area, rank, score
 from . import base
-from .registry import query, r, rs, with_
+from ..session import durable
+from .registry import query, r, rs, shared, with_
 
 MEASURES = ["spend", "orders", "pm25", "median_home_value"]
 ESTIMATES = {"spend": "spend_eb"}
@@ -87,6 +88,7 @@ TOP = """atop AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY searc
 AREA_SQL = (*base.PLACE_SQL, AREAS_SQL, AREA_CRITERIA_SQL, AREA_LONG, AREA_BOUNDS, AREA_PARTS, COUNTY_SIDE, AREA_SCORED, TOP)
 
 
+@shared
 def areas(t):
     p = base.places(t)
     k = F.col("place")
@@ -110,6 +112,7 @@ def definitions(t):
                                "bad string, badge string, top_badge string")
 
 
+@shared
 def parts(t):
     return area.area_parts(areas(t), "area", criteria(t), MEASURES, ESTIMATES, t.bound("customer"))
 
@@ -120,6 +123,7 @@ def counties(t):
         F.col("n_nationkey").cast("long").alias("county"), "supplier_balance")
 
 
+@shared
 def county_known(t):
     asked = t.rows(COUNTY_CRITERIA, "search string, metric string, weight double, direction string")
     return score.contributions(counties(t), "county", asked, ["supplier_balance"], t.bound("nation"))
@@ -135,6 +139,7 @@ def county_side(t):
     return area.county_parts(statuses, "county", asked, county_known(t))
 
 
+@shared
 def scored(t):
     return area.score_areas(areas(t), "area", "county", criteria(t), limits(t), parts(t), county_side(t), MEASURES)
 
@@ -239,7 +244,7 @@ pt AS (SELECT *, sum(CASE WHEN points = peak THEN 1 ELSE 0 END) OVER (PARTITION
 def area_badges(t):
     listed = top(t).select("search", "area")
     flags = areas(t).select("area", "low_confidence")
-    rows = parts(t).join(listed, ["search", "area"], "left_semi").join(flags, "area")
+    rows = parts(t).join(F.broadcast(durable(listed)), ["search", "area"], "left_semi").join(flags, "area")
     b = area.badges(rows, "area", definitions(t), F.array_contains("low_confidence", "mobile_homes"))
     return b.select("search", "area", F.array_join("best", ";").alias("best"), "top1")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .registry import Tables
+from .registry import Tables, shared
 
 SPEND = """spend AS (
   SELECT o_custkey, round(sum(o_totalprice), 2) AS spend, count(*) AS orders FROM orders GROUP BY o_custkey)"""
@@ -27,10 +27,12 @@ PLACES = """places AS (
   FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN spend ON c_custkey = o_custkey)"""
 
 
+@shared
 def spend(t: Tables) -> DataFrame:
     return t.orders.groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 2).alias("spend"), F.count("*").alias("orders"))
 
 
+@shared
 def places(t: Tables) -> DataFrame:
     k = F.col("c_custkey")
     joined = (t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))

@@ -1,4 +1,4 @@
 """Loads every plan module, so the registry is full."""
 
-from . import areas, ranking, searching  # noqa: F401
+from . import areas, estimates, ranking, searching  # noqa: F401
 from .registry import QUERIES  # noqa: F401

@@ -15,12 +15,23 @@ _COUNTED: dict[tuple[str, str, str], int] = {}
 _READ: dict[tuple[str, str, str], DataFrame] = {}
 
 
+def shared(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+    """Build a frame once per query, however many steps use it."""
+    def once(t: Tables) -> DataFrame:
+        key = f"{build.__module__}.{build.__name__}"
+        if key not in t.frames:
+            t.frames[key] = build(t)
+        return t.frames[key]
+    return once
+
+
 class Tables:
     """``t.orders`` reads ``<folder>/orders.parquet``."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark = spark
         self.folder = folder
+        self.frames: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):

@@ -80,11 +80,27 @@ def broadcast_checked(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def _literal(v: object) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, (list, tuple)):
+        return "array(" + ", ".join(_literal(x) for x in v) + ")"
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(v, float):
+        return f"{v!r}D"
+    return str(v)
+
+
 def rows_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A short literal list as a table held in the plan itself."""
-    import pyarrow as pa
+    from pyspark.sql import functions as F
     from pyspark.sql.types import StructType
 
-    struct = StructType.fromDDL(schema)
-    columns = {f.name: [row[i] for row in rows] for i, f in enumerate(struct.fields)}
-    return spark.createDataFrame(pa.table(columns), schema=struct)
+    fields = StructType.fromDDL(schema).fields
+    values = ", ".join("(" + ", ".join(_literal(v) for v in row) + ")" for row in rows)
+    names = ", ".join(f"c{i}" for i in range(len(fields)))
+    table = spark.sql(f"SELECT * FROM VALUES {values} AS t({names})")
+    return table.select([F.col(f"c{i}").cast(f.dataType).alias(f.name) for i, f in enumerate(fields)])
