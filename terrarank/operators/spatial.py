@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_RADIUS_MILES, chord, haversine_miles, unit_vector
+from ..session import durable
 from . import rank
 
 FINEST = 16          # cube side of about 0.12 miles
@@ -125,8 +126,8 @@ def nearest_with_widening(targets: DataFrame, target_key: str, sources: DataFram
 
     ``reports`` lists (source, group).
     """
-    near = nearest(targets, target_key, sources, source_key, first, max_miles=max_miles).select(
-        target_key, F.col(f"s_{source_key}").alias(source_key), "miles")
+    near = durable(nearest(targets, target_key, sources, source_key, first, max_miles=max_miles).select(
+        target_key, F.col(f"s_{source_key}").alias(source_key), "miles"))
     groups = reports.select(group).distinct()
     have = near.join(reports, source_key).groupBy(target_key, group).agg(F.count("*").alias("_n"))
     wanted = near.select(target_key).distinct().join(F.broadcast(groups), F.lit(True))  # a handful of groups
@@ -189,8 +190,9 @@ def _short_segments(edges: DataFrame, columns: Sequence[str], step: float) -> Da
         at("y1", "y2", b).alias("by"), at("y1", "y2", (a + b) / 2).alias("lat"), at("x1", "x2", (a + b) / 2).alias("lon"))
 
 
-def _miles_to_segment(lat: str, lon: str) -> Column:
-    """Distance to the nearest point of a short segment, found in a plane scaled by cos(latitude)."""
+def _to_segment(lat: str, lon: str) -> Column:
+    """struct(plane, miles): the nearest point of a segment in a plane scaled by cos(latitude), its squared
+    distance there and its great-circle distance."""
     c = F.cos(F.radians(lat))
     px, py = F.col(lon) * c, F.col(lat)
     ax, ay, bx, by = F.col("s_ax") * c, F.col("s_ay"), F.col("s_bx") * c, F.col("s_by")
@@ -198,8 +200,10 @@ def _miles_to_segment(lat: str, lon: str) -> Column:
     length = dx * dx + dy * dy
     along = F.when(length > 0, ((px - ax) * dx + (py - ay) * dy) / length).otherwise(0.0)
     f = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
-    return haversine_miles(lat, lon, F.col("s_ay") + (F.col("s_by") - F.col("s_ay")) * f,
-                           F.col("s_ax") + (F.col("s_bx") - F.col("s_ax")) * f)
+    qy = F.col("s_ay") + (F.col("s_by") - F.col("s_ay")) * f
+    qx = F.col("s_ax") + (F.col("s_bx") - F.col("s_ax")) * f
+    plane = F.pow((F.col(lon) - qx) * c, F.lit(2)) + F.pow(F.col(lat) - qy, F.lit(2))
+    return F.struct(plane.alias("plane"), haversine_miles(lat, lon, qy, qx).alias("m"))
 
 
 def nearest_edge(points: DataFrame, key: str, polygons: DataFrame, polygon_key: str, step: float = 10.0, cell: float = 1.0,
@@ -214,8 +218,8 @@ def nearest_edge(points: DataFrame, key: str, polygons: DataFrame, polygon_key:
     # The 27 cubes reach a whole side; the k-th middle is within 0.87 sides, so half a piece must fit in the rest.
     finest = max(2, min(FINEST, math.floor(math.log2(2 / (4 * chord(step)))) + 2))
     near = near_candidates(points.select(key, lat, lon), pieces, 1, lat=lat, lon=lon, finest=finest)
-    miles = near.withColumn("_m", _miles_to_segment(lat, lon)).groupBy(key).agg(
-        F.min(F.struct(F.col("_m").alias("m"), F.col(f"s_{polygon_key}").alias("p"))).alias("_near"))
+    miles = near.withColumn("_m", _to_segment(lat, lon)).groupBy(key).agg(
+        F.min(F.struct("_m.plane", "_m.m", F.col(f"s_{polygon_key}").alias("p"))).alias("_near"))
     held = locate(points.select(key, lat, lon), key, polygons, polygon_key, [polygon_key], cell, lat, lon).filter(
         F.col(polygon_key).isNotNull()).select(key, F.col(polygon_key).alias("_in"))
     out = points.join(miles, key, "left").join(held, key, "left")

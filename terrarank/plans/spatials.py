@@ -127,8 +127,8 @@ def point_in_polygon(t):
 
 @query("C11", with_(*base.PLACE_SQL, STATIONS, ZONES, """pc AS (SELECT place, lat, lon, zone, cos(radians(lat)) AS c, x1, y1, x2, y2 FROM places CROSS JOIN edge),
   pf AS (SELECT *, greatest(0.0, least(1.0, ((lon - x1) * c * (x2 - x1) * c + (lat - y1) * (y2 - y1)) / (pow((x2 - x1) * c, 2) + pow(y2 - y1, 2)))) AS f FROM pc)""",
-  f"pm AS (SELECT place, zone, {hav('a', 'b')} AS miles FROM (SELECT place, zone, {{'lat': lat, 'lon': lon}} AS a, {{'lat': y1 + (y2 - y1) * f, 'lon': x1 + (x2 - x1) * f}} AS b FROM pf))",
-  select=f"SELECT p.place, {rs('CASE WHEN h.place IS NOT NULL THEN 0 ELSE m END', 4)} AS miles FROM (SELECT place, min(miles) AS m FROM pm GROUP BY 1) p LEFT JOIN (SELECT DISTINCT place FROM hit) h USING (place)"))
+  f"pm AS (SELECT place, zone, d2, {hav('a', 'b')} AS miles FROM (SELECT place, zone, pow((lon - x1 - (x2 - x1) * f) * c, 2) + pow(lat - y1 - (y2 - y1) * f, 2) AS d2, {{'lat': lat, 'lon': lon}} AS a, {{'lat': y1 + (y2 - y1) * f, 'lon': x1 + (x2 - x1) * f}} AS b FROM pf))",
+  select=f"SELECT p.place, {rs('CASE WHEN h.place IS NOT NULL THEN 0 ELSE m END', 4)} AS miles FROM (SELECT place, arg_min(miles, d2) AS m FROM pm GROUP BY 1) p LEFT JOIN (SELECT DISTINCT place FROM hit) h USING (place)"))
 def distance_to_edges(t):
     e = spatial.nearest_edge(base.places(t).select("place", "lat", "lon"), "place", zones(t), "zone", 10.0, 2.0)
     return e.select("place", r("miles", 4).alias("miles"))
