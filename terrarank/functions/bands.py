@@ -82,7 +82,7 @@ def around_verdict(downtown: Column | str, commute: Column | str) -> Column:
 
 
 def fixed1(c: Column) -> Column:
-    return F.format_string("%.1f", c)
+    return F.replace(F.format_number(c, 1), F.lit(","), F.lit(""))
 
 
 def market_verdict(change: Column | str, typical: float = TYPICAL_YEARLY_CHANGE) -> Column:

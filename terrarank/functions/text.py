@@ -71,7 +71,7 @@ def county_key(c: Column | str) -> Column:
 
 
 # Fixed value: civil-division words an agency or place name can end with.
-CIVIL_SUFFIX = r"\s+(charter township|township|town|village|city|borough|plantation)$"
+CIVIL_SUFFIX = r"\b(charter township|township|city|town|borough|village|plantation)$"
 
 
 def civil_name(c: Column | str) -> Column:

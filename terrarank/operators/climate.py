@@ -36,7 +36,9 @@ def series(monthly: DataFrame, key: str, columns: Sequence[str], digits: int = 1
     """Nested twelve-month arrays, months in order, values rounded."""
     packed = F.array_sort(F.collect_list(F.struct("month", *[F.bround(c, digits).alias(c) for c in columns])))
     rows = monthly.groupBy(key).agg(packed.alias("_m"))
-    return rows.select(key, *[F.transform("_m", lambda x, c=c: x[c]).alias(c) for c in columns])
+    def part(c: str) -> Column:
+        return F.transform("_m", lambda x: x[c]).alias(c)
+    return rows.select(key, *[part(c) for c in columns])
 
 
 def types(monthly: DataFrame, key: str, high: str = "tmax_f", low: str = "tmin_f", rain: str = "precip_in") -> DataFrame:

@@ -39,8 +39,8 @@ def _cubes(df: DataFrame, lat: str, lon: str, level: int) -> DataFrame:
 
 def _around(df: DataFrame, names: Sequence[str], out: Sequence[str]) -> DataFrame:
     """One row per cube of the 27 around each row's cube."""
-    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c"))
-                      for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
+    steps = F.expr("flatten(transform(sequence(-1, 1), a -> flatten(transform(sequence(-1, 1), b -> "
+                   "transform(sequence(-1, 1), c -> struct(a AS a, b AS b, c AS c))))))")
     df = df.withColumn("_step", F.explode(steps))
     return df.withColumns({o: F.col(n) + F.col(f"_step.{s}") for n, o, s in zip(names, out, "abc")}).drop("_step")
 

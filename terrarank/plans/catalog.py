@@ -1,4 +1,4 @@
 """Loads every plan module, so the registry is full."""
 
-from . import areas, estimates, exposures, ranking, searching, spatials  # noqa: F401
+from . import areas, columns, estimates, exposures, ranking, searching, spatials, incidents  # noqa: F401
 from .registry import QUERIES  # noqa: F401
