@@ -276,11 +276,11 @@ def climate_family_counts(t):
     return kt.join(F.broadcast(climate.families(t.spark)), "koppen").groupBy("family_name").agg(F.count("*").alias("places"))
 
 
-@query("B28", "SELECT * FROM (VALUES ('a', 'any'), ('b', 'nothing allowed')) v(search, text)")
+@query("B28", "SELECT n_nationkey AS search, CASE WHEN n_nationkey % 2 = 0 THEN 'any' ELSE 'nothing allowed' END AS text FROM nation")
 def climate_filter_text(t):
     kt = climate.types(monthly(t), "fips").select("koppen").distinct()
-    everything = [c for c, _, _, _ in family_rows()]
-    accepts = t.rows([("a", everything), ("b", ["none"])], "search string, accept array<string>")
+    everything = F.array(*[F.lit(c) for c, _, _, _ in family_rows()])
+    accepts = t.nation.select(F.col("n_nationkey").alias("search"), F.when(F.col("n_nationkey") % 2 == 0, everything).otherwise(F.array(F.lit("none"))).alias("accept"))
     return climate.describe_filter(accepts, kt)
 
 
@@ -320,12 +320,18 @@ def household_taxes(t):
     return out.select("place", "search", r("taxes", 8).alias("taxes"))
 
 
-@query("F21", """SELECT * FROM (VALUES ('taxes', 'area', 4.0::DOUBLE, 'lower'), ('balance', 'county', 2.0, 'higher')) v(metric, level, weight, direction) WHERE (SELECT count(*) FROM region) > 0""")
+@query("F21", """SELECT c_custkey AS search, 'taxes' AS metric, 'area' AS level, least(5, c_custkey % 7 - 1)::DOUBLE AS weight, 'lower' AS direction FROM customer WHERE c_custkey % 7 > 1
+  UNION ALL SELECT c_custkey, 'balance', 'county', 2.0, 'higher' FROM customer
+  UNION ALL SELECT c_custkey, 'limit:' || CASE WHEN c_custkey % 2 = 0 THEN 'taxes_rate' ELSE 'balance' END, CASE WHEN c_custkey % 2 = 0 THEN 'area' ELSE 'county' END, NULL, NULL FROM customer""")
 def taxes_moved_to_areas(t):
-    asked = t.rows([("s", "taxes", "county", 4.0, "higher"), ("s", "balance", "county", 2.0, "higher")], "search string, metric string, level string, weight double, direction string")
-    must = t.rows([("s", "property_tax_effective_rate", "county", 1.0, None)], "search string, metric string, level string, min double, max double")
-    known = t.region.select(F.lit("s").alias("search")).distinct()
-    return taxes.move_taxes_to_areas(asked.join(known, "search"), must)[0].select("metric", "level", "weight", "direction")
+    k = F.col("c_custkey")
+    one = lambda metric, weight, direction: t.customer.select(
+        k.alias("search"), F.lit(metric).alias("metric"), F.lit("county").alias("level"), weight.cast("double").alias("weight"), F.lit(direction).alias("direction"))
+    asked = one("taxes", k % 7 - 1, "higher").unionByName(one("balance", F.lit(2), "higher"))
+    must = t.customer.select(k.alias("search"), F.when(k % 2 == 0, "property_tax_effective_rate").otherwise("balance").alias("metric"), F.lit("county").alias("level"))
+    c, limits = taxes.move_taxes_to_areas(asked, must)
+    shown = limits.select("search", F.concat(F.lit("limit:"), F.col("metric")).alias("metric"), "level", F.lit(None).cast("double").alias("weight"), F.lit(None).cast("string").alias("direction"))
+    return c.unionByName(shown)
 
 
 @query("C5 F26", with_(*base.PLACE_SQL, "x AS (SELECT place, county, CASE WHEN place % 5 <> 0 THEN 1.0::DOUBLE + place % 20 / 10.0::DOUBLE END AS own, CASE WHEN place % 7 <> 0 THEN 1.2::DOUBLE + place % 10 / 10.0::DOUBLE END AS eb, place % 6 = 0 AS flagged FROM places)",
