@@ -1,4 +1,4 @@
 """Loads every plan module, so the registry is full."""
 
-from . import areas, columns, estimates, exposures, ranking, searching, spatials, incidents, lookups, refreshing, sourced  # noqa: F401
+from . import areas, columns, estimates, exposures, ranking, searching, spatials, incidents, intake, lookups, refreshing, sourced  # noqa: F401
 from .registry import QUERIES  # noqa: F401

@@ -205,9 +205,9 @@ def result_audit(t):
 
 
 @query("H15", with_(*A.AREA_SQL, select="""SELECT 'WARN' AS severity, 'list' AS "check", search AS key, 'one state holds ' || k || ' of ' || n AS message FROM (SELECT search, state, count(*) AS k, max(n) AS n FROM (SELECT *, count(*) OVER (PARTITION BY search) AS n FROM atop) GROUP BY ALL) WHERE k > 0.6 * n
-  UNION ALL SELECT 'WARN', 'list', search, 'a tenth of results have under ' || round(quantile_cont(population, 0.1))::BIGINT || ' residents' FROM atop GROUP BY search HAVING quantile_cont(population, 0.1) < 1000"""))
+  UNION ALL SELECT 'WARN', 'list', search, 'a tenth of results have under ' || round(quantile_cont(population / 5, 0.1))::BIGINT || ' residents' FROM atop GROUP BY search HAVING quantile_cont(population / 5, 0.1) < 1000"""))
 def result_list_warnings(t):
-    top = A.top(t).join(A.areas(t).select("area", "state"), "area").withColumn("score", F.col("exact"))
+    top = A.top(t).join(A.areas(t).select("area", "state"), "area").withColumns({"score": F.col("exact"), "population": F.col("population") / 5})
     return quality.list_shape(top, "state", "population").filter("message NOT LIKE '%tied%'")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,21 +53,35 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "ter
     return spark
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut a lineage by writing the rows to the shared checkpoint folder; survives lost executors.
+def shared_root(spark: SparkSession) -> str:
+    """The folder every executor can reach: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local session without one gets a
-    temporary folder; on a cluster a missing setting is an error.
+    Only a local session without one gets a temporary folder; on a cluster a missing setting is an error.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="terrarank-")
+    return _LOCAL_ROOTS[app]
+
+
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new, empty folder name under the shared root, for one table."""
+    return f"{shared_root(spark)}/{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut a lineage by writing the rows to the shared checkpoint folder; survives lost executors."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="terrarank-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()
 
 
