@@ -1,6 +1,4 @@
 """Monthly normals: yearly summaries, nested series, climate types and families.
-
-A place has twelve months, so collecting a place's series is bounded.
 """
 
 from __future__ import annotations
@@ -32,23 +30,24 @@ def fill_mean_temperature(monthly: DataFrame, mean: str, high: str, low: str) ->
     return monthly.withColumn(mean, F.coalesce(mean, (F.col(high) + F.col(low)) / 2))
 
 
+def _twelve(value: Column, month: str = "month") -> Column:
+    return F.array(*[F.max(F.when(F.col(month) == m, value)) for m in range(1, 13)])
+
+
 def series(monthly: DataFrame, key: str, columns: Sequence[str], digits: int = 1) -> DataFrame:
-    """Nested twelve-month arrays, months in order, values rounded."""
-    packed = F.array_sort(F.collect_list(F.struct("month", *[F.bround(c, digits).alias(c) for c in columns])))
-    rows = monthly.groupBy(key).agg(packed.alias("_m"))
-    def part(c: str) -> Column:
-        return F.transform("_m", lambda x: x[c]).alias(c)
-    return rows.select(key, *[part(c) for c in columns])
+    """Twelve-month arrays, January first, values rounded, NULL where a month is unknown.
+
+    One conditional aggregate per month, so a place with too many rows cannot grow an array.
+    """
+    return monthly.groupBy(key).agg(*[_twelve(F.bround(c, digits)).alias(c) for c in columns])
 
 
 def types(monthly: DataFrame, key: str, high: str = "tmax_f", low: str = "tmin_f", rain: str = "precip_in") -> DataFrame:
     """``koppen`` and ``koppen_alt`` of the places with all twelve months known (°F and inches)."""
-    known = F.col(high).isNotNull() & F.col(low).isNotNull() & F.col(rain).isNotNull()
-    packed = F.array_sort(F.collect_list(F.struct(
-        "month", (((F.col(high) + F.col(low)) / 2 - 32) * 5 / 9).alias("t"), (F.col(rain) * 25.4).alias("p"))))
-    rows = monthly.groupBy(key).agg(F.count("*").alias("_n"), F.count_if(known).alias("_k"), packed.alias("_m"))
-    rows = rows.filter((F.col("_n") == 12) & (F.col("_k") == 12))
-    rows = rows.select(key, F.transform("_m", lambda x: x["t"]).alias("_t"), F.transform("_m", lambda x: x["p"]).alias("_p"))
+    rows = monthly.groupBy(key).agg(
+        F.count("*").alias("_n"), _twelve(((F.col(high) + F.col(low)) / 2 - 32) * 5 / 9).alias("_t"), _twelve(F.col(rain) * 25.4).alias("_p"))
+    known = lambda a: F.forall(a, lambda x: x.isNotNull())
+    rows = rows.filter((F.col("_n") == 12) & known("_t") & known("_p"))
     base, alt = K.koppen_with_border(F.col("_t"), F.col("_p"))
     return rows.select(key, base.alias("koppen"), alt.alias("koppen_alt"))
 
@@ -68,9 +67,9 @@ def describe_filter(accepts: DataFrame, present: DataFrame) -> DataFrame:
     Works on the thirty types, so everything here is small.
     """
     spark = accepts.sparkSession
-    codes = families(spark).join(F.broadcast(present.select("koppen").distinct()), "koppen")
+    codes = families(spark).join(present.select("koppen").distinct(), "koppen")
     searches = accepts.select("search", "accept")
-    rows = searches.join(F.broadcast(codes), F.lit(True)).withColumn("_ok", F.array_contains("accept", F.col("koppen")))
+    rows = searches.join(codes, F.lit(True)).withColumn("_ok", F.array_contains("accept", F.col("koppen")))
     fam = rows.groupBy("search", "family", "position", "family_name").agg(F.count_if("_ok").alias("_n"), F.count("*").alias("_of"))
     pack = lambda cond: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("position", "family_name")))),
                                     lambda x: x["family_name"])

@@ -106,24 +106,26 @@ def owns_rate(wide: Column, shared: Column, violent: Column, property_: Column)
     return ~F.coalesce(wide, F.lit(False)) & (F.coalesce(shared, F.lit(0)) < CITY_WIDE_AREAS) & reported
 
 
-def crime_view(areas: DataFrame, key: str, county: str, agency: str) -> DataFrame:
-    """What to show about crime per area — ``own``, ``city``, ``nearby`` or ``none`` — and, for ``nearby``,
-    the county's other agencies, most people served first.
+def county_agencies(areas: DataFrame, county: str, agency: str) -> DataFrame:
+    """Each agency of a county with a usable rate, once, with the people it serves."""
+    return areas.filter(_usable()).groupBy(county, agency).agg(F.max("people").alias("people"), F.count("*").alias("areas"))
 
-    The list of a county's agencies is one row per agency, whatever the number of areas.
-    """
+
+def _usable() -> Column:
     v, p = F.col("violent_rate"), F.col("property_rate")
-    usable = v.isNotNull() & ~((v == 0) & F.coalesce(p == 0, F.lit(False)))
-    listed = areas.filter(usable).groupBy(county, agency).agg(F.max("people").alias("_people"))
-    packed = listed.groupBy(county).agg(F.array_sort(F.collect_list(F.struct(
-        (-F.coalesce("_people", F.lit(-1))).alias("o"), F.col(agency).alias("a")))).alias("_all"))
-    rows = areas.join(packed, county, "left").withColumn("_usable", F.coalesce(usable, F.lit(False)))
-    others = F.filter(F.transform(F.coalesce("_all", F.array().cast("array<struct<o:bigint,a:string>>")), lambda x: x["a"]),
-                      lambda a: ~(F.col("_usable") & (a == F.col(agency))))
-    mine = F.col("_usable") & ~F.coalesce(F.col("crime_wide"), F.lit(False))
+    return F.coalesce(v.isNotNull() & ~((v == 0) & F.coalesce(p == 0, F.lit(False))), F.lit(False))
+
+
+def crime_view(areas: DataFrame, key: str, county: str, agency: str) -> DataFrame:
+    """What to show about crime per area — ``own``, ``city``, ``nearby`` or ``none`` — and how many other
+    agencies of the county a ``nearby`` view lists (they are rows of :func:`county_agencies`)."""
+    listed = county_agencies(areas, county, agency).groupBy(county).agg(F.count("*").alias("_agencies"))
+    rows = areas.join(listed, county, "left").withColumn("_ok", _usable())
+    others = F.coalesce("_agencies", F.lit(0)) - F.when(F.col("_ok"), 1).otherwise(0)
+    mine = F.col("_ok") & ~F.coalesce(F.col("crime_wide"), F.lit(False))
     view = F.when(mine & (F.col("crime_shared") >= CITY_WIDE_AREAS), "city").when(mine, "own").when(
-        F.col("_usable") | (F.size(others) > 0), "nearby").otherwise("none")
-    return rows.withColumns({"view": view, "others": F.when(view == "nearby", others)}).drop("_all", "_usable")
+        F.col("_ok") | (others > 0), "nearby").otherwise("none")
+    return rows.withColumns({"view": view, "others": F.when(view == "nearby", others)}).drop("_agencies", "_ok")
 
 
 def months_with_reports(wide: DataFrame, key: str, month_columns: dict[str, str], violent: Sequence[str], property_: Sequence[str],

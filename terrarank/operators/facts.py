@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import parse_date
 from ..functions.values import col
-from ..session import rows_table
+from ..session import DEFAULT_LIMITS, Limits, rows_table
+from . import rank
 
 # Review cadences in days, hard expiry, the oldest a source may be, the federal wage floor.
 CADENCE_DAYS = {"monthly": 45, "quarterly": 120, "session": 210, "annual": 400, "computed": 10_000}
@@ -121,10 +122,16 @@ def state_codes(rows: DataFrame, label: str, labels: DataFrame, out: str = "code
 # --- values out of table cells -----------------------------------------------
 
 
-def fill_labels(rows: DataFrame, sheet: Sequence[str], row_no: str, label: str, out: str) -> DataFrame:
-    """A block's label carried down to its rows; one sheet is one window."""
-    w = Window.partitionBy(*sheet).orderBy(row_no).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(out, F.last(label, ignorenulls=True).over(w))
+def fill_labels(rows: DataFrame, sheet: Sequence[str], row_no: str, label: str, out: str, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+    """A block's label carried down to its rows.
+
+    Labels seen so far number the blocks (a running total, so a sheet may be any size); each row then takes
+    its block's label.
+    """
+    marked = rows.withColumn("_has", F.when(F.col(label).isNotNull(), 1).otherwise(0))
+    seen = rank.running_totals(marked, sheet, row_no, ["_has"], limits).withColumn("_block", F.col("_has_before") + F.col("_has"))
+    heads = seen.filter(F.col("_has") == 1).select(*sheet, "_block", F.col(label).alias(out))
+    return seen.join(heads, [*sheet, "_block"], "left").select(*rows.columns, out)
 
 
 def rows_below_header(rows: DataFrame, sheet: Sequence[str], row_no: str, marker: Column) -> DataFrame:
@@ -216,14 +223,12 @@ def list_agreement(all_keys: DataFrame, first: DataFrame, second: DataFrame, key
     return j.select(key, F.when(g == w, F.when(g, "true").otherwise("false")).alias("value"), F.when(g != w, "lists disagree").alias("note"))
 
 
-def newest_edition(editions: DataFrame, keys: Sequence[str], value: str, as_of: str) -> DataFrame:
-    """The newest edition's value per key; older editions that differ are kept as a note."""
+def newest_edition(editions: DataFrame, keys: Sequence[str], value: str, as_of: str) -> tuple[DataFrame, DataFrame]:
+    """The newest edition's value per key, and the older editions that list something else (for notes)."""
     newest = editions.groupBy(*keys).agg(F.max_by(value, as_of).alias("_v"), F.max(as_of).alias("_d"))
-    j = editions.join(newest, list(keys))
-    old = F.when((F.col(as_of) < F.col("_d")) & (F.col(value) != F.col("_v")), F.struct(
-        F.col(as_of).alias("d"), F.concat(F.col(as_of).cast("string"), F.lit(" listed "), F.col(value).cast("string")).alias("t")))
-    notes = F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list(old))), lambda x: x["t"]), "; ")
-    return j.groupBy(*keys, F.col("_v").alias(value), F.col("_d").alias(as_of)).agg(notes.alias("note"))
+    differ = editions.join(newest, list(keys)).filter((F.col(as_of) < F.col("_d")) & (F.col(value) != F.col("_v"))).select(
+        *keys, value, as_of, F.concat(F.col(as_of).cast("string"), F.lit(" listed "), F.col(value).cast("string")).alias("note"))
+    return newest.select(*keys, F.col("_v").alias(value), F.col("_d").alias(as_of)), differ
 
 
 # --- upsert and change log -------------------------------------------------------

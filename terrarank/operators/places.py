@@ -98,12 +98,13 @@ def match_quality(norm: Column, short: Column, context: Column, tokens: Column)
 def search_places(index: DataFrame, queries: DataFrame, limit: int = MATCH_LIMIT) -> DataFrame:
     """The best matches of each query: closest name, then most people, then the name.
 
-    ``queries``: (query_id, text). Index words and the queries' first words meet on their first letter,
+    ``queries``: (query_id, text). Index words and the queries' first words meet on their first three letters,
     so a query meets only places with such a word.
     """
     q = queries.withColumn("_n", normalize_place("text")).filter(F.length("_n") >= 2)
-    q = q.withColumn("_tokens", F.split("_n", " ")).withColumn("_prefix", F.substring(F.get("_tokens", F.lit(0)), 1, 1))
-    words = index.withColumn("_prefix", F.explode(F.array_distinct(F.transform(F.split("norm", " "), lambda w: F.substring(w, 1, 1)))))
-    hits = words.join(F.broadcast(q), "_prefix").withColumn("quality", match_quality(F.col("norm"), F.col("short"), F.col("context"), F.col("_tokens")))
+    q = q.withColumn("_tokens", F.split("_n", " ")).withColumn("_prefix", F.substring(F.get("_tokens", F.lit(0)), 1, 3))
+    starts = lambda w: F.array(*[F.substring(w, 1, n) for n in (1, 2, 3)])
+    words = index.withColumn("_prefix", F.explode(F.array_distinct(F.flatten(F.transform(F.split("norm", " "), starts)))))
+    hits = words.join(q, "_prefix").withColumn("quality", match_quality(F.col("norm"), F.col("short"), F.col("context"), F.col("_tokens")))
     hits = hits.filter(F.col("quality") > 0).drop("_prefix", "_n", "_tokens")
     return rank.top_k(hits, ["query_id"], [F.desc("quality"), F.desc("population"), F.asc("name"), F.asc("where")], limit)

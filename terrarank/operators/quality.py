@@ -82,7 +82,7 @@ def null_coverage(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def plausible_ranges(df: DataFrame, key: str, ranges: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Values outside each column's range, with up to three examples. ``ranges``: (metric, low, high)."""
-    long = rank.unpivot(df, [key], columns).join(F.broadcast(ranges), "metric")
+    long = rank.unpivot(df, [key], columns).join(ranges, "metric")
     bad = long.filter((F.col("value") < F.col("low")) | (F.col("value") > F.col("high")))
     counts = bad.groupBy("metric").agg(F.count("*").alias("n"), F.min(key).alias("first"))
     examples = rank.top_k(bad, ["metric"], [F.asc(key)], 3).groupBy("metric").agg(F.array_sort(F.collect_list(F.col(key))).alias("ex"))
@@ -101,7 +101,7 @@ def expectations(df: DataFrame, key: str, spots: DataFrame, predicates: Sequence
     """Known places: required keys (``spots``: key, what) and predicates (name, SQL expression over the row)."""
     missing = spots.join(df.select(key).distinct(), key, "left_anti")
     out = [_finding(missing, "FAIL", "spot", F.col(key), _text("missing: ", F.col("what")))]
-    mine = df.join(F.broadcast(spots), key)
+    mine = df.join(spots, key)
     for name, expression in predicates:
         bad = mine.filter(~F.coalesce(F.expr(expression), F.lit(False)))
         out.append(_finding(bad, "FAIL", "spot", F.col(key), _text(f"failed: {name}")))
@@ -154,7 +154,7 @@ def monthly_reproduces(monthly: DataFrame, yearly: DataFrame, key: str, checks:
 
 def fact_schema(values: DataFrame, definitions: DataFrame) -> DataFrame:
     """Undeclared laws, status, confidence, values outside the allowed set, numbers that are not."""
-    j = values.join(F.broadcast(definitions.withColumn("_known", F.lit(True))), "law", "left")
+    j = values.join(definitions.withColumn("_known", F.lit(True)), "law", "left")
     key = _text(F.col("law"), "/", F.col("state"))
     filled = F.trim(F.coalesce("value", F.lit(""))) != ""
     allowed = F.split(F.coalesce("allowed", F.lit("")), r"\|")
@@ -191,7 +191,7 @@ def fact_coverage(values: DataFrame, definitions: DataFrame, states: DataFrame)
 
 def fact_age(values: DataFrame, definitions: DataFrame, today: Column) -> DataFrame:
     """Values without a date, past the hard expiry, past their cadence, or scheduled changes that are due."""
-    j = values.filter(F.trim(F.coalesce("value", F.lit(""))) != "").join(F.broadcast(definitions.select("law", "cadence")), "law")
+    j = values.filter(F.trim(F.coalesce("value", F.lit(""))) != "").join(definitions.select("law", "cadence"), "law")
     age = F.datediff(today, parse_date("as_of"))
     due = (F.col("status") == "scheduled") & (parse_date("effective_date") <= today)
     limit = FX.cadence_days("cadence")
@@ -205,7 +205,7 @@ def fact_age(values: DataFrame, definitions: DataFrame, today: Column) -> DataFr
 
 def fact_provenance(values: DataFrame, definitions: DataFrame) -> DataFrame:
     """Values without source, date, address or quote."""
-    j = values.filter(F.trim(F.coalesce("value", F.lit(""))) != "").join(F.broadcast(definitions.select("law")), "law", "left_semi")
+    j = values.filter(F.trim(F.coalesce("value", F.lit(""))) != "").join(definitions.select("law"), "law", "left_semi")
     has = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
     notes = F.lower(F.coalesce("notes", F.lit("")))
     rules = [
@@ -225,7 +225,7 @@ def fact_editions(values: DataFrame, definitions: DataFrame, today: Column) -> D
         F.min(parse_date("source_date")).alias("d"))
     yearly = definitions.filter(F.startswith(F.col("tier"), F.lit("B1"))).select("law")
     years = F.transform(F.regexp_extract_all("source_url", F.lit(r"(20\d{2})"), F.lit(1)), lambda y: y.cast("int"))
-    cited = values.filter(F.trim(F.coalesce("value", F.lit(""))) != "").join(F.broadcast(yearly), "law", "left_semi").groupBy("law", "source_url").agg(
+    cited = values.filter(F.trim(F.coalesce("value", F.lit(""))) != "").join(yearly, "law", "left_semi").groupBy("law", "source_url").agg(
         F.max(F.array_max(years)).alias("y")).filter(F.col("y") < F.year(today))
     return union([_finding(old, "WARN", "edition", F.col("law"), _text("source dated ", F.col("d"))),
                   _finding(cited, "WARN", "edition", F.col("law"), _text("cites the ", F.col("y"), " edition"))])
@@ -260,8 +260,8 @@ def coverage_floors(report: DataFrame, floors: DataFrame, measures: Sequence[str
     long = ok.select(state, "populated", *[F.col(m).cast("double").alias(m) for m in measures]).unpivot([state, "populated"], list(measures), "measure", "pct")
     v, w = F.coalesce("pct", F.lit(0.0)), F.coalesce("populated", F.lit(0))
     share = F.sum(v * w) / F.greatest(F.sum(w), F.lit(1))
-    nat = long.groupBy("measure").agg(share.alias("pct")).join(F.broadcast(floors), "measure").filter(F.col("pct") < F.col("floor"))
-    by_state = long.groupBy(state, "measure").agg(share.alias("pct")).join(F.broadcast(floors), "measure").filter(F.col("pct") < F.col("floor") / 2)
+    nat = long.groupBy("measure").agg(share.alias("pct")).join(floors, "measure").filter(F.col("pct") < F.col("floor"))
+    by_state = long.groupBy(state, "measure").agg(share.alias("pct")).join(floors, "measure").filter(F.col("pct") < F.col("floor") / 2)
     count = report.agg(F.count("*").alias("n"), F.count_if(failed).alias("bad"))
     too_many = count.filter(F.col("bad") > F.greatest(F.lit(max_failed), F.floor(F.col("n") * max_failed_share)))
     return union([
@@ -286,7 +286,7 @@ def audit_results(shown: DataFrame, key: str, values: DataFrame, limits: DataFra
     counted by plain comparisons against each listed value — not through the rank operators.
     """
     listed = shown.select("metric", F.col("value").alias("_v")).filter(F.col("_v").isNotNull()).distinct()
-    counted = values.join(F.broadcast(listed), "metric").groupBy("metric", "_v").agg(
+    counted = values.join(listed, "metric").groupBy("metric", "_v").agg(
         F.count("*").alias("_n"), F.count_if(F.col("value") < F.col("_v")).alias("_below"), F.count_if(F.col("value") <= F.col("_v")).alias("_upto"))
     j = shown.join(counted, (shown["metric"] == counted["metric"]) & (shown["value"] == counted["_v"])).drop(counted["metric"])
     lo, hi = 100 * F.col("_below") / (F.col("_n") - 1), 100 * (F.col("_upto") - 1) / (F.col("_n") - 1)
@@ -295,7 +295,7 @@ def audit_results(shown: DataFrame, key: str, values: DataFrame, limits: DataFra
     name = _text(F.col(key), "/", F.col("metric"))
     wrong = j.filter(F.coalesce(F.abs(want - F.col("points")) > tolerance, F.lit(True)))
     false_beats = j.filter((F.col("direction") != "middle") & F.coalesce(F.abs(want_beats - F.col("beats")) > tolerance, F.lit(True)))
-    leaks = shown.join(F.broadcast(limits), ["search", "metric"]).filter((F.col("value") < F.col("min")) | (F.col("value") > F.col("max")))
+    leaks = shown.join(limits, ["search", "metric"]).filter((F.col("value") < F.col("min")) | (F.col("value") > F.col("max")))
     score = shown.groupBy("search", key).agg(
         (F.sum(F.col("weight") * F.coalesce("points", F.lit(50.0))) / F.sum("weight")).alias("_want"), F.max("score").alias("_got"))
     off = score.filter(F.abs(F.col("_want") - F.col("_got")) > 1e-6)

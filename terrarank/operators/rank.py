@@ -305,15 +305,26 @@ def stretch(scores: DataFrame, score: str, order: Sequence[Column], n: int, min_
             .withColumn(out, 100 - (F.col("_max") - F.col(score)) / span * 100).drop("_max", "_min"))
 
 
-def position_shade(df: DataFrame, keys: Sequence[str], by: Sequence[str], value: str, out: str = "shade",
-                   limits: Limits = DEFAULT_LIMITS) -> DataFrame:
-    """100 × (1 − position/(n−1)) by descending value, 100 for a lone row; ties follow the keys.
+def row_positions(df: DataFrame, by: Sequence[str], order: str, key: str, out: str = "position", descending: bool = False,
+                  limits: Limits = DEFAULT_LIMITS, keep: Sequence[str] = ()) -> DataFrame:
+    """1-based position of every row in its group, ordered by ``order`` and then by a unique numeric ``key``.
 
-    Position inside a tie comes from a window over that tie only.
+    Positions come from counts of values, then from counts of keys inside ties: no window holds a group.
+    ``keep`` also returns ``n`` or other rank columns.
     """
-    ranks, may_be_hot = _ranked(df, by, value, limits)
-    joined = _join_ranks(df, ranks, keys, [*by, value], may_be_hot, "inner", limits, ["below", "ties", "n"])
-    tie = Window.partitionBy(*by, value).orderBy(*keys)
-    pos = F.col("n") - F.col("below") - F.col("ties") + F.row_number().over(tie) - 1
-    shade = F.when(F.col("n") > 1, 100 * (1 - pos / (F.col("n") - 1))).otherwise(100.0)
-    return joined.withColumn(out, shade).drop("below", "ties", "n")
+    ranks, may_be_hot = _ranked(df, by, order, limits)
+    rows = _join_ranks(df, ranks, [key], [*by, order], may_be_hot, "inner", limits, ["below", "ties", "n"])
+    tied = rows.filter(F.col("ties") > 1).select(*by, order, key).withColumn("_one", F.lit(1).cast("long"))
+    inside = running_totals(tied, [*by, order], key, ["_one"], limits).select(key, *by, F.col("_one_before").alias("_inside"))
+    rows = rows.join(inside, [key, *by], "left")
+    first = F.col("n") - F.col("below") - F.col("ties") if descending else F.col("below")
+    rows = rows.withColumn(out, first + F.coalesce("_inside", F.lit(0)) + 1)
+    return rows.drop("_inside", *[c for c in ("below", "ties", "n") if c not in keep])
+
+
+def position_shade(df: DataFrame, key: str, by: Sequence[str], value: str, out: str = "shade",
+                   limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+    """100 × (1 − position/(n−1)) by descending value, 100 for a lone row; ties follow the key."""
+    placed = row_positions(df, by, value, key, "_pos", True, limits, keep=["n"])
+    shade = F.when(F.col("n") > 1, 100 * (1 - (F.col("_pos") - 1) / (F.col("n") - 1))).otherwise(100.0)
+    return placed.withColumn(out, shade).drop("_pos", "n")

@@ -47,7 +47,7 @@ def contributions(places: DataFrame, key: str, criteria: DataFrame, measures: Se
     long = rank.unpivot(places, [key], measures)
     ranked = rank.rank_rows(long, [key], ["metric"], limits=limits).drop("n")
     asked = criteria.withColumn("weight", P.clamp_weight("weight")).filter(F.col("weight") > 0)
-    known = ranked.join(F.broadcast(asked), "metric").withColumns(point_columns())
+    known = ranked.join(asked, "metric").withColumns(point_columns())
     known = known.select("search", key, "metric", "value", "direction", F.col("mid").alias("percentile"), "points",
                          "weight", (F.col("weight") * (F.col("points") - 50)).alias("impact"), "beats")
     return known
@@ -65,7 +65,7 @@ def scores(places: DataFrame, key: str, criteria: DataFrame, known: DataFrame, s
     part = known.groupBy("search", key).agg(
         F.sum(F.col("weight") * F.col("points")).alias("_sum"), F.sum("weight").alias("_weight"),
         F.count("*").alias("_known"))
-    joined = statuses.join(F.broadcast(totals), "search", "left").join(part, ["search", key], "left")
+    joined = statuses.join(totals, "search", "left").join(part, ["search", key], "left")
     known_weight = F.coalesce("_weight", F.lit(0.0))
     total = F.coalesce("_sum", F.lit(0.0)) + P.AVERAGE_POINTS * (F.col("_total") - known_weight)
     score = F.when((F.col("status") != EXCLUDED) & (F.col("_total") > 0), total / F.col("_total"))
@@ -116,7 +116,7 @@ def filter_results(places: DataFrame, key: str, limits: DataFrame | None = None,
     numeric = [f.name for f in places.schema if f.name in measures and f.dataType.typeName() in
                ("double", "float", "integer", "long", "short", "byte")]
     texts = [f.name for f in places.schema if f.dataType.typeName() == "string" and f.name != key]
-    rows = places.join(F.broadcast(packed), F.lit(True))
+    rows = places.join(packed, F.lit(True))
     states = []
     if limits is not None:
         value_of = F.create_map(*[x for m in numeric for x in (F.lit(m), F.col(m).cast("double"))])
@@ -140,7 +140,7 @@ def filter_results(places: DataFrame, key: str, limits: DataFrame | None = None,
 
 def all_match(places: DataFrame, key: str, searches: DataFrame) -> DataFrame:
     """Statuses of searches without must-haves."""
-    rows = places.select(key).join(F.broadcast(searches.select("search").distinct()), F.lit(True))
+    rows = places.select(key).join(searches.select("search").distinct(), F.lit(True))
     empty = F.array().cast("array<string>")
     return rows.select("search", key, empty.alias("failed"), empty.alias("unknown"), F.lit(MATCH).alias("status"))
 
@@ -176,6 +176,6 @@ def watch_outs(ranked_rows: DataFrame, key: str, watched: Sequence[str], asked:
     """Measures nobody asked about on which a place is among the worst ``share`` % (worse = higher)."""
     worst = ranked_rows.filter(F.col("metric").isin(*watched) & (F.col("lo") >= 100 - share))
     worst = worst.select(key, "metric", F.floor("lo").cast("long").alias("worse_than"))
-    searches = F.broadcast(asked.select("search").distinct())
+    searches = asked.select("search").distinct()
     weighed = asked.filter(P.clamp_weight("weight") > 0).select("search", "metric")
-    return worst.join(searches, F.lit(True)).join(F.broadcast(weighed), ["search", "metric"], "left_anti")
+    return worst.join(searches, F.lit(True)).join(weighed, ["search", "metric"], "left_anti")

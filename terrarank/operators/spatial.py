@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_RADIUS_MILES, chord, haversine_miles, unit_vector
-from ..session import durable
+from ..session import DEFAULT_LIMITS, Limits, durable
 from . import rank
 
 FINEST = 16          # cube side of about 0.12 miles
@@ -130,7 +130,7 @@ def nearest_with_widening(targets: DataFrame, target_key: str, sources: DataFram
         target_key, F.col(f"s_{source_key}").alias(source_key), "miles"))
     groups = reports.select(group).distinct()
     have = near.join(reports, source_key).groupBy(target_key, group).agg(F.count("*").alias("_n"))
-    wanted = near.select(target_key).distinct().join(F.broadcast(groups), F.lit(True))  # a handful of groups
+    wanted = near.select(target_key).distinct().join(groups, F.lit(True))  # a handful of groups
     short = wanted.join(have, [target_key, group], "left").filter(F.coalesce("_n", F.lit(0)) < k).select(target_key).distinct()
     again = nearest(targets.join(short, target_key, "left_semi"), target_key, sources, source_key, wide, max_miles=max_miles).select(
         target_key, F.col(f"s_{source_key}").alias(source_key), "miles")
@@ -227,12 +227,14 @@ def nearest_edge(points: DataFrame, key: str, polygons: DataFrame, polygon_key:
         polygon_key, F.coalesce("_in", F.col("_near.p"))).drop("_near", "_in")
 
 
-def densify(lines: DataFrame, line: str, order: str, step: float = 1.0, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """Line vertices with extra points so no segment is longer than about ``step`` miles."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(line).orderBy(order)
-    rows = lines.select(line, order, lat, lon).withColumns({"_plat": F.lag(lat).over(w), "_plon": F.lag(lon).over(w)})
+def densify(lines: DataFrame, line: str, order: str, step: float = 1.0, lat: str = "lat", lon: str = "lon",
+            limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+    """Line vertices with extra points so no segment is longer than about ``step`` miles. The vertex before
+    each one is found by its position, so a line may be any length."""
+    placed = rank.value_ranks(lines, [line], order, limits).select(line, order, "below")
+    rows = lines.select(line, order, lat, lon).join(placed, [line, order])
+    before = rows.select(line, (F.col("below") + 1).alias("below"), F.col(lat).alias("_plat"), F.col(lon).alias("_plon"))
+    rows = rows.join(before, [line, "below"], "left")
     n = F.greatest(F.lit(1), F.ceil(haversine_miles("_plat", "_plon", lat, lon) / step)).cast("int")
     rows = rows.withColumn("_n", F.when(F.col("_plat").isNull(), 1).otherwise(n)).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     part = F.col("_i") / F.col("_n")

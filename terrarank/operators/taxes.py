@@ -70,7 +70,7 @@ def with_taxes(places: DataFrame, schedules: DataFrame, state: str, households:
     """Each place's taxes per household. ``schedules``: (state, schedule text), one row per state, parsed
     once; ``households``: (search, tenure, budget, income, filing), a short list."""
     parsed = schedules.select(state, parse_schedule("schedule").alias("_s"))
-    rows = places.join(F.broadcast(parsed), state, "left").join(F.broadcast(households), F.lit(True))
+    rows = places.join(parsed, state, "left").join(households, F.lit(True))
     parts = household_taxes(F.col(rate), F.col(new_buyer), F.coalesce(home_today, home), F.col(sales), F.col("_s"), F.col("tenure"),
                             F.col("budget"), F.col("income"), F.col("filing"))
     return rows.withColumns(parts).drop("_s", "tenure", "budget", "income", "filing")

@@ -225,7 +225,7 @@ def area_relative_scores(t):
      count(*) OVER (PARTITION BY search, county) AS n FROM ascored WHERE status < 2)"""))
 def area_shade_by_position(t):
     s = scored(t).filter(score.shown("status")).withColumn("score", r("score", 9))
-    return rank.position_shade(s, ["area"], ["search", "county"], "score", limits=t.bound("customer")).select(
+    return rank.position_shade(s, "area", ["search", "county"], "score", limits=t.bound("customer")).select(
         "search", "county", "area", r("shade").alias("shade"))
 
 
@@ -298,4 +298,4 @@ def area_distinct_names(t):
     p = base.places(t)
     named = p.select("place", F.concat_ws(" ", "segment", (F.col("place") % 40).cast("string")).alias("label"),
                      F.when(F.col("place") % 23 != 0, F.col("lat")).alias("lat"), "lon")
-    return area.distinct_names(named, "place").select("place", "name")
+    return area.distinct_names(named, "place", limits=t.bound("customer")).select("place", "name")

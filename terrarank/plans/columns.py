@@ -242,7 +242,7 @@ def seasonal_summaries(t):
 @query("A15", with_(MONTHS, select="SELECT fips, string_agg(round(tmax_f, 1)::VARCHAR, ',' ORDER BY month) AS highs, count(*) AS months FROM mon GROUP BY 1"))
 def monthly_series(t):
     s = climate.series(monthly(t).withColumn("tmax_f", F.round("tmax_f", 1)), "fips", ["tmax_f"])
-    return s.select("fips", F.array_join(F.col("tmax_f").cast("array<string>"), ",").alias("highs"), F.size("tmax_f").cast("long").alias("months"))
+    return s.select("fips", F.array_join(F.col("tmax_f").cast("array<string>"), ",").alias("highs"), F.size(F.array_compact("tmax_f")).cast("long").alias("months"))
 
 
 def _koppen_sql(shift: str, out: str) -> str:

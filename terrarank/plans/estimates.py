@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..operators import estimate, rank
@@ -269,8 +269,5 @@ def measure_ranges(t):
   select="SELECT county, balance AS median, row_number() OVER (ORDER BY balance DESC, county) AS position FROM o WHERE k = n // 2 + 1"))
 def groups_by_median(t):
     med = rank.upper_median(base.places(t), ["county"], "balance", limits=t.bound("customer"))
-    order = rank.value_ranks(med, [], "median", t.bound("nation"))
-    placed = med.join(order.select("median", "below", "ties", "n"), "median")
-    pos = F.col("n") - F.col("below") - F.col("ties") + F.row_number().over(
-        Window.partitionBy("median").orderBy("county"))
-    return placed.select("county", "median", pos.alias("position"))
+    placed = rank.row_positions(med, [], "median", "county", descending=True, limits=t.bound("nation"))
+    return placed.select("county", "median", "position")

@@ -99,13 +99,18 @@ def shared_agency_rates(t):
     return policed(t).select("place", "crime_shared", "crime_wide")
 
 
-@query("D27", with_(*base.PLACE_SQL, POLICED, """ok AS (SELECT *, vr IS NOT NULL AND NOT (vr = 0 AND pr = 0) AS usable FROM sr),
-   al AS (SELECT county, agency, max(people) AS p FROM ok WHERE usable GROUP BY ALL),
-   vw AS (SELECT *, CASE WHEN usable AND NOT crime_wide THEN CASE WHEN crime_shared >= 100 THEN 'city' ELSE 'own' END END AS v0, (SELECT string_agg(al.agency, ';' ORDER BY p DESC, al.agency) FROM al WHERE al.county = ok.county AND NOT (usable AND al.agency = ok.agency)) AS o FROM ok)""",
-   select="""SELECT place, coalesce(v0, CASE WHEN usable OR o IS NOT NULL THEN 'nearby' ELSE 'none' END) AS view, CASE WHEN v0 IS NULL AND (usable OR o IS NOT NULL) THEN coalesce(o, '') END AS others FROM vw"""))
+USABLE = """ok AS (SELECT *, vr IS NOT NULL AND NOT (vr = 0 AND pr = 0) AS usable FROM sr), al AS (SELECT county, agency, max(people) AS people, count(*) AS areas FROM ok WHERE usable GROUP BY ALL)"""
+
+
+@query("D27", with_(*base.PLACE_SQL, POLICED, USABLE, """vw AS (SELECT *, CASE WHEN usable AND NOT crime_wide THEN CASE WHEN crime_shared >= 100 THEN 'city' ELSE 'own' END END AS v0, (SELECT count(*) FROM al WHERE al.county = ok.county) - CASE WHEN usable THEN 1 ELSE 0 END AS o FROM ok)""",
+   select="""SELECT place, coalesce(v0, CASE WHEN usable OR o > 0 THEN 'nearby' ELSE 'none' END) AS view, CASE WHEN v0 IS NULL AND (usable OR o > 0) THEN o END AS others FROM vw"""))
 def crime_views(t):
-    v = crime.crime_view(policed(t), "place", "county", "agency")
-    return v.select("place", "view", F.array_join("others", ";").alias("others"))
+    return crime.crime_view(policed(t), "place", "county", "agency").select("place", "view", "others")
+
+
+@query("D27", with_(*base.PLACE_SQL, POLICED, USABLE, select="SELECT county, agency, people, areas FROM al"))
+def county_agencies(t):
+    return crime.county_agencies(policed(t), "county", "agency")
 
 
 @query("D28", """WITH w AS (SELECT user_id AS agency, event_type AS cat, month(ts) * 100 + day(ts) % 6 AS m, count(*) FILTER (WHERE value > 60) AS n FROM events GROUP BY ALL)

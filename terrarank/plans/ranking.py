@@ -37,3 +37,36 @@ def percentile_bounds(t):
 def percentile_bounds_by_state(t):
     ranked = rank.rank_rows(_long(t), ["place"], ["metric", "state"], limits=t.bound("customer"))
     return ranked.select("place", "state", "metric", r("lo").alias("lo"), r("hi").alias("hi"))
+
+
+@query("E5", with_(*base.PLACE_SQL, select=f"SELECT place, state, {rs('CASE WHEN balance IS NOT NULL THEN 100.0::DOUBLE * (rank() OVER (PARTITION BY state, balance IS NULL ORDER BY balance) + (count(*) OVER (PARTITION BY state, balance) - 1) / 2) / count(balance) OVER (PARTITION BY state) END')} AS pctl FROM places"))
+def average_rank_percentiles(t):
+    out = rank.average_rank_percentile(base.places(t), ["place"], ["state"], "balance", "pctl", t.bound("customer"))
+    return out.select("place", "state", r("pctl").alias("pctl"))
+
+
+@query("E6", with_(*base.PLACE_SQL, select="SELECT place, county, CASE WHEN balance IS NOT NULL THEN rank() OVER (PARTITION BY county, balance IS NULL ORDER BY balance DESC) END AS rank, CASE WHEN balance IS NOT NULL THEN count(balance) OVER (PARTITION BY county) END AS group_count FROM places"))
+def ranks_within_group(t):
+    return rank.group_rank(base.places(t), ["place"], ["county"], "balance", limits=t.bound("customer")).select("place", "county", "rank", "group_count")
+
+
+@query("E9", with_(*base.PLACE_SQL, select="SELECT place, row_number() OVER (ORDER BY orders DESC, place) AS position FROM places"))
+def positions_overall(t):
+    return rank.row_positions(base.places(t).select("place", "orders"), [], "orders", "place", descending=True, limits=t.bound("customer")).select("place", "position")
+
+
+PREP = """hs AS (SELECT p_partkey AS school, 100 + p_size * 10 AS enr, CASE WHEN p_partkey % 5 = 0 THEN -9 ELSE p_size END AS m, CASE WHEN p_partkey % 5 = 0 OR p_partkey % 3 = 0 THEN -9 ELSE p_size % 7 END AS f, p_partkey % 20 AS courses FROM part),
+  sh AS (SELECT school, courses, least(100, 100 * nullif(CASE WHEN m >= 0 OR f >= 0 THEN greatest(m, 0) + greatest(f, 0) ELSE -1 END, -1) / enr::DOUBLE) AS share FROM hs),
+  ok AS (SELECT *, (rank() OVER (ORDER BY share) + (count(*) OVER (PARTITION BY share) - 1) / 2) / count(*) OVER () AS a, (rank() OVER (ORDER BY courses) + (count(*) OVER (PARTITION BY courses) - 1) / 2) / count(*) OVER () AS b FROM sh WHERE share IS NOT NULL),
+  sc AS (SELECT school, round((a + b) * 50, 9) AS score FROM ok)"""
+
+
+@query("D46 E5", with_(PREP, select=f"SELECT school, {rs('score')} AS score, {rs('100.0::DOUBLE * (rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2) / count(*) OVER ()')} AS pctl FROM sc"))
+def college_prep_scores(t):
+    from ..operators import schools
+
+    k, s = F.col("p_partkey"), F.col("p_size")
+    hs = t.part.select(k.alias("school"), (100 + s * 10).alias("enrollment"), F.when(k % 5 == 0, -9).otherwise(s).alias("ap_M"),
+                       F.when((k % 5 == 0) | (k % 3 == 0), -9).otherwise(s % 7).alias("ap_F"), F.lit(-9).alias("ap_X"), (k % 20).alias("courses"))
+    out = schools.access_scores(hs, "school", ["ap_M", "ap_F", "ap_X"], "enrollment", "courses", limits=t.bound("part"))
+    return out.select("school", r("score").alias("score"), r("pctl").alias("pctl"))

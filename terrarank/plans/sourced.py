@@ -61,7 +61,7 @@ def state_labels_to_codes(t):
 def labels_filled_down(t):
     x = t.events.select(F.col("user_id").alias("sheet"), F.col("event_id").alias("row_no"), "event_type", F.when(F.col("event_id") % 5 == 0, F.col("event_type")).alias("label"))
     below = facts.rows_below_header(x, ["sheet"], "row_no", F.col("event_type") == "signup")
-    return facts.fill_labels(below, ["sheet"], "row_no", "label", "block").select("sheet", "row_no", "block")
+    return facts.fill_labels(below, ["sheet"], "row_no", "label", "block", t.bound("events")).select("sheet", "row_no", "block")
 
 
 @query("G10", """WITH c AS (SELECT c_custkey AS k, 6 + c_custkey % 9 AS w, c_custkey % 4 AS m FROM customer)
@@ -111,11 +111,22 @@ def list_agreement(t):
     return facts.list_agreement(t.documents, a, b, "doc_id")
 
 
-@query("G9", """WITH e AS (SELECT o_custkey AS k, o_orderdate::DATE AS d, max(o_orderpriority) AS v FROM orders GROUP BY ALL), n AS (SELECT k, arg_max(v, d) AS v, max(d) AS d FROM e GROUP BY 1)
-  SELECT n.k, n.v, n.d::VARCHAR AS d, coalesce(string_agg(e.d || ' listed ' || e.v, '; ' ORDER BY e.d DESC) FILTER (WHERE e.d < n.d AND e.v <> n.v), '') AS note FROM n JOIN e ON e.k = n.k GROUP BY ALL""")
-def newest_editions(t):
+EDITIONS = """e AS (SELECT o_custkey AS k, o_orderdate::DATE AS d, max(o_orderpriority) AS v FROM orders GROUP BY ALL), n AS (SELECT k, arg_max(v, d) AS v, max(d) AS d FROM e GROUP BY 1)"""
+
+
+def _editions(t):
     e = t.orders.groupBy(F.col("o_custkey").alias("k"), F.to_date("o_orderdate").alias("d")).agg(F.max("o_orderpriority").alias("v"))
-    return facts.newest_edition(e, ["k"], "v", "d").select("k", "v", F.col("d").cast("string"), "note")
+    return facts.newest_edition(e, ["k"], "v", "d")
+
+
+@query("G9", with_(EDITIONS, select="SELECT k, v, d::VARCHAR AS d FROM n"))
+def newest_editions(t):
+    return _editions(t)[0].select("k", "v", F.col("d").cast("string"))
+
+
+@query("G9", with_(EDITIONS, select="SELECT e.k, e.v, e.d::VARCHAR AS d, e.d || ' listed ' || e.v AS note FROM e JOIN n ON n.k = e.k WHERE e.d < n.d AND e.v <> n.v"))
+def older_editions_that_differ(t):
+    return _editions(t)[1].select("k", "v", F.col("d").cast("string"), "note")
 
 
 FACTS = """fv AS (SELECT law, c_custkey AS k, c_name AS state,

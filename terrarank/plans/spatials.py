@@ -43,7 +43,7 @@ def nearest_stations(t):
   "e AS (SELECT line, station, i, n, coalesce(plat + (lat - plat) * i / n, lat) AS lat, coalesce(plon + (lon - plon) * i / n, lon) AS lon FROM d, range(1, 200) x(i) WHERE i <= n)",
   select=f"SELECT place, {rs(f'min({hav(chr(112), chr(101))})')} AS miles FROM places p CROSS JOIN e GROUP BY 1"))
 def distance_to_lines(t):
-    pts = spatial.densify(stations(t), "district", "station", 60.0)
+    pts = spatial.densify(stations(t), "district", "station", 60.0, limits=t.bound("supplier"))
     pts = pts.withColumn("vertex", F.concat_ws("-", "station", "piece"))
     n = spatial.nearest(base.places(t), "place", pts, "vertex", 1)
     return n.select("place", r("miles").alias("miles"))

@@ -106,12 +106,15 @@ def column_payload(payloads: DataFrame, body: str, expected: str, text: Sequence
     return rows.select(*[at(c).alias(c) for c in text], *[number(at(c)).alias(c) for c in numbers])
 
 
-def payload_of(df: DataFrame, fmt: str, by: Sequence[str] = ()) -> DataFrame:
-    """Rows packed as ``{format, columns, rows}`` JSON, one payload per group: for small published files."""
+def payload_of(df: DataFrame, fmt: str, by: Sequence[str], rows_per_payload: int = 10_000) -> DataFrame:
+    """Rows packed as ``{format, columns, rows}`` JSON. A group larger than ``rows_per_payload`` becomes
+    several payloads, so no task packs an unbounded group."""
     cols = [c for c in df.columns if c not in by]
     row = F.array(*[F.col(c).cast("string") for c in cols])
-    packed = df.groupBy(*by).agg(F.collect_list(row).alias("rows"))
-    return packed.select(*by, F.to_json(F.struct(F.lit(fmt).alias("format"), F.array(*[F.lit(c) for c in cols]).alias("columns"), "rows"),
+    parts = df.groupBy(*by).agg(F.ceil(F.count("*") / rows_per_payload).alias("_parts"))
+    rows = df.join(parts, list(by)).withColumn("part", F.pmod(F.xxhash64(*cols), F.col("_parts")))
+    packed = rows.groupBy(*by, "part").agg(F.collect_list(row).alias("rows"))
+    return packed.select(*by, "part", F.to_json(F.struct(F.lit(fmt).alias("format"), F.array(*[F.lit(c) for c in cols]).alias("columns"), "rows"),
                                         {"ignoreNullFields": "false"}).alias("body"))
 
 
