@@ -310,7 +310,7 @@ def row_positions(df: DataFrame, by: Sequence[str], order: str, key: str, out: s
     """1-based position of every row in its group, ordered by ``order`` and then by a unique numeric ``key``.
 
     Positions come from counts of values, then from counts of keys inside ties: no window holds a group.
-    ``keep`` also returns ``n`` or other rank columns.
+    Rows are read three times, so make an expensive input durable first. ``keep`` also returns ``n`` or other rank columns.
     """
     ranks, may_be_hot = _ranked(df, by, order, limits)
     rows = _join_ranks(df, ranks, [key], [*by, order], may_be_hot, "inner", limits, ["below", "ties", "n"])

@@ -46,7 +46,7 @@ def income_tax(schedule: Column, income: Column, filing: Column) -> Column:
         top = F.coalesce(F.get(rows, i + 1)["over"], F.lit(float("inf")))
         return b["rate"] * F.greatest(F.lit(0.0), F.least(taxable, top) - b["over"])
     tax = F.aggregate(F.transform(rows, slice_tax), F.lit(0.0), lambda s, x: s + x)
-    return F.when(schedule["none"] | ~(income > 0), 0.0).otherwise(F.greatest(F.lit(0.0), tax - F.get(schedule["credit"], k)))
+    return F.when(schedule.isNull(), F.lit(None)).when(schedule["none"] | ~(income > 0), 0.0).otherwise(F.greatest(F.lit(0.0), tax - F.get(schedule["credit"], k)))
 
 
 def household_taxes(rate: Column, new_buyer: Column, typical_home: Column, sales: Column, schedule: Column, tenure: Column,

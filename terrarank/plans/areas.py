@@ -224,7 +224,7 @@ def area_relative_scores(t):
    SELECT search, county, area, row_number() OVER (PARTITION BY search, county ORDER BY round(score, 9) DESC, area) AS p,
      count(*) OVER (PARTITION BY search, county) AS n FROM ascored WHERE status < 2)"""))
 def area_shade_by_position(t):
-    s = scored(t).filter(score.shown("status")).withColumn("score", r("score", 9))
+    s = durable(scored(t).filter(score.shown("status")).withColumn("score", r("score", 9)))
     return rank.position_shade(s, "area", ["search", "county"], "score", limits=t.bound("customer")).select(
         "search", "county", "area", r("shade").alias("shade"))
 

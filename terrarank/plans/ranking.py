@@ -56,7 +56,7 @@ def positions_overall(t):
 
 
 PREP = """hs AS (SELECT p_partkey AS school, 100 + p_size * 10 AS enr, CASE WHEN p_partkey % 5 = 0 THEN -9 ELSE p_size END AS m, CASE WHEN p_partkey % 5 = 0 OR p_partkey % 3 = 0 THEN -9 ELSE p_size % 7 END AS f, p_partkey % 20 AS courses FROM part),
-  sh AS (SELECT school, courses, least(100, 100 * nullif(CASE WHEN m >= 0 OR f >= 0 THEN greatest(m, 0) + greatest(f, 0) ELSE -1 END, -1) / enr::DOUBLE) AS share FROM hs),
+  sh AS (SELECT school, courses, CASE WHEN m >= 0 OR f >= 0 THEN least(100, 100 * (greatest(m, 0) + greatest(f, 0)) / enr::DOUBLE) END AS share FROM hs),
   ok AS (SELECT *, (rank() OVER (ORDER BY share) + (count(*) OVER (PARTITION BY share) - 1) / 2) / count(*) OVER () AS a, (rank() OVER (ORDER BY courses) + (count(*) OVER (PARTITION BY courses) - 1) / 2) / count(*) OVER () AS b FROM sh WHERE share IS NOT NULL),
   sc AS (SELECT school, round((a + b) * 50, 9) AS score FROM ok)"""
 
