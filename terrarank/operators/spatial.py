@@ -93,7 +93,7 @@ def nearest(targets: DataFrame, target_key: str, sources: DataFrame, source_key:
     pairs = pairs.withColumn("miles", haversine_miles(lat, lon, f"s_{lat}", f"s_{lon}"))
     if max_miles is not None:
         pairs = pairs.filter(F.col("miles") <= max_miles)
-    out = rank.top_k(pairs, [target_key], [F.asc("miles"), F.asc(f"s_{source_key}")], k)
+    out = rank.top_k(pairs, [target_key, *by], [F.asc("miles"), F.asc(f"s_{source_key}")], k)
     return out.drop(lat, lon)
 
 
@@ -265,12 +265,17 @@ def own_or_nearest(rows: DataFrame, key: str, own: str, groups: DataFrame, group
 
 def in_group_nearest(targets: DataFrame, target_key: str, sources: DataFrame, source_key: str, group: str, level: str,
                      picks: dict[str, int]) -> DataFrame:
-    """Per target, the nearest sources of its own group for each level (``picks``: level -> how many)."""
-    out = None
+    """Per target, the nearest sources of its own group for each level (``picks``: level -> how many).
+
+    One search over (group, level): a target is looked up once per level, never against its whole group.
+    """
+    wanted = F.array(*[F.lit(name) for name in picks])
+    rows = targets.select(target_key, group, "lat", "lon", F.explode(wanted).alias(level))
+    near = nearest(rows, target_key, sources.filter(F.col(level).isin(*picks)), source_key, max(picks.values()), [group, level])
+    limit = F.lit(0)
     for name, k in picks.items():
-        near = nearest(targets, target_key, sources.filter(F.col(level) == name), source_key, k, [group]).withColumn(level, F.lit(name))
-        out = near if out is None else out.unionByName(near)
-    return out
+        limit = F.when(F.col(level) == name, k).otherwise(limit)
+    return near.filter(F.col("position") <= limit)
 
 
 def densest_clusters(cities: DataFrame, city: str, points: DataFrame, point: str, weight: str, search_miles: float = 5.0,

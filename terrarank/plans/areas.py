@@ -8,7 +8,7 @@ from ..functions.flags import read_flags
 from ..operators import area, rank, score
 from . import base
 from ..session import durable
-from .registry import query, r, rs, shared, with_
+from .registry import query, r, rs, rt, rts, shared, with_
 
 MEASURES = ["spend", "orders", "pm25", "median_home_value"]
 ESTIMATES = {"spend": "spend_eb"}
@@ -157,33 +157,33 @@ def area_part_points(t):
                     "flagged", r("scored").alias("scored"))
 
 
-@query("C4", with_(*AREA_SQL, select=f"""SELECT search, county, county_status::BIGINT AS county_status, {rs('county_sum')} AS county_sum,
+@query("C4", with_(*AREA_SQL, select=f"""SELECT search, county, county_status::BIGINT AS county_status, {rts('county_sum')} AS county_sum,
   county_weight FROM cside"""))
 def county_shared_parts(t):
-    return county_side(t).select("search", "county", F.col("county_status").cast("long"), r("county_sum").alias("county_sum"), "county_weight")
+    return county_side(t).select("search", "county", F.col("county_status").cast("long"), rt("county_sum").alias("county_sum"), "county_weight")
 
 
-@query("F12 B23", with_(*AREA_SQL, select=f"SELECT search, area, county, status::BIGINT AS status, {rs('score')} AS score FROM ascored"))
+@query("F12 B23", with_(*AREA_SQL, select=f"SELECT search, area, county, status::BIGINT AS status, {rts('score')} AS score FROM ascored"))
 def area_scores(t):
-    return scored(t).select("search", "area", "county", F.col("status").cast("long"), r("score").alias("score"))
+    return scored(t).select("search", "area", "county", F.col("status").cast("long"), rt("score").alias("score"))
 
 
-@query("F13", with_(*AREA_SQL, select=f"SELECT search, area, status::BIGINT AS status, {rs('score')} AS score, position FROM atop"))
+@query("F13", with_(*AREA_SQL, select=f"SELECT search, area, status::BIGINT AS status, {rts('score')} AS score, position FROM atop"))
 def area_results(t):
-    return top(t).select("search", "area", F.col("status").cast("long"), r("exact").alias("score"), F.col("position").cast("long"))
+    return top(t).select("search", "area", F.col("status").cast("long"), rt("exact").alias("score"), F.col("position").cast("long"))
 
 
-@query("F14", with_(*AREA_SQL, select=f"SELECT search, area, county, {rs('score')} AS score FROM ascored WHERE status < 2 AND county IN (3, 7)"))
+@query("F14", with_(*AREA_SQL, select=f"SELECT search, area, county, {rts('score')} AS score FROM ascored WHERE status < 2 AND county IN (3, 7)"))
 def area_matches_in_counties(t):
     members = t.rows([(3,), (7,)], "county long")
-    return area.matches_within(scored(t), "area", members, "county").select("search", "area", "county", r("score").alias("score"))
+    return area.matches_within(scored(t), "area", members, "county").select("search", "area", "county", rt("score").alias("score"))
 
 
-@query("F15", with_(*AREA_SQL, select=f"""SELECT search, county, {rs('max(score)')} AS best_score, count(*) AS areas,
+@query("F15", with_(*AREA_SQL, select=f"""SELECT search, county, {rts('max(score)')} AS best_score, count(*) AS areas,
   string_agg(area::VARCHAR, ',' ORDER BY position) AS members FROM atop GROUP BY search, county"""))
 def area_results_by_county(t):
     c = area.by_county(top(t), "county", "area")
-    return c.select("search", "county", r("best_score").alias("best_score"), "areas",
+    return c.select("search", "county", rt("best_score").alias("best_score"), "areas",
                     F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
 
 
@@ -214,10 +214,10 @@ def area_limit_results(t):
 
 
 @query("E8", with_(*AREA_SQL, "ct AS (SELECT * FROM atop WHERE search = 'a' AND position <= 50)",
-  select=f"SELECT area, {rs('100 - (m.hi - score) / greatest(m.hi - m.lo, 20) * 100')} AS relative FROM ct, (SELECT max(score) AS hi, min(score) AS lo FROM ct) m"))
+  select=f"SELECT area, {rts('100 - (m.hi - score) / greatest(m.hi - m.lo, 20) * 100')} AS relative FROM ct, (SELECT max(score) AS hi, min(score) AS lo FROM ct) m"))
 def area_relative_scores(t):
     mine = top(t).filter("search = 'a'").withColumn("score", F.col("exact"))
-    return rank.stretch(mine, "score", [F.asc("position")], 50).select("area", r("relative").alias("relative"))
+    return rank.stretch(mine, "score", [F.asc("position")], 50).select("area", rt("relative").alias("relative"))
 
 
 @query("E9", with_(*AREA_SQL, select=f"""SELECT search, county, area, {rs('CASE WHEN n > 1 THEN 100 * (1 - (p - 1)::DOUBLE / (n - 1)) ELSE 100 END')} AS shade FROM (

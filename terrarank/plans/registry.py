@@ -91,3 +91,13 @@ def r(c: Column | str, digits: int = 6) -> Column:
 def rs(expr: str, digits: int = 6) -> str:
     """The same rounding in SQL; adding zero turns -0.0 into 0.0."""
     return f"(round(({expr})::DOUBLE, {digits}) + 0.0::DOUBLE)"
+
+
+def rt(c: Column | str, digits: int = 6) -> Column:
+    """Rounding for scores, which often end exactly in a 5: moved off the tie first, the same way in both
+    engines."""
+    return F.round((F.col(c) if isinstance(c, str) else c) + 0.123 * 10 ** -digits, digits)
+
+
+def rts(expr: str, digits: int = 6) -> str:
+    return f"(round(({expr})::DOUBLE + {0.123 * 10 ** -digits!r}::DOUBLE, {digits}) + 0.0::DOUBLE)"

@@ -8,7 +8,7 @@ from ..functions import points as P
 from ..operators import rank, score
 from . import base
 from .ranking import LONG, _bounds_sql, _long
-from .registry import query, r, rs, with_
+from .registry import query, r, rs, rt, rts, with_
 
 MEASURES = ["balance", "spend", "orders"]
 
@@ -90,18 +90,18 @@ def must_haves(t):
                     F.array_join("unknown", ";").alias("unknown"))
 
 
-@query("F1 F2 F3 F23", with_(*SEARCH_SQL, select=f"SELECT search, place, status::BIGINT AS status, {rs('score')} AS score, missing FROM scored"))
+@query("F1 F2 F3 F23", with_(*SEARCH_SQL, select=f"SELECT search, place, status::BIGINT AS status, {rts('score')} AS score, missing FROM scored"))
 def search_scores(t):
-    return _scored(t).select("search", "place", F.col("status").cast("long"), r("score").alias("score"), "missing")
+    return _scored(t).select("search", "place", F.col("status").cast("long"), rt("score").alias("score"), "missing")
 
 
-@query("F4 E7", with_(*SEARCH_SQL, select=f"""SELECT search, place, status::BIGINT AS status, {rs('score')} AS score, position FROM (
+@query("F4 E7", with_(*SEARCH_SQL, select=f"""SELECT search, place, status::BIGINT AS status, {rts('score')} AS score, position FROM (
   SELECT *, row_number() OVER (PARTITION BY search ORDER BY status, round(score, 9) DESC NULLS LAST, place) AS position
   FROM scored WHERE status < 2) WHERE position <= 100"""))
 def search_ranking(t):
     s = _scored(t).withColumn("exact", F.col("score")).withColumn("score", r("score", 9))
     top = score.ranked(s, "place", 100)
-    return top.select("search", "place", F.col("status").cast("long"), r("exact").alias("score"), F.col("position").cast("long"))
+    return top.select("search", "place", F.col("status").cast("long"), rt("exact").alias("score"), F.col("position").cast("long"))
 
 
 @query("F5", with_(*SEARCH_SQL, """imp AS (SELECT *, weight * (points - 50) AS impact FROM contrib)""",
@@ -131,7 +131,7 @@ def search_watch_outs(t):
   """scored AS (SELECT p.place, CASE WHEN balance IS NULL THEN 1 ELSE 0 END AS status,
     (coalesce(sum(weight * points), 0) + 50 * (10 - coalesce(sum(weight), 0))) / 10 AS score
   FROM scope p LEFT JOIN contrib c ON p.place = c.place WHERE coalesce(balance, 0) >= 0 GROUP BY ALL)""",
-  select=f"SELECT place, status::BIGINT AS status, {rs('score')} AS score FROM scored ORDER BY status, round(score, 9) DESC, place LIMIT 50"))
+  select=f"SELECT place, status::BIGINT AS status, {rts('score')} AS score FROM scored ORDER BY status, round(score, 9) DESC, place LIMIT 50"))
 def place_search(t):
     """The flagship: scope, ranks, points, weighted score, a must-have, the best fifty."""
     scope = base.places(t).filter(F.col("state") != 4)
@@ -144,4 +144,4 @@ def place_search(t):
     scored = score.scores(scope, "place", asked, known, statuses)
     scored = scored.withColumn("exact", F.col("score")).withColumn("score", r("score", 9))
     best = scored.filter(score.shown("status")).orderBy(*score.result_order("place")).limit(50)
-    return best.select("place", F.col("status").cast("long"), r("exact").alias("score"))
+    return best.select("place", F.col("status").cast("long"), rt("exact").alias("score"))
