@@ -15,6 +15,7 @@ from . import facts as FX
 from . import rank
 
 STOPPING = ["FAIL", "BLOCK"]
+MAX_AUDITED = 20_000      # listed result parts one audit compares every value with
 
 
 def _finding(df: DataFrame, severity: Column | str, check: str, key: Column | str, message: Column) -> DataFrame:
@@ -278,13 +279,15 @@ def subset_equals_full(full: DataFrame, subset: DataFrame, key: str, value: str,
     return _finding(bad, "FAIL", "subset", F.col(key), _text("alone ", F.col("_s"), ", whole run ", F.col("_f")))
 
 
-def audit_results(shown: DataFrame, key: str, values: DataFrame, limits: DataFrame, limits_of: Limits = DEFAULT_LIMITS,
-                  tolerance: float = 0.01) -> DataFrame:
+def audit_results(shown: DataFrame, key: str, values: DataFrame, limits: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """Points, beats and must-haves of listed results derived again from the values alone.
 
-    ``shown``: (search, key, metric, value, direction, weight, points, beats, score). The distribution is
-    counted by plain comparisons against each listed value — not through the rank operators.
+    ``shown``: (search, key, metric, value, direction, weight, points, beats, score) of a report's results. The
+    distribution is counted by plain comparisons of all values with the listed ones — not through the rank
+    operators — so the report must be short.
     """
+    if shown.limit(MAX_AUDITED + 1).count() > MAX_AUDITED:
+        raise ValueError(f"audit a report of at most {MAX_AUDITED} rows, not a whole table")
     listed = shown.select("metric", F.col("value").alias("_v")).filter(F.col("_v").isNotNull()).distinct()
     counted = values.join(listed, "metric").groupBy("metric", "_v").agg(
         F.count("*").alias("_n"), F.count_if(F.col("value") < F.col("_v")).alias("_below"), F.count_if(F.col("value") <= F.col("_v")).alias("_upto"))

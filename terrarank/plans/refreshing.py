@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.flags import read_flags, write_flags
 from ..operators import crime, exposure, quality, refresh, score
+from ..session import durable
 from . import areas as A
 from . import base
 from .columns import MONTHS, monthly
@@ -189,17 +190,19 @@ def subset_run_equals_full(t):
     return bad.join(F.broadcast(n), F.lit(True)).select(F.when(F.col("n") == 0, "none").otherwise("differs").alias("verdict"), "groups")
 
 
-@query("H15", with_(*SEARCH_SQL, """ds AS (SELECT search, metric, place FROM contrib WHERE search = 'rich' AND place % 50 = 1 AND metric = 'spend')""",
-  select="""SELECT 'FAIL' AS severity, 'audit' AS "check", place || '/spend' AS key, 'points contradict the value' AS message FROM ds JOIN scored USING (search, place) WHERE status < 2
-  UNION ALL SELECT 'FAIL', 'audit', place::VARCHAR, 'score is not the weighted average of its parts' FROM ds JOIN scored USING (search, place) WHERE status < 2"""))
+@query("H15", with_(*SEARCH_SQL, """lst AS (SELECT *, row_number() OVER (PARTITION BY search ORDER BY status, round(score, 9) DESC NULLS LAST, place) AS position FROM scored WHERE status < 2),
+  ds AS (SELECT place FROM lst JOIN places USING (place) WHERE position <= 100 AND search = 'rich' AND place % 5 = 1 AND spend IS NOT NULL)""",
+  select="""SELECT 'FAIL' AS severity, 'audit' AS "check", place || '/spend' AS key, 'points contradict the value' AS message FROM ds
+  UNION ALL SELECT 'FAIL', 'audit', place::VARCHAR, 'score is not the weighted average of its parts' FROM ds"""))
 def result_audit(t):
-    """Every fiftieth place's points on one measure are falsified; the audit must find exactly those."""
-    known = _known(t)
-    false = (F.col("search") == "rich") & (F.col("place") % 50 == 1) & (F.col("metric") == "spend")
-    known = known.withColumn("points", F.when(false, F.col("points") + 1).otherwise(F.col("points")))
-    asked = F.broadcast(criteria(t).filter("weight > 0").select("search", "metric", F.least("weight", F.lit(5.0)).alias("weight"), "direction"))
-    listed = _scored(t).filter(score.shown("status")).select("search", "place", "score").join(asked, "search")
-    shown = listed.join(known.select("search", "place", "metric", "value", "points", "beats"), ["search", "place", "metric"], "left")
+    """In the listed results one place in five has false points on one measure: the audit must find exactly
+    those."""
+    false = (F.col("search") == "rich") & (F.col("place") % 5 == 1) & (F.col("metric") == "spend")
+    known = _known(t).withColumn("points", F.when(false, F.col("points") + 1).otherwise(F.col("points")))
+    asked = criteria(t).filter("weight > 0").select("search", "metric", F.least("weight", F.lit(5.0)).alias("weight"), "direction")
+    scored = _scored(t).withColumn("exact", F.col("score")).withColumn("score", r("score", 9))
+    listed = durable(score.ranked(scored, "place", 100).select("search", "place", F.col("exact").alias("score"))).join(asked, "search")
+    shown = durable(listed.join(known.select("search", "place", "metric", "value", "points", "beats"), ["search", "place", "metric"], "left"))
     values = base.places(t).select("place", *[F.col(m).cast("double").alias(m) for m in MEASURES]).unpivot(["place"], MEASURES, "metric", "value").filter("value IS NOT NULL")
     return quality.audit_results(shown, "place", values, limits(t))
 
