@@ -196,10 +196,16 @@ def value_bounds(long: DataFrame, by: Sequence[str], value: str = "value", limit
 
 
 def rank_rows(long: DataFrame, keys: Sequence[str], by: Sequence[str], value: str = "value",
-              limits: Limits = DEFAULT_LIMITS) -> DataFrame:
-    """Rows of ``long`` with ``lo``, ``hi``, ``mid`` and ``n`` of their value."""
-    ranks, may_be_hot = _ranked(long, by, value, limits)
-    ranks = ranks.withColumns(percent_columns())
+              limits: Limits = DEFAULT_LIMITS, bounds: DataFrame | None = None) -> DataFrame:
+    """Rows of ``long`` with ``lo``, ``hi``, ``mid`` and ``n`` of their value.
+
+    ``bounds``: a bounds table made before (see :func:`value_bounds`), so nothing is ranked again.
+    """
+    if bounds is None:
+        ranks, may_be_hot = _ranked(long, by, value, limits)
+        ranks = ranks.withColumns(percent_columns())
+    else:
+        ranks, may_be_hot = bounds, not limits.proven_small
     return _join_ranks(long, ranks, keys, [*by, value], may_be_hot, "inner", limits, ["lo", "hi", "mid", "n"])
 
 

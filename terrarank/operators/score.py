@@ -38,14 +38,14 @@ def point_columns(direction: str = "direction") -> dict[str, Column]:
 
 
 def contributions(places: DataFrame, key: str, criteria: DataFrame, measures: Sequence[str],
-                  limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+                  limits: Limits = DEFAULT_LIMITS, bounds: DataFrame | None = None) -> DataFrame:
     """One row per (search, place, weighted metric): value, percentile, points, impact, beats.
 
-    Ranks are computed once per metric whatever the number of searches. Unknown values have a row
-    with NULL points.
+    Ranks are computed once per metric whatever the number of searches; with a durable ``bounds`` table of
+    the same places they are not computed at all. Unknown values have no row (see :func:`scores`).
     """
     long = rank.unpivot(places, [key], measures)
-    ranked = rank.rank_rows(long, [key], ["metric"], limits=limits).drop("n")
+    ranked = rank.rank_rows(long, [key], ["metric"], limits=limits, bounds=bounds).drop("n")
     asked = criteria.withColumn("weight", P.clamp_weight("weight")).filter(F.col("weight") > 0)
     known = ranked.join(asked, "metric").withColumns(point_columns())
     known = known.select("search", key, "metric", "value", "direction", F.col("mid").alias("percentile"), "points",

@@ -170,7 +170,11 @@ def locate(points: DataFrame, key: str, polygons: DataFrame, order: str, columns
     p = polygons.withColumn("_edges", polygon_edges())
     xs, ys = F.transform("_edges", lambda e: e["x1"]), F.transform("_edges", lambda e: e["y1"])
     span = lambda a: F.sequence(F.floor(F.array_min(a) / cell), F.floor(F.array_max(a) / cell))
-    p = p.withColumn("_i", F.explode(span(ys))).withColumn("_j", F.explode(span(xs)))
+    p = p.withColumns({"_ys": span(ys), "_xs": span(xs)}).withColumn("_i", F.explode("_ys"))
+    # A ray east of a point crosses only edges that reach into the point's row of cells.
+    top, bottom = (F.col("_i") + 1) * cell, F.col("_i") * cell
+    p = p.withColumn("_edges", F.filter("_edges", lambda e: (F.least(e["y1"], e["y2"]) <= top) & (F.greatest(e["y1"], e["y2"]) >= bottom)))
+    p = p.withColumn("_j", F.explode("_xs")).drop("_xs", "_ys")
     spots = points.select(key, lat, lon).withColumns({"_i": F.floor(F.col(lat) / cell), "_j": F.floor(F.col(lon) / cell)})
     hits = spots.join(p.select("_i", "_j", "_edges", order, *[c for c in columns if c != order]), ["_i", "_j"])
     hits = hits.filter(inside(lat, lon, "_edges"))

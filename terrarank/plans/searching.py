@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import points as P
 from ..operators import rank, score
+from ..session import durable
 from . import base
 from .ranking import LONG, _bounds_sql, _long
 from .registry import query, r, rs, rt, rts, with_
@@ -83,6 +84,14 @@ def search_contributions(t):
                     r("points").alias("points"), "weight", r("impact").alias("impact"), r("beats").alias("beats"))
 
 
+@query("E2 F23", with_(*SEARCH_SQL, select=f"SELECT search, place, metric, {rs('points')} AS points FROM contrib"))
+def search_on_saved_bounds(t):
+    """The bounds table is written once; the search only looks values up in it."""
+    saved = durable(rank.value_bounds(_long(t), ["metric"], limits=t.bound("customer")))
+    c = score.contributions(base.places(t), "place", criteria(t), MEASURES, t.bound("customer"), saved)
+    return c.select("search", "place", "metric", r("points").alias("points"))
+
+
 @query("F2 F3", with_(*SEARCH_SQL, select="SELECT search, place, status::BIGINT AS status, failed, unknown FROM status"))
 def must_haves(t):
     s = _statuses(t)
