@@ -102,11 +102,11 @@ LOCALIZED = """w AS (SELECT *, greatest(coalesce(population, 0), 1) AS w FROM ix
     FROM w LEFT JOIN gr USING (county) LEFT JOIN sr USING (state), fit)"""
 
 
-@query("D8 D9 D10", with_(*base.PLACE_SQL, INDEX, LOCALIZED, select=f"""SELECT place, {rs('CASE WHEN ok THEN lp ELSE part_parent END')} AS part,
-  {rs('CASE WHEN ok THEN whole_parent * pow(lp / part_parent, g) ELSE whole_parent END')} AS whole, {rs('part_parent')} AS part_parent FROM lo"""))
+@query("D8 D9 D10", with_(*base.PLACE_SQL, INDEX, LOCALIZED, select=f"""SELECT place, {rs('CASE WHEN ok THEN lp ELSE part_parent END', 4)} AS part,
+  {rs('CASE WHEN ok THEN whole_parent * pow(lp / part_parent, g) ELSE whole_parent END', 4)} AS whole, {rs('part_parent', 4)} AS part_parent FROM lo"""))
 def localized_index(t):
     out = estimate.localize(index_rows(t), "place", "level", "county", "state", "spend", "population", "part", "whole")
-    return out.select("place", r("part").alias("part"), r("whole").alias("whole"), r("part_parent").alias("part_parent"))
+    return out.select("place", r("part", 4).alias("part"), r("whole", 4).alias("whole"), r("part_parent", 4).alias("part_parent"))
 
 
 @query("D8", with_(*base.PLACE_SQL, select=f"""SELECT county, {rs('exp(sum(greatest(population, 1) * ln(balance)) / sum(greatest(population, 1)))', 4)} AS typical
