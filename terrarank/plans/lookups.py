@@ -45,10 +45,28 @@ def place_index(t):
     return index(t).select("kind", "name", "where", "state", "county", "near", "areas", "population", "south", "north", "west", "east")
 
 
+
+
 LOOKUPS = [("q1", "nation_1 county"), ("q2", "Brand#1"), ("q3", "brand s2"), ("q4", "b"), ("q5", "PROMO brand"), ("q6", "nation 12"), ("q7", "standard")]
 
 
-@query("F24 F25")
+def _norm_sql(c: str) -> str:
+    return f"trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+MATCHES = f"""pl AS (SELECT *, {_norm_sql('name')} AS norm, CASE WHEN kind = 'county' THEN regexp_replace({_norm_sql('name')}, ' county$', '') END AS short,
+    CASE WHEN kind IN ('neighborhood', 'zip') THEN string_split({_norm_sql('"where"')}, ' ') ELSE [lower(state)] END AS ctx FROM ix),
+  tq AS (SELECT query_id, {_norm_sql('txt')} AS n FROM (VALUES {', '.join(f"('{a}', '{b}')" for a, b in LOOKUPS)}) v(query_id, txt) UNION ALL SELECT 'n' || n_nationkey, {_norm_sql('n_name')} FROM nation),
+  tk AS (SELECT query_id, string_split(n, ' ') AS tk FROM tq WHERE length(n) >= 2),
+  cd AS (SELECT *, unnest(range(1, len(tk) + 1)) AS k FROM pl CROSS JOIN tk WHERE starts_with(norm, tk[1]) OR contains(norm, ' ' || tk[1])),
+  cm AS (SELECT *, array_to_string(tk[1:k], ' ') AS head FROM cd WHERE len(list_filter(tk[k + 1:], lambda a: len(list_filter(ctx, lambda b: starts_with(b, a))) = 0)) = 0),
+  cq AS (SELECT *, CASE WHEN norm = head OR coalesce(short = head, false) THEN 3 WHEN starts_with(norm, head) THEN 2
+      WHEN len(list_filter(tk[1:k], lambda a: NOT (starts_with(norm, a) OR contains(norm, ' ' || a)))) = 0 THEN 1 ELSE 0 END AS quality FROM cm),
+  cb AS (SELECT query_id, kind, name, "where", population, arg_max(quality, k) AS quality FROM cq WHERE quality > 0 GROUP BY query_id, kind, name, "where", population)"""
+
+
+@query("F24 F25", with_(LABELS, INDEXED, MATCHES, select="""SELECT query_id, kind, name, "where", population, quality::BIGINT AS quality, position FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY quality DESC, population DESC, name, "where") AS position FROM cb) WHERE position <= 8"""))
 def place_lookup(t):
     typed = t.nation.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("query_id"), F.lower(F.replace("n_name", F.lit("_"), F.lit(" "))).alias("text"))
     queries = t.rows(LOOKUPS, "query_id string, text string").unionByName(typed)

@@ -58,7 +58,7 @@ def shared_root(spark: SparkSession) -> str:
 
     Only a local session without one gets a temporary folder; on a cluster a missing setting is an error.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
