@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import EARTH_RADIUS_MILES, chord, haversine_miles, unit_vector
+from ..functions.geo import chord, haversine_miles, unit_vector
 from ..session import DEFAULT_LIMITS, Limits, durable
 from . import rank
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import points as P
 from ..operators import rank, score
 from ..session import durable
 from . import base

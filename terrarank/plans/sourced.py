@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import facts, quality
 from ..sources import html
-from .registry import query, r, shared, with_
+from .registry import query, shared, with_
 
 TODAY = "2026-01-01"
 
