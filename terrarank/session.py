@@ -78,11 +78,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut a lineage by writing the rows to the shared checkpoint folder; survives lost executors."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_root(df.sparkSession))
-    return df.checkpoint()
+    """Cut a lineage by writing the rows as Parquet to the shared folder; survives lost executors.
+
+    Read back, the table keeps column pruning, pushed filters and statistics.
+    """
+    folder = shared_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def broadcast_checked(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
