@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, quality, toxicity
+from ..session import shared_folder
+from . import binary, bpe, exact, mixing, pii, quality, secrets, toxicity
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -35,6 +36,32 @@ def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.decisions(_read(spark, folder, "documents"))
 
 
+def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document encoded and decoded."""
+    import public_tokenizers as public
+
+    return bpe.round_trip(_read(spark, folder, "documents"), public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN)
+
+
+def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every document."""
+    return secrets.scan(_read(spark, folder, "documents"))
+
+
+def op7_binary(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's ids written to the binary format, and read back from it."""
+    import public_tokenizers as public
+
+    files = shared_folder(spark)
+    binary.write(_read(spark, folder, "documents"), files, public.path("word_bpe_49k.json"), end_id=2)
+    return binary.checksums(spark, files)
+
+
+def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.scan(_read(spark, folder, "documents"))
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Words taken of every document when sources are mixed 5 : 2 : 1 and so on."""
     return mixing.taken(_read(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -85,4 +112,4 @@ SELECT doc_id, size, source_size, target, size * whole AS taken FROM ranked WHER
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_toxicity, op3_exact_dedup, op10_mixing)}
+    f.__name__: f for f in (op1_quality, op2_toxicity, op3_exact_dedup, op4_bpe, op5_secrets, op7_binary, op9_pii, op10_mixing)}
