@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from . import binary, bpe, exact, mixing, pii, quality, secrets, toxicity
+from . import binary, bpe, embeddings, exact, jaccard, mixing, pii, quality, secrets, toxicity
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -48,6 +48,11 @@ def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan(_read(spark, folder, "documents"))
 
 
+def op6_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Class and links of every document at five words and a similarity of 0.8."""
+    return jaccard.join(_read(spark, folder, "documents"))
+
+
 def op7_binary(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's ids written to the binary format, and read back from it."""
     import public_tokenizers as public
@@ -57,6 +62,11 @@ def op7_binary(spark: SparkSession, folder: str) -> DataFrame:
     return binary.checksums(spark, files)
 
 
+def op8_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of all embeddings at a cosine of 0.95."""
+    return embeddings.near_duplicates(_read(spark, folder, "embeddings"))
+
+
 def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in every document."""
     return pii.scan(_read(spark, folder, "documents"))
@@ -75,6 +85,36 @@ WITH lowered AS (SELECT doc_id, {_LOWERED} AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
 FROM lowered WINDOW same AS (PARTITION BY t)""",
+    "op6_ngram_join": rf"""
+WITH RECURSIVE worded AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, w, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                       ELSE [array_to_string(w, ' ')] END) AS s
+  FROM worded WHERE len(w) > 0),
+tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*) / (a.n + b.n - count(*)) >= 0.8),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+classes AS (SELECT a, min(b) AS low FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+copies AS (SELECT w, count(*) AS n FROM worded WHERE len(w) > 0 GROUP BY w)
+SELECT d.doc_id, least(d.doc_id, coalesce(low, d.doc_id)) AS class_id, coalesce(counts.n, 0)::BIGINT AS n_links, coalesce(copies.n, 1)::BIGINT AS n_copies
+FROM worded d LEFT JOIN classes ON d.doc_id = classes.a LEFT JOIN counts ON d.doc_id = counts.a LEFT JOIN copies ON d.w = copies.w""",
+    "op8_embedding_dedup": """
+WITH RECURSIVE sound AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+classes AS (SELECT a, min(b) AS low FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id,
+       vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
+FROM embeddings e LEFT JOIN classes ON vec_id = classes.a LEFT JOIN counts ON vec_id = counts.a""",
     "op10_mixing": r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
@@ -112,4 +152,4 @@ SELECT doc_id, size, source_size, target, size * whole AS taken FROM ranked WHER
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_toxicity, op3_exact_dedup, op4_bpe, op5_secrets, op7_binary, op9_pii, op10_mixing)}
+    f.__name__: f for f in (op1_quality, op2_toxicity, op3_exact_dedup, op4_bpe, op5_secrets, op6_ngram_join, op7_binary, op8_embedding_dedup, op9_pii, op10_mixing)}
