@@ -12,8 +12,8 @@ shuffle) tell the bucket in which the cut lies, and only that bucket's documents
 its own sums.
 
 Edges: null text has size 0; null is a source of its own, after all others; documents of size 0 are never taken; random
-numbers come from doc_id alone, so reruns agree; ties (repeated ids) are taken in order of size, and rows alike in both
-are taken or left in any order, which gives the same rows; other columns are ignored, or pass in ``mixed``.
+numbers come from doc_id alone, so reruns agree; repeated ids are taken in order of size, and rows
+alike in both are taken or left together; other columns are ignored, or pass in ``mixed``.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import broadcast_checked, durable
 
 BUCKETS = 1024
 WORD = r"[^\x20\x09-\x0D]+"
@@ -58,34 +58,66 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), frac
     return ranked.select("source", "source_size", "documents", target.alias("target"))
 
 
-def taken(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), fraction: float = 1.5, most: float = 2.0) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken of every document."""
-    sized = durable(docs.select("doc_id", "source", words(F.col("text")).alias("size")))
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("documents"))
-    goal = durable(targets(per_source, weights, fraction, most))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    whole = F.floor(rate + 1e-9).cast("long")
-    goal = goal.withColumn("whole", whole).withColumn("left", F.greatest(F.lit(0.0), F.col("target") - whole * F.col("source_size")))
-    goal = goal.withColumn("part", F.least(F.lit(1 - 1e-9), F.col("left") / F.greatest(F.col("source_size"), F.lit(1))))
+def _ranked(sized: DataFrame, goal: DataFrame) -> DataFrame:
+    """Rows with ``size``, and their source's goal, their rank and bucket. One row per source is broadcast, if they are few."""
     mean = F.col("source_size") / F.greatest("documents", F.lit(1))
     r = unit(F.col("doc_id"))
-    odds = F.col("part") / (1 - F.col("part")) * (mean / (mean + F.col("size")))
+    odds = F.col("part") / (1 - F.col("part")) * (mean / (mean + F.col("__size")))
     ratio = (r / (1 - r)) / odds
-    ranked = (sized.join(goal, sized["source"].eqNullSafe(goal["source"])).drop(goal["source"])
-              .withColumn("rank", F.when((F.col("part") > 0) & (F.col("size") > 0), ratio / (1 + ratio)))
-              .withColumn("bucket", F.floor(F.col("rank") * BUCKETS)))
-    sums = ranked.where("bucket IS NOT NULL").groupBy("source", "bucket", "left").agg(F.sum("size").alias("words"))
+    return (sized.join(broadcast_checked(goal), sized["source"].eqNullSafe(goal["__source"])).drop("__source")
+            .withColumn("rank", F.when((F.col("part") > 0) & (F.col("__size") > 0), ratio / (1 + ratio)))
+            .withColumn("bucket", F.floor(F.col("rank") * BUCKETS)))
+
+
+def _placed(rows: DataFrame) -> Column:
+    """The order in which a source's documents are taken."""
+    return F.struct(F.col("rank"), F.coalesce(rows["doc_id"].cast("long"), F.lit(-(2**63))).alias("id"), F.col("__size"))
+
+
+def goals(sized: DataFrame, weights: tuple[float, ...], fraction: float, most: float) -> DataFrame:
+    """One row per source: its target, the whole copies, and the last place in order that is taken once more.
+
+    ``sized``: doc_id, source and ``__size``, durable.
+    """
+    per_source = sized.groupBy("source").agg(F.sum("__size").alias("source_size"), F.count_if(F.col("__size") > 0).alias("documents"))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    goal = targets(per_source, weights, fraction, most).withColumn("whole", F.floor(rate + 1e-9).cast("long"))
+    goal = goal.withColumn("left", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
+    goal = durable(goal.withColumn("part", F.least(F.lit(1 - 1e-9), F.col("left") / F.greatest(F.col("source_size"), F.lit(1))))
+                   .withColumnRenamed("source", "__source"))
+    ranked = _ranked(sized, goal)
+    sums = ranked.where("bucket IS NOT NULL").groupBy("source", "bucket", "left").agg(F.sum("__size").alias("words"))
     by = Window.partitionBy("source").orderBy("bucket")
     sums = sums.withColumn("before", F.sum("words").over(by) - F.col("words"))
     cuts = (sums.where((F.col("before") < F.col("left")) & (F.col("before") + F.col("words") >= F.col("left")))
-            .select(F.col("source").alias("s"), F.col("bucket").alias("cut"), F.col("before")))
-    ranked = ranked.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+            .select(F.col("source").alias("__source"), F.col("bucket").alias("cut"), "before"))
+    goal = durable(goal.join(broadcast_checked(cuts.withColumnRenamed("__source", "s")), F.col("__source").eqNullSafe(F.col("s")), "left").drop("s"))
     # documents in the bucket of the cut, in order: taken while that brings the sum nearer to the remainder
-    inside = (F.col("cut") == F.col("bucket")) & F.col("cut").isNotNull()
-    order = Window.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = (ranked.where(inside).withColumn("upto", F.col("before") + F.sum("size").over(order))
-            .withColumn("more", F.col("upto") - F.col("size") / 2 <= F.col("left")))
-    rest = ranked.where(~F.coalesce(inside, F.lit(False))).withColumn("more", F.coalesce(F.col("bucket") < F.coalesce("cut", F.lit(BUCKETS + 1)), F.lit(False)))
-    both = rest.unionByName(edge.drop("upto"))
-    copies = F.when(F.col("size") > 0, F.col("whole") + F.col("more").cast("long")).otherwise(F.lit(0).cast("long"))
-    return both.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    inside = _ranked(sized, goal).where("bucket = cut")
+    inside = inside.withColumn("place", _placed(inside))
+    upto = F.col("before") + F.sum("__size").over(Window.partitionBy("source").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    last = inside.withColumn("upto", upto).where(F.col("upto") - F.col("__size") / 2 <= F.col("left")).groupBy(F.col("source").alias("s")).agg(F.max("place").alias("edge"))
+    return durable(goal.join(broadcast_checked(last), F.col("__source").eqNullSafe(F.col("s")), "left").drop("s", "before"))
+
+
+def _copies(sized: DataFrame, goal: DataFrame) -> DataFrame:
+    rows = _ranked(sized, goal)
+    before_cut = F.col("bucket") < F.coalesce("cut", F.lit(BUCKETS + 1))
+    at_cut = (F.col("bucket") == F.col("cut")) & (_placed(rows) <= F.col("edge"))
+    more = F.coalesce(before_cut | F.coalesce(at_cut, F.lit(False)), F.lit(False))
+    return rows.withColumn("copies", F.when(F.col("__size") > 0, F.col("whole") + more.cast("long")).otherwise(F.lit(0).cast("long")))
+
+
+def taken(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), fraction: float = 1.5, most: float = 2.0) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and taken of every document."""
+    sized = durable(docs.select("doc_id", "source", words(F.col("text")).alias("__size")))
+    return _copies(sized, goals(sized, weights, fraction, most)).select(
+        "doc_id", "source", F.col("__size").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("__size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), fraction: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The rows of ``docs`` with all their columns, each as often as it is taken. Whole texts are neither sorted nor shuffled."""
+    goal = goals(durable(docs.select("doc_id", "source", words(F.col("text")).alias("__size"))), weights, fraction, most)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    sized = docs.select(row, F.col("doc_id"), F.col("source"), words(F.col("text")).alias("__size"))
+    return _copies(sized, goal).select("__row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("__row.*")
