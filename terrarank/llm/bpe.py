@@ -3,8 +3,8 @@
 Encoding is a finite-state transducer that is made deterministic as text needs it. A sequence of tokens is what the merges
 make of its bytes exactly if every pair of neighbours is (Berglund and van der Merwe, "Formalizing BPE tokenization"), so
 each prefix of a piece has one tokenisation, and a later one can only leave it at a boundary from which the bytes read so
-far begin some token. A state is the last token emitted and the bytes after it; reading a byte emits the tokens on which
-all such open boundaries agree, which waits for no more bytes than the longest token has. States are kept in a table of
+far begin some token. A state is the bytes since the last emitted token; reading a byte emits the tokens on which all such
+open boundaries agree, so what is held is about as long as the longest token. States are kept in a table of
 bounded size that is emptied when full. Pieces and space-separated runs of text that came before are looked up.
 
 Decoding streams: token bytes go through an incremental UTF-8 machine (``codecs``), so a character that is spread over
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .text import slices
 
-STATES, PIECES, RUNS = 200_000, 300_000, 300_000   # most entries of each table of a worker
+STATES, PAIRS, PIECES, RUNS = 200_000, 600_000, 300_000, 300_000   # most entries of each table of a worker
 DECODED_AT_ONCE = 4096                             # tokens per block of streaming decode
 
 _WHITE = "\t-\r \x85\xa0  -     　"
@@ -48,14 +48,14 @@ _ONE = [bytes([b]) for b in range(256)]
 
 
 class State:
-    """``last`` emitted token, bytes ``held`` since, the ``token`` that ends at each position of them, and where a token may still begin."""
+    """Bytes ``held`` since the last emitted token, the ``token`` that ends at each position of them, and where a token may begin."""
 
-    __slots__ = ("last", "held", "token", "open", "next", "_end")
+    __slots__ = ("held", "token", "open", "next", "end")
 
-    def __init__(self, last: int, held: bytes, token: tuple[int, ...], open_: list[int]) -> None:
-        self.last, self.held, self.token, self.open = last, held, token, open_
+    def __init__(self, held: bytes, token: tuple[int, ...], open_: list[int]) -> None:
+        self.held, self.token, self.open = held, token, open_
         self.next: dict[int, tuple[tuple[int, ...], State]] = {}
-        self._end: tuple[int, ...] | None = None
+        self.end: tuple[int, ...] | None = None
 
 
 class Transducer:
@@ -69,7 +69,7 @@ class Transducer:
         self._empty()
 
     def _empty(self) -> None:
-        self.start, self.states = State(-1, b"", (-1,), [0]), {}
+        self.start, self.states = State(b"", (-1,), [0]), {}
 
     def _split(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for a single byte."""
@@ -91,6 +91,8 @@ class Transducer:
         """
         key = (left, right)
         if key not in self.fits:
+            if len(self.fits) >= PAIRS:
+                self.fits.clear()
             until, fits = (1 << 60, 0), True
             while True:
                 merged = self.ranks.get(self.bytes[left] + self.bytes[right])
@@ -110,16 +112,14 @@ class Transducer:
 
     def _step(self, state: State, byte: int) -> tuple[tuple[int, ...], State]:
         held, token, size = state.held + _ONE[byte], state.token, self.size
-        ranks, begun, fits, made, open_ = self.ranks, self.begun, self.fits, -1, []
+        ranks, open_, made = self.ranks, [], -1
         for i in state.open:
             tail = held[i:]
-            if tail in begun:
+            if tail in self.begun:
                 open_.append(i)
-            if made < 0 and tail in ranks:
-                t, left = ranks[tail], token[i]
-                fit = left < 0 or fits.get((left, t))
-                if self._neighbours(left, t) if fit is None else fit:
-                    made = t
+            # one token fits, and only one: if no later beginning does, it begins where the last emitted one ended
+            if tail in ranks and (i == 0 or self._neighbours(token[i], ranks[tail])):
+                made = ranks[tail]
         token += (made,)
         open_.append(len(held))
         # the last boundary through which the tokenisations up to all open positions pass
@@ -137,23 +137,21 @@ class Transducer:
                 out = (token[i], *out)
                 i -= size[token[i]]
             held, open_ = held[cut:], [i - cut for i in open_]
-        key = (token[cut], held)
-        after = self.states.get(key)
+        after = self.states.get(held)
         if after is None:
             if len(self.states) >= self.most:
                 self._empty()
-            after = self.states[key] = State(key[0], held, token[cut:], open_)
+            after = self.states[held] = State(held, token[cut:], open_)
         move = state.next[byte] = out, after
         return move
 
     def _finish(self, state: State) -> tuple[int, ...]:
-        if state._end is None:
-            out, i = [], len(state.held)
-            while i > 0:
-                out.append(state.token[i])
-                i -= self.size[state.token[i]]
-            state._end = tuple(reversed(out))
-        return state._end
+        out, i = [], len(state.held)
+        while i > 0:
+            out.append(state.token[i])
+            i -= self.size[state.token[i]]
+        state.end = tuple(reversed(out))
+        return state.end
 
     def stream(self, data: Iterable[int]) -> Iterator[int]:
         """Tokens of one piece, each as soon as no further byte can change it."""
@@ -162,7 +160,7 @@ class Transducer:
             move = state.next.get(byte) or self._step(state, byte)
             yield from move[0]
             state = move[1]
-        yield from self._finish(state)
+        yield from state.end if state.end is not None else self._finish(state)
 
     def piece(self, data: bytes) -> tuple[int, ...]:
         out, state = [], self.start
@@ -171,7 +169,7 @@ class Transducer:
             if move[0]:
                 out += move[0]
             state = move[1]
-        out += self._finish(state)
+        out += state.end if state.end is not None else self._finish(state)
         return tuple(out)
 
 
