@@ -20,8 +20,8 @@ import base64
 import codecs
 import hashlib
 import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -174,12 +174,12 @@ class Transducer:
 
 
 class Seen(dict):
-    """Results for short strings that came before, in two generations: the older one goes when the newer is full."""
+    """Ids (32 bits each) of short strings that came before, in two generations: the older one goes when the newer is full."""
 
-    def __init__(self, make: Callable[[str], tuple[int, ...]], most: int) -> None:
+    def __init__(self, make: Callable[[str], bytes], most: int) -> None:
         self.make, self.most, self.older = make, most // 2, {}
 
-    def __missing__(self, text: str) -> tuple[int, ...]:
+    def __missing__(self, text: str) -> bytes:
         ids = self.older.get(text)
         if ids is None:
             ids = self.make(text)
@@ -198,37 +198,31 @@ class Codec:
         ranks = load_ranks(ranks_path)
         self.machine = Transducer(ranks)
         self.match = regex.compile(pattern).findall
-        pieces = Seen(lambda piece: self.machine.piece(piece.encode()), PIECES)
-        self.runs = Seen(lambda run: tuple(chain.from_iterable(map(pieces.__getitem__, self.match(run)))), RUNS)
+        pieces = Seen(lambda piece: array("I", self.machine.piece(piece.encode())).tobytes(), PIECES)
+        self.runs = Seen(lambda run: b"".join(map(pieces.__getitem__, self.match(run))), RUNS)
         self.token = [self.machine.bytes.get(i, b"") for i in range(max(ranks.values()) + 1)]
         self.decimal = [str(i).encode() for i in range(len(self.token))]
 
     def encode(self, text: str) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(map(self.runs.__getitem__, self._cut(text))), np.uint32)
+        return np.frombuffer(b"".join(map(self.runs.__getitem__, self._cut(text))), np.uint32)
 
     @staticmethod
-    def _cut(text: str) -> Iterator[str]:
+    def _cut(text: str) -> list[str]:
         """Runs that the pattern never matches across: cut before each space that stands between two other characters.
 
         Of longer white space all but the last character are a run (all, at the end of the text); the last one begins the
         next run.
         """
-        parts = _GAP.split(text)
-        before = ""
+        parts, before, out = _GAP.split(text), "", []
         for i in range(0, len(parts), 2):
             words = (before + parts[i]).split(" ")
-            if words[0]:
-                yield words[0]
-            for word in words[1:]:
-                yield " " + word
+            out.append(words[0])
+            out += [" " + word for word in words[1:]]
             if i + 1 < len(parts):
                 gap = parts[i + 1]
-                if parts[i + 2]:
-                    yield gap[:-1]
-                    before = gap[-1]
-                else:
-                    yield gap
-                    before = ""
+                before = gap[-1] if parts[i + 2] else ""
+                out.append(gap[:-1] if before else gap)
+        return out
 
     def decode(self, ids: np.ndarray) -> Iterator[str]:
         """Text in blocks, in streaming fashion."""
