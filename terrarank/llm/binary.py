@@ -15,6 +15,7 @@ order of a hash of their text; an empty table gives an empty result; other colum
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ from .text import slices
 
 SEGMENT_IDS = 1 << 20
 SAMPLE = 256
-WORDS_KEPT = 400_000   # words whose ids a worker remembers
+WORDS_KEPT = 400_000   # words, and as many runs of letters, whose ids a worker remembers
 
 _ROW = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("before", pa.int64()), ("documents", pa.int64()), ("size", pa.int64()), ("data", pa.binary())])
 _HEADER = struct.Struct("<4sBxxxQQQ")   # mark, bytes per id, documents, ids, documents without doc_id
@@ -128,11 +129,15 @@ class Segment:
         return [None] * self.nulls + self.known.all().tolist()
 
 
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")   # letters that are one piece whatever their case, and a mark that is another
+
+
 class Tokenizer:
     """The tokenizers library's ids of whole texts, with the words that came before looked up.
 
-    The library's normaliser and patterns never look across a space, so a text's ids are those of its space-separated words;
-    words that are new go to the library together.
+    The library's normaliser and patterns never look across a space, so a text's ids are those of its space-separated words.
+    New words go to the library together: plain ones many to a text, cut up again at the tokens that end a word, all others
+    each for itself.
     """
 
     def __init__(self, path: str) -> None:
@@ -141,24 +146,57 @@ class Tokenizer:
 
         self.library = Library.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
-        self.newer: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.ends = np.zeros(self.library.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
+        self.words: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}    # newer and older
+        self.letters: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
+        self.marks = {"": b""} | dict(zip(".,", self._alone([".", ","])))
+
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        groups = [words[i: i + 1000] for i in range(0, len(words), 1000)]
+        for group, e in zip(groups, self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, self.kind)
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize).tolist()
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip([0, *cuts], cuts)] if len(cuts) == len(group) else self._alone(group)
+        return out
+
+    @staticmethod
+    def _renewed(tables: tuple[dict, dict], wanted: set[str]) -> tuple[tuple[dict, dict], list[str]]:
+        """The tables with what the older one knows moved to the newer one, and what neither knows."""
+        newer, older = tables
+        new = wanted.difference(newer)
+        if len(newer) + len(new) > WORDS_KEPT // 2:
+            newer, older, new = {}, newer, wanted
+        known = new.intersection(older)
+        newer.update((w, older[w]) for w in known)
+        return (newer, older), list(new.difference(known))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words = [t.split(" ") for t in texts]
-        new = set(chain.from_iterable(words)).difference(self.newer)
-        if len(self.newer) + len(new) > WORDS_KEPT // 2:
-            self.older, self.newer = self.newer, {}
-            new = set(chain.from_iterable(words))
-        known = new.intersection(self.older)
-        self.newer.update((w, self.older[w]) for w in known)
-        missing = list(new.difference(known))
-        self.newer.update(zip(missing, (tuple(e.ids) for e in self.library.encode_batch_fast(missing, add_special_tokens=False))))
-        find = self.newer.__getitem__
-        out = [np.fromiter(chain.from_iterable(map(find, w)), np.uint32) for w in words]
-        for w in [w for w in missing if len(w) > 64]:
-            del self.newer[w]
+        split = [t.split(" ") for t in texts]
+        self.words, missing = self._renewed(self.words, set(chain.from_iterable(split)))
+        plain, others = {}, []
+        for w in missing:
+            m = _PLAIN.fullmatch(w)
+            if m:
+                plain[w] = m[1].lower(), m[2]
+            else:
+                others.append(w)
+        self.letters, unknown = self._renewed(self.letters, {x for x, _ in plain.values()})
+        letters, words = self.letters[0], self.words[0]
+        letters.update(zip(unknown, self._together(unknown)))
+        words.update((w, letters[x] + self.marks[mark]) for w, (x, mark) in plain.items())
+        words.update(zip(others, self._alone(others)))
+        out = [np.frombuffer(b"".join(map(words.__getitem__, w)), self.kind) for w in split]
+        for table, new in ((words, missing), (letters, unknown)):
+            for w in new:
+                if len(w) > 64:
+                    del table[w]
         return out
 
 
@@ -182,13 +220,13 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None
 
         def segment() -> pa.RecordBatch:
             nonlocal doc_ids, lengths, ids, held, before, number
-            data = pack_segment(doc_ids, lengths, np.concatenate(ids), own.width)
+            data = pack_segment(doc_ids, lengths, np.concatenate(ids), own.kind.itemsize)
             row = pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((part, number, before, len(doc_ids), held, data), _ROW)], schema=_ROW)
             before, number = before + held, number + 1
             doc_ids, lengths, ids, held = [], [], [], 0
             return row
 
-        end = np.array([] if end_id is None else [end_id], np.uint32)
+        end = np.array([] if end_id is None else [end_id], own.kind)
         for batch in batches:
             for piece in slices(batch):
                 for doc, found in zip(piece.column("doc_id").to_pylist(), own.encode([t or "" for t in piece.column("text").to_pylist()])):
