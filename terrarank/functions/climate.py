@@ -9,26 +9,22 @@ from pyspark.sql import functions as F
 SUMMER = [4, 5, 6, 7, 8, 9]
 WINTER = [10, 11, 12, 1, 2, 3]
 BORDER_C = 0.5
-FAMILIES = """
-humid-south | Humid South | Cfa Cwa
-four-seasons | Four seasons | Dfa Dwa
-northern-cold | Northern cold | Dfb Dwb
-dry-sunny | Dry & sunny | BSk BSh
-desert | Desert | BWh BWk
-west-coast | West Coast | Csa Csb Csc
-mountain-west | Mountain West | Dsa Dsb
-tropical | Tropical | Af Am Aw
-highlands-alaska | Highlands & Alaska | Cfb Cfc Cwb Cwc Dfc Dfd Dsc Dsd Dwc Dwd ET EF
-"""
+FAMILIES = [
+    ("humid-south", "Humid South", ["Cfa", "Cwa"]),
+    ("four-seasons", "Four seasons", ["Dfa", "Dwa"]),
+    ("northern-cold", "Northern cold", ["Dfb", "Dwb"]),
+    ("dry-sunny", "Dry & sunny", ["BSk", "BSh"]),
+    ("desert", "Desert", ["BWh", "BWk"]),
+    ("west-coast", "West Coast", ["Csa", "Csb", "Csc"]),
+    ("mountain-west", "Mountain West", ["Dsa", "Dsb"]),
+    ("tropical", "Tropical", ["Af", "Am", "Aw"]),
+    ("highlands-alaska", "Highlands & Alaska", ["Cfb", "Cfc", "Cwb", "Cwc", "Dfc", "Dfd", "Dsc", "Dsd", "Dwc", "Dwd", "ET", "EF"]),
+]
 
 
 def family_rows() -> list[tuple[str, str, int, str]]:
     """(code, family, position, name) for every type."""
-    out = []
-    for i, line in enumerate(FAMILIES.strip().splitlines()):
-        key, name, codes = (c.strip() for c in line.split("|"))
-        out += [(code, key, i, name) for code in codes.split()]
-    return out
+    return [(code, key, i, name) for i, (key, name, codes) in enumerate(FAMILIES) for code in codes]
 
 
 def _pick(a: Column, months: list[int]) -> Column:

@@ -53,8 +53,8 @@ def share_of_people(blocks: DataFrame, by: Sequence[str], flag: Column, out: str
 def worst_within(tracts: DataFrame, counties: DataFrame, tract: str, county: str, name: str) -> DataFrame:
     """Each county beside its worst tract: the one with the highest mean (ties: the lowest tract)."""
     worst = tracts.filter(F.col(name).isNotNull()).groupBy(county).agg(
-        F.max(F.struct(F.col(name).alias("v"), (-F.col(tract)).alias("t"))).alias("_w"))
-    worst = worst.select(county, (-F.col("_w.t")).alias(f"{name}_worst_{tract}"), F.col("_w.v").alias(f"{name}_worst"))
+        F.min(F.struct((-F.col(name)).alias("first"), F.col(tract).alias("t"), F.col(name).alias("v"))).alias("_w"))
+    worst = worst.select(county, F.col("_w.t").alias(f"{name}_worst_{tract}"), F.col("_w.v").alias(f"{name}_worst"))
     return counties.join(worst, county, "left")
 
 

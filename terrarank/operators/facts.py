@@ -26,71 +26,66 @@ STATUSES = ["in_effect", "enjoined", "scheduled", "unknown", "computed"]
 CONFIDENCES = ["high", "medium", "low", "unverified", "computed", "example"]
 
 # States by code, name and press abbreviation.
-STATES = """
-AL Alabama | Ala.
-AK Alaska |
-AZ Arizona | Ariz.
-AR Arkansas | Ark.
-CA California | Calif.
-CO Colorado | Colo.
-CT Connecticut | Conn.
-DE Delaware | Del.
-DC District of Columbia | D.C.
-FL Florida | Fla.
-GA Georgia | Ga.
-HI Hawaii |
-ID Idaho |
-IL Illinois | Ill.
-IN Indiana | Ind.
-IA Iowa |
-KS Kansas | Kans., Kan.
-KY Kentucky | Ky.
-LA Louisiana | La.
-ME Maine |
-MD Maryland | Md.
-MA Massachusetts | Mass.
-MI Michigan | Mich.
-MN Minnesota | Minn.
-MS Mississippi | Miss.
-MO Missouri | Mo.
-MT Montana | Mont.
-NE Nebraska | Nebr., Neb.
-NV Nevada | Nev.
-NH New Hampshire | N.H.
-NJ New Jersey | N.J.
-NM New Mexico | N.M.
-NY New York | N.Y.
-NC North Carolina | N.C.
-ND North Dakota | N.D.
-OH Ohio |
-OK Oklahoma | Okla.
-OR Oregon | Ore., Oreg.
-PA Pennsylvania | Pa.
-RI Rhode Island | R.I.
-SC South Carolina | S.C.
-SD South Dakota | S.D.
-TN Tennessee | Tenn.
-TX Texas | Tex.
-UT Utah |
-VT Vermont | Vt.
-VA Virginia | Va.
-WA Washington | Wash.
-WV West Virginia | W.Va., W. Va.
-WI Wisconsin | Wis.
-WY Wyoming | Wyo.
-"""
+STATES = [
+    ("AL", "Alabama", ["Ala."]),
+    ("AK", "Alaska", []),
+    ("AZ", "Arizona", ["Ariz."]),
+    ("AR", "Arkansas", ["Ark."]),
+    ("CA", "California", ["Calif."]),
+    ("CO", "Colorado", ["Colo."]),
+    ("CT", "Connecticut", ["Conn."]),
+    ("DE", "Delaware", ["Del."]),
+    ("DC", "District of Columbia", ["D.C."]),
+    ("FL", "Florida", ["Fla."]),
+    ("GA", "Georgia", ["Ga."]),
+    ("HI", "Hawaii", []),
+    ("ID", "Idaho", []),
+    ("IL", "Illinois", ["Ill."]),
+    ("IN", "Indiana", ["Ind."]),
+    ("IA", "Iowa", []),
+    ("KS", "Kansas", ["Kans.", "Kan."]),
+    ("KY", "Kentucky", ["Ky."]),
+    ("LA", "Louisiana", ["La."]),
+    ("ME", "Maine", []),
+    ("MD", "Maryland", ["Md."]),
+    ("MA", "Massachusetts", ["Mass."]),
+    ("MI", "Michigan", ["Mich."]),
+    ("MN", "Minnesota", ["Minn."]),
+    ("MS", "Mississippi", ["Miss."]),
+    ("MO", "Missouri", ["Mo."]),
+    ("MT", "Montana", ["Mont."]),
+    ("NE", "Nebraska", ["Nebr.", "Neb."]),
+    ("NV", "Nevada", ["Nev."]),
+    ("NH", "New Hampshire", ["N.H."]),
+    ("NJ", "New Jersey", ["N.J."]),
+    ("NM", "New Mexico", ["N.M."]),
+    ("NY", "New York", ["N.Y."]),
+    ("NC", "North Carolina", ["N.C."]),
+    ("ND", "North Dakota", ["N.D."]),
+    ("OH", "Ohio", []),
+    ("OK", "Oklahoma", ["Okla."]),
+    ("OR", "Oregon", ["Ore.", "Oreg."]),
+    ("PA", "Pennsylvania", ["Pa."]),
+    ("RI", "Rhode Island", ["R.I."]),
+    ("SC", "South Carolina", ["S.C."]),
+    ("SD", "South Dakota", ["S.D."]),
+    ("TN", "Tennessee", ["Tenn."]),
+    ("TX", "Texas", ["Tex."]),
+    ("UT", "Utah", []),
+    ("VT", "Vermont", ["Vt."]),
+    ("VA", "Virginia", ["Va."]),
+    ("WA", "Washington", ["Wash."]),
+    ("WV", "West Virginia", ["W.Va.", "W. Va."]),
+    ("WI", "Wisconsin", ["Wis."]),
+    ("WY", "Wyoming", ["Wyo."]),
+]
+CAPITAL = ["washington, d.c.", "washington dc", "d.c.", "dc"]   # further labels of DC
 
 
 def state_labels(spark) -> DataFrame:
     """(label, code): full names lower case, abbreviations as printed."""
-    rows = []
-    for line in STATES.strip().splitlines():
-        name, _, short = line.partition("|")
-        code, full = name.strip().split(" ", 1)
-        rows.append((full.lower(), code))
-        rows += [(a.strip(), code) for a in short.split(",") if a.strip()]
-    rows += [("washington, d.c.", "DC"), ("washington dc", "DC"), ("d.c.", "DC"), ("dc", "DC")]
-    return rows_table(spark, rows, "label string, code string")
+    labels = [(label, code) for code, name, short in STATES for label in (name.lower(), *short)]
+    return rows_table(spark, labels + [(label, "DC") for label in CAPITAL], "label string, code string")
 
 
 def label_text(c: Column | str) -> Column:
@@ -102,21 +97,21 @@ def label_text(c: Column | str) -> Column:
 
 def state_codes(rows: DataFrame, label: str, labels: DataFrame, out: str = "code", leading: bool = False) -> DataFrame:
     """The code of the state a label names, NULL if it names none. ``leading`` also takes a name followed by
-    other words; the longest name wins. The label table is a hundred rows."""
-    clean = rows.withColumn("_l", label_text(label))
-    exact = labels.select(F.col("label").alias("_e"), F.col("code").alias("_exact"))
-    out_rows = clean.join(F.broadcast(exact), F.col("_l") == F.col("_e"), "left")
-    lower = labels.select(F.col("label").alias("_w"), F.col("code").alias("_lower"))
-    out_rows = out_rows.join(F.broadcast(lower), F.lower("_l") == F.col("_w"), "left")
-    found = F.coalesce("_exact", "_lower")
-    if leading:
-        names = labels.agg(F.array_sort(F.collect_list(F.struct((-F.length("label")).alias("n"), "label", "code"))).alias("_names"))
-        out_rows = out_rows.join(F.broadcast(names), F.lit(True))  # one row
-        text = F.lower(F.trim(F.regexp_replace(label, r"\s+", " ")))
-        fits = F.filter("_names", lambda x: F.startswith(text, x["label"]) & ~F.substring(
-            text, F.length(x["label"]) + 1, F.lit(1)).rlike("[A-Za-z]"))
-        found = F.coalesce(found, F.get(F.transform(fits, lambda x: x["code"]), 0))
-    return out_rows.withColumn(out, found).select(*rows.columns, out)
+    other words.
+
+    Every run of a label's leading words is looked up, the longest first; without ``leading`` only the whole label is. A
+    label stands for itself and for its lower case.
+    """
+    known = F.map_from_entries(F.collect_list(F.struct("label", "code"))).alias("_known")
+    table = labels.groupBy("label").agg(F.min("code").alias("code")).agg(known)
+    words = F.split(label_text(label), " ")
+    whole = F.array(label_text(label))
+    starts = F.transform(F.sequence(F.size(words), F.lit(1), F.lit(-1)),
+                         lambda n: F.regexp_replace(F.array_join(F.slice(words, 1, n), " "), r"[^A-Za-z.]+$", ""))
+    tries = F.array_union(whole, starts) if leading else whole
+    code = lambda text: F.coalesce(F.try_element_at("_known", text), F.try_element_at("_known", F.lower(text)))
+    found = F.get(F.array_compact(F.transform(tries, code)), 0)
+    return rows.join(F.broadcast(table), F.lit(True)).withColumn(out, found).select(*rows.columns, out)   # one row
 
 
 # --- values out of table cells -----------------------------------------------

@@ -49,13 +49,13 @@ def place_index(areas: DataFrame, counties: DataFrame, label: str = "label") ->
     sides = cells.groupBy("_id").agg(F.min("beside").alias("near"))
     cells = cells.join(sides, "_id").filter(F.col("beside") == F.col("near"))
     by_county = cells.groupBy("_id", "county").agg(F.sum("w").alias("w")).groupBy("_id").agg(
-        F.max(F.struct("w", (-F.col("county")).alias("c")))["c"].alias("_c"), F.count("*").alias("_counties"))
+        F.min(F.struct((-F.col("w")).alias("w"), F.col("county").alias("c")))["c"].alias("_c"), F.count("*").alias("_counties"))
     by_city = cells.filter((F.col("kind") == "zip") & F.col("city").isNotNull()).groupBy("_id", "city").agg(F.sum("w").alias("w")).groupBy("_id").agg(
         F.max_by("city", F.struct("w", "city")).alias("_zip_city"))
     whole = cells.groupBy("_id", "kind", "name", "in_city", "st", "near").agg(
         F.sum("areas").alias("areas"), F.sum("people").alias("population"), F.min("south").alias("south"), F.max("north").alias("north"),
         F.min("west").alias("west"), F.max("east").alias("east"))
-    out = whole.join(by_county, "_id").join(by_city, "_id", "left").withColumn("county", -F.col("_c"))
+    out = whole.join(by_county, "_id").join(by_city, "_id", "left").withColumn("county", F.col("_c"))
     names = counties.select("county", F.col("county_name").alias("_county"), F.col("state").alias("_state"))
     out = out.join(names, "county", "left")
     state = F.when(F.col("st") != "", F.col("st")).otherwise(F.coalesce("_state", F.lit("")))

@@ -15,7 +15,6 @@ from . import facts as FX
 from . import rank
 
 STOPPING = ["FAIL", "BLOCK"]
-MAX_AUDITED = 20_000      # listed result parts one audit compares every value with
 
 
 def _finding(df: DataFrame, severity: Column | str, check: str, key: Column | str, message: Column) -> DataFrame:
@@ -283,14 +282,14 @@ def audit_results(shown: DataFrame, key: str, values: DataFrame, limits: DataFra
     """Points, beats and must-haves of listed results derived again from the values alone.
 
     ``shown``: (search, key, metric, value, direction, weight, points, beats, score) of a report's results. The
-    distribution is counted by plain comparisons of all values with the listed ones — not through the rank
-    operators — so the report must be short.
+    distribution is counted again from the values, with the listed ones among them at no count of their own, so a
+    report may be of any length.
     """
-    if shown.limit(MAX_AUDITED + 1).count() > MAX_AUDITED:
-        raise ValueError(f"audit a report of at most {MAX_AUDITED} rows, not a whole table")
-    listed = shown.select("metric", F.col("value").alias("_v")).filter(F.col("_v").isNotNull()).distinct()
-    counted = values.join(listed, "metric").groupBy("metric", "_v").agg(
-        F.count("*").alias("_n"), F.count_if(F.col("value") < F.col("_v")).alias("_below"), F.count_if(F.col("value") <= F.col("_v")).alias("_upto"))
+    listed = shown.select("metric", F.col("value").alias("_v")).filter(F.col("_v").isNotNull()).distinct().withColumn("_c", F.lit(0).cast("long"))
+    all_values = values.groupBy("metric", F.col("value").alias("_v")).agg(F.count("*").alias("_c"))
+    both = all_values.unionByName(listed).groupBy("metric", "_v").agg(F.sum("_c").alias("_c"))
+    counted = rank.running_totals(both, ["metric"], "_v", ["_c"]).select(
+        "metric", "_v", F.col("_c_total").alias("_n"), F.col("_c_before").alias("_below"), (F.col("_c_before") + F.col("_c")).alias("_upto"))
     j = shown.join(counted, (shown["metric"] == counted["metric"]) & (shown["value"] == counted["_v"])).drop(counted["metric"])
     lo, hi = 100 * F.col("_below") / (F.col("_n") - 1), 100 * (F.col("_upto") - 1) / (F.col("_n") - 1)
     want = F.when(F.col("direction") == "higher", hi).when(F.col("direction") == "lower", 100 - lo).otherwise(100 - 2 * F.abs((lo + hi) / 2 - 50))

@@ -5,13 +5,13 @@ task. Here every rank is built from three steps that spread:
 
 1. rows collapse to one row per (group, value) with a count — partial aggregation runs before the
    shuffle, so a value shared by a billion rows is one row;
-2. values are sorted inside slices of at most ``Limits.split_rows`` values. Groups larger than that
-   get slice boundaries from their own quantiles; the boundaries are plain numbers in the plan, so
-   a recomputed task puts every value back in the same slice;
-3. slice totals (a few thousand rows at most) are broadcast as offsets.
+2. those rows are range partitioned by group and value and written to the shared folder with their
+   partition's number: a large group simply spans partitions, and a lost task reads the same rows
+   again. Order values may be numbers, dates or text;
+3. sums per (partition, group), one row each, give every partition its offset inside a group.
 
 The ranks join back on (group, value). A value held by more than ``Limits.hot_rows`` rows is spread
-over several tasks by a salt.
+over several tasks by a salt; there are at most rows / ``hot_rows`` of them.
 """
 
 from __future__ import annotations
@@ -20,9 +20,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..session import DEFAULT_LIMITS, Limits
+from ..session import DEFAULT_LIMITS, Limits, broadcast_checked, durable
 
 
 def _on(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
@@ -32,16 +31,14 @@ def _on(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) ->
     return cond
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], hot: DataFrame | None,
-                spread_by: Sequence[str], how: str = "left", salts: int = DEFAULT_LIMITS.salts) -> DataFrame:
-    """An equi-join whose listed hot keys are spread over ``salts`` tasks.
+def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], hot: DataFrame, spread_by: Sequence[str],
+                how: str = "left", salts: int = DEFAULT_LIMITS.salts) -> DataFrame:
+    """An equi-join whose hot keys are spread over ``salts`` tasks.
 
-    ``hot`` holds the hot key values (a short list); rows of ``left`` with such a key get a salt from
-    a hash of ``spread_by``, and the matching rows of ``right`` are repeated once per salt.
+    ``hot`` holds the hot key values; rows of ``left`` with such a key get a salt from a hash of
+    ``spread_by``, and the matching rows of ``right`` are repeated once per salt.
     """
-    if hot is None:
-        return left.join(right, list(on), how)
-    marked = F.broadcast(hot.select(*on).withColumn("_hot", F.lit(True)))
+    marked = broadcast_checked(hot.select(*on).withColumn("_hot", F.lit(True)))
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(salts)).cast("int")).otherwise(0)
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     left = left.join(marked, list(on), "left").withColumn("_salt", salt).drop("_hot")
@@ -49,94 +46,41 @@ def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], hot: DataF
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
-def _large_groups(values: DataFrame, by: Sequence[str], rows: Column, limits: Limits) -> list:
-    """The largest groups whose values or rows are too many for one task, in one short job.
+def _ranged(values: DataFrame, by: Sequence[str], order: str, limits: Limits) -> DataFrame:
+    """The rows in ranges of (group, order), each with the number of its range (``_p``), durable."""
+    keys = [*by, order]
+    ranged = values.repartitionByRange(limits.slices, *keys) if limits.slices else values.repartitionByRange(*keys)
+    return durable(ranged.withColumn("_p", F.spark_partition_id()))
 
-    Groups left out hold at most a ``max_listed``-th of everything each.
-    """
-    if limits.proven_small:
-        return []
-    grouped = values.groupBy(*by) if by else values.groupBy()
-    sizes = grouped.agg(F.count(F.lit(1)).alias("_n"), F.coalesce(F.sum(rows), F.lit(0)).alias("_rows"))
-    large = sizes.filter((F.col("_n") > limits.split_rows) | (F.col("_rows") > limits.hot_rows))
-    return large.orderBy(F.desc("_n"), F.desc("_rows")).limit(limits.max_listed).collect()
-
-
-def _slices(values: DataFrame, by: Sequence[str], order: str, large: list, limits: Limits) -> DataFrame | None:
-    """Slice boundaries of the groups with more values than one task should sort; None if none."""
-    large = [row for row in large if row["_n"] > limits.split_rows]
-    if not large:
-        return None
-    spark = values.sparkSession
-    most = max(row["_n"] for row in large)
-    pieces = min(1_000, most // limits.split_rows + 1)
-    cuts = [i / pieces for i in range(1, pieces)]
-    if by:
-        schema = T.StructType([values.schema[c] for c in by])
-        listed = spark.createDataFrame([tuple(row[c] for c in by) for row in large], schema)
-        values = values.join(F.broadcast(listed), _on(values, listed, [(c, c) for c in by]), "left_semi")
-        grouped = values.groupBy(*by)
-    else:
-        grouped = values.groupBy()
-    bounds = grouped.agg(F.percentile_approx(order, cuts, 10_000).alias("_cuts")).collect()
-    schema = T.StructType([values.schema[c] for c in by] + [T.StructField("_cuts", T.ArrayType(T.DoubleType()))])
-    return spark.createDataFrame(
-        [tuple([row[c] for c in by] + [sorted({float(v) for v in row["_cuts"]})]) for row in bounds], schema)
-
-
-def running_totals(values: DataFrame, by: Sequence[str], order: str, measures: Sequence[str],
-                   limits: Limits = DEFAULT_LIMITS, large: list | None = None) -> DataFrame:
-    """Per row of ``values`` (one per group and order value): ``<m>_before``, the sum of ``m`` over
-    smaller order values of its group, and ``<m>_total``, the group's sum.
 
-    Runs one short job to size the groups (unless ``large`` lists the big ones); the result is lazy.
-    """
-    if large is None:
-        large = _large_groups(values, by, F.lit(0), limits)
-    slices = _slices(values, by, order, large, limits)
-    if slices is None:
-        part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-        run = part.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        out = values
-        for m in measures:
-            out = out.withColumn(f"{m}_before", F.sum(m).over(run) - F.col(m)).withColumn(f"{m}_total", F.sum(m).over(part))
-        return out
-    slices = slices.withColumnRenamed("_cuts", "_bounds")
-    if by:
-        renamed = slices
-        for c in by:
-            renamed = renamed.withColumnRenamed(c, f"_s_{c}")
-        tagged = values.join(F.broadcast(renamed), _on(values, renamed, [(c, f"_s_{c}") for c in by]), "left")
-        tagged = tagged.drop(*[f"_s_{c}" for c in by])
-    else:
-        bounds = slices.first()["_bounds"]
-        tagged = values.withColumn("_bounds", F.array(*[F.lit(b) for b in bounds]).cast("array<double>"))
-    slot = F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col(order))), F.lit(0))
-    tagged = tagged.withColumn("_slice", F.when(F.col("_bounds").isNull(), F.lit(0)).otherwise(slot)).drop("_bounds")
-    part = Window.partitionBy(*by, "_slice")
-    run = part.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = tagged
+def _totals(ranged: DataFrame, by: Sequence[str], order: str, measures: Sequence[str]) -> DataFrame:
+    """``<m>_before`` and ``<m>_total`` from ranges. Offsets are one row per range and group."""
+    columns = [c for c in ranged.columns if c != "_p"]
+    run = Window.partitionBy("_p", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = ranged
     for m in measures:
-        out = out.withColumn(f"{m}_before", F.sum(m).over(run) - F.col(m)).withColumn(f"{m}_total", F.sum(m).over(part))
-    # Slice totals of the split groups only: at most max_listed groups of at most 1,000 slices.
-    if by:
-        totals = tagged.join(F.broadcast(renamed), _on(tagged, renamed, [(c, f"_s_{c}") for c in by]), "left_semi")
-    else:
-        totals = tagged
-    totals = totals.groupBy(*by, "_slice").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
+        out = out.withColumn(f"{m}_before", F.sum(m).over(run) - F.col(m))
     each = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    earlier = each.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = each.orderBy("_o_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy(F.col("_p").alias("_o_p"), *by).agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
     for m in measures:
-        totals = totals.withColumn(f"_o_{m}", F.coalesce(F.sum(f"_t_{m}").over(earlier), F.lit(0)))
-        totals = totals.withColumn(f"_g_{m}", F.sum(f"_t_{m}").over(each))
-    totals = totals.drop(*[f"_t_{m}" for m in measures]).withColumnRenamed("_slice", "_o_slice")
+        offsets = offsets.withColumn(f"_o_{m}", F.coalesce(F.sum(f"_t_{m}").over(earlier), F.lit(0))).withColumn(f"_g_{m}", F.sum(f"_t_{m}").over(each))
+    offsets = offsets.drop(*[f"_t_{m}" for m in measures])
     for c in by:
-        totals = totals.withColumnRenamed(c, f"_o_{c}")
-    out = out.join(F.broadcast(totals), _on(out, totals, [(c, f"_o_{c}") for c in by] + [("_slice", "_o_slice")]), "left")
+        offsets = offsets.withColumnRenamed(c, f"_o_{c}")
+    out = out.join(offsets, _on(out, offsets, [("_p", "_o_p")] + [(c, f"_o_{c}") for c in by]), "left")
     for m in measures:
-        out = out.withColumn(f"{m}_before", F.col(f"{m}_before") + F.coalesce(f"_o_{m}", F.lit(0)))
-        out = out.withColumn(f"{m}_total", F.coalesce(f"_g_{m}", f"{m}_total"))
-    return out.select(*values.columns, *[f"{m}_{s}" for m in measures for s in ("before", "total")])
+        out = out.withColumn(f"{m}_before", F.col(f"{m}_before") + F.col(f"_o_{m}")).withColumn(f"{m}_total", F.col(f"_g_{m}"))
+    return out.select(*columns, *[f"{m}_{s}" for m in measures for s in ("before", "total")])
+
+
+def running_totals(values: DataFrame, by: Sequence[str], order: str, measures: Sequence[str], limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+    """Per row of ``values`` (one per group and order value): ``<m>_before``, the sum of ``m`` over
+    smaller order values of its group, and ``<m>_total``, the group's sum.
+
+    Writes ``values`` to the shared folder; what follows is lazy.
+    """
+    return _totals(_ranged(values, by, order, limits), by, order, measures)
 
 
 def unpivot(df: DataFrame, keys: Sequence[str], measures: Sequence[str], name: str = "metric",
@@ -147,14 +91,12 @@ def unpivot(df: DataFrame, keys: Sequence[str], measures: Sequence[str], name: s
     return long.filter(F.col(value).isNotNull())
 
 
-def _ranked(long: DataFrame, by: Sequence[str], value: str, limits: Limits) -> tuple[DataFrame, bool]:
-    """One row per (group, value) with ``ties``, ``below`` and ``n``; and whether any group is large
-    enough to hold a value that would need a salted join."""
+def _ranked(long: DataFrame, by: Sequence[str], value: str, limits: Limits) -> tuple[DataFrame, DataFrame]:
+    """One row per (group, value) with ``ties``, ``below`` and ``n``; and the hot ones among these rows."""
     counts = long.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties"))
-    large = _large_groups(counts, by, F.col("ties"), limits)
-    ranks = running_totals(counts, by, value, ["ties"], limits, large)
-    ranks = ranks.withColumnRenamed("ties_before", "below").withColumnRenamed("ties_total", "n")
-    return ranks, any(row["_rows"] > limits.hot_rows for row in large)
+    ranged = _ranged(counts, by, value, limits)
+    ranks = _totals(ranged, by, value, ["ties"]).withColumnRenamed("ties_before", "below").withColumnRenamed("ties_total", "n")
+    return ranks, ranged.filter(F.col("ties") > limits.hot_rows)
 
 
 def value_ranks(long: DataFrame, by: Sequence[str], value: str = "value", limits: Limits = DEFAULT_LIMITS) -> DataFrame:
@@ -162,16 +104,9 @@ def value_ranks(long: DataFrame, by: Sequence[str], value: str = "value", limits
     return _ranked(long, by, value, limits)[0]
 
 
-def _join_ranks(rows: DataFrame, ranks: DataFrame, keys: Sequence[str], on: Sequence[str], may_be_hot: bool, how: str,
+def _join_ranks(rows: DataFrame, ranks: DataFrame, keys: Sequence[str], on: Sequence[str], hot: DataFrame, how: str,
                 limits: Limits, keep: Sequence[str]) -> DataFrame:
     """Ranks back onto rows; values shared by very many rows are joined salted."""
-    hot = None
-    if may_be_hot:
-        listed = (ranks.filter(F.col("ties") > limits.hot_rows).orderBy(F.desc("ties")).limit(limits.max_listed)
-                  .select(*on).collect())
-        if listed:
-            schema = T.StructType([ranks.schema[c] for c in on])
-            hot = ranks.sparkSession.createDataFrame([tuple(row) for row in listed], schema)
     return salted_join(rows, ranks.select(*on, *keep), on, hot, keys, how, limits.salts)
 
 
@@ -202,28 +137,28 @@ def rank_rows(long: DataFrame, keys: Sequence[str], by: Sequence[str], value: st
     ``bounds``: a bounds table made before (see :func:`value_bounds`), so nothing is ranked again.
     """
     if bounds is None:
-        ranks, may_be_hot = _ranked(long, by, value, limits)
+        ranks, hot = _ranked(long, by, value, limits)
         ranks = ranks.withColumns(percent_columns())
     else:
-        ranks, may_be_hot = bounds, not limits.proven_small
-    return _join_ranks(long, ranks, keys, [*by, value], may_be_hot, "inner", limits, ["lo", "hi", "mid", "n"])
+        ranks, hot = bounds, bounds.filter(F.col("ties") > limits.hot_rows)
+    return _join_ranks(long, ranks, keys, [*by, value], hot, "inner", limits, ["lo", "hi", "mid", "n"])
 
 
 def group_rank(df: DataFrame, keys: Sequence[str], by: Sequence[str], value: str, descending: bool = True,
                limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """Competition rank inside each group (1, 2, 2, 4) and the group's known count."""
-    ranks, may_be_hot = _ranked(df, by, value, limits)
+    ranks, hot = _ranked(df, by, value, limits)
     ahead = F.col("n") - F.col("below") - F.col("ties") if descending else F.col("below")
     ranks = ranks.withColumns({"rank": ahead + 1, "group_count": F.col("n")})
-    return _join_ranks(df, ranks, keys, [*by, value], may_be_hot, "left", limits, ["rank", "group_count"])
+    return _join_ranks(df, ranks, keys, [*by, value], hot, "left", limits, ["rank", "group_count"])
 
 
 def average_rank_percentile(df: DataFrame, keys: Sequence[str], by: Sequence[str], value: str, out: str,
                             limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """100 × (average rank) / n inside each group; unknown stays unknown."""
-    ranks, may_be_hot = _ranked(df, by, value, limits)
+    ranks, hot = _ranked(df, by, value, limits)
     pct = F.lit(100.0) * ((F.col("below") + 1 + F.col("below") + F.col("ties")) / 2) / F.col("n")
-    return _join_ranks(df, ranks.withColumn(out, pct), keys, [*by, value], may_be_hot, "left", limits, [out])
+    return _join_ranks(df, ranks.withColumn(out, pct), keys, [*by, value], hot, "left", limits, [out])
 
 
 def share_at_or_below(points: DataFrame, point_value: str, curve: DataFrame, curve_value: str, out: str,
@@ -237,11 +172,13 @@ def share_at_or_below(points: DataFrame, point_value: str, curve: DataFrame, cur
         F.count(F.lit(1)).alias("_c"))
     p = points.filter(F.col(point_value).isNotNull()).select(*by, F.col(point_value).cast("double").alias("_v")).distinct()
     both = c.unionByName(p.withColumn("_c", F.lit(0).cast("long"))).groupBy(*by, "_v").agg(F.sum("_c").alias("_c"))
-    placed = running_totals(both, by, "_v", ["_c"], limits)
+    ranged = _ranged(both, by, "_v", limits)
+    placed = _totals(ranged, by, "_v", ["_c"])
     placed = placed.select(*by, "_v", F.when(
         F.col("_c_total") > 0, F.lit(100.0) * (F.col("_c_before") + F.col("_c")) / F.col("_c_total")).alias(out))
-    joined = points.withColumn("_v", F.col(point_value).cast("double")).join(placed, [*by, "_v"], "left")
-    return joined.drop("_v")
+    valued = points.withColumn("_v", F.col(point_value).cast("double"))
+    hot = valued.groupBy(*by, "_v").agg(F.count("*").alias("_n")).filter(F.col("_n") > limits.hot_rows)
+    return salted_join(valued, placed, [*by, "_v"], hot, points.columns, "left", limits.salts).drop("_v")
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str],
@@ -313,13 +250,13 @@ def stretch(scores: DataFrame, score: str, order: Sequence[Column], n: int, min_
 
 def row_positions(df: DataFrame, by: Sequence[str], order: str, key: str, out: str = "position", descending: bool = False,
                   limits: Limits = DEFAULT_LIMITS, keep: Sequence[str] = ()) -> DataFrame:
-    """1-based position of every row in its group, ordered by ``order`` and then by a unique numeric ``key``.
+    """1-based position of every row in its group, ordered by ``order`` and then by a unique ``key`` (a number or text).
 
     Positions come from counts of values, then from counts of keys inside ties: no window holds a group.
     Rows are read three times, so make an expensive input durable first. ``keep`` also returns ``n`` or other rank columns.
     """
-    ranks, may_be_hot = _ranked(df, by, order, limits)
-    rows = _join_ranks(df, ranks, [key], [*by, order], may_be_hot, "inner", limits, ["below", "ties", "n"])
+    ranks, hot = _ranked(df, by, order, limits)
+    rows = _join_ranks(df, ranks, [key], [*by, order], hot, "inner", limits, ["below", "ties", "n"])
     tied = rows.filter(F.col("ties") > 1).select(*by, order, key).withColumn("_one", F.lit(1).cast("long"))
     inside = running_totals(tied, [*by, order], key, ["_one"], limits).select(key, *by, F.col("_one_before").alias("_inside"))
     rows = rows.join(inside, [key, *by], "left")

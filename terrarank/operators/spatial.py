@@ -294,7 +294,7 @@ def densest_clusters(cities: DataFrame, city: str, points: DataFrame, point: str
     w = F.col(f"s_{weight}").cast("double")
     sums = near.groupBy(point).agg(F.sum(w).alias("_w"), F.sum(w * F.col("s_lat")).alias("_wlat"), F.sum(w * F.col("s_lon")).alias("_wlon"))
     best = centers.join(sums, point).groupBy(city).agg(
-        F.max(F.struct("_w", (-F.col(point)).alias("_p"), "_wlat", "_wlon")).alias("_b"))
+        F.min(F.struct((-F.col("_w")).alias("_first"), F.col(point).alias("_p"), "_w", "_wlat", "_wlon")).alias("_b"))
     joined = cities.select(city, "lat", "lon").join(best, city, "left")
     return joined.select(
         city, F.coalesce(F.col("_b._wlat") / F.col("_b._w"), F.col("lat")).alias("lat"),

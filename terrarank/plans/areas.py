@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.flags import read_flags
 from ..operators import area, rank, score
 from . import base
-from ..session import durable
+from ..session import broadcast_checked, durable
 from .registry import query, r, rs, rt, rts, shared, with_
 
 MEASURES = ["spend", "orders", "pm25", "median_home_value"]
@@ -114,7 +114,7 @@ def definitions(t):
 
 @shared
 def parts(t):
-    return area.area_parts(areas(t), "area", criteria(t), MEASURES, ESTIMATES, t.bound("customer"))
+    return area.area_parts(areas(t), "area", criteria(t), MEASURES, ESTIMATES)
 
 
 def counties(t):
@@ -126,7 +126,7 @@ def counties(t):
 @shared
 def county_known(t):
     asked = t.rows(COUNTY_CRITERIA, "search string, metric string, weight double, direction string")
-    return score.contributions(counties(t), "county", asked, ["supplier_balance"], t.bound("nation"))
+    return score.contributions(counties(t), "county", asked, ["supplier_balance"])
 
 
 def county_side(t):
@@ -225,7 +225,7 @@ def area_relative_scores(t):
      count(*) OVER (PARTITION BY search, county) AS n FROM ascored WHERE status < 2)"""))
 def area_shade_by_position(t):
     s = durable(scored(t).filter(score.shown("status")).withColumn("score", r("score", 9)))
-    return rank.position_shade(s, "area", ["search", "county"], "score", limits=t.bound("customer")).select(
+    return rank.position_shade(s, "area", ["search", "county"], "score").select(
         "search", "county", "area", r("shade").alias("shade"))
 
 
@@ -244,7 +244,7 @@ pt AS (SELECT *, sum(CASE WHEN points = peak THEN 1 ELSE 0 END) OVER (PARTITION
 def area_badges(t):
     listed = top(t).select("search", "area")
     flags = areas(t).select("area", "low_confidence")
-    rows = parts(t).join(F.broadcast(durable(listed)), ["search", "area"], "left_semi").join(flags, "area")
+    rows = parts(t).join(broadcast_checked(durable(listed)), ["search", "area"], "left_semi").join(flags, "area")
     b = area.badges(rows, "area", definitions(t), F.array_contains("low_confidence", "mobile_homes"))
     return b.select("search", "area", F.array_join("best", ";").alias("best"), "top1")
 
@@ -254,8 +254,22 @@ def area_badges(t):
    UNION ALL SELECT s.search, area, 'radon', floor(area % 50 + 0.5)::BIGINT FROM areas, (SELECT DISTINCT search FROM criteria) s WHERE area % 50 >= 40"""))
 def area_watch_outs(t):
     a = areas(t).withColumn("radon", (F.col("area") % 50).cast("double"))
-    return area.cautions(a, "area", ["pm25", "spend", "median_home_value"], criteria(t), MEASURES, ESTIMATES, radon="radon",
-                         limits=t.bound("customer"))
+    return area.cautions(a, "area", ["pm25", "spend", "median_home_value"], criteria(t), MEASURES, ESTIMATES, radon="radon")
+
+
+# Display text of the trade-off sentence: unit (or "budget" and measure), direction, whether it helps, words.
+WORDINGS = [
+    ("budget", "", "good", "homes within your budget"), ("budget", "", "bad", "prices over your budget"),
+    ("budget", "median_gross_rent", "good", "rent within your budget"),
+    ("", "higher", "good", "high {name}"), ("", "higher", "bad", "low {name}"), ("", "lower", "good", "low {name}"), ("", "lower", "bad", "high {name}"),
+    ("", "middle", "good", "typical {name}"), ("", "middle", "bad", "unusual {name}"),
+    ("mi", "higher", "good", "the distance to {place}"), ("mi", "higher", "bad", "{place} close by"),
+    ("mi", "lower", "good", "{place} nearby"), ("mi", "lower", "bad", "the distance to {place}"),
+    ("pctl", "higher", "good", "high risk of {name}"), ("pctl", "higher", "bad", "low risk of {name}"),
+    ("pctl", "lower", "good", "low risk of {name}"), ("pctl", "lower", "bad", "high risk of {name}"),
+    ("days", "higher", "good", "many {name}"), ("days", "higher", "bad", "few {name}"), ("days", "lower", "good", "few {name}"), ("days", "lower", "bad", "many {name}"),
+    ("nights", "higher", "good", "many {name}"), ("nights", "higher", "bad", "few {name}"), ("nights", "lower", "good", "few {name}"), ("nights", "lower", "bad", "many {name}"),
+]
 
 
 ALL_PARTS = """allp AS (SELECT search, area, metric, 'area' AS level, direction, weight * (points - 50) AS impact, budget FROM aparts
@@ -283,7 +297,7 @@ def area_trade_offs(t):
     theirs = county_known(t).join(where, "county").select(
         "search", "area", "metric", F.lit("county").alias("level"), "direction", r("impact", 9).alias("impact"),
         F.lit(None).cast("double").alias("budget"))
-    return area.trade_off(mine.unionByName(theirs), "area", definitions(t))
+    return area.trade_off(mine.unionByName(theirs), "area", definitions(t), t.rows(WORDINGS, "unit string, direction string, ending string, text string"))
 
 
 @query("E10", with_(*base.PLACE_SQL, """lab AS (SELECT place, segment || ' ' || (place % 40) AS label, CASE WHEN place % 23 <> 0 THEN lat END AS lat, lon FROM places)""",
@@ -298,4 +312,4 @@ def area_distinct_names(t):
     p = base.places(t)
     named = p.select("place", F.concat_ws(" ", "segment", (F.col("place") % 40).cast("string")).alias("label"),
                      F.when(F.col("place") % 23 != 0, F.col("lat")).alias("lat"), "lon")
-    return area.distinct_names(named, "place", limits=t.bound("customer")).select("place", "name")
+    return area.distinct_names(named, "place").select("place", "name")

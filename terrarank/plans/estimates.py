@@ -37,8 +37,7 @@ SHRINK = """ys AS (SELECT *, CASE WHEN value > 0 AND NOT keep THEN ln(value) END
 @query("D17", with_(*base.PLACE_SQL, EST, SHRINK, select=f"""SELECT place,
   {rs('coalesce(exp(y + se2 / (se2 + tau2) * (mu - y)), value)', 4)} AS value_eb FROM mu LEFT JOIN tau USING (state)"""))
 def shrunk_medians(t):
-    out = estimate.shrink_log_medians(estimates(t), "value", "moe", "city", "state", "residential", "keep", "eb", "county",
-                                      t.bound("customer"))
+    out = estimate.shrink_log_medians(estimates(t), "value", "moe", "city", "state", "residential", "keep", "eb", "county")
     return out.select("place", r("eb", 4).alias("value_eb"))
 
 
@@ -69,8 +68,7 @@ def shrunk_rates(t):
   {rs('CASE WHEN value IS NOT NULL AND NOT keep AND value <> 0 THEN value * 1.25 * coalesce(exp(y + se2 / (se2 + tau2) * (mu - y)), value) / value ELSE value * 1.25 END', 4)} AS shown_eb
   FROM mu LEFT JOIN tau USING (state)"""))
 def estimate_columns(t):
-    out = estimate.shrink_log_medians(estimates(t), "value", "moe", "city", "state", "residential", "keep", "eb", "county",
-                                      t.bound("customer")).withColumn("today", F.col("value") * 1.25)
+    out = estimate.shrink_log_medians(estimates(t), "value", "moe", "city", "state", "residential", "keep", "eb", "county").withColumn("today", F.col("value") * 1.25)
     return out.select("place", r(estimate.scaled_estimate("today", "eb", "value", "keep"), 4).alias("shown_eb"))
 
 
@@ -127,7 +125,7 @@ def log_log_slope(t):
    select=f"SELECT state, {rs('CASE WHEN count(m) >= 2 THEN 100 * min(m) / max(m) END')} AS income_parity FROM ok GROUP BY 1"))
 def income_parity(t):
     p = base.places(t).filter(F.col("balance") > 0)
-    med = rank.median(p, ["state", "segment"], "balance", "median", t.bound("customer"))
+    med = rank.median(p, ["state", "segment"], "balance", "median")
     groups = med.withColumn("households", F.col("n") * 10)
     total = groups.groupBy("state").agg(F.sum("households").alias("total"))
     moe = F.when(F.col("segment") == "FURNITURE", 5 * F.col("median")).when(
@@ -173,14 +171,16 @@ def recent_rate_ratio(t):
         "state", "puma", r("l").alias("l"), "n_recent")
 
 
-def md5_uniform(keys) -> Column:
-    """A draw both engines can repeat, so the resampled variance can be compared."""
-    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
-    return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("double") / F.lit(268435456.0)
+def plain_uniform(keys):
+    """A draw both engines can repeat, in whole numbers, so the resampled variance can be compared."""
+    key, rep = (F.col(k).cast("long") for k in keys)
+    prime = F.lit(2147483647).cast("long")
+    first = (key * F.lit(1103515245).cast("long") + rep * 12345 + 7) % prime
+    return ((first * 48271 + rep * 69621) % prime) / F.lit(2147483647.0)
 
 
-REPS = 40
-BOOT = f"""rep AS (SELECT ow.*, i, ('0x' || substr(md5(o_orderkey || '|' || i), 1, 7))::BIGINT / 268435456.0::DOUBLE AS u FROM ow, range(1, {REPS + 1}) x(i)),
+REPS = 200
+BOOT = f"""rep AS (SELECT ow.*, i, (((o_orderkey * 1103515245 + i * 12345 + 7) % 2147483647 * 48271 + i * 69621) % 2147483647) / 2147483647.0::DOUBLE AS u FROM ow, range(1, {REPS + 1}) x(i)),
   pw AS (SELECT state, puma, i, recent, tax, val, w * CASE WHEN u < 0.36787944117144233 THEN 0 WHEN u < 0.7357588823428847 THEN 1 WHEN u < 0.9196986029286058 THEN 2
     WHEN u < 0.9810118431238462 THEN 3 WHEN u < 0.9963401531726563 THEN 4 WHEN u < 0.9994058151824183 THEN 5 ELSE 6 END AS w FROM rep),
   bs AS (SELECT state, puma, i, {SUMS} FROM pw GROUP BY ALL),
@@ -190,7 +190,7 @@ BOOT = f"""rep AS (SELECT ow.*, i, ('0x' || substr(md5(o_orderkey || '|' || i),
 @query("D15", with_(OWNERS, BOOT, select=f"SELECT state, puma, {rs('se2', 9)} AS se2 FROM bv"))
 def bootstrap_variance(t):
     return estimate.bootstrap_variance(owners(t), ["state", "puma"], ["o_orderkey"], "tax", "val", "w", "recent", "se2", REPS,
-                                       md5_uniform).select("state", "puma", r("se2", 9).alias("se2"))
+                                       plain_uniform).select("state", "puma", r("se2", 9).alias("se2"))
 
 
 @query("D16", with_(OWNERS, BOOT, f"""s AS (SELECT state, puma, {SUMS}, count(*) FILTER (WHERE recent) AS n_recent FROM ow GROUP BY ALL),
@@ -203,7 +203,7 @@ def bootstrap_variance(t):
 def new_buyer_ratio(t):
     o = owners(t)
     l = estimate.log_rate_ratio(o, ["state", "puma"], "tax", "val", "w", "recent", "l")
-    se = estimate.bootstrap_variance(o, ["state", "puma"], ["o_orderkey"], "tax", "val", "w", "recent", "se2", REPS, md5_uniform)
+    se = estimate.bootstrap_variance(o, ["state", "puma"], ["o_orderkey"], "tax", "val", "w", "recent", "se2", REPS, plain_uniform)
     states = estimate.log_rate_ratio(o, ["state"], "tax", "val", "w", "recent", "state_l").drop("n_recent")
     hat = estimate.shrink_log_ratios(l.join(se, ["state", "puma"]), "puma", "state", states)
     lo, hi = estimate.RATIO_CLIP
@@ -228,7 +228,7 @@ def prices(t):
 @query("D20", with_(*base.PLACE_SQL, PRICES, select=f"""SELECT place, {rs('CASE WHEN census IS NOT NULL AND NOT mobile AND NOT (topped AND market IS NOT NULL) THEN census * coalesce(ratio, rc, rn, 1) ELSE market END', 4)} AS today
   FROM pr LEFT JOIN rk ON rk.county = pr.county AND rk.zip = pr.zip LEFT JOIN rc ON rc.county = pr.county, rn"""))
 def prices_today(t):
-    out = estimate.today_prices(prices(t), "zip", "census", "market", "county", "topped", "mobile", "today", t.bound("customer"))
+    out = estimate.today_prices(prices(t), "zip", "census", "market", "county", "topped", "mobile", "today")
     return out.select("place", r("today", 4).alias("today"))
 
 
@@ -238,7 +238,7 @@ def prices_today(t):
    CASE WHEN market > 0 THEN 'market' WHEN census IS NOT NULL AND sq IS NOT NULL THEN 'state_ratio' WHEN census IS NOT NULL THEN 'national_ratio' END AS today_source
    FROM rs LEFT JOIN s USING (state), n"""))
 def values_today(t):
-    return estimate.today_values(prices(t), "state", "census", "market", "today", t.bound("customer")).select(
+    return estimate.today_values(prices(t), "state", "census", "market", "today").select(
         "place", r("today", 4).alias("today"), "today_source")
 
 
@@ -246,13 +246,13 @@ def values_today(t):
    c AS (SELECT *, sum(w) OVER (PARTITION BY state ORDER BY v) AS cum, sum(w) OVER (PARTITION BY state) AS tot FROM o)""",
    select="SELECT state, min(v) AS weighted_median FROM c WHERE cum >= tot / 2 GROUP BY 1"))
 def weighted_median(t):
-    return rank.weighted_median(base.places(t), ["state"], "balance", "population", limits=t.bound("customer"))
+    return rank.weighted_median(base.places(t), ["state"], "balance", "population")
 
 
 @query("D44", with_(*base.PLACE_SQL, select=f"SELECT {rs('median(balance)')} AS balance, {rs('median(spend)')} AS spend, {rs('median(orders)')} AS orders FROM places"))
 def typical_values(t):
     long = rank.unpivot(base.places(t), ["place"], ["balance", "spend", "orders"])
-    med = rank.median(long, ["metric"], "value", limits=t.bound("customer"))
+    med = rank.median(long, ["metric"], "value")
     return med.groupBy().pivot("metric", ["balance", "spend", "orders"]).agg(F.max("median")).select(
         r("balance").alias("balance"), r("spend").alias("spend"), r("orders").alias("orders"))
 
@@ -261,13 +261,13 @@ def typical_values(t):
   select=f"SELECT metric, {rs('min(v)')} AS low, {rs('median(v)')} AS median, {rs('max(v)')} AS high FROM l GROUP BY 1"))
 def measure_ranges(t):
     long = rank.unpivot(base.places(t), ["place"], ["balance", "spend", "orders"])
-    q = rank.exact_quantiles(long, ["metric"], "value", [0.0, 0.5, 1.0], ["low", "median", "high"], t.bound("customer"))
+    q = rank.exact_quantiles(long, ["metric"], "value", [0.0, 0.5, 1.0], ["low", "median", "high"])
     return q.select("metric", r("low").alias("low"), r("median").alias("median"), r("high").alias("high"))
 
 
 @query("D48", with_(*base.PLACE_SQL, """o AS (SELECT county, balance, row_number() OVER (PARTITION BY county ORDER BY balance) AS k, count(*) OVER (PARTITION BY county) AS n FROM places WHERE balance IS NOT NULL)""",
   select="SELECT county, balance AS median, row_number() OVER (ORDER BY balance DESC, county) AS position FROM o WHERE k = n // 2 + 1"))
 def groups_by_median(t):
-    med = rank.upper_median(base.places(t), ["county"], "balance", limits=t.bound("customer"))
-    placed = rank.row_positions(med, [], "median", "county", descending=True, limits=t.bound("nation"))
+    med = rank.upper_median(base.places(t), ["county"], "balance")
+    placed = rank.row_positions(med, [], "median", "county", descending=True)
     return placed.select("county", "median", "position")

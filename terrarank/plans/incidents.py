@@ -91,7 +91,7 @@ def policed(t):
     rows = base.places(t).select(
         k, c, agency.alias("agency"), "population", (F.col("orders") * F.col("orders") * 3 + 1.0).alias("density"), rate.alias("violent_rate"),
         F.when(c % 5 == 0, 0.0).otherwise(900.0 + c).alias("property_rate"), (5000 + c * 100 + k % 3).alias("people"))
-    return crime.shared_rates(rows, "place", "county", "agency", "density", "population", "violent_rate", t.bound("customer"))
+    return crime.shared_rates(rows, "place", "county", "agency", "density", "population", "violent_rate")
 
 
 @query("D26", with_(*base.PLACE_SQL, POLICED, select="SELECT place, crime_shared, crime_wide FROM sr"))

@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.values import number
-from ..session import shared_folder
+from ..session import durable, shared_folder
 from ..sources import codes, files, periods, publish
 from . import base
 from .registry import query, r, rs, with_
 
 
-@query("A1 A2", """SELECT lpad(s_suppkey::VARCHAR, 5, '0') AS fips, s_name AS name, CASE WHEN s_suppkey % 7 <> 0 THEN s_acctbal END AS balance FROM supplier""")
+@query("A1 A2", """SELECT lpad(s_suppkey::VARCHAR, 5, '0') AS fips, 'Doña ' || s_name AS name, CASE WHEN s_suppkey % 7 <> 0 THEN s_acctbal END AS balance FROM supplier""")
 def delimited_scan(t):
-    """A tab-separated file with padded headers and a dirty number, written once and read back as text."""
+    """Tab-separated files with padded headers and a dirty number, half of them UTF-8 and half Latin-1, written and read back as text."""
     k = F.col("s_suppkey")
-    text = t.supplier.select(F.lpad(k.cast("string"), 5, "0").alias("fips"), F.col("s_name").alias(" name "),
+    text = t.supplier.select(k, F.lpad(k.cast("string"), 5, "0").alias("fips"), F.concat(F.lit("Doña "), "s_name").alias(" name "),
                              F.when(k % 7 == 0, "(X)").otherwise(F.col("s_acctbal").cast("string")).alias("balance "))
     folder = shared_folder(t.spark)
-    text.write.csv(folder, sep="\t", header=True)
-    df = files.read_delimited(t.spark, folder, "\t", ["fips", "name", "balance"])
+    for part, encoding in enumerate(("UTF-8", "ISO-8859-1")):
+        text.filter(k % 2 == part).drop("s_suppkey").write.csv(f"{folder}/{part}", sep="\t", header=True, encoding=encoding)
+    df = files.read_delimited(t.spark, f"{folder}/*", "\t", ["fips", "name", "balance"])
     return files.cast_columns(df, {"balance": "double"}).select("fips", "name", "balance")
 
 
@@ -123,20 +124,27 @@ def published_partitions(t):
     return index.select(F.col("county").cast("long"), "rows", "generated", "edition")
 
 
-@query("A16", "SELECT p_partkey, p_type AS word, p_type AS back FROM part")
+@query("A16", "SELECT p_partkey, p_type AS word, dense_rank() OVER (ORDER BY p_type) - 1 AS code, p_type AS back FROM part")
 def coded_words(t):
-    words = [row[0] for row in t.part.select("p_type").distinct().sort("p_type").limit(1000).collect()]
-    return t.part.select("p_partkey", F.col("p_type").alias("word"), codes.decode(codes.encode("p_type", words).cast("string"), words).alias("back"))
+    table = durable(codes.code_table(t.part, "p_type"))
+    coded = codes.encode_with(t.part.select("p_partkey", F.col("p_type").alias("text")), "text", table)
+    return codes.decode_with(coded, "code", table, "back").select("p_partkey", F.col("text").alias("word"), "code", "back")
 
 
-@query("A18 B5", "SELECT s_suppkey::VARCHAR AS station, m::BIGINT AS month, CASE WHEN m <> 3 THEN s_acctbal + m END AS tmax, CASE WHEN s_suppkey % 4 <> 0 THEN m * 2.0::DOUBLE END AS prcp FROM supplier, (VALUES (1), (2), (3)) v(m) WHERE m <> 3 OR s_suppkey % 4 <> 0")
+@query("A18 B5", """SELECT s_suppkey::VARCHAR AS station, m::BIGINT AS month, CASE WHEN m <> 3 THEN s_acctbal + m END AS tmax, CASE WHEN s_suppkey % 2 = 0 AND s_suppkey % 4 <> 0 THEN m * 2.0::DOUBLE END AS prcp
+  FROM supplier, (VALUES (1), (2), (3)) v(m) WHERE m <> 3 OR s_suppkey % 4 = 2""")
 def station_rows(t):
+    """A folder with files of three layouts: columns in another order, and one column that some files lack."""
     k, m = F.col("s_suppkey").cast("string"), F.col("m")
     rows = t.supplier.withColumn("m", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).select(
-        k.alias("STATION"), F.concat(F.lit("2010-"), F.lpad(m.cast("string"), 2, "0")).alias("DATE"),
+        "s_suppkey", k.alias("STATION"), F.concat(F.lit("2010-"), F.lpad(m.cast("string"), 2, "0")).alias("DATE"),
         F.when(m == 3, "-7777").otherwise((F.col("s_acctbal") + m).cast("string")).alias("TMAX"),
-        F.when(F.col("s_suppkey") % 4 == 0, "-9999").otherwise((m * 2.0).cast("string")).alias("PRCP"))
-    out = files.station_rows(rows, ["TMAX", "PRCP"], [-7777, -9999])
+        F.when(F.col("s_suppkey") % 4 == 0, "-9999").otherwise((m * 2.0).cast("string")).alias("PRCP"), F.lit("a, b").alias("NAME"))
+    folder = shared_folder(t.spark)
+    for part, columns in enumerate((["STATION", "DATE", "TMAX", "PRCP"], ["NAME", "PRCP", "DATE", "STATION", "TMAX"], ["STATION", "NAME", "DATE", "TMAX"])):
+        keep = F.col("s_suppkey") % 4 == part * 2 if part < 2 else F.col("s_suppkey") % 2 == 1
+        rows.filter(keep).select(*columns).write.option("header", True).csv(f"{folder}/{part}")
+    out = files.read_stations(t.spark, f"{folder}/*", ["TMAX", "PRCP"], [-7777, -9999])
     return out.withColumn("month", F.col("month").cast("long"))
 
 

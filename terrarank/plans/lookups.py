@@ -187,7 +187,7 @@ def newest_period_market(t):
 def standing_in_other_table(t):
     from ..operators.rank import share_at_or_below
 
-    s = share_at_or_below(base.places(t).select("place", "balance"), "balance", t.supplier, "s_acctbal", "standing", limits=t.bound("customer"))
+    s = share_at_or_below(base.places(t).select("place", "balance"), "balance", t.supplier, "s_acctbal", "standing")
     return s.select("place", r("standing").alias("standing"))
 
 

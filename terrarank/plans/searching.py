@@ -63,7 +63,7 @@ def accepts(t):
 
 
 def _known(t):
-    return score.contributions(base.places(t), "place", criteria(t), MEASURES, t.bound("customer"))
+    return score.contributions(base.places(t), "place", criteria(t), MEASURES)
 
 
 def _statuses(t):
@@ -86,8 +86,8 @@ def search_contributions(t):
 @query("E2 F23", with_(*SEARCH_SQL, select=f"SELECT search, place, metric, {rs('points')} AS points FROM contrib"))
 def search_on_saved_bounds(t):
     """The bounds table is written once; the search only looks values up in it."""
-    saved = durable(rank.value_bounds(_long(t), ["metric"], limits=t.bound("customer")))
-    c = score.contributions(base.places(t), "place", criteria(t), MEASURES, t.bound("customer"), saved)
+    saved = durable(rank.value_bounds(_long(t), ["metric"]))
+    c = score.contributions(base.places(t), "place", criteria(t), MEASURES, saved)
     return c.select("search", "place", "metric", r("points").alias("points"))
 
 
@@ -128,7 +128,7 @@ def search_explanations(t):
   WHERE lo >= 95 AND metric IN ('spend', 'orders') AND NOT EXISTS (
     SELECT 1 FROM criteria c WHERE c.search = s.search AND c.metric = bounds.metric)"""))
 def search_watch_outs(t):
-    rows = rank.rank_rows(_long(t), ["place"], ["metric"], limits=t.bound("customer"))
+    rows = rank.rank_rows(_long(t), ["place"], ["metric"])
     return score.watch_outs(rows, "place", ["spend", "orders"], criteria(t)).select("search", "place", "metric", "worse_than")
 
 
@@ -147,7 +147,7 @@ def place_search(t):
         [("s", "balance", 5.0, "higher"), ("s", "spend", 3.0, "higher"), ("s", "orders", 2.0, "lower")],
         "search string, metric string, weight double, direction string")
     must = t.rows([("s", "balance", 0.0, None)], "search string, metric string, min double, max double")
-    known = score.contributions(scope, "place", asked, MEASURES, t.bound("customer"))
+    known = score.contributions(scope, "place", asked, MEASURES)
     statuses = score.filter_results(scope.select("place", "balance"), "place", must)
     scored = score.scores(scope, "place", asked, known, statuses)
     scored = scored.withColumn("exact", F.col("score")).withColumn("score", r("score", 9))

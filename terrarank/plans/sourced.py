@@ -35,12 +35,18 @@ def page_list_items(t):
 
 
 @query("A10", with_(ITEMS, r"c AS (SELECT page_id, position, trim(regexp_replace(regexp_replace(item, '[^A-Za-z0-9 ]', '', 'g'), ' +', ' ', 'g')) AS cell FROM li)",
-  select="""SELECT page_id, 0::BIGINT AS table_no, position AS row_no, position || '|' || trim(cell || ' end') AS cells FROM c"""))
+  "o AS (SELECT *, count(*) FILTER (WHERE position % 3 = 1) OVER (PARTITION BY page_id) AS inner_n, row_number() OVER (PARTITION BY page_id, position % 3 = 1 ORDER BY position) - 1 AS nth FROM c)",
+  select="""SELECT page_id, inner_n AS table_no, position AS row_no,
+      position || '|' || CASE WHEN position % 3 = 1 THEN trim('in ' || trim(cell || ' &') || ' out') ELSE trim(cell || ' end') END AS cells FROM o
+    UNION ALL SELECT page_id, nth, 0, trim(cell || ' &') FROM o WHERE position % 3 = 1"""))
 def page_table_cells(t):
+    """One table per page; a third of its rows hold a table of their own, and one more table is never closed."""
     cell = F.trim(F.regexp_replace(F.regexp_replace("item", "[^A-Za-z0-9 ]", ""), " +", " "))
-    rows = F.concat(F.lit("<tr><td>"), F.col("position").cast("string"), F.lit("<td class=x> "), cell, F.lit("<br>end</td></tr>"))
+    plain = F.concat(F.lit("<td class=x> "), cell, F.lit("<br>end</td></tr>"))
+    nested = F.concat(F.lit("<TH>in <table><!-- <tr> --><tr><td>"), cell, F.lit(" &amp;</table>out"))
+    rows = F.concat(F.lit("<tr><td>"), F.col("position").cast("string"), F.when(F.col("position") % 3 == 1, nested).otherwise(plain))
     pages = items(t).groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", rows.alias("h")))), lambda x: x["h"]), "").alias("h"))
-    pages = pages.select("page_id", F.concat(F.lit("<p>x<table>"), F.col("h"), F.lit("</table>")).alias("h"))
+    pages = pages.select("page_id", F.concat(F.lit("<p>x<table>"), F.col("h"), F.lit("</table><table><tr><td>never closed")).alias("h"))
     out = html.table_rows(pages, "page_id", "h")
     return out.select("page_id", F.col("table_no").cast("long"), F.col("row_no").cast("long"), F.array_join("cells", "|").alias("cells"))
 
@@ -61,7 +67,7 @@ def state_labels_to_codes(t):
 def labels_filled_down(t):
     x = t.events.select(F.col("user_id").alias("sheet"), F.col("event_id").alias("row_no"), "event_type", F.when(F.col("event_id") % 5 == 0, F.col("event_type")).alias("label"))
     below = facts.rows_below_header(x, ["sheet"], "row_no", F.col("event_type") == "signup")
-    return facts.fill_labels(below, ["sheet"], "row_no", "label", "block", t.bound("events")).select("sheet", "row_no", "block")
+    return facts.fill_labels(below, ["sheet"], "row_no", "label", "block").select("sheet", "row_no", "block")
 
 
 @query("G10", """WITH c AS (SELECT c_custkey AS k, 6 + c_custkey % 9 AS w, c_custkey % 4 AS m FROM customer)

@@ -43,7 +43,7 @@ def nearest_stations(t):
   "e AS (SELECT line, station, i, n, coalesce(plat + (lat - plat) * i / n, lat) AS lat, coalesce(plon + (lon - plon) * i / n, lon) AS lon FROM d, range(1, 200) x(i) WHERE i <= n)",
   select=f"SELECT place, {rs(f'min({hav(chr(112), chr(101))})')} AS miles FROM places p CROSS JOIN e GROUP BY 1"))
 def distance_to_lines(t):
-    pts = spatial.densify(stations(t), "district", "station", 60.0, limits=t.bound("supplier"))
+    pts = spatial.densify(stations(t), "district", "station", 60.0)
     pts = pts.withColumn("vertex", F.concat_ws("-", "station", "piece"))
     n = spatial.nearest(base.places(t), "place", pts, "vertex", 1)
     return n.select("place", r("miles").alias("miles"))
@@ -195,9 +195,8 @@ def school_score_by_area(t):
     near = spatial.in_group_nearest(base.places(t).select("place", "county", "lat", "lon"), "place", sch, "school", "county", "level", lower)
     mean = near.groupBy("place").agg(r(F.avg("s_score")).alias("s"))
     curve = sch.groupBy("county").agg(r(F.avg("score")).alias("s"))
-    limits = t.bound("part")
-    placed = share_at_or_below(mean, "s", curve, "s", "by_nearby", limits=limits)
-    districts = average_rank_percentile(curve.filter("county % 7 <> 0"), ["county"], [], "s", "district_pctl", limits).select("county", "district_pctl")
+    placed = share_at_or_below(mean, "s", curve, "s", "by_nearby")
+    districts = average_rank_percentile(curve.filter("county % 7 <> 0"), ["county"], [], "s", "district_pctl").select("county", "district_pctl")
     count = sch.filter(F.col("level") != "high").groupBy("county").agg(F.count("*").alias("n"))
     rows = base.places(t).select("place", "county").join(placed, "place", "left").join(districts, "county", "left").join(count, "county", "left")
     use = F.col("s").isNotNull() & ((F.col("n") >= 20) | F.col("district_pctl").isNull())

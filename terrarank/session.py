@@ -21,18 +21,11 @@ SETTINGS = {
 
 @dataclass(frozen=True)
 class Limits:
-    """When to split work inside one group. Tests lower these to walk the split paths."""
-
-    split_rows: int = 1_000_000   # distinct sorted values of one group handled by one task
-    hot_rows: int = 1_000_000     # rows of one join key above which the key is salted
-    max_listed: int = 4_096       # groups or keys listed on the driver (the largest ones)
-    salts: int = 64               # pieces a hot key is spread over
-    at_most: int | None = None    # a proven bound on rows per group, when the caller has one
-
-    @property
-    def proven_small(self) -> bool:
-        """No group can need splitting or salting, so no sizing job is run."""
-        return self.at_most is not None and self.at_most <= min(self.split_rows, self.hot_rows)
+    """When to spread work inside one group. Tests lower these to walk the paths of large groups."""
+
+    hot_rows: int = 1_000_000   # rows of one join key above which the key is salted
+    salts: int = 64             # pieces a hot key is spread over
+    slices: int | None = None   # ranges that ordered rows are cut into; None: the session's partitions, by size
 
 
 DEFAULT_LIMITS = Limits()

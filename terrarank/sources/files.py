@@ -6,26 +6,43 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import is_mojibake, strip_bom
 from ..functions.values import codes_to_null, col, number
+from ..session import broadcast_checked
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str = ",", required: Sequence[str] = (), encoding: str = "UTF-8") -> DataFrame:
-    """A delimited file with a header, every column a string, headers trimmed and freed of a byte-order mark.
+def read_delimited(spark: SparkSession, path: str, sep: str = ",", required: Sequence[str] = ()) -> DataFrame:
+    """Delimited files with a header, every column a string, headers trimmed and freed of a byte-order mark.
 
-    Missing required columns are an error now; wrongly decoded text is an error while rows are read.
+    Bytes are read as Latin-1, which loses none; each value is then UTF-8 where its bytes are valid UTF-8, else stays
+    Latin-1. Missing required columns are an error now; text with the marks of a wrong decoding is an error while rows
+    are read.
     """
-    raw = spark.read.csv(path, sep=sep, header=True, inferSchema=False, encoding=encoding, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-    names = [c.strip().lstrip("﻿") for c in raw.columns]
+    raw = spark.read.csv(path, sep=sep, header=True, inferSchema=False, encoding="ISO-8859-1", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    names = [_header_name(c) for c in raw.columns]
     df = raw.toDF(*names)
+    df = df.select([_decoded(c) for c in names])
     missing = [c for c in required if c not in names]
     if missing:
         raise ValueError(f"{path} is missing columns: {', '.join(missing)}")
     return df
 
 
+def _header_name(c: str) -> str:
+    data = c.encode("latin-1", "replace")
+    try:
+        return data.decode("utf-8").strip().lstrip("\ufeff").strip()
+    except UnicodeDecodeError:
+        return c.strip()
+
+
+def _decoded(c: str) -> Column:
+    text = decode_bytes(F.encode(F.col(f"`{c}`"), "ISO-8859-1"))
+    wrong = F.raise_error(F.concat(F.lit(f"wrongly decoded text in {c}: "), text)).cast("string")
+    return F.when(F.coalesce(is_mojibake(text), F.lit(False)), wrong).otherwise(text).alias(c)
+
+
 def check_decoding(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows whose text shows the marks of a wrong decoding, with the column."""
     bad = F.array_compact(F.array(*[F.when(is_mojibake(c), F.struct(F.lit(c).alias("column"), F.col(c).alias("text"))) for c in columns]))
@@ -112,7 +129,11 @@ def payload_of(df: DataFrame, fmt: str, by: Sequence[str], rows_per_payload: int
     cols = [c for c in df.columns if c not in by]
     row = F.array(*[F.col(c).cast("string") for c in cols])
     parts = df.groupBy(*by).agg(F.ceil(F.count("*") / rows_per_payload).alias("_parts"))
-    rows = df.join(parts, list(by)).withColumn("part", F.pmod(F.xxhash64(*cols), F.col("_parts")))
+    named = parts.select([F.col(c).alias(f"_by_{c}") for c in by] + ["_parts"])
+    same = F.lit(True)
+    for c in by:
+        same = same & df[c].eqNullSafe(named[f"_by_{c}"])
+    rows = df.join(named, same).drop(*[f"_by_{c}" for c in by]).withColumn("part", F.pmod(F.xxhash64(*cols), F.col("_parts")))
     packed = rows.groupBy(*by, "part").agg(F.collect_list(row).alias("rows"))
     return packed.select(*by, "part", F.to_json(F.struct(F.lit(fmt).alias("format"), F.array(*[F.lit(c) for c in cols]).alias("columns"), "rows"),
                                         {"ignoreNullFields": "false"}).alias("body"))
@@ -122,13 +143,20 @@ def payload_of(df: DataFrame, fmt: str, by: Sequence[str], rows_per_payload: int
 
 
 def read_stations(spark: SparkSession, path: str, variables: Sequence[str], sentinels: Sequence[float], date: str = "DATE") -> DataFrame:
-    """Station files under a folder, columns tolerated when absent; month cut from the date, marker values
-    unknown, rows of stations that report nothing dropped."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in ["STATION", date, *variables]])
-    raw = spark.read.option("header", True).option("mergeSchema", True).option("enforceSchema", False).csv(path)
-    have = set(raw.columns)
-    df = raw.select(*[F.col(f.name) if f.name in have else F.lit(None).cast("string").alias(f.name) for f in schema.fields])
-    return station_rows(df, variables, sentinels, date)
+    """Station files under a folder, each read by its own header: columns in any order, tolerated when absent;
+    month cut from the date, marker values unknown, rows of stations that report nothing dropped.
+
+    A header is a line that names the station and the date column; one row per file is its table of headers.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), F.col("value").alias("_line"))
+    head = strip_bom("_line").contains("STATION") & F.col("_line").contains(date)
+    width = lines.filter(head).agg(F.max(F.size(F.split("_line", ",")))).first()[0] or 1
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    cells = lambda line: F.array(*[F.trim(F.from_csv(line, schema)[f"c{i}"]) for i in range(width)])
+    headers = lines.filter(head).groupBy("_file").agg(F.min(cells(strip_bom("_line"))).alias("_names"))
+    rows = lines.filter(~head).withColumn("_cells", cells(F.col("_line"))).join(broadcast_checked(headers), "_file")
+    value = lambda c: F.nullif(F.get("_cells", F.nullif(F.array_position("_names", F.lit(c)), F.lit(0)).cast("int") - 1), F.lit(""))
+    return station_rows(rows.select(*[value(c).alias(c) for c in ["STATION", date, *variables]]), variables, sentinels, date)
 
 
 def station_rows(df: DataFrame, variables: Sequence[str], sentinels: Sequence[float], date: str = "DATE") -> DataFrame:

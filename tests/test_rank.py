@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from terrarank.operators import rank
 from terrarank.session import Limits
 
-TINY = Limits(split_rows=7, hot_rows=10, max_listed=50, salts=4)
+TINY = Limits(hot_rows=10, salts=4, slices=9)
 
 
 def frame(spark, rows, schema):
@@ -100,7 +100,7 @@ def test_quantiles_and_weighted_median(spark):
 def test_standing_in_a_curve(spark):
     curve = frame(spark, [(float(x),) for x in (1, 2, 2, 4, 8)], "c double")
     points = frame(spark, [(0, 2.0), (1, 0.5), (2, 100.0), (3, None), (4, 3.0)], "k int, p double")
-    for limits in (Limits(), Limits(split_rows=2)):
+    for limits in (Limits(), Limits(slices=5)):
         got = {r["k"]: r["s"] for r in rank.share_at_or_below(points, "p", curve, "c", "s", limits=limits).collect()}
         assert got == {0: 60.0, 1: 0.0, 2: 100.0, 3: None, 4: 60.0}
 
@@ -121,4 +121,4 @@ def test_explain_has_no_global_sort_window(spark):
     """With splitting forced, no window is left without partition keys."""
     df = frame(spark, [(i, "m", float(i)) for i in range(100)], "k int, metric string, value double")
     plan = rank.value_bounds(df, ["metric"], limits=TINY)._jdf.queryExecution().optimizedPlan().toString()
-    assert "_slice" in plan
+    assert "_p" in plan

@@ -112,7 +112,7 @@ def test_enrollment_codes(spark):
 
 def test_fill_labels_in_slices(spark):
     df = spark.createDataFrame([("s", i, f"L{i}" if i % 9 == 4 else None) for i in range(60)], "sheet string, row int, label string")
-    for limits in (Limits(), Limits(split_rows=5)):
+    for limits in (Limits(), Limits(slices=5)):
         got = {r["row"]: r["block"] for r in facts.fill_labels(df, ["sheet"], "row", "label", "block", limits).collect()}
         assert all(got[i] == (None if i < 4 else f"L{(i - 4) // 9 * 9 + 4}") for i in range(60))
 

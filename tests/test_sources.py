@@ -20,14 +20,42 @@ def test_delimited_file_keeps_text_and_drops_the_mark(spark, tmp_path):
         files.read_delimited(spark, str(tmp_path), "\t", ["LAND"])
 
 
-def test_wrong_decoding_is_seen(spark, tmp_path):
+def test_files_in_two_encodings(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("name\nDoña Ana\n".encode())
-    df = files.read_delimited(spark, str(tmp_path), ",", ["name"], encoding="ISO-8859-1")
-    assert files.check_decoding(df, ["name"]).count() == 1
-    raw = spark.createDataFrame([(bytearray("Doña".encode("latin-1")),), (bytearray("﻿Doña".encode()),)], "b binary")
+    (tmp_path / "b.csv").write_bytes("name\nPeña\n".encode("latin-1"))
+    assert {r.name for r in files.read_delimited(spark, str(tmp_path), ",", ["name"]).collect()} == {"Doña Ana", "Peña"}
+    raw = spark.createDataFrame([(bytearray("Doña".encode("latin-1")),), (bytearray("\ufeffDoña".encode()),)], "b binary")
     assert [r[0] for r in raw.select(files.decode_bytes("b")).collect()] == ["Doña", "Doña"]
 
 
+def test_wrong_decoding_fails_the_read(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("name\nDoña Ana\n".encode().decode("latin-1").encode())
+    with pytest.raises(Exception, match="wrongly decoded text in name"):
+        files.read_delimited(spark, str(tmp_path), ",", ["name"]).collect()
+
+
+def test_stations_with_different_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("STATION,DATE,TMAX\nS1,2010-01,5\n")
+    (tmp_path / "b.csv").write_text('NAME,PRCP,DATE,STATION\n"x, y",2.5,2010-02,S2\n"x",-9999,2010-03,S2\n')
+    (tmp_path / "c.csv").write_text("DATE,STATION,OTHER\n2010-01,S3,1\n")
+    rows = files.read_stations(spark, str(tmp_path), ["TMAX", "PRCP"], [-9999.0]).orderBy("station").collect()
+    assert [tuple(r) for r in rows] == [("S1", 1, 5.0, None), ("S2", 2, None, 2.5)]
+
+
+def test_payload_keeps_rows_without_a_group(spark):
+    df = spark.createDataFrame([("a", 1), (None, 2)], "g string, v int")
+    assert sorted(str(r.g) for r in files.payload_of(df, "f", ["g"]).collect()) == ["None", "a"]
+
+
+def test_any_word_of_a_column_has_a_code(spark):
+    df = spark.createDataFrame([(i, f"w{i % 1500:04d}") for i in range(3000)] + [(9999, None)], "id long, word string")
+    table = codes.code_table(df, "word")
+    out = codes.encode_with(df, "word", table)
+    assert {(r.word, r.code) for r in out.collect()} == {(f"w{i:04d}", i) for i in range(1500)} | {(None, None)}
+    with pytest.raises(Exception, match="not a known word: w0000"):
+        codes.encode_with(df, "word", table.where("code > 0")).collect()
+
+
 def test_record_width_change_fails(spark):
     ok = spark.createDataFrame([("PL|750|b1|5|",), ("PL|140|short",)], "line string")
     assert [tuple(r) for r in files.record_lines(ok, "line", "|", 1, "750", {"block": 2, "pop": 3}, 5).collect()] == [("b1", "5")]
