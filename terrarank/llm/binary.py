@@ -18,8 +18,7 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +27,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import broadcast_checked
-from .text import slices
+from .text import CHUNK, slices
 
 SEGMENT_IDS = 1 << 20
 SAMPLE = 256
-WORDS_KEPT = 400_000   # words, and as many runs of letters, whose ids a worker remembers
+WORDS_KEPT = 800_000   # words, and as many runs of letters, whose ids a worker remembers at most
 
 _ROW = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("before", pa.int64()), ("documents", pa.int64()), ("size", pa.int64()), ("data", pa.binary())])
 _HEADER = struct.Struct("<4sBxxxQQQ")   # mark, bytes per id, documents, ids, documents without doc_id
@@ -129,13 +128,14 @@ class Segment:
         return [None] * self.nulls + self.known.all().tolist()
 
 
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")   # letters that are one piece whatever their case, and a mark that is another
+# letters that are one piece whatever their case, and marks after them that are another
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]{0,8})")
 
 
 class Tokenizer:
     """The tokenizers library's ids of whole texts, with the words that came before looked up.
 
-    The library's normaliser and patterns never look across a space, so a text's ids are those of its space-separated words.
+    The library's normaliser and patterns never look across a space or line end, so a text's ids are those of its words between them.
     New words go to the library together: plain ones many to a text, cut up again at the tokens that end a word, all others
     each for itself.
     """
@@ -151,7 +151,7 @@ class Tokenizer:
         self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
         self.words: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}    # newer and older
         self.letters: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
-        self.marks = {"": b""} | dict(zip(".,", self._alone([".", ","])))
+        self.marks: tuple[dict[str, bytes], dict[str, bytes]] = {"": b""}, {}
 
     def _alone(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -167,37 +167,40 @@ class Tokenizer:
         return out
 
     @staticmethod
-    def _renewed(tables: tuple[dict, dict], wanted: set[str]) -> tuple[tuple[dict, dict], list[str]]:
-        """The tables with what the older one knows moved to the newer one, and what neither knows."""
+    def _look(tables: tuple[dict, dict], wanted: Iterable[str], encode: Callable[[list[str]], list[bytes]]) -> tuple[tuple[dict, dict], dict[str, bytes]]:
+        """The ids of ``wanted``, none of which the newer table knows, and the tables with them; a full newer one becomes the older."""
         newer, older = tables
-        new = wanted.difference(newer)
-        if len(newer) + len(new) > WORDS_KEPT // 2:
-            newer, older, new = {}, newer, wanted
-        known = new.intersection(older)
-        newer.update((w, older[w]) for w in known)
-        return (newer, older), list(new.difference(known))
+        found = {w: older.get(w) for w in wanted}
+        new = [w for w, ids in found.items() if ids is None]
+        found.update(zip(new, encode(new)))
+        kept = found if all(len(w) <= 64 for w in found) else {w: ids for w, ids in found.items() if len(w) <= 64}
+        if len(newer) + len(kept) > WORDS_KEPT // 2:
+            return (dict(kept), newer), found
+        newer.update(kept)
+        return (newer, older), found
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        parts = [_PLAIN.fullmatch(w) for w in words]
+        letters = [m and m[1].lower() for m in parts]
+        known, marks = self.letters[0], self.marks[0]
+        fresh = {x for x in letters if x is not None and x not in known}
+        self.letters, found = self._look(self.letters, fresh, self._together)
+        self.marks, signs = self._look(self.marks, {m[2] for m in parts if m and m[2] not in marks}, self._alone)
+        others = iter(self._alone([w for w, m in zip(words, parts) if not m]))
+        ids = lambda x: found[x] if x in found else known[x]
+        sign = lambda x: signs[x] if x in signs else marks[x]
+        return [ids(x) + sign(m[2]) if m else next(others) for x, m in zip(letters, parts)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.split(" ") for t in texts]
-        self.words, missing = self._renewed(self.words, set(chain.from_iterable(split)))
-        plain, others = {}, []
-        for w in missing:
-            m = _PLAIN.fullmatch(w)
-            if m:
-                plain[w] = m[1].lower(), m[2]
-            else:
-                others.append(w)
-        self.letters, unknown = self._renewed(self.letters, {x for x, _ in plain.values()})
-        letters, words = self.letters[0], self.words[0]
-        letters.update(zip(unknown, self._together(unknown)))
-        words.update((w, letters[x] + self.marks[mark]) for w, (x, mark) in plain.items())
-        words.update(zip(others, self._alone(others)))
-        out = [np.frombuffer(b"".join(map(words.__getitem__, w)), self.kind) for w in split]
-        for table, new in ((words, missing), (letters, unknown)):
-            for w in new:
-                if len(w) > 64:
-                    del table[w]
-        return out
+        get = self.words[0].get
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        ids = [list(map(get, w)) for w in split]
+        gaps = [[i for i, x in enumerate(f) if x is None] if None in f else () for f in ids]
+        self.words, found = self._look(self.words, {w[i] for w, at in zip(split, gaps) for i in at}, self._words)
+        for f, w, at in zip(ids, split, gaps):
+            for i in at:
+                f[i] = found[w[i]]
+        return [np.frombuffer(b"".join(f), self.kind) for f in ids]
 
 
 _TOKENIZERS: dict[str, Tokenizer] = {}
@@ -228,7 +231,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None
 
         end = np.array([] if end_id is None else [end_id], own.kind)
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, limit=4 * CHUNK):
                 for doc, found in zip(piece.column("doc_id").to_pylist(), own.encode([t or "" for t in piece.column("text").to_pylist()])):
                     doc_ids.append(doc)
                     lengths.append(len(found) + len(end))
