@@ -163,12 +163,18 @@ def state_facts_on_places(t):
     return joins.apply_facts(rows, sales.unionByName(status), "state", ["sales_tax"], ["status"]).select("c_custkey", "sales_tax", "status")
 
 
-@query("B18", """WITH cur AS (SELECT p_partkey AS id, p_name AS nm FROM part WHERE p_partkey % 3 <> 0), u AS (SELECT nm, min(id) AS id FROM cur GROUP BY 1 HAVING count(*) = 1)
-  SELECT p_partkey AS row_id, p_partkey + CASE WHEN p_partkey % 2 = 0 THEN 1000000 ELSE 0 END AS id FROM part WHERE p_partkey % 5 = 0""")
+@query("B18", """WITH nm AS (SELECT p_partkey AS k, p_partkey + CASE WHEN p_partkey % 2 = 0 THEN 1000000 ELSE 0 END AS id,
+    CASE WHEN p_partkey % 4 IN (0, 3) THEN 'only ' || p_partkey WHEN p_partkey % 4 = 2 THEN 'only ' || (p_partkey + 1) ELSE p_name END AS nm FROM part),
+  cur AS (SELECT k AS id, nm FROM nm WHERE k % 3 <> 0), u AS (SELECT nm, min(id) AS id FROM cur GROUP BY 1 HAVING count(*) = 1)
+  SELECT k AS row_id, CASE WHEN u.id IS NOT NULL AND nm.id NOT IN (SELECT id FROM cur) AND u.id NOT IN (SELECT id FROM nm) THEN u.id ELSE nm.id END AS id
+  FROM nm LEFT JOIN u USING (nm)""")
 def repaired_keys(t):
+    """Even keys are out of date: those with a name of their own are repaired, unless the new key is taken or the name is shared."""
     k = F.col("p_partkey")
-    cur = t.part.filter(k % 3 != 0).select(k.alias("id"), F.col("p_name").alias("nm"))
-    rows = t.part.filter(k % 5 == 0).select(k.alias("row_id"), (k + F.when(k % 2 == 0, 1000000).otherwise(0)).alias("id"), F.col("p_name").alias("nm"))
+    name = F.when((k % 4).isin(0, 3), F.concat(F.lit("only "), k.cast("string"))).when(k % 4 == 2, F.concat(F.lit("only "), (k + 1).cast("string"))).otherwise(F.col("p_name"))
+    named = t.part.select(k, name.alias("nm"))
+    cur = named.filter(k % 3 != 0).select(k.alias("id"), "nm")
+    rows = named.select(k.alias("row_id"), (k + F.when(k % 2 == 0, 1000000).otherwise(0)).alias("id"), "nm")
     return joins.rekey_by_name(rows, "id", "nm", cur).select("row_id", "id")
 
 

@@ -182,7 +182,7 @@ def coverage_floor_checks(t):
 
 @query("H14", with_(*base.PLACE_SQL, select="""SELECT 'none' AS verdict, count(*) AS groups FROM (SELECT DISTINCT county FROM places WHERE state = 2)"""))
 def subset_run_equals_full(t):
-    p = base.places(t).filter("balance IS NOT NULL").withColumn("value", F.col("balance"))
+    p = base.places(t).withColumn("value", F.col("balance"))
     whole = exposure.weighted_exposure(p, ["county"], "value", "population")
     alone = exposure.weighted_exposure(p.filter("state = 2"), ["county"], "value", "population")
     bad = quality.subset_equals_full(whole, alone, "county", "value", 6).agg(F.count("*").alias("n"))

@@ -87,7 +87,7 @@ def search_contributions(t):
 def search_on_saved_bounds(t):
     """The bounds table is written once; the search only looks values up in it."""
     saved = durable(rank.value_bounds(_long(t), ["metric"]))
-    c = score.contributions(base.places(t), "place", criteria(t), MEASURES, saved)
+    c = score.contributions(base.places(t), "place", criteria(t), MEASURES, bounds=saved)
     return c.select("search", "place", "metric", r("points").alias("points"))
 
 

@@ -82,9 +82,9 @@ def inverse_distance_means(t):
     return out.select("place", r("temp").alias("temp"), r("rain").alias("rain"), "first_source", r("first_miles").alias("first_miles"), "source_count")
 
 
-@query("C13", with_(*NEAR, select="SELECT place, min(miles) <= 120 AS within FROM pairs WHERE station % 4 = 1 GROUP BY 1"))
+@query("C13", with_(*NEAR, select="SELECT place, min(miles) <= 40 AS within FROM pairs GROUP BY 1"))
 def within_radius(t):
-    return spatial.within_any(base.places(t).select("place", "lat", "lon"), "place", stations(t).filter("station % 4 = 1"), 120.0).select("place", "within")
+    return spatial.within_any(base.places(t).select("place", "lat", "lon"), "place", stations(t), 40.0).select("place", "within")
 
 
 CENTERS = """ctr AS (SELECT county, degrees(atan2(z, sqrt(x * x + y * y))) AS lat, degrees(atan2(y, x)) AS lon FROM (SELECT county, sum(population * cos(radians(lat)) * cos(radians(lon))) AS x,
@@ -102,17 +102,17 @@ def nearest_monitor_to_center(t):
     return n.select("county", F.col("s_station").alias("station"), F.round(KM_PER_MILE * F.col("miles"), 1).alias("km"))
 
 
-# Eight-sided zones around some stations, with a square hole.
-OUTER = [(0.0, 6.0), (4.0, 4.5), (6.0, 0.0), (4.5, -4.0), (0.0, -6.0), (-4.0, -4.5), (-6.0, 0.0), (-4.5, 4.0)]
-HOLE = [(1.0, 1.0), (1.0, -1.0), (-1.0, -1.0), (-1.0, 1.0)]
+# Eight-sided zones around all stations, with a square hole.
+OUTER = [(0.0, 1.5), (1.0, 1.125), (1.5, 0.0), (1.125, -1.0), (0.0, -1.5), (-1.0, -1.125), (-1.5, 0.0), (-1.125, 1.0)]
+HOLE = [(0.25, 0.25), (0.25, -0.25), (-0.25, -0.25), (-0.25, 0.25)]
 
 
 def zones(t):
     ring = lambda pts: F.array(*[F.struct((F.col("lon") + dx).alias("lon"), (F.col("lat") + dy).alias("lat")) for dx, dy in pts])
-    return stations(t).filter("station % 11 = 2").select(F.col("station").alias("zone"), "district", F.array(ring(OUTER), ring(HOLE)).alias("rings"))
+    return stations(t).select(F.col("station").alias("zone"), "district", F.array(ring(OUTER), ring(HOLE)).alias("rings"))
 
 
-ZONES = "zone AS (SELECT station AS zone, district, lat, lon FROM stations WHERE station % 11 = 2), edge AS (" + " UNION ALL ".join(
+ZONES = "zone AS (SELECT station AS zone, district, lat, lon FROM stations), edge AS (" + " UNION ALL ".join(
     f"SELECT zone, district, lon + {a[0]}::DOUBLE AS x1, lat + {a[1]}::DOUBLE AS y1, lon + {b[0]}::DOUBLE AS x2, lat + {b[1]}::DOUBLE AS y2 FROM zone"
     for ring in (OUTER, HOLE) for a, b in zip(ring, ring[1:] + ring[:1])) + """),
  hit AS (SELECT place, zone, district FROM places CROSS JOIN edge WHERE (y1 > lat) <> (y2 > lat) AND lon < x1 + (lat - y1) * (x2 - x1) / (y2 - y1)
