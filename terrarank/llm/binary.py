@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import broadcast_checked
-from .text import CHUNK, slices
+from .text import CHUNK, kept, slices
 
 SEGMENT_IDS = 1 << 20
 SAMPLE = 256
@@ -203,14 +203,9 @@ class Tokenizer:
         return [np.frombuffer(b"".join(f), self.kind) for f in ids]
 
 
-_TOKENIZERS: dict[str, Tokenizer] = {}
-
-
 def tokenizer(path: str) -> Tokenizer:
     """One per worker process, its words kept from task to task."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = Tokenizer(path)
-    return _TOKENIZERS[path]
+    return kept(path, lambda: Tokenizer(path))
 
 
 def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None = None, segment_ids: int = SEGMENT_IDS) -> None:

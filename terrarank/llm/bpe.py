@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import slices
+from .text import kept, slices
 
 STATES, PAIRS, PIECES, RUNS = 200_000, 600_000, 300_000, 300_000   # most entries of each table of a worker
 DECODED_AT_ONCE = 4096                             # tokens per block of streaming decode
@@ -235,15 +235,9 @@ class Codec:
         return hashlib.sha256(b",".join(map(self.decimal.__getitem__, ids.tolist()))).hexdigest()
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
 def codec(ranks_path: str, pattern: str) -> Codec:
     """One codec per worker process, its tables kept from task to task."""
-    key = (ranks_path, pattern)
-    if key not in _CODECS:
-        _CODECS[key] = Codec(*key)
-    return _CODECS[key]
+    return kept((ranks_path, pattern), lambda: Codec(ranks_path, pattern))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

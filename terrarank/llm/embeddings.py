@@ -26,7 +26,7 @@ from ..session import durable
 from .components import components
 from .lattice import cells
 from .links import linked, live_buckets
-from .text import mix, seeds
+from .text import forget, mix, seeds
 
 NO_ID = -(2**63)   # stands for a null vec_id
 
@@ -87,6 +87,7 @@ def near_duplicates(vectors: DataFrame, settings: Settings = Settings()) -> Data
     classes = durable(rows.where(sound).groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("weight")))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for a in range(0, batch.num_rows, 2048):
                 piece = batch.slice(a, 2048)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import slices
+from .text import forget, slices
 
 TRIE_BYTES = 96 << 20   # memory of one trie before it spills
 PIECE_BYTES = 8 << 20   # text folded at once before the shuffle
@@ -152,6 +152,7 @@ def _read(file) -> Iterator[tuple]:
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id and text_sha256 of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for piece in slices(batch, limit=PIECE_BYTES):
                 sha = [hashlib.sha256(t).hexdigest() for t in normalised(piece.column("text"))]
@@ -168,6 +169,7 @@ def owners(docs: DataFrame, largest: bool = True, trie_bytes: int = TRIE_BYTES)
     better = max if largest else min
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for piece in slices(batch, limit=PIECE_BYTES):
                 trie = Trie(better)
@@ -177,6 +179,7 @@ def owners(docs: DataFrame, largest: bool = True, trie_bytes: int = TRIE_BYTES)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _FOLDED)], schema=_FOLDED)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         trie = Trie(better, trie_bytes)
         for batch in batches:
             for text, best, rows, same in zip(*(batch.column(c).to_pylist() for c in ("text", "best", "rows", "same"))):

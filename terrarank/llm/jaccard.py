@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ..session import durable
 from .components import components
 from .links import linked, live_buckets
-from .text import Words, as_bytes, mix, seeds, shingles, slices
+from .text import Words, as_bytes, forget, mix, seeds, shingles, slices
 
 NO_ID = -(2**63)   # stands for a null doc_id
 LEVELS = 3
@@ -62,6 +62,7 @@ def sketches(docs: DataFrame, settings: Settings) -> DataFrame:
     by = seeds(settings.runs * LEVELS, settings.seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for piece in slices(batch):
                 w = Words(*as_bytes(piece.column("text")))
@@ -91,6 +92,7 @@ def sets(docs: DataFrame, width: int) -> DataFrame:
     others = [f for f in docs.schema if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for piece in slices(batch):
                 w = Words(*as_bytes(piece.column("text")))

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .text import forget
+
 BLOCK = 512
 
 Kernel = Callable[[list[memoryview], np.ndarray, np.ndarray], np.ndarray]
@@ -92,6 +94,7 @@ def linked(items: DataFrame, kernel: Kernel, block: int = BLOCK) -> DataFrame:
             .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "weight", "data", "all"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         kept = 0
 

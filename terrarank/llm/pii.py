@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import slices
+from .text import forget, slices
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")   # the first four are base spans
 NEAR = 40
@@ -105,6 +105,7 @@ def scan(docs: DataFrame) -> DataFrame:
         return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for piece in slices(batch):
                 texts = [t or "" for t in piece.column("text").to_pylist()]

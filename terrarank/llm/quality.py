@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import Words, as_bytes, mix, shingles, slices
+from .text import Words, as_bytes, forget, mix, shingles, slices
 
 SHAPES, WORDS, BINS = 1024, 2816, 16
 
@@ -160,6 +160,7 @@ def learn(docs: DataFrame, labels: DataFrame, known: Column, settings: Settings
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for piece in slices(batch):
                 m = term_matrix(piece.column("text"))
@@ -182,6 +183,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared, settings = docs.sparkSession.sparkContext.broadcast(model), model.settings
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for piece in slices(batch):
                 for a in range(0, piece.num_rows, settings.block):
@@ -198,6 +200,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
     shared, settings = docs.sparkSession.sparkContext.broadcast(model), model.settings
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for piece in slices(batch):
                 for a in range(0, piece.num_rows, settings.block):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import LOWER, as_bytes, slices
+from .text import LOWER, as_bytes, forget, slices
 
 FEW = 64   # most strings of a part of a rule that are followed one by one
 
@@ -203,6 +203,7 @@ def scan(docs: DataFrame, base: tuple[Rule, ...] = BASE, more: tuple[Rule, ...]
     rules, names, n_base = base + more, [r.kind for r in base + more], len(base)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         scanner = Scanner(rules)
         for batch in batches:
             for piece in slices(batch):

@@ -5,12 +5,14 @@ A word is a run of bytes other than space and tab to carriage return, with A-Z l
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+T = TypeVar("T")
 CHUNK = 1 << 20  # bytes of text worked on at once; a longer document is a chunk of its own
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -38,6 +40,22 @@ def seeds(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+_KEPT: dict[object, object] = {}
+
+
+def kept(key: object, make: Callable[[], T]) -> T:
+    """A table of this worker process that outlives its tasks, until one of another operator asks for its own or forgets all."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    """Give back what earlier tasks of this worker process have kept."""
+    _KEPT.clear()
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
         size = max(n, 2 * CHUNK)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import MARKS, Words, as_bytes, slices
+from .text import MARKS, Words, as_bytes, forget, slices
 
 
 @dataclass(frozen=True)
@@ -114,6 +114,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
 
 def _texts(docs: DataFrame, most: int, words: int) -> list[np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for piece in slices(batch):
                 rows, doc, word = distinct_words(piece.column("text"))
@@ -145,6 +146,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared, settings = docs.sparkSession.sparkContext.broadcast(model), model.settings
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for piece in slices(batch):
                 s = shared.value.score(*distinct_words(piece.column("text")))
