@@ -159,12 +159,12 @@ def fact_schema(values: DataFrame, definitions: DataFrame) -> DataFrame:
     filled = F.trim(F.coalesce("value", F.lit(""))) != ""
     allowed = F.split(F.coalesce("allowed", F.lit("")), r"\|")
     known = F.col("_known").isNotNull()
-    has = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    has = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
     rules = [
         (~known, "law is not declared"),
-        (known & has("status") & ~F.col("status").isin(*FX.STATUSES), "status is not valid"),
-        (known & has("confidence") & ~F.col("confidence").isin(*FX.CONFIDENCES), "confidence is not valid"),
-        (known & filled & F.col("type").isin("nominal", "ordinal", "boolean") & has("allowed") & ~F.array_contains(allowed, F.col("value")), "value is not in the allowed set"),
+        (known & has("status") & ~F.trim("status").isin(*FX.STATUSES), "status is not valid"),
+        (known & has("confidence") & ~F.trim("confidence").isin(*FX.CONFIDENCES), "confidence is not valid"),
+        (known & filled & F.col("type").isin("nominal", "ordinal", "boolean") & has("allowed") & ~F.array_contains(allowed, F.trim("value")), "value is not in the allowed set"),
         (known & filled & (F.col("type") == "numeric") & F.col("value_numeric").try_cast("double").isNull(), "numeric law has no number"),
         (known & filled & (F.col("type") == "ordinal") & ~has("order"), "ordinal law has no order"),
     ]

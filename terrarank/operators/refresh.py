@@ -37,8 +37,8 @@ def replace_partitions(live: DataFrame | None, fresh: DataFrame, partition: str,
 
 
 def overwrite_partitions(df: DataFrame, path: str, partition: Sequence[str]) -> None:
-    """Write so that only the partitions present in ``df`` are replaced."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)
+    """Write so that only the partitions present in ``df`` are replaced; few files each, however large one is."""
+    df.hint("rebalance", *[F.col(c) for c in partition]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)
 
 
 def merge_live(live: DataFrame, local: DataFrame, group: str) -> DataFrame:

@@ -35,7 +35,7 @@ def spend(t: Tables) -> DataFrame:
 @shared
 def places(t: Tables) -> DataFrame:
     k = F.col("c_custkey")
-    joined = (t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    joined = (t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
               .join(spend(t), k == F.col("o_custkey"), "left"))
     orders = F.coalesce("orders", F.lit(0).cast("long"))
     return joined.select(

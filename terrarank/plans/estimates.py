@@ -157,7 +157,7 @@ def owners(t):
     k, v = F.col("o_orderkey"), F.col("o_totalprice")
     urgent = F.col("o_orderpriority") == "1-URGENT"
     rows = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).join(
-        F.broadcast(t.nation), F.col("n_nationkey") == F.col("c_nationkey"))
+        t.nation, F.col("n_nationkey") == F.col("c_nationkey"))
     return rows.select(
         k, F.col("c_nationkey").alias("puma"), F.col("n_regionkey").alias("state"), v.alias("val"), (1 + k % 7).alias("w"),
         F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").alias("recent"),

@@ -145,7 +145,7 @@ def source_coverage(t):
    CASE WHEN m.v IS NOT NULL THEN n_nationkey WHEN coalesce(nm.v, st.v) IS NOT NULL THEN n_regionkey END::VARCHAR AS level_key
   FROM customer JOIN nation ON n_nationkey = c_nationkey LEFT JOIN m ON m.k = n_nationkey LEFT JOIN nm ON nm.k = n_regionkey LEFT JOIN st ON st.k = n_regionkey""")
 def fallback_assignment(t):
-    rows = t.customer.join(F.broadcast(t.nation), F.col("n_nationkey") == F.col("c_nationkey")).select(
+    rows = t.customer.join(t.nation, F.col("n_nationkey") == F.col("c_nationkey")).select(
         "c_custkey", F.col("n_nationkey").alias("metro"), F.col("n_regionkey").alias("state"))
     m = t.nation.filter("n_nationkey % 3 = 0").select(F.col("n_nationkey").alias("metro"), (100 + F.col("n_nationkey")).cast("long").alias("index_value"))
     nm = t.region.filter("r_regionkey % 2 = 0").select(F.col("r_regionkey").alias("state"), (50 + F.col("r_regionkey")).cast("long").alias("index_value"))
@@ -159,7 +159,7 @@ def state_facts_on_places(t):
     rk = F.col("r_regionkey")
     sales = t.region.select(rk.alias("state"), F.lit("sales_tax").alias("law"), F.when(rk != 2, (4.5 + rk).cast("string")).alias("value"), F.lit(None).cast("double").alias("value_numeric"))
     status = t.region.select(rk.alias("state"), F.lit("status").alias("law"), F.when(rk % 2 == 0, "medical").otherwise("illegal").alias("value"), F.lit(None).cast("double").alias("value_numeric"))
-    rows = t.customer.join(F.broadcast(t.nation), F.col("n_nationkey") == F.col("c_nationkey")).select("c_custkey", F.col("n_regionkey").alias("state"))
+    rows = t.customer.join(t.nation, F.col("n_nationkey") == F.col("c_nationkey")).select("c_custkey", F.col("n_regionkey").alias("state"))
     return joins.apply_facts(rows, sales.unionByName(status), "state", ["sales_tax"], ["status"]).select("c_custkey", "sales_tax", "status")
 
 

@@ -250,7 +250,7 @@ UPSERT = """old AS (SELECT 'wage' AS law, c_name AS state, (7 + c_custkey % 10)
 def _upsert(t):
     k = F.col("c_custkey")
     old = t.customer.filter(k % 3 != 0).select(F.lit("wage").alias("law"), F.col("c_name").alias("state"), F.concat((7 + k % 10).cast("string"), F.lit(".50")).alias("value"))
-    old = old.unionByName(t.customer.limit(1).select(F.lit("wage").alias("law"), F.lit("*").alias("state"), F.lit("x").alias("value")))
+    old = old.unionByName(t.rows([("wage", "*", "x")], "law string, state string, value string"))
     old = old.unionByName(t.customer.filter(k % 10 == 0).select(F.lit("keep").alias("law"), F.col("c_name").alias("state"), F.lit("y").alias("value")))
     old = old.withColumns({"status": F.lit("in_effect"), "notes": F.lit("")})
     fresh = t.customer.filter(k % 5 != 0).select(F.col("c_name").alias("state"), F.concat((F.when(k % 4 == 0, 8).otherwise(7) + k % 10).cast("string"), F.lit(".5")).alias("value"))

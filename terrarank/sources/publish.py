@@ -41,8 +41,9 @@ def read_interim(spark: SparkSession, folder: str, name: str, keys: Sequence[str
 
 
 def publish(df: DataFrame, folder: str, partition: Sequence[str]) -> None:
-    """Partitioned files; one partition's rows meet in a few tasks so files stay large."""
-    df.repartition(*partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(folder)
+    """Partitioned files. Rows are rebalanced by partition: small partitions share tasks, so files stay large, and one that
+    holds most rows is spread over several tasks."""
+    df.hint("rebalance", *[F.col(c) for c in partition]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(folder)
 
 
 def index_of(df: DataFrame, partition: str, generated: str) -> DataFrame:
