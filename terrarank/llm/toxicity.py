@@ -31,9 +31,10 @@ class Settings:
     words_per_text: int = 4096   # most different words of one sampled text, the smallest hashes; scoring takes all
     seen_in: int = 4          # a word must be in so many sampled texts
     vocabulary: int = 1024    # most words kept, those that tell most first
-    steps: int = 300
+    beyond_chance: float = 1.5   # of the log of the number of words, in G2
+    steps: int = 600
     rate: float = 0.05
-    decay: float = 1e-4
+    decay: float = 3e-5
     threshold: float = 0.3
 
 
@@ -70,9 +71,15 @@ def association(a: np.ndarray, b: np.ndarray, p: int, u: int) -> np.ndarray:
     return 2 * (part(a, seen * p / total) + part(b, seen * u / total) + part(p - a, (total - seen) * p / total) + part(u - b, (total - seen) * u / total))
 
 
+def _different(texts: list[np.ndarray]) -> list[np.ndarray]:
+    """One of the texts whose four smallest word hashes are the same: copies and most near copies would make any of their words tell."""
+    return list({tuple(np.sort(t)[:4].tolist()): t for t in reversed(texts)}.values())
+
+
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, settings: Settings) -> Model:
     """Adam on the non-negative risk with the logistic loss."""
     none = np.zeros(0, np.uint64)
+    positive, unlabelled = _different(positive), _different(unlabelled)
     if not positive or not unlabelled:
         return Model(none, np.zeros(0), -np.inf, settings)
     texts = [*positive, *unlabelled]
@@ -82,7 +89,8 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     mine[np.searchsorted(found, held)] = of
     tells = association(mine, times - mine, len(positive), len(unlabelled))
     # words that are further apart than chance brings the furthest of so many words
-    keep = np.flatnonzero((times >= settings.seen_in) & (tells > 2 * np.log(max(2, len(found)))))
+    often = times >= settings.seen_in
+    keep = np.flatnonzero(often & (tells > settings.beyond_chance * np.log(max(2, often.sum()))))
     keep = np.sort(keep[np.argsort(-tells[keep], kind="stable")[: settings.vocabulary]])
     words, size = found[keep], np.array([len(t) for t in texts])
     doc, word = np.repeat(np.arange(len(texts)), size), np.concatenate([none, *texts])
