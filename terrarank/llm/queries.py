@@ -69,7 +69,7 @@ def op8_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in every document."""
-    return pii.scan(_read(spark, folder, "documents"))
+    return pii.scan(_read(spark, folder, "documents")).drop("scores")
 
 
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
@@ -79,7 +79,48 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _spans_sql(kinds: list[tuple[str, str]], base: int, passes: str) -> str:
+    """Spans of each kind: matches are marked in the text, which is then cut at the marks; ``passes`` reads ``kind`` and ``hit``."""
+    listed = ", ".join(f"({k}, {_literal(kind)}, {_literal('(' + pattern + ')')})" for k, (kind, pattern) in enumerate(kinds))
+    counts = ", ".join(f"(count(*) FILTER (WHERE kind = '{kind}'))::BIGINT AS n_{kind}" for kind, _ in kinds[:base])
+    return f"""
+WITH texts AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
+kinds AS (SELECT * FROM (VALUES {listed}) v(k, kind, pattern)),
+parts AS (SELECT n, t, k, kind, pattern, string_split(regexp_replace(t, pattern, chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS p FROM texts, kinds),
+part AS (SELECT n, t, k, kind, pattern, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM parts),
+placed AS (SELECT *, split_part(x, chr(2), 1) AS hit, (sum(length(replace(x, chr(2), ''))) OVER (
+    PARTITION BY n, k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::BIGINT AS a FROM part),
+spans AS (SELECT n, k, kind, a, kind || ':' || a || ':' || (a + length(hit)) AS s FROM placed WHERE i > 1 AND ({passes})),
+found AS (SELECT n, {counts}, sha256(coalesce(array_to_string(list(s ORDER BY a, k) FILTER (WHERE k < {base}), ','), '')) AS base_sha256,
+    array_to_string(list(s ORDER BY a, k), ',') AS spans FROM spans GROUP BY n)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind, _ in kinds[:base])}, coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN found USING (n)"""
+
+
+_DIGITS = "regexp_replace(hit, '[^0-9]', '', 'g')"
+_LUHN = f"""list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda j:
+    substr({_DIGITS}, length({_DIGITS}) - j + 1, 1)::INT * (1 + (j - 1) % 2) - CASE WHEN substr({_DIGITS}, length({_DIGITS}) - j + 1, 1)::INT * (1 + (j - 1) % 2) > 9 THEN 9 ELSE 0 END)) % 10 = 0"""
+_MOVED = "substr(replace(hit, ' ', ''), 5) || substr(replace(hit, ' ', ''), 1, 4)"
+_MOD97 = f"""list_reduce(list_prepend(0, list_transform(string_split({_MOVED}, ''), lambda c: CASE WHEN c ~ '[0-9]' THEN c::INT ELSE ascii(c) - 55 END)),
+    lambda s, v: (s * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1"""
+_NEAR = f"lower(substr(t, greatest(a - {pii.NEAR}, 0) + 1, (a - greatest(a - {pii.NEAR}, 0))::BIGINT) || ' ' || substr(t, a + length(hit) + 1, {pii.NEAR}))"
+_ANY = lambda words: "(" + " OR ".join(f"contains({_NEAR}, '{w}')" for w in words) + ")"
+
 SQL: dict[str, str] = {
+    "op5_secrets": _spans_sql(
+        [(r.kind, f"(?i:{r.pattern})" if r.ignore_case else "[0-9a-f]+" if r.kind == "hex" else r.pattern) for r in secrets.BASE + secrets.MORE], len(secrets.BASE),
+        "CASE kind WHEN 'assign' THEN length(regexp_extract(hit, pattern, 3)) >= 6 WHEN 'access' THEN length(hit) >= 20 WHEN 'hex' THEN length(hit) >= 24 ELSE true END"),
+    "op9_pii": _spans_sql(
+        [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+         ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"), ("iban", pii.IBAN), ("ssn", pii.SSN)], 4,
+        f"""CASE kind WHEN 'ip' THEN len(list_filter(string_split(hit, '.'), lambda p: length(ltrim(p, '0')) > 3 OR p::HUGEINT > 255)) = 0
+    WHEN 'card' THEN length({_DIGITS}) BETWEEN 12 AND 19 AND {_LUHN} WHEN 'phone' THEN length({_DIGITS}) BETWEEN 9 AND 15
+    WHEN 'iban' THEN length(replace(hit, ' ', '')) BETWEEN 15 AND 34 AND {_MOD97}
+    WHEN 'ssn' THEN {_ANY(pii.FOR['ssn'])} AND NOT {_ANY(pii.AGAINST)} ELSE true END"""),
     "op3_exact_dedup": f"""
 WITH lowered AS (SELECT doc_id, {_LOWERED} AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
