@@ -187,10 +187,10 @@ BOOT = f"""rep AS (SELECT ow.*, i, (((o_orderkey * 1103515245 + i * 12345 + 7) %
   bv AS (SELECT state, puma, var_pop(CASE WHEN sav > 0 AND snv > 0 AND sat > 0 AND snt > 0 THEN ln((snt / snv) / (sat / sav)) END) AS se2 FROM bs GROUP BY ALL)"""
 
 
-@query("D15", with_(OWNERS, BOOT, select=f"SELECT state, puma, {rs('se2', 9)} AS se2 FROM bv"))
+@query("D15", with_(OWNERS, BOOT, select=f"SELECT state, puma, {rs('se2', 7)} AS se2 FROM bv"))
 def bootstrap_variance(t):
     return estimate.bootstrap_variance(owners(t), ["state", "puma"], ["o_orderkey"], "tax", "val", "w", "recent", "se2", REPS,
-                                       plain_uniform).select("state", "puma", r("se2", 9).alias("se2"))
+                                       plain_uniform).select("state", "puma", r("se2", 7).alias("se2"))
 
 
 @query("D16", with_(OWNERS, BOOT, f"""s AS (SELECT state, puma, {SUMS}, count(*) FILTER (WHERE recent) AS n_recent FROM ow GROUP BY ALL),

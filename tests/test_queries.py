@@ -8,7 +8,7 @@ from terrarank.plans.catalog import QUERIES
 
 from .oracle import compare, duck
 
-FOLDER = "/root/testdata/sf0.001"
+FOLDER, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
 
 
@@ -25,4 +25,6 @@ def test_query_agrees_with_sql(spark, con, name):
         assert df.count() > 0
     else:
         why = compare(df, con, q.sql)
+        if why == "no rows on either side":   # too little data: the next larger tables have rows for every query
+            why = compare(q.run(spark, LARGER), duck(LARGER), q.sql)
         assert why is None, why
