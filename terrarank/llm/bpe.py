@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .text import kept, slices
 
-STATES, PAIRS, PIECES, RUNS = 200_000, 600_000, 300_000, 300_000   # most entries of each table of a worker
+STATES, PAIRS, PIECES, RUNS = 100_000, 300_000, 160_000, 240_000   # most entries of each table of a worker
 DECODED_AT_ONCE = 4096                             # tokens per block of streaming decode
 
 _WHITE = "\t-\r \x85\xa0  -     　"
