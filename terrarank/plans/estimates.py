@@ -179,6 +179,12 @@ def plain_uniform(keys):
     return ((first * 48271 + rep * 69621) % prime) / F.lit(2147483647.0)
 
 
+def mixed_uniform(keys):
+    """A draw both engines can repeat in which no replicate follows from another: a hash of key and replicate together."""
+    digest = F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in keys]).cast("binary"))
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(2.0 ** 52)
+
+
 REPS = 200
 BOOT = f"""rep AS (SELECT ow.*, i, (((o_orderkey * 1103515245 + i * 12345 + 7) % 2147483647 * 48271 + i * 69621) % 2147483647) / 2147483647.0::DOUBLE AS u FROM ow, range(1, {REPS + 1}) x(i)),
   pw AS (SELECT state, puma, i, recent, tax, val, w * CASE WHEN u < 0.36787944117144233 THEN 0 WHEN u < 0.7357588823428847 THEN 1 WHEN u < 0.9196986029286058 THEN 2
@@ -187,12 +193,21 @@ BOOT = f"""rep AS (SELECT ow.*, i, (((o_orderkey * 1103515245 + i * 12345 + 7) %
   bv AS (SELECT state, puma, var_pop(CASE WHEN sav > 0 AND snv > 0 AND sat > 0 AND snt > 0 THEN ln((snt / snv) / (sat / sav)) END) AS se2 FROM bs GROUP BY ALL)"""
 
 
+MIXED_BOOT = "rep AS (SELECT ow.*, i, (('0x' || substr(md5(o_orderkey || ':' || i), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u " + BOOT[BOOT.index("FROM ow, range"):]
+
+
 @query("D15", with_(OWNERS, BOOT, select=f"SELECT state, puma, {rs('se2', 7)} AS se2 FROM bv"))
 def bootstrap_variance(t):
     return estimate.bootstrap_variance(owners(t), ["state", "puma"], ["o_orderkey"], "tax", "val", "w", "recent", "se2", REPS,
                                        plain_uniform).select("state", "puma", r("se2", 7).alias("se2"))
 
 
+@query("D15", with_(OWNERS, MIXED_BOOT, select=f"SELECT state, puma, {rs('se2', 9)} AS se2 FROM bv"))
+def independent_bootstrap_variance(t):
+    return estimate.bootstrap_variance(owners(t), ["state", "puma"], ["o_orderkey"], "tax", "val", "w", "recent", "se2", REPS,
+                                       mixed_uniform).select("state", "puma", r("se2", 9).alias("se2"))
+
+
 @query("D16", with_(OWNERS, BOOT, f"""s AS (SELECT state, puma, {SUMS}, count(*) FILTER (WHERE recent) AS n_recent FROM ow GROUP BY ALL),
   st AS (SELECT state, ln((sum(snt) / sum(snv)) / (sum(sat) / sum(sav))) AS state_l FROM s GROUP BY 1),
   p AS (SELECT s.state, s.puma, CASE WHEN n_recent >= 10 THEN ln((snt / snv) / (sat / sav)) END AS l, se2, state_l FROM s JOIN st USING (state)
