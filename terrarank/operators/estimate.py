@@ -185,6 +185,23 @@ def shrink_log_ratios(groups: DataFrame, group: str, state: str, states: DataFra
     return rows.join(tau, state).withColumn("l_hat", hat).drop("_tau2")
 
 
+def county_ratios(groups: DataFrame, crosswalk: DataFrame, counties: DataFrame, county: str, group: str, state: str, states: DataFrame) -> DataFrame:
+    """Ratio and recent sample per county: the mean of ``l_hat`` over the crosswalk's rows, each with its group's, as a clipped ratio;
+    each group's ``n_recent`` once. Counties outside the crosswalk take their state's ``state_l``, without a sample.
+
+    A county of the crosswalk none of whose groups has an estimate, and one whose state has none, get no row.
+    """
+    lo, hi = RATIO_CLIP
+    clipped = lambda l: F.round(F.greatest(F.lit(lo), F.least(F.lit(hi), F.exp(l))), 3)
+    cells = crosswalk.groupBy(county, state, group).agg(F.count("*").alias("_rows")).join(groups.select(state, group, "l_hat", "n_recent"), [state, group], "left")
+    known = cells.groupBy(county).agg((F.sum(F.col("_rows") * F.col("l_hat")) / F.sum(F.when(F.col("l_hat").isNotNull(), F.col("_rows")))).alias("_l"),
+                                      F.sum("n_recent").alias("sample"))
+    inside = known.filter(F.col("_l").isNotNull()).select(county, clipped(F.col("_l")).alias("ratio"), "sample")
+    outside = counties.join(known.select(county), county, "left_anti").join(states.filter(F.col("state_l").isNotNull()), state).select(
+        county, clipped(F.col("state_l")).alias("ratio"), F.lit(None).cast("long").alias("sample"))
+    return inside.unionByName(outside)
+
+
 # --- medians and rates shrunk toward their neighbours ------------------------
 
 

@@ -3,15 +3,20 @@ and ranked matches for typed queries."""
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_place, parse_label
 from . import rank
+from .facts import STATES
 
 # Fixed value: the words after a county's name.
 COUNTY_WORDS = r" (county|parish|borough|census area|municipality|city and borough|city)$"
 MATCH_LIMIT = 8
+# Fixed value: New York City's boroughs are counties under other names.
+COUNTY_ALSO = {"36047": "Brooklyn", "36061": "Manhattan", "36085": "Staten Island"}
 
 
 def group_areas(areas: DataFrame, group: Column, population: str = "population") -> DataFrame:
@@ -19,14 +24,23 @@ def group_areas(areas: DataFrame, group: Column, population: str = "population")
     return areas.groupBy(group.alias("group")).agg(F.count("*").alias("areas"), F.sum(F.coalesce(population, F.lit(0))).alias("population"))
 
 
+def _named(value: Column, names: Mapping[str, str]) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), value)
+
+
 def place_index(areas: DataFrame, counties: DataFrame, label: str = "label") -> DataFrame:
     """One row per place: kind, name, where, population, bounds, the county most of its people are in,
     its normalized name and the words that may follow it.
 
     ``areas``: area, county, label, population, lat, lon. ``counties``: county, county_name, state,
-    population. A city no area sits inside is made of the areas beside it. Dominant county and city come
+    population, and if they are there ``state_name`` and ``also``, the county's other name; else these are the
+    states' full names and New York City's boroughs. A city no area sits inside is made of the areas beside it. Dominant county and city come
     from nested sums, so a city holding a third of all areas still shuffles a row per county and task.
     """
+    if "state_name" not in counties.columns:
+        counties = counties.withColumn("state_name", _named(F.col("state"), {code: name for code, name, _ in STATES}))
+    if "also" not in counties.columns:
+        counties = counties.withColumn("also", _named(F.lpad(F.col("county").cast("string"), 5, "0"), COUNTY_ALSO))
     parsed = areas.join(counties.select("county", "state"), "county").withColumn("_p", parse_label(label)).select(
         "area", "county", "state", "population", "lat", "lon", "_p.*")
     kinds = F.array(
@@ -56,7 +70,7 @@ def place_index(areas: DataFrame, counties: DataFrame, label: str = "label") ->
         F.sum("areas").alias("areas"), F.sum("people").alias("population"), F.min("south").alias("south"), F.max("north").alias("north"),
         F.min("west").alias("west"), F.max("east").alias("east"))
     out = whole.join(by_county, "_id").join(by_city, "_id", "left").withColumn("county", F.col("_c"))
-    names = counties.select("county", F.col("county_name").alias("_county"), F.col("state").alias("_state"))
+    names = counties.select("county", F.col("county_name").alias("_county"), F.col("state").alias("_state"), F.col("state_name").alias("_state_name"))
     out = out.join(names, "county", "left")
     state = F.when(F.col("st") != "", F.col("st")).otherwise(F.coalesce("_state", F.lit("")))
     city = F.when(F.col("kind") == "zip", F.col("_zip_city")).otherwise(F.col("in_city"))
@@ -64,7 +78,7 @@ def place_index(areas: DataFrame, counties: DataFrame, label: str = "label") ->
     where = (F.when(F.col("kind") == "city", F.concat(F.coalesce("_county", F.lit("")), more, F.lit(", "), state))
              .when(city.isNotNull(), F.concat(city, F.lit(", "), state)).otherwise(state))
     norm = normalize_place("name")
-    context = F.filter(F.split(F.concat_ws(" ", normalize_place(F.coalesce(city, F.lit(""))), normalize_place(state)), " "), lambda w: w != "")
+    context = F.filter(F.split(F.concat_ws(" ", normalize_place(F.coalesce(city, F.lit(""))), normalize_place(state), normalize_place("_state_name")), " "), lambda w: w != "")
     mine = out.select("kind", "name", where.alias("where"), state.alias("state"), "county", "near", "areas", "population", "south", "north",
                       "west", "east", norm.alias("norm"), F.lit(None).cast("string").alias("short"), context.alias("context"))
     cnorm = normalize_place("county_name")
@@ -72,8 +86,10 @@ def place_index(areas: DataFrame, counties: DataFrame, label: str = "label") ->
         F.lit("county").alias("kind"), F.col("county_name").alias("name"), F.col("state").alias("where"), "state", "county", F.lit(False).alias("near"),
         F.lit(0).cast("long").alias("areas"), F.coalesce(F.col("population").cast("double"), F.lit(0.0)).alias("population"),
         *[F.lit(None).cast("double").alias(c) for c in ("south", "north", "west", "east")], cnorm.alias("norm"),
-        F.regexp_replace(cnorm, COUNTY_WORDS, "").alias("short"), F.split(normalize_place("state"), " ").alias("context"))
-    return theirs.unionByName(mine)
+        F.regexp_replace(cnorm, COUNTY_WORDS, "").alias("short"), F.split(F.concat_ws(" ", normalize_place("state"), normalize_place("state_name")), " ").alias("context"), F.col("also").alias("_also"))
+    others = theirs.filter(F.col("_also").isNotNull()).withColumns({
+        "name": F.col("_also"), "where": F.concat_ws(", ", "name", "state"), "norm": normalize_place("_also"), "short": F.lit(None).cast("string")})
+    return theirs.unionByName(others).drop("_also").unionByName(mine)
 
 
 def _starts_word(text: Column, token: Column) -> Column:

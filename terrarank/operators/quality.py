@@ -332,3 +332,16 @@ def profile(df: DataFrame, columns: Sequence[str], limits: Limits = DEFAULT_LIMI
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "column", "value")
     med = rank.median(long, ["column"], "value", "median", limits).drop("n")
     return base.join(med, "column", "left")
+
+
+def text_profile(df: DataFrame, key: str, columns: Sequence[str], samples: int = 3) -> DataFrame:
+    """Unknowns and the first known values, in order of ``key``, per text column.
+
+    ``samples`` is a report length: each task sends at most that many rows per column.
+    """
+    counts = df.agg(*[F.struct(F.lit(c).alias("column"), F.count_if(F.col(c).isNull()).alias("nulls"), F.count("*").alias("rows")).alias(f"_{k}")
+                      for k, c in enumerate(columns)]).select(F.explode(F.array(*[f"_{k}" for k in range(len(columns))])).alias("r")).select("r.*")
+    long = df.select(F.col(key).alias("_key"), *[F.col(c).cast("string").alias(c) for c in columns]).unpivot(["_key"], list(columns), "column", "_value")
+    first = rank.top_k(long.filter(F.col("_value").isNotNull()), ["column"], [F.asc("_key"), F.asc("_value")], samples, "_pos")
+    shown = first.groupBy("column").agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_value"))), lambda x: x["_value"]).alias("samples"))
+    return counts.join(shown, "column", "left").withColumn("samples", F.coalesce("samples", F.array().cast("array<string>")))

@@ -99,6 +99,12 @@ def _search_list(*frames: DataFrame | None) -> DataFrame:
     return out.distinct()
 
 
+def status_counts(statuses: DataFrame) -> DataFrame:
+    """How many places of each search match, are unknown and are excluded; ``statuses`` as of ``filter_results``."""
+    of = lambda k: F.count_if(F.col("status") == k)
+    return statuses.groupBy("search").agg(of(0).alias("match"), of(1).alias("unknown"), of(2).alias("excluded"))
+
+
 def filter_results(places: DataFrame, key: str, limits: DataFrame | None = None, accepts: DataFrame | None = None,
                    alternatives: dict[str, str] | None = None) -> DataFrame:
     """One row per (search, place): ``status``, ``failed`` and ``unknown`` filter names.

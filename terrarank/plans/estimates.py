@@ -225,6 +225,34 @@ def new_buyer_ratio(t):
     return hat.select("state", "puma", r(F.greatest(F.lit(lo), F.least(F.lit(hi), F.exp("l_hat")))).alias("ratio"))
 
 
+CROSSWALK = """tr AS (SELECT n_regionkey * 10 + c_custkey % 7 AS county, n_regionkey AS state, c_nationkey AS puma FROM customer JOIN nation ON n_nationkey = c_nationkey),
+  sp AS (SELECT r_regionkey * 10 + k AS county, r_regionkey AS state FROM region, range(0, 9) x(k))"""
+
+
+@query("D16", with_(OWNERS, MIXED_BOOT, f"""s AS (SELECT state, puma, {SUMS}, count(*) FILTER (WHERE recent) AS n_recent FROM ow GROUP BY ALL),
+  st AS (SELECT state, ln((sum(snt) / sum(snv)) / (sum(sat) / sum(sav))) AS state_l FROM s GROUP BY 1),
+  p AS (SELECT s.state, s.puma, n_recent, CASE WHEN n_recent >= 10 THEN ln((snt / snv) / (sat / sav)) END AS l, se2, state_l FROM s JOIN st USING (state)
+    JOIN bv ON bv.state = s.state AND bv.puma = s.puma),
+  ta AS (SELECT state, greatest(0.0004, coalesce(avg(pow(l - state_l, 2)) - avg(CASE WHEN l IS NOT NULL THEN se2 END), 0.0004)) AS tau2 FROM p GROUP BY 1),
+  h AS (SELECT p.*, CASE WHEN l IS NOT NULL THEN (1 - se2 / (se2 + tau2)) * l + se2 / (se2 + tau2) * state_l ELSE state_l END AS l_hat FROM p JOIN ta USING (state))""", CROSSWALK,
+  """cl AS (SELECT county, avg(l_hat) AS l FROM tr LEFT JOIN h ON h.state = tr.state AND h.puma = tr.puma GROUP BY 1),
+  cn AS (SELECT county, sum(n_recent) AS n FROM (SELECT DISTINCT * FROM tr) tr LEFT JOIN h ON h.state = tr.state AND h.puma = tr.puma GROUP BY 1)""",
+  select="""SELECT county::BIGINT AS county, round(greatest(0.9, least(2.0, exp(l))), 3)::DOUBLE AS ratio, n::BIGINT AS sample FROM cl JOIN cn USING (county) WHERE l IS NOT NULL
+  UNION ALL SELECT county, round(greatest(0.9, least(2.0, exp(state_l))), 3)::DOUBLE, NULL FROM sp JOIN st USING (state) WHERE county NOT IN (SELECT county FROM tr)"""))
+def county_buyer_ratio(t):
+    o = owners(t)
+    l = estimate.log_rate_ratio(o, ["state", "puma"], "tax", "val", "w", "recent", "l")
+    se = estimate.bootstrap_variance(o, ["state", "puma"], ["o_orderkey"], "tax", "val", "w", "recent", "se2", REPS, mixed_uniform)
+    states = estimate.log_rate_ratio(o, ["state"], "tax", "val", "w", "recent", "state_l").drop("n_recent")
+    hat = estimate.shrink_log_ratios(l.join(se, ["state", "puma"]), "puma", "state", states)
+    state = F.col("n_regionkey")
+    tracts = t.customer.join(t.nation, F.col("n_nationkey") == F.col("c_nationkey")).select(
+        (state * 10 + F.col("c_custkey") % 7).cast("long").alias("county"), state.alias("state"), F.col("c_nationkey").alias("puma"))
+    spine = t.region.select(F.col("r_regionkey").alias("state"), F.explode(F.sequence(F.lit(0), F.lit(8))).alias("k")).select(
+        (F.col("state") * 10 + F.col("k")).cast("long").alias("county"), "state")
+    return estimate.county_ratios(hat, tracts, spine, "county", "puma", "state", states)
+
+
 PRICES = """pr AS (SELECT place, county, state, CASE WHEN place % 29 <> 0 THEN place % 120 END AS zip, CASE WHEN place % 8 <> 0 THEN spend END AS census,
    CASE WHEN place % 120 % 3 <> 0 THEN (500000 + (place % 120) * 9000)::DOUBLE END AS market, place % 31 = 0 AS topped, place % 37 = 0 AS mobile FROM places),
   ra AS (SELECT county, zip, median(market) / median(census) FILTER (WHERE NOT topped AND NOT mobile) AS ratio FROM pr WHERE zip IS NOT NULL GROUP BY ALL),

@@ -28,16 +28,22 @@ INDEXED = """ar AS (SELECT l.p_partkey AS area, l.p_partkey % 25 AS county, labe
    UNION ALL SELECT 'county', county_name, false, 0, population, NULL, NULL, NULL, NULL, county, state, state FROM co)"""
 
 
-@shared
-def index(t):
+def counties(t):
+    n = F.col("n_nationkey").cast("long")
+    return t.nation.select(n.alias("county"), F.concat(F.col("n_name"), F.lit(" County")).alias("county_name"),
+                           F.concat(F.lit("S"), F.col("n_regionkey").cast("string")).alias("state"), (n * 1000).cast("double").alias("population"))
+
+
+def areas(t):
     k = F.col("p_partkey")
-    a = labels(t).select(k, "label").join(t.part.select(k, "p_size"), "p_partkey").select(
+    return labels(t).select(k, "label").join(t.part.select(k, "p_size"), "p_partkey").select(
         k.alias("area"), (k % 25).alias("county"), "label", (F.col("p_size") * 10).alias("population"),
         F.when(k % 17 != 0, 25 + (k * 37 % 2500) / 100.0).alias("lat"), (-125 + (k * 91 % 5800) / 100.0).alias("lon"))
-    n = F.col("n_nationkey").cast("long")
-    c = t.nation.select(n.alias("county"), F.concat(F.col("n_name"), F.lit(" County")).alias("county_name"),
-                        F.concat(F.lit("S"), F.col("n_regionkey").cast("string")).alias("state"), (n * 1000).cast("double").alias("population"))
-    return places.place_index(a, c)
+
+
+@shared
+def index(t):
+    return places.place_index(areas(t), counties(t))
 
 
 @query("D41", with_(LABELS, INDEXED, select="""SELECT kind, name, "where", state, county, near, areas, population, south, north, west, east FROM ix"""))
@@ -74,6 +80,23 @@ def place_lookup(t):
     return hits.select("query_id", "kind", "name", "where", "population", F.col("quality").cast("long"), F.col("position").cast("long"))
 
 
+OTHER = [("o1", "borough 5"), ("o2", "nation 1 region 1"), ("o3", "nation 1 region 2"), ("o4", "b"), ("o5", "brand region"), ("o6", "borough 9 s1")]
+NAMED = """ia AS (SELECT ix.*, 'Region ' || substr(state, 2) AS state_name FROM ix UNION ALL SELECT 'county', 'Borough ' || county, false, 0, population, NULL, NULL, NULL, NULL, county, state, county_name || ', ' || state,
+   'Region ' || substr(state, 2) FROM co WHERE county % 4 = 1)"""
+OTHER_MATCHES = (MATCHES.replace("FROM ix)", "FROM ia)").replace("ELSE [lower(state)] END AS ctx", f"ELSE [lower(state)] END || string_split({_norm_sql('state_name')}, ' ') AS ctx")
+                 .replace(", ".join(f"('{a}', '{b}')" for a, b in LOOKUPS), ", ".join(f"('{a}', '{b}')" for a, b in OTHER)))
+
+
+@query("F24", with_(LABELS, INDEXED, NAMED, OTHER_MATCHES, select="""SELECT query_id, kind, name, "where", population, quality::BIGINT AS quality, position FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY quality DESC, population DESC, name, "where") AS position FROM cb) WHERE position <= 8"""))
+def lookup_by_other_names(t):
+    typed = t.nation.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("query_id"), F.lower(F.replace("n_name", F.lit("_"), F.lit(" "))).alias("text"))
+    named = counties(t).withColumns({"state_name": F.concat(F.lit("Region "), F.substring("state", 2, 9)),
+                                     "also": F.when(F.col("county") % 4 == 1, F.concat(F.lit("Borough "), F.col("county").cast("string")))})
+    hits = places.search_places(places.place_index(areas(t), named), t.rows(OTHER, "query_id string, text string").unionByName(typed))
+    return hits.select("query_id", "kind", "name", "where", "population", F.col("quality").cast("long"), F.col("position").cast("long"))
+
+
 @query("D41", with_(LABELS, """g AS (SELECT coalesce(place, 'Near ' || near, 'Unincorporated') AS "group", p_size FROM lbl JOIN part USING (p_partkey))""",
   select="""SELECT "group", count(*) AS areas, sum(p_size)::BIGINT AS population FROM g GROUP BY 1"""))
 def areas_by_group(t):

@@ -124,6 +124,13 @@ def table_profile(t):
     return p.withColumn("median", r("median"))
 
 
+@query("H17", with_(*base.PLACE_SQL, select=" UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) - count({c}) AS nulls, count(*) AS rows,
+  (SELECT coalesce(string_agg({c}, ';' ORDER BY place), '') FROM (SELECT place, {c} FROM places WHERE {c} IS NOT NULL ORDER BY place LIMIT 3)) AS samples FROM places""" for c in ("segment", "alt_segment"))))
+def text_samples(t):
+    p = quality.text_profile(base.places(t), "place", ["segment", "alt_segment"])
+    return p.withColumn("samples", F.array_join("samples", ";"))
+
+
 @query("H10", with_(MONTHS, """p AS (SELECT fips, count(*) AS n, CASE WHEN count(precip_in) = 12 THEN sum(precip_in) END AS rain, CASE WHEN count(tmax_f) = 12 THEN max(tmax_f) END AS hot, max(CASE WHEN tmin_f > tmax_f THEN 1 ELSE 0 END) AS inv FROM mon GROUP BY 1),
   y AS (SELECT s_suppkey AS fips, rain + CASE WHEN s_suppkey % 6 = 0 THEN 1 ELSE 0 END AS rain, hot FROM supplier LEFT JOIN p ON fips = s_suppkey)""",
   select="""SELECT 'FAIL' AS severity, 'monthly' AS "check", 'inverted' AS key, sum(inv)::BIGINT || ' places with a low above the high' AS message FROM p HAVING sum(inv) > 0

@@ -98,6 +98,12 @@ def must_haves(t):
                     F.array_join("unknown", ";").alias("unknown"))
 
 
+@query("D39", with_(*SEARCH_SQL, select="""SELECT search, count(*) FILTER (WHERE status = 0) AS match, count(*) FILTER (WHERE status = 1) AS unknown,
+  count(*) FILTER (WHERE status = 2) AS excluded FROM status GROUP BY 1"""))
+def search_status_counts(t):
+    return score.status_counts(_statuses(t))
+
+
 @query("F1 F2 F3 F23", with_(*SEARCH_SQL, select=f"SELECT search, place, status::BIGINT AS status, {rts('score')} AS score, missing FROM scored"))
 def search_scores(t):
     return _scored(t).select("search", "place", F.col("status").cast("long"), rt("score").alias("score"), "missing")

@@ -13,3 +13,13 @@ def test_replicates_are_independent_draws(spark):
     got = estimate.bootstrap_variance(rows, ["g"], ["key"], "tax", "val", "w", "recent", "se2", estimates.REPS, estimates.mixed_uniform)
     se2 = np.array([r.se2 for r in got.collect()])
     assert len(se2) == 60 and se2.std() / se2.mean() < 0.2
+
+
+def test_county_ratios(spark):
+    groups = spark.createDataFrame([("A", "p", 0.1, 20), ("A", "q", 0.3, 5), ("B", "p", 0.9, 40), ("A", "z", None, 7)], "state string, puma string, l_hat double, n_recent long")
+    states = spark.createDataFrame([("A", 0.2), ("B", 0.05), ("C", None)], "state string, state_l double")
+    tracts = spark.createDataFrame([("a1", "A", "p"), ("a1", "A", "p"), ("a1", "A", "q"), ("b1", "B", "p"), ("a2", "A", "none"), ("a3", "A", "z"), ("a3", "A", "q")], "county string, state string, puma string")
+    counties = spark.createDataFrame([(c, c[0].upper()) for c in ("a1", "a2", "a9", "b1", "b9", "c9")], "county string, state string")
+    got = estimate.county_ratios(groups, tracts, counties, "county", "puma", "state", states).collect()
+    assert sorted((r.county, r.ratio, r["sample"]) for r in got) == [
+        ("a1", 1.181, 25), ("a3", 1.35, 12), ("a9", 1.221, None), ("b1", 2.0, 40), ("b9", 1.051, None)]

@@ -142,3 +142,10 @@ def test_flags_read_and_moved(spark):
     df = spark.createDataFrame([(1, "a;b", 9500.0)], "k int, f string, v double").withColumns({"low_confidence": read_flags("f"), "topcoded": F.array().cast("array<string>")})
     out = refresh.move_topcodes(df.withColumnRenamed("v", "a"), {"a": 9000}).first()
     assert out["low_confidence"] == ["b"] and out["topcoded"] == ["a"]
+
+
+def test_text_profile_shows_first_known_values(spark):
+    rows = [(k, None if k % 3 == 0 else f"v{k}", None) for k in range(9, 0, -1)]
+    got = {r["column"]: r for r in quality.text_profile(spark.createDataFrame(rows, "k long, a string, b string"), "k", ["a", "b"]).collect()}
+    assert (got["a"].nulls, got["a"].rows, got["a"].samples) == (3, 9, ["v1", "v2", "v4"])
+    assert (got["b"].nulls, got["b"].samples) == (9, [])

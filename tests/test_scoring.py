@@ -137,3 +137,8 @@ def test_brackets_deduction_credit_and_renter(spark):
     cols = household_taxes(null, null, null, F.lit(8.0), F.col("s"), F.col("tenure"), F.lit(300000.0), F.lit(100000.0), F.lit("joint"))
     got = {r["tenure"]: r["taxes"] for r in one.select("tenure", cols["taxes"].alias("taxes")).collect()}
     assert got["rent"] == pytest.approx(0.08 * 0.25 * 100000) and got["buy"] is None
+
+
+def test_status_counts_keep_zeros(spark):
+    rows = spark.createDataFrame([("a", 1, 0), ("a", 2, 0), ("a", 3, 1), ("b", 1, 2)], "search string, place long, status int")
+    assert sorted(tuple(r) for r in score.status_counts(rows).collect()) == [("a", 2, 1, 0), ("b", 0, 0, 1)]
