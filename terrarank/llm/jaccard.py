@@ -9,8 +9,9 @@ in blocks where it is still large, so nothing is capped. Runs repeat until pairs
 
 Texts of the same words in the same order are one item with a weight. Every verified pair is exact: sets of 64-bit hashes.
 
-Edges: null text is empty text; texts without words link with nothing and are their own class; rows that share a doc_id are
-one document; a null doc_id stays null, and rows with it are one document; an empty table gives an empty result; other
+Edges: null text is empty text; texts without words link with nothing and are their own class; rows that share a
+doc_id are one document in ``join``, and judged by their texts in ``one_of_each``; a null doc_id stays null, comes before all others
+and ties no rows together; an empty table gives an empty result; other
 columns are ignored, or pass in ``one_of_each``.
 """
 
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import broadcast_checked, durable
 from .components import components
 from .links import linked, live_buckets
 from .text import Words, as_bytes, forget, mix, seeds, shingles, slices
@@ -125,36 +126,71 @@ def jaccard_kernel(threshold: float):
     return kernel
 
 
-def join(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """doc_id, class_id, n_links and n_copies of every row.
+def keyed(docs: DataFrame) -> DataFrame:
+    """All columns, and the halves of the digest as ``__k1`` and ``__k2``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        for batch in batches:
+            for piece in slices(batch):
+                yield pa.RecordBatch.from_arrays([*piece.columns, *_halves(Words(*as_bytes(piece.column("text"))))], names=[*piece.schema.names, "__k1", "__k2"])
 
-    ``class_id``: the smallest doc_id that links lead to. ``n_links``: documents at the threshold or above, copies included.
-    ``n_copies``: rows of the same words, itself included.
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, f"{kinds}, __k1 long, __k2 long")
+
+
+def _classes(docs: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """The sketches, and per text (k1, k2): weight, links and the first text of its class by links of texts alone, as (low, f1, f2).
+
+    Texts are known by their digest throughout, so rows of one id, or without one, never meet because of it.
     """
     drawn = durable(sketches(docs, settings))
     classes = durable(drawn.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(
-        F.min("doc_id").alias("id"), F.count("*").alias("weight"), F.first("two").alias("two"), F.first("three").alias("three")))
+        F.min("doc_id").alias("low"), F.count("*").alias("weight"), F.first("two").alias("two"), F.first("three").alias("three"))
+        .withColumn("id", F.xxhash64("k1", "k2")))
     paths = classes.select("id", F.explode(F.arrays_zip("two", "three")).alias("at")).select("id", "at.two", "at.three")
     sizes = paths.groupBy("two").agg(F.count("*").alias("n")).where("n > 1")
     bucket = F.when(F.col("n") <= settings.limit, F.col("two")).otherwise(F.col("three"))
     live = live_buckets(durable(paths.join(sizes, "two").select("id", bucket.alias("bucket")).distinct()))
-    # the text of each item: a row with its id and its digest
-    wanted = classes.select("id", "weight", F.col("k1").alias("w1"), F.col("k2").alias("w2")).join(live, "id")
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text").join(wanted.hint("shuffle_hash"), "id")
-    items = sets(texts, settings.width).where("k1 = w1 AND k2 = w2").dropDuplicates(["id", "k1", "k2"])
+    # the text of each item: a row with its smallest doc_id and its digest
+    wanted = classes.select("id", "weight", "low", F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).join(live, "id")
+    texts = keyed(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("low"), "text")).join(wanted.hint("shuffle_hash"), ["low", "__k1", "__k2"])
+    items = sets(texts.drop("low", "__k1", "__k2"), settings.width).dropDuplicates(["id", "k1", "k2"])
     found = durable(linked(items, jaccard_kernel(settings.threshold)))
     reach = components(found.select("id", "label"))
     totals = found.groupBy("id").agg(F.sum("links").alias("links"))
-    known = (classes.select("k1", "k2", "id", "weight").join(totals, "id", "left").join(reach, "id", "left")
-             .select("k1", "k2", F.coalesce("component", "id").alias("component"), "weight", F.coalesce("links", F.lit(0)).alias("links")))
+    own = F.struct(F.col("low"), F.col("k1").alias("f1"), F.col("k2").alias("f2"))
+    known = durable(classes.select("k1", "k2", "id", "low", "weight").join(totals, "id", "left").join(reach, "id", "left"))
+    firsts = durable(known.where("component IS NOT NULL").groupBy("component").agg(F.min(own).alias("first")))
+    known = known.join(broadcast_checked(firsts), "component", "left").select(
+        "k1", "k2", "weight", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("first", own).alias("first"))
+    return drawn, durable(known.select("k1", "k2", "weight", "links", "first.*"))
+
+
+def join(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """doc_id, class_id, n_links and n_copies of every row.
+
+    ``class_id``: the smallest doc_id that links lead to. ``n_links``: rows at the threshold or above, copies included.
+    ``n_copies``: rows of the same words, itself included.
+    """
+    drawn, known = _classes(docs, settings)
+    rows = durable(drawn.select("doc_id", "k1", "k2").join(known, ["k1", "k2"], "left").select(
+        "doc_id", F.coalesce("low", "doc_id").alias("low"), "weight", "links"))
+    # rows that share a doc_id are one document: where their texts' classes differ, these are one
+    several = rows.where(F.col("doc_id") != NO_ID).groupBy("doc_id").agg(F.min("low").alias("a"), F.max("low").alias("b")).where("a <> b")
+    ties = durable(rows.join(several.select("doc_id"), "doc_id", "left_semi").select("low", "doc_id").distinct())
+    merged = components(ties).withColumnsRenamed({"id": "low", "component": "to"})
     own = lambda c: F.when(c != NO_ID, c)
-    return drawn.select("doc_id", "k1", "k2").join(known, ["k1", "k2"], "left").select(
-        own(F.col("doc_id")).alias("doc_id"), own(F.coalesce("component", "doc_id")).alias("class_id"),
+    return rows.join(broadcast_checked(durable(merged)), "low", "left").select(
+        own(F.col("doc_id")).alias("doc_id"), own(F.coalesce("to", "low")).alias("class_id"),
         (F.coalesce("weight", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
         F.coalesce("weight", F.lit(1)).cast("long").alias("n_copies"))
 
 
 def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The rows of the first document of each class, with all their columns."""
-    gone = join(docs, settings).where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__gone"))
-    return docs.join(gone, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("__gone"), "left_anti")
+    """The rows of the first text of each class with its smallest doc_id, with all their columns; classes are of texts, whatever their ids."""
+    drawn, known = _classes(docs, settings)
+    gone = drawn.select("doc_id", "k1", "k2").join(known, ["k1", "k2"]).where("doc_id <> low OR k1 <> f1 OR k2 <> f2").select(
+        F.col("doc_id").alias("__gone"), F.col("k1").alias("__g1"), F.col("k2").alias("__g2")).distinct()
+    rows = keyed(docs)
+    same = (F.coalesce(rows["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("__gone")) & (F.col("__k1") == F.col("__g1")) & (F.col("__k2") == F.col("__g2"))
+    return rows.join(gone, same, "left_anti").drop("__k1", "__k2")

@@ -67,6 +67,17 @@ def test_join_edges(spark, documents):
     assert jaccard.join(docs.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_or_none_are_judged_by_their_texts(spark, documents):
+    base = [f"w{i}" for i in range(60)]
+    near = lambda k: " ".join([*base[:-1], f"x{k}"])
+    alone = [" ".join(f"{c}{i}" for i in range(30)) for c in "abc"]
+    docs = documents([(3, near(0), "x"), (7, near(1), "x"), (7, alone[0], "clean"), (None, alone[1], "clean"), (None, alone[2] + " y", "n"), (None, alone[2] + " z", "n")])
+    stays = sorted(r.source for r in jaccard.one_of_each(docs).collect())
+    assert stays == ["clean", "clean", "n", "x"]
+    got = {(r.doc_id, r.class_id) for r in jaccard.join(docs).collect()}
+    assert got == {(3, 3), (7, 3), (None, None)}   # rows of one id are one document there
+
+
 def test_number_of_runs():
     assert jaccard.Settings().runs == 20 and jaccard.Settings(recall=0.99).runs == 7
 
