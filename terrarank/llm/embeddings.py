@@ -3,7 +3,8 @@
 Unit vectors are projected at random to eight dimensions in ``tables`` independent ways; the projection's nearest point of
 the E8 lattice is its cell. A vector enters its own cell and the ``probes`` nearest neighbouring ones of each table, and all
 vectors that meet in a cell are compared by cosine in double precision. With the settings here two vectors at cosine 0.95
-meet in one table with probability 0.87, so in at least one of six with 0.999996; closer ones surely more. ``lattices``
+meet in one table with probability 0.83 (measured: 0.80 to 0.85 a table on 4,000 pairs of 64 and of 256 dimensions), so in at least
+one of six with about 0.99997; closer ones surely more. ``lattices``
 joins so many E8 points to one cell (more selective, for billions of vectors; more tables are then needed).
 
 Identical vectors are one item with a weight. Edges: vectors that are null, zero or hold a null or a component that is not

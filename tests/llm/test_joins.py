@@ -117,6 +117,18 @@ def test_pairs_at_the_threshold_meet():
     assert met.mean() > 0.999
 
 
+def test_stated_probability_of_a_table_is_measured():
+    rng, s = np.random.default_rng(1), embeddings.Settings()
+    x = embeddings.unit(rng.normal(size=(4000, 64)))
+    away = rng.normal(size=x.shape)
+    away -= (away * x).sum(1, keepdims=True) * x
+    p, q = (embeddings.buckets(v, s) for v in (x, 0.95 * x + (1 - 0.95 ** 2) ** 0.5 * embeddings.unit(away)))
+    n = 1 + s.probes
+    met = [(p[:, t * n:t * n + n, None] == q[:, None, t * n:t * n + n]).any((1, 2)).mean() for t in range(s.tables)]
+    stated = float(embeddings.__doc__.split("one table with probability ")[1][:4])
+    assert abs(np.mean(met) - stated) < 0.02
+
+
 @pytest.mark.parametrize("block", [512, 8])
 def test_embeddings_against_all_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(embeddings.linked, "__defaults__", (block,))
