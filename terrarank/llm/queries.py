@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from . import binary, bpe, embeddings, exact, jaccard, mixing, pii, quality, secrets, toxicity
+from . import alignment, binary, bpe, decontamination, embeddings, exact, jaccard, mixing, pii, quality, secrets, toxicity, whitening
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -77,6 +77,24 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken(_read(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 32 whitened components of every embedding."""
+    return whitening.whiten(_read(spark, folder, "embeddings"))
+
+
+def op12_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that stand in a window of ten words of a test item."""
+    found = decontamination.decisions(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of tokens of every document that a byte-level and a piece tokenizer cut alike."""
+    import public_tokenizers as public
+
+    return alignment.summary(_read(spark, folder, "documents"), public.path("byte_bpe_50k.json"), public.PATTERN, public.path("piece_bpe_32k.model"))
+
+
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 def _literal(text: str) -> str:
@@ -190,7 +208,22 @@ summed AS (
 SELECT doc_id, size, source_size, target, (size * (whole + (upto - size / 2 <= rest)::INT))::BIGINT AS taken FROM summed
 UNION ALL
 SELECT doc_id, size, source_size, target, size * whole AS taken FROM ranked WHERE NOT (part > 0 AND size > 0)""",
+    "op12_decontamination": rf"""
+WITH docs AS (SELECT row_number() OVER () AS n, doc_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+sizes AS (SELECT DISTINCT least(10, len(w)) AS k FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS t
+            FROM (SELECT *, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM items WHERE len(w) > 0)),
+grams AS (SELECT n, k, i, array_to_string(w[i:i + k - 1], ' ') AS t FROM (SELECT n, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM docs, sizes WHERE len(w) >= k)),
+hits AS (SELECT n, k, i, t FROM grams WHERE t IN (SELECT t FROM windows)),
+covered AS (SELECT n, count(DISTINCT place) AS n_hit FROM (SELECT n, unnest(range(i, i + k)) AS place FROM hits) GROUP BY n),
+found AS (SELECT n, count(*) AS n_items, array_to_string(list(item ORDER BY item), ',') AS names
+          FROM (SELECT DISTINCT n, item FROM hits JOIN windows USING (t)) GROUP BY n)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (n) LEFT JOIN found USING (n)""",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_toxicity, op3_exact_dedup, op4_bpe, op5_secrets, op6_ngram_join, op7_binary, op8_embedding_dedup, op9_pii, op10_mixing)}
+    f.__name__: f for f in (op1_quality, op2_toxicity, op3_exact_dedup, op4_bpe, op5_secrets, op6_ngram_join, op7_binary, op8_embedding_dedup, op9_pii, op10_mixing,
+                                 op11_whitening, op12_decontamination, op13_alignment)}
