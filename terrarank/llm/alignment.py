@@ -1,9 +1,8 @@
 """Operator 13, cross-tokenizer alignment: hash-set intersection of cumulative ends.
 
 Two tokenizers cut the same bytes. Per text, a dictionary of each side takes the byte at which a token ends to the token's
-index; the keys that both hold, sorted, cut the two lists of ids into groups, and each group gives its links: the pairs of
-tokens that end together. Dictionaries are made for ``WINDOW`` bytes at a time, since an end lies in one window whichever
-side it is on, so a very long text takes memory for its ids alone.
+index; the keys that both hold, in ascending order, cut the two lists of ids into groups, and each group gives its links: the
+pairs of tokens that end together. The dictionaries are Arrow's, so a very long text takes memory for a few numbers per token.
 
 A link's two tokens end at the same byte, so one's bytes end with the other's. The pairs of ids for which that holds follow
 from the two vocabularies alone, at most two for each byte of them (half a million here): links are kept as places in that
@@ -24,20 +23,22 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
 from .text import forget, kept, slices
 
-WINDOW = 1 << 16
-PLAIN, SHORT = "԰", 1 << 16
+PLAIN, SHORT = "\u0530", 1 << 16
+_UNUSUAL = re.compile(f"[{PLAIN}-\U0010ffff]")
 
 
 def byte_letters() -> dict[str, int]:
@@ -68,11 +69,8 @@ class ByteLevel:
         self.fast = tiktoken.Encoding("side-a", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        out = [self.fast.encode_ordinary(t) if len(t) <= SHORT and max(t, default="") < PLAIN else None for t in texts]
-        for i, ids in enumerate(out):
-            if ids is None:
-                out[i] = self.library.encode_batch_fast([texts[i]], add_special_tokens=False)[0].ids
-        return out
+        return [self.fast.encode_ordinary(t) if len(t) <= SHORT and not _UNUSUAL.search(t)
+                else self.library.encode_batch_fast([t], add_special_tokens=False)[0].ids for t in texts]
 
 
 class Pieces:
@@ -110,16 +108,27 @@ class Pairs:
 
 
 def common_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in two ascending lists of ends at which both have the same one."""
-    out: list[tuple[list[int], list[int]]] = []
-    last = int(min(a[-1], b[-1])) if len(a) and len(b) else -1
-    for low in range(0, last + 1, WINDOW):
-        (i, i2), (j, j2) = np.searchsorted(a, (low, low + WINDOW)).tolist(), np.searchsorted(b, (low, low + WINDOW)).tolist()
-        ends_a = dict(zip(a[i:i2].tolist(), range(i, i2)))
-        ends_b = dict(zip(b[j:j2].tolist(), range(j, j2)))
-        common = sorted(ends_a.keys() & ends_b.keys())
-        out.append((list(map(ends_a.__getitem__, common)), list(map(ends_b.__getitem__, common))))
-    return tuple(np.array([i for part in out for i in part[side]], np.int64) for side in (0, 1))  # type: ignore[return-value]
+    """Places in two ascending lists of ends at which both have the same one, in ascending order of the ends.
+
+    Each side's ends become a dictionary to their places (Arrow's hash table), in which the other side's ends are looked up.
+    """
+    ends_a, ends_b = pa.array(a), pa.array(b)
+    return (pc.drop_null(pc.index_in(ends_b, value_set=ends_a)).to_numpy().astype(np.int64),
+            pc.drop_null(pc.index_in(ends_a, value_set=ends_b)).to_numpy().astype(np.int64))
+
+
+class Letters:
+    """Short byte strings by number, written one after another in whole lists."""
+
+    def __init__(self, strings: list[bytes]) -> None:
+        self.size = np.array([len(t) for t in strings])
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(strings), np.uint8)
+
+    def write(self, numbers: np.ndarray) -> np.ndarray:
+        size = self.size[numbers]
+        ends = np.cumsum(size)
+        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[numbers] - ends + size, size)]
 
 
 @dataclass(frozen=True)
@@ -137,28 +146,26 @@ class Groups:
 class Aligner:
     def __init__(self, path_a: str, pattern: str, path_b: str) -> None:
         self.side_a, self.side_b = ByteLevel(path_a, pattern), Pieces(path_b)
-        self.size_a, self.size_b = (np.array([len(t) for t in side.token]) for side in (self.side_a, self.side_b))
+        self.a, self.b = Letters(self.side_a.token), Letters(self.side_b.token)
         self.pairs = Pairs(self.side_a.token, self.side_b.token)
-        decimal_a, decimal_b = ([str(i) for i in range(len(s))] for s in (self.size_a, self.size_b))
         # each id with what follows it: within a group, and at the end of its side of one
-        self.written = [f"{i}{after}".encode() for ids, ends in ((decimal_a, ",|"), (decimal_b, ",;")) for after in ends for i in ids]
+        self.written = Letters([b"%d%s" % (i, after) for side, ends in ((self.a, (b",", b"|")), (self.b, (b",", b";"))) for after in ends for i in range(len(side.size))])
 
     def align(self, texts: list[str | None]) -> Iterator[Groups | None]:
         """The groups of each text; None for one without tokens."""
         spaced = [" " + t if t else "" for t in texts]
         for whole, a, b in zip(spaced, self.side_a.encode(spaced), self.side_b.encode([t or "" for t in texts])):
-            data = whole.encode()
-            if not data or b"".join(map(self.side_a.token.__getitem__, a)) != data or b"".join(map(self.side_b.token.__getitem__, b)) != data:
+            data, ids_a, ids_b = np.frombuffer(whole.encode(), np.uint8), np.array(a, np.int64), np.array(b, np.int64)
+            if not len(data) or not np.array_equal(self.a.write(ids_a), data) or not np.array_equal(self.b.write(ids_b), data):
                 yield None
                 continue
-            ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
             # ends are distinct on each side, so a slice's links are the pair of its last tokens
-            last_a, last_b = common_ends(np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b]))
+            last_a, last_b = common_ends(np.cumsum(self.a.size[ids_a]), np.cumsum(self.b.size[ids_b]))
             yield Groups(ids_a, ids_b, last_a + 1, last_b + 1, last_a, last_b)
 
     def digest(self, g: Groups) -> str:
         """sha-256 of ``a1,a2|b1;a3|b2,b3``."""
-        na, nb = len(self.size_a), len(self.size_b)
+        na, nb = len(self.a.size), len(self.b.size)
         code_a, code_b = g.a.copy(), g.b + 2 * na
         code_a[g.cut_a - 1] += na
         code_b[g.cut_b - 1] += nb
@@ -166,7 +173,7 @@ class Aligner:
         in_a, in_b = np.diff(g.cut_a, prepend=0), np.diff(g.cut_b, prepend=0)
         out[np.arange(len(g.a)) + np.repeat(g.cut_b - in_b, in_a)] = code_a
         out[np.arange(len(g.b)) + np.repeat(g.cut_a, in_b)] = code_b
-        return hashlib.sha256(b"".join(map(self.written.__getitem__, out.tolist()))[:-1]).hexdigest()
+        return hashlib.sha256(self.written.write(out)[:-1]).hexdigest()
 
 
 def aligner(path_a: str, pattern: str, path_b: str) -> Aligner:

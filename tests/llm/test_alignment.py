@@ -94,9 +94,8 @@ def test_groups(spark, documents, libraries):
         assert [(list(g.a), list(g.b)) for g in r.groups] == (w[2] if w else [])
 
 
-def test_ends_in_windows(monkeypatch):
+def test_common_ends():
     rng = np.random.default_rng(3)
-    monkeypatch.setattr(alignment, "WINDOW", 7)
     for _ in range(200):
         total = int(rng.integers(1, 200))
         a, b = (np.unique(np.concatenate((rng.integers(1, total + 1, 40), [total]))) for _ in range(2))
