@@ -7,7 +7,7 @@ on its key; the planner broadcasts it when it is measured to be small.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.values import MARGIN_Z, MAX_CV, safe_divide
 from ..session import DEFAULT_LIMITS, Limits
 from . import rank
+from .resample import resampled_sums
 
 # Fixed values of the estimators.
 MIN_CENTER_ROWS = 3
@@ -122,21 +123,6 @@ def integration(counts: DataFrame, key: str, unit: str, group: str, people: str,
 # --- log ratios with resampled variance ------------------------------------
 
 
-def hash_uniform(keys: Sequence[str], seed: int = 0) -> Column:
-    """A repeatable draw in [0, 1) per row and replicate."""
-    h = F.xxhash64(*[F.col(k) for k in keys], F.lit(seed))
-    return F.pmod(h, F.lit(1 << 30)).cast("double") / F.lit(float(1 << 30))
-
-
-def poisson_one(u: Column) -> Column:
-    """A Poisson(1) count from a uniform draw."""
-    out = F.lit(6)
-    for k, edge in reversed(list(enumerate((0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-                                            0.9963401531726563, 0.9994058151824183)))):
-        out = F.when(u < edge, k).otherwise(out)
-    return out
-
-
 def _rate_sums(w: Column, tax: str, value: str, recent: str) -> list[Column]:
     new = F.col(recent)
     return [F.sum(w * F.col(tax)).alias("_at"), F.sum(w * F.col(value)).alias("_av"),
@@ -156,18 +142,22 @@ def log_rate_ratio(df: DataFrame, by: Sequence[str], tax: str, value: str, weigh
 
 
 def bootstrap_variance(df: DataFrame, by: Sequence[str], keys: Sequence[str], tax: str, value: str, weight: str, recent: str,
-                       out: str, replicates: int = 200,
-                       draw: Callable[[Sequence[str]], Column] = hash_uniform) -> DataFrame:
-    """Sampling variance of the log ratio over Poisson resamples.
+                       out: str, replicates: int = 200, seed: Column | None = None, stream: int = 0) -> DataFrame:
+    """Sampling variance of the log ratio over Poisson resamples of the records.
 
-    Replicates are made and summed inside the map stage: what is shuffled is one partial row per group
-    and replicate, whatever the number of records.
+    ``seed``: the number a record draws by, else a hash of its ``keys``; another ``stream`` gives other, independent draws.
     """
-    reps = df.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    reps = reps.withColumn("_drawn", poisson_one(draw([*keys, "_rep"]))).filter("_drawn > 0")   # 37 in 100 draws are zero
-    w = F.col(weight) * F.col("_drawn")
-    sums = reps.groupBy(*by, "_rep").agg(*_rate_sums(w, tax, value, recent))
-    return sums.select(*by, _log_ratio().alias("_l")).groupBy(*by).agg(F.var_pop("_l").alias(out))
+    w, new = F.col(weight), F.col(recent)
+    sums = resampled_sums(df, by, F.xxhash64(*[F.col(k) for k in keys]) if seed is None else seed, {
+        "_at": w * F.col(tax), "_av": w * F.col(value), "_nt": F.when(new, w * F.col(tax)), "_nv": F.when(new, w * F.col(value))}, replicates, stream)
+    rate = lambda t, v: F.when(v > 0, t / v)
+    ratios = F.transform(F.arrays_zip("_at", "_av", "_nt", "_nv"), lambda x: F.struct(rate(x["_at"], x["_av"]).alias("rate"), rate(x["_nt"], x["_nv"]).alias("new")))
+    known = F.filter(ratios, lambda x: (x["rate"] > 0) & (x["new"] > 0))
+    logs = sums.select(*by, F.transform(known, lambda x: F.ln(x["new"] / x["rate"])).alias("_l"))
+    mean = F.aggregate("_l", F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size("_l"), F.lit(0))
+    logs = logs.withColumn("_mean", mean)
+    squares = F.aggregate("_l", F.lit(0.0), lambda a, x: a + (x - F.col("_mean")) * (x - F.col("_mean")))
+    return logs.select(*by, (squares / F.nullif(F.size("_l"), F.lit(0))).alias(out))
 
 
 def shrink_log_ratios(groups: DataFrame, group: str, state: str, states: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..operators import estimate, rank
+from ..operators import estimate, rank, resample
 from . import base
 from .registry import query, r, rs, shared, with_
 
@@ -171,41 +172,40 @@ def recent_rate_ratio(t):
         "state", "puma", r("l").alias("l"), "n_recent")
 
 
-def plain_uniform(keys):
-    """A draw both engines can repeat, in whole numbers, so the resampled variance can be compared."""
-    key, rep = (F.col(k).cast("long") for k in keys)
-    prime = F.lit(2147483647).cast("long")
-    first = (key * F.lit(1103515245).cast("long") + rep * 12345 + 7) % prime
-    return ((first * 48271 + rep * 69621) % prime) / F.lit(2147483647.0)
-
-
-def mixed_uniform(keys):
-    """A draw both engines can repeat in which no replicate follows from another: a hash of key and replicate together."""
-    digest = F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in keys]).cast("binary"))
-    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(2.0 ** 52)
+REPS = 200
 
 
-REPS = 200
-BOOT = f"""rep AS (SELECT ow.*, i, (((o_orderkey * 1103515245 + i * 12345 + 7) % 2147483647 * 48271 + i * 69621) % 2147483647) / 2147483647.0::DOUBLE AS u FROM ow, range(1, {REPS + 1}) x(i)),
-  pw AS (SELECT state, puma, i, recent, tax, val, w * CASE WHEN u < 0.36787944117144233 THEN 0 WHEN u < 0.7357588823428847 THEN 1 WHEN u < 0.9196986029286058 THEN 2
-    WHEN u < 0.9810118431238462 THEN 3 WHEN u < 0.9963401531726563 THEN 4 WHEN u < 0.9994058151824183 THEN 5 ELSE 6 END AS w FROM rep),
+def boot_sql(stream: int = 0) -> str:
+    """Resamples by the same hash: a number per record, a step per replicate, mixed again."""
+    def mixing(rows: str) -> str:
+        for shift, by in ((resample.MIX[0], resample.MIX[1]), (resample.MIX[2], resample.MIX[3]), (resample.MIX[4], 1)):
+            rows = f"(SELECT * REPLACE (xor(h, h >> {shift}) * {by}::UBIGINT % 4294967296::UBIGINT AS h) FROM {rows})"
+        return rows
+    first = mixing(f"(SELECT *, xor(o_orderkey::UBIGINT, {int(resample.mixed(np.array([stream]))[0])}::UBIGINT) AS h FROM ow)")
+    second = mixing(f"(SELECT * REPLACE ((h + i::UBIGINT * {resample.STEP}::UBIGINT) % 4294967296::UBIGINT AS h) FROM (SELECT * FROM {first}, range(1, {REPS + 1}) x(i)))")
+    times = " ".join(f"WHEN u < {p!r} THEN {k}" for k, p in enumerate(resample.POISSON))
+    return f"""rep AS (SELECT *, (h::DOUBLE + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u FROM {second}),
+  pw AS (SELECT state, puma, i, recent, tax, val, w * CASE {times} ELSE 6 END AS w FROM rep),
   bs AS (SELECT state, puma, i, {SUMS} FROM pw GROUP BY ALL),
   bv AS (SELECT state, puma, var_pop(CASE WHEN sav > 0 AND snv > 0 AND sat > 0 AND snt > 0 THEN ln((snt / snv) / (sat / sav)) END) AS se2 FROM bs GROUP BY ALL)"""
 
 
-MIXED_BOOT = "rep AS (SELECT ow.*, i, (('0x' || substr(md5(o_orderkey || ':' || i), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u " + BOOT[BOOT.index("FROM ow, range"):]
+BOOT = boot_sql()
 
 
-@query("D15", with_(OWNERS, BOOT, select=f"SELECT state, puma, {rs('se2', 7)} AS se2 FROM bv"))
+def _variance(t, stream=0):
+    return estimate.bootstrap_variance(owners(t), ["state", "puma"], ["o_orderkey"], "tax", "val", "w", "recent", "se2", REPS, F.col("o_orderkey"), stream)
+
+
+@query("D15", with_(OWNERS, BOOT, select=f"SELECT state, puma, {rs('se2', 9)} AS se2 FROM bv"))
 def bootstrap_variance(t):
-    return estimate.bootstrap_variance(owners(t), ["state", "puma"], ["o_orderkey"], "tax", "val", "w", "recent", "se2", REPS,
-                                       plain_uniform).select("state", "puma", r("se2", 7).alias("se2"))
+    return _variance(t).select("state", "puma", r("se2", 9).alias("se2"))
 
 
-@query("D15", with_(OWNERS, MIXED_BOOT, select=f"SELECT state, puma, {rs('se2', 9)} AS se2 FROM bv"))
+@query("D15", with_(OWNERS, boot_sql(1), select=f"SELECT state, puma, {rs('se2', 9)} AS se2 FROM bv"))
 def independent_bootstrap_variance(t):
-    return estimate.bootstrap_variance(owners(t), ["state", "puma"], ["o_orderkey"], "tax", "val", "w", "recent", "se2", REPS,
-                                       mixed_uniform).select("state", "puma", r("se2", 9).alias("se2"))
+    """Other draws than ``bootstrap_variance``: what differs between the two is the noise of the replicates."""
+    return _variance(t, 1).select("state", "puma", r("se2", 9).alias("se2"))
 
 
 @query("D16", with_(OWNERS, BOOT, f"""s AS (SELECT state, puma, {SUMS}, count(*) FILTER (WHERE recent) AS n_recent FROM ow GROUP BY ALL),
@@ -218,7 +218,7 @@ def independent_bootstrap_variance(t):
 def new_buyer_ratio(t):
     o = owners(t)
     l = estimate.log_rate_ratio(o, ["state", "puma"], "tax", "val", "w", "recent", "l")
-    se = estimate.bootstrap_variance(o, ["state", "puma"], ["o_orderkey"], "tax", "val", "w", "recent", "se2", REPS, plain_uniform)
+    se = _variance(t)
     states = estimate.log_rate_ratio(o, ["state"], "tax", "val", "w", "recent", "state_l").drop("n_recent")
     hat = estimate.shrink_log_ratios(l.join(se, ["state", "puma"]), "puma", "state", states)
     lo, hi = estimate.RATIO_CLIP
@@ -229,7 +229,7 @@ CROSSWALK = """tr AS (SELECT n_regionkey * 10 + c_custkey % 7 AS county, n_regio
   sp AS (SELECT r_regionkey * 10 + k AS county, r_regionkey AS state FROM region, range(0, 9) x(k))"""
 
 
-@query("D16", with_(OWNERS, MIXED_BOOT, f"""s AS (SELECT state, puma, {SUMS}, count(*) FILTER (WHERE recent) AS n_recent FROM ow GROUP BY ALL),
+@query("D16", with_(OWNERS, BOOT, f"""s AS (SELECT state, puma, {SUMS}, count(*) FILTER (WHERE recent) AS n_recent FROM ow GROUP BY ALL),
   st AS (SELECT state, ln((sum(snt) / sum(snv)) / (sum(sat) / sum(sav))) AS state_l FROM s GROUP BY 1),
   p AS (SELECT s.state, s.puma, n_recent, CASE WHEN n_recent >= 10 THEN ln((snt / snv) / (sat / sav)) END AS l, se2, state_l FROM s JOIN st USING (state)
     JOIN bv ON bv.state = s.state AND bv.puma = s.puma),
@@ -242,7 +242,7 @@ CROSSWALK = """tr AS (SELECT n_regionkey * 10 + c_custkey % 7 AS county, n_regio
 def county_buyer_ratio(t):
     o = owners(t)
     l = estimate.log_rate_ratio(o, ["state", "puma"], "tax", "val", "w", "recent", "l")
-    se = estimate.bootstrap_variance(o, ["state", "puma"], ["o_orderkey"], "tax", "val", "w", "recent", "se2", REPS, mixed_uniform)
+    se = _variance(t)
     states = estimate.log_rate_ratio(o, ["state"], "tax", "val", "w", "recent", "state_l").drop("n_recent")
     hat = estimate.shrink_log_ratios(l.join(se, ["state", "puma"]), "puma", "state", states)
     state = F.col("n_regionkey")

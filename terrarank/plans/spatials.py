@@ -154,14 +154,14 @@ def own_or_nearest_group(t):
 
 
 SCHOOLS = """sch AS (SELECT p_partkey AS school, p_partkey % 25 AS district, CASE p_partkey % 3 WHEN 0 THEN 'elementary' WHEN 1 THEN 'middle' ELSE 'high' END AS level,
-   25 + (p_partkey * 41 % 2500) / 100.0::DOUBLE AS lat, -125 + (p_partkey * 67 % 5800) / 100.0::DOUBLE AS lon, p_retailprice AS score FROM part WHERE p_partkey % 25 <> 9)"""
+   25 + (p_partkey * 41 % 2500) / 100.0::DOUBLE AS lat, -125 + (p_partkey * 67 % 5800) / 100.0::DOUBLE AS lon, p_retailprice AS score FROM part)"""
 PICKS = {"elementary": 3, "middle": 2, "high": 2}
 
 
 @shared
 def schools(t):
     k = F.col("p_partkey")
-    return t.part.filter(k % 25 != 9).select(
+    return t.part.select(
         k.alias("school"), (k % 25).alias("county"), F.when(k % 3 == 0, "elementary").when(k % 3 == 1, "middle").otherwise("high").alias("level"),
         (25 + (k * 41 % 2500) / 100.0).alias("lat"), (-125 + (k * 67 % 5800) / 100.0).alias("lon"), F.col("p_retailprice").alias("score"))
 
@@ -183,7 +183,7 @@ def schools_in_district(t):
   pk AS (SELECT *, row_number() OVER (PARTITION BY place, level ORDER BY round(miles, 9), school) AS k FROM sp),
   nv AS (SELECT place, round(avg(score), 6) AS s FROM pk WHERE k <= CASE level WHEN 'elementary' THEN 3 ELSE 2 END GROUP BY 1),
   own AS (SELECT district, count(*) AS n FROM sch WHERE level <> 'high' GROUP BY 1),
-  curve AS (SELECT district, round(avg(score), 6) AS s FROM sch GROUP BY 1), dp AS (SELECT c.district, 100.0::DOUBLE * (rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2) / count(*) OVER () AS pctl FROM curve c WHERE district % 7 <> 0)""",
+  curve AS (SELECT district, round(avg(score), 6) AS s FROM sch GROUP BY 1), dp AS (SELECT c.district, 100.0::DOUBLE * (rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2) / count(*) OVER () AS pctl FROM curve c)""",
   select=f"""SELECT p.place, CASE WHEN nv.s IS NOT NULL AND (own.n >= 20 OR pctl IS NULL) THEN 'nearby' WHEN pctl IS NOT NULL THEN 'district' END AS basis,
    {rs('CASE WHEN nv.s IS NOT NULL AND (own.n >= 20 OR pctl IS NULL) THEN 100.0::DOUBLE * (SELECT count(*) FROM curve c WHERE c.s <= nv.s) / (SELECT count(*) FROM curve) ELSE pctl END')} AS pctl
    FROM places p LEFT JOIN nv USING (place) LEFT JOIN own ON own.district = p.county LEFT JOIN dp ON dp.district = p.county"""))
@@ -196,7 +196,7 @@ def school_score_by_area(t):
     mean = near.groupBy("place").agg(r(F.avg("s_score")).alias("s"))
     curve = sch.groupBy("county").agg(r(F.avg("score")).alias("s"))
     placed = share_at_or_below(mean, "s", curve, "s", "by_nearby")
-    districts = average_rank_percentile(curve.filter("county % 7 <> 0"), ["county"], [], "s", "district_pctl").select("county", "district_pctl")
+    districts = average_rank_percentile(curve, ["county"], [], "s", "district_pctl").select("county", "district_pctl")
     count = sch.filter(F.col("level") != "high").groupBy("county").agg(F.count("*").alias("n"))
     rows = base.places(t).select("place", "county").join(placed, "place", "left").join(districts, "county", "left").join(count, "county", "left")
     use = F.col("s").isNotNull() & ((F.col("n") >= 20) | F.col("district_pctl").isNull())
