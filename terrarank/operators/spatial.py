@@ -1,40 +1,45 @@
 """Nearest points, radius joins, polygons and lines, without cross joins.
 
 Points sit in cubes on the unit sphere (x, y, z), so there are no poles, no antimeridian and no stretched
-longitudes. Cube sizes form a pyramid; each target looks only in the 27 cubes around it at the level its
-surroundings call for:
-
-- at level ``l`` the cubes have side ``2 / 2^l``. If the 27 cubes around a target hold ``k`` sources, its
-  k-th nearest source is within the neighbourhood's reach, 2·√3 ≈ 3.46 sides;
-- two levels up a side is four times as long, so the 27 cubes there hold every source that near — and every
-  source within one whole side of the target.
-
-The finest qualifying level is used, so the number of candidates follows the local density, not the total.
-Sources sharing one exact location keep only their first ``k``. Joins are equi-joins on the cube; crowded
-cubes are split by the adaptive skew join.
+longitudes. Cube sizes form a pyramid: at level ``l`` a cube has side ``2 / 2^l``. The k nearest sources are found by
+branch and bound on the numbers of sources per cube:
+
+- the smallest cube of a target's own chain that holds ``k`` sources bounds the distance of its k-th nearest; the cubes of
+  that size that reach so near are its first candidates;
+- the k-th nearest is no further than the far corner of any cube that holds ``k`` sources, so a cube that begins beyond the
+  least such distance is dropped;
+- cubes with more than ``LEAF`` sources (or eight times ``k``) are replaced by the occupied ones inside them, two levels down, and pruned again.
+  Rounds end when no such cube is left.
+
+What remains are a few small cubes per place, whether it lies inside a crowd or far from it. Keys and places alone take part;
+whole sources are joined to the chosen few at the end. Targets in one place are searched once. Joins are equi-joins on cubes,
+which the adaptive skew join splits where very many targets look at the same cube.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import chord, haversine_miles, unit_vector
 from ..session import DEFAULT_LIMITS, Limits, durable
 from . import rank
 
-FINEST = 16          # cube side of about 0.12 miles
-_XYZ = ["_x", "_y", "_z"]
+FINEST = 20          # cube side of about 40 feet
+DOWN = 2             # levels between a cube and those that replace it
+LEAF = 16            # cubes with so many sources, or eight times those wanted, are not divided
+_XYZ, _AT = ["_x", "_y", "_z"], ["_ux", "_uy", "_uz"]
 
 
 def _cubes(df: DataFrame, lat: str, lon: str, level: int) -> DataFrame:
-    scale = float(2 ** level) / 2
+    scale, last = float(2 ** level) / 2, 2 ** level - 1
     x, y, z = unit_vector(lat, lon)
     return df.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).withColumns(
-        {n: F.floor((c + 1) * scale) for n, c in zip(_XYZ, (x, y, z))})
+        {n: F.least(F.floor((c + 1) * scale), F.lit(last)) for n, c in zip(_XYZ, (x, y, z))})
 
 
 def _around(df: DataFrame, names: Sequence[str], out: Sequence[str]) -> DataFrame:
@@ -45,56 +50,122 @@ def _around(df: DataFrame, names: Sequence[str], out: Sequence[str]) -> DataFram
     return df.withColumns({o: F.col(n) + F.col(f"_step.{s}") for n, o, s in zip(names, out, "abc")}).drop("_step")
 
 
-def _up(names: Sequence[str], level: Column, finest: int) -> list[Column]:
-    """Cube numbers at a coarser level."""
-    return [F.floor(F.col(n) / F.pow(F.lit(2.0), F.lit(finest) - level)).cast("long").alias(n) for n in names]
+def _side() -> Column:
+    return F.expr("2.0D / shiftleft(1L, _l)")
 
 
-def near_candidates(targets: DataFrame, sources: DataFrame, k: int = 1, by: Sequence[str] = (), lat: str = "lat", lon: str = "lon",
-                    source_key: str | None = None, finest: int = FINEST) -> DataFrame:
-    """Each target beside a small set of sources that surely holds its ``k`` nearest (of its own group,
-    with ``by``), and every source within one cube side of it. Source columns are prefixed ``s_``.
+def _bounds() -> tuple[Column, Column]:
+    """Squares of the least and the greatest straight distance of the row's point to its cube."""
+    least, most = F.lit(0.0), F.lit(0.0)
+    for n, p in zip(_XYZ, _AT):
+        low = F.col(n) * _side() - 1 - F.col(p)
+        near, far = F.greatest(low, -low - _side(), F.lit(0.0)), F.greatest(F.abs(low), F.abs(low + _side()))
+        least, most = least + near * near, most + far * far
+    return least, most
+
+
+def _pruned(cubes: DataFrame, spot: Sequence[str], k: int, slack: float) -> DataFrame:
+    """The cubes that can hold one of their spot's k nearest, or a source at most ``slack`` (chord) further.
+
+    ``_reach``: a distance (squared, with the slack) within which k sources are known to lie, lowered by each cube that holds k.
     """
-    by = list(by)
+    near, far = _bounds()
+    known = F.when(F.col("_c") >= k, F.pow(F.sqrt(far) + F.lit(slack), F.lit(2)) * (1 + 1e-12) + 1e-15)
+    rows = cubes.withColumns({"_near": near, "_reach": F.least("_reach", known)})
+    return rows.withColumn("_reach", F.min("_reach").over(Window.partitionBy(*spot))).filter("_near <= _reach")
+
+
+def _coarser(level: str = "_l") -> list[Column]:
+    """The finest cubes' numbers at the row's level."""
+    return [F.expr(f"shiftright({n}, {FINEST} - {level})").alias(n) for n in _XYZ]
+
+
+def _levels() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(FINEST)))
+
+
+def _counted(src: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Sources per occupied cube of every level; ``src`` has its finest cubes."""
+    fine = src.groupBy(*by, *_XYZ).agg(F.count("*").alias("_c")).withColumn("_l", _levels())
+    return fine.select(*by, "_l", *_coarser(), "_c").groupBy(*by, "_l", *_XYZ).agg(F.sum("_c").alias("_c"))
+
+
+def _first_cubes(spots: DataFrame, counts: DataFrame, spot: Sequence[str], by: Sequence[str], k: int, slack: float) -> DataFrame:
+    """The occupied cubes that a spot's first ball reaches, of the size of its smallest own cube with ``k`` sources."""
+    key = [*by, "_l", *_XYZ]
+    own = spots.withColumn("_l", _levels()).select(*spot, "_l", *_coarser())
+    enough = own.join(counts.filter(F.col("_c") >= k).select(*key), key).groupBy(*spot).agg(F.max("_l").alias("_l"))
+    # no finer than the slack is long, so the ball reaches a fixed number of cubes
+    most = FINEST if slack <= 0 else max(0, min(FINEST, math.floor(1 - math.log2(slack))))
+    # where even the whole sphere holds fewer than k, every cube of level 0 counts
+    rows = spots.join(enough, spot, "left").withColumn("_all", F.col("_l").isNull()).withColumn("_l", F.coalesce(F.least("_l", F.lit(most)), F.lit(0)))
+    rows = rows.select(*spot, *_AT, "_l", "_all", *_coarser())
+    rows = rows.withColumn("_r", F.when(F.col("_all"), F.lit(4.0)).otherwise(F.sqrt(_bounds()[1]) + F.lit(slack))).drop("_all")
+    last = F.expr("shiftleft(1L, _l) - 1")
+    rows = rows.withColumns({n: F.sequence(F.greatest(F.floor((F.col(p) - F.col("_r") + 1) / _side()), F.lit(0)), F.least(F.floor((F.col(p) + F.col("_r") + 1) / _side()), last))
+                             for n, p in zip(_XYZ, _AT)})
+    for n in _XYZ:
+        rows = rows.withColumn(n, F.explode(n))
+    middle = [(F.col(n) + 0.5) * _side() - 1 for n in _XYZ]
+    on_sphere = F.abs(F.sqrt(middle[0] * middle[0] + middle[1] * middle[1] + middle[2] * middle[2]) - 1) <= _side() * 0.8661
+    reach = F.col("_r") * F.col("_r") * (1 + 1e-12)
+    return rows.filter(on_sphere & (_bounds()[0] <= reach)).withColumn("_reach", reach).drop("_r").join(counts, key)
+
+
+def _near_rows(targets: DataFrame, sources: DataFrame, k: int, by: Sequence[str], lat: str, lon: str, source_key: str | None,
+               slack_miles: float) -> tuple[DataFrame, DataFrame]:
+    """(by, lat, lon, _row, s_lat, s_lon[, s_key]): near sources of each place; and the sources by ``_row``, their columns prefixed ``s_``."""
+    by, spot, slack = list(by), [*by, lat, lon], chord(slack_miles)
     src = sources
     if source_key is not None:  # sources in one spot: only the first k can matter
-        src = rank.top_k(src, [*by, lat, lon], [F.asc(source_key)], k, "_pos").drop("_pos")
-    src = _cubes(src, lat, lon, finest)
-    src = src.select(*by, *_XYZ, *[F.col(c).alias(f"s_{c}") for c in sources.columns if c not in by])
-    levels = F.explode(F.sequence(F.lit(0), F.lit(finest)))
-    counts = src.groupBy(*by, *_XYZ).agg(F.count("*").alias("_c")).withColumn("_l", levels)
-    counts = counts.select(*by, "_l", *_up(_XYZ, F.col("_l"), finest), "_c").groupBy(*by, "_l", *_XYZ).agg(F.sum("_c").alias("_c"))
-    near = _around(counts, _XYZ, _XYZ).groupBy(*by, "_l", *_XYZ).agg(F.sum("_c").alias("_c"))
-    enough = near.filter(F.col("_c") >= k).drop("_c")
-
-    tgt = _cubes(targets, lat, lon, finest)
-    spots = tgt.select(*by, *_XYZ).distinct()
-    here = spots.withColumn("_l", levels).select(
-        *by, "_l", *[F.col(n).alias(f"{n}0") for n in _XYZ], *_up(_XYZ, F.col("_l"), finest))
-    finest_ok = here.join(enough, [*by, "_l", *_XYZ]).groupBy(*by, *[f"{n}0" for n in _XYZ]).agg(F.max("_l").alias("_l"))
-    for n in _XYZ:
-        finest_ok = finest_ok.withColumnRenamed(f"{n}0", n)
-    level = F.greatest(F.coalesce(F.col("_l"), F.lit(0)) - 2, F.lit(0))
-    spots = spots.join(finest_ok, [*by, *_XYZ], "left").withColumn("_l", level)
-    spots = spots.select(*by, "_l", *_XYZ, *[c.alias(f"{n}s") for n, c in zip(_XYZ, _up(_XYZ, F.col("_l"), finest))])
-    at = [f"{n}s" for n in _XYZ]
-    search = _around(spots.select(*by, "_l", *at).distinct(), at, _XYZ)
-    leveled = src.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(max(finest - 2, 0)))))
-    leveled = leveled.select(*by, "_l", *_up(_XYZ, F.col("_l"), finest), *[c for c in src.columns if c.startswith("s_")])
-    found = search.join(leveled, [*by, "_l", *_XYZ]).drop(*_XYZ)
-    placed = tgt.join(spots, [*by, *_XYZ]).drop(*_XYZ)
-    return placed.join(found, [*by, "_l", *at]).drop("_l", *at)
+        src = rank.top_k(src, spot, [F.asc(source_key)], k, "_pos").drop("_pos")
+    src = _cubes(src, lat, lon, FINEST).withColumn("_row", F.monotonically_increasing_id())
+    src = durable(src.select("_row", *by, *_XYZ, *[F.col(c).alias(f"s_{c}") for c in sources.columns if c not in by]))
+    counts = durable(_counted(src, by))
+    # few bytes but much work per place: as many tasks as the session asks for
+    tasks = int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spots = _cubes(targets.select(*spot).distinct().repartition(tasks, *spot), lat, lon, FINEST).withColumns(dict(zip(_AT, unit_vector(lat, lon))))
+
+    inside = counts.filter(F.col("_l") >= DOWN).select(
+        *by, (F.col("_l") - DOWN).alias("_l"), *[F.shiftright(n, DOWN).alias(n) for n in _XYZ], F.struct("_l", *_XYZ, "_c").alias("_in"))
+    large, known = (F.col("_c") > max(LEAF, 8 * k)) & (F.col("_l") <= FINEST - DOWN), [*spot, *_AT, "_reach"]
+    rows, done = durable(_pruned(_first_cubes(spots, counts, spot, by, k, slack), spot, k, slack)), []
+    while True:
+        done.append(rows.filter(~large))
+        rows = rows.filter(large)
+        if rows.isEmpty():
+            break
+        lower = rows.select(*known, "_l", *_XYZ).join(inside, [*by, "_l", *_XYZ]).select(*known, "_in.*")
+        rows = durable(_pruned(lower.repartition(tasks, *spot), spot, k, slack))
+
+    found = functools.reduce(DataFrame.unionByName, done).select(*spot, "_near", "_reach", "_l", *_XYZ)
+    if len(done) > 1:   # what earlier rounds have left is judged once more, by the last reach
+        found = found.repartition(tasks, *spot).withColumn("_reach", F.min("_reach").over(Window.partitionBy(*spot))).filter("_near <= _reach")
+    found = found.drop("_near", "_reach")
+    keys = ["_row", f"s_{lat}", f"s_{lon}", *([f"s_{source_key}"] if source_key is not None else [])]
+    placed = src.withColumn("_l", _levels()).select(*by, "_l", *_coarser(), *keys)
+    return found.join(placed, [*by, "_l", *_XYZ]).select(*spot, *keys), src.drop(*by, *_XYZ)
+
+
+def near_candidates(targets: DataFrame, sources: DataFrame, k: int = 1, by: Sequence[str] = (), lat: str = "lat", lon: str = "lon",
+                    source_key: str | None = None, slack: float = 0.0) -> DataFrame:
+    """Each place of a target (its own group, with ``by``) beside a small set of sources that surely holds its ``k`` nearest, and
+    every source at most ``slack`` miles further than the k-th. Source columns are prefixed ``s_``.
+    """
+    pairs, src = _near_rows(targets, sources, k, by, lat, lon, source_key, slack)
+    return pairs.select(*by, lat, lon, "_row").join(src, "_row").drop("_row")
 
 
 def nearest(targets: DataFrame, target_key: str, sources: DataFrame, source_key: str, k: int = 1, by: Sequence[str] = (),
-            lat: str = "lat", lon: str = "lon", max_miles: float | None = None, finest: int = FINEST) -> DataFrame:
+            lat: str = "lat", lon: str = "lon", max_miles: float | None = None) -> DataFrame:
     """The ``k`` nearest sources of each target (ties by source key), with ``miles`` and ``position``."""
-    pairs = near_candidates(targets.select(*by, target_key, lat, lon), sources, k, by, lat, lon, source_key, finest)
+    spot = [*by, lat, lon]
+    pairs, src = _near_rows(targets, sources, k, by, lat, lon, source_key, 0.0)
     pairs = pairs.withColumn("miles", haversine_miles(lat, lon, f"s_{lat}", f"s_{lon}"))
     if max_miles is not None:
         pairs = pairs.filter(F.col("miles") <= max_miles)
-    out = rank.top_k(pairs, [target_key, *by], [F.asc("miles"), F.asc(f"s_{source_key}")], k)
-    return out.drop(lat, lon)
+    best = rank.top_k(pairs, spot, [F.asc("miles"), F.asc(f"s_{source_key}")], k).select(*spot, "_row", "miles", "position")
+    return targets.select(target_key, *spot).join(best.join(src, "_row").drop("_row"), spot).drop(lat, lon)
 
 
 def _radius_level(miles: float) -> int:
@@ -214,19 +285,18 @@ def nearest_edge(points: DataFrame, key: str, polygons: DataFrame, polygon_key:
                  lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Miles to the nearest polygon's edge and which polygon; 0 inside one.
 
-    Edges are cut to pieces of ``step`` miles and searched by their middles, at levels coarse enough that
+    Edges are cut to pieces of ``step`` miles and searched by their middles, with a slack by which
     the true nearest piece is always among the candidates; those are measured exactly.
     """
     edges = polygons.select(polygon_key, F.explode(polygon_edges()).alias("e")).select(polygon_key, "e.*")
     pieces = _short_segments(edges, [polygon_key], step)
-    # The 27 cubes reach a whole side; the k-th middle is within 0.87 sides, so half a piece must fit in the rest.
-    finest = max(2, min(FINEST, math.floor(math.log2(2 / (4 * chord(step)))) + 2))
-    near = near_candidates(points.select(key, lat, lon), pieces, 1, lat=lat, lon=lon, finest=finest)
-    miles = near.withColumn("_m", _to_segment(lat, lon)).groupBy(key).agg(
+    # the nearest piece's middle is at most half a piece further than the piece, and the nearest middle's piece no further than it
+    near = near_candidates(points.select(lat, lon), pieces, 1, lat=lat, lon=lon, slack=step)
+    miles = near.withColumn("_m", _to_segment(lat, lon)).groupBy(lat, lon).agg(
         F.min(F.struct("_m.plane", "_m.m", F.col(f"s_{polygon_key}").alias("p"))).alias("_near"))
     held = locate(points.select(key, lat, lon), key, polygons, polygon_key, [polygon_key], cell, lat, lon).filter(
         F.col(polygon_key).isNotNull()).select(key, F.col(polygon_key).alias("_in"))
-    out = points.join(miles, key, "left").join(held, key, "left")
+    out = points.join(miles, [lat, lon], "left").join(held, key, "left").select(*points.columns, "_near", "_in")
     return out.withColumn("miles", F.when(F.col("_in").isNotNull(), 0.0).otherwise(F.col("_near.m"))).withColumn(
         polygon_key, F.coalesce("_in", F.col("_near.p"))).drop("_near", "_in")
 
