@@ -98,7 +98,7 @@ def _first_cubes(spots: DataFrame, counts: DataFrame, spot: Sequence[str], by: S
     # no finer than the slack is long, so the ball reaches a fixed number of cubes
     most = FINEST if slack <= 0 else max(0, min(FINEST, math.floor(1 - math.log2(slack))))
     # where even the whole sphere holds fewer than k, every cube of level 0 counts
-    rows = spots.join(enough, spot, "left").withColumn("_all", F.col("_l").isNull()).withColumn("_l", F.coalesce(F.least("_l", F.lit(most)), F.lit(0)))
+    rows = spots.join(enough, spot, "left").withColumn("_all", F.col("_l").isNull()).withColumn("_l", F.least(F.coalesce("_l", F.lit(0)), F.lit(most)))
     rows = rows.select(*spot, *_AT, "_l", "_all", *_coarser())
     rows = rows.withColumn("_r", F.when(F.col("_all"), F.lit(4.0)).otherwise(F.sqrt(_bounds()[1]) + F.lit(slack))).drop("_all")
     last = F.expr("shiftleft(1L, _l) - 1")
