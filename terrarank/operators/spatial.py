@@ -8,7 +8,7 @@ branch and bound on the numbers of sources per cube:
   that size that reach so near are its first candidates;
 - the k-th nearest is no further than the far corner of any cube that holds ``k`` sources, so a cube that begins beyond the
   least such distance is dropped;
-- cubes with more than ``LEAF`` sources (or eight times ``k``) are replaced by the occupied ones inside them, two levels down, and pruned again.
+- cubes with more than ``LEAF`` sources (or six times ``k``) are replaced by the occupied ones inside them, two levels down, and pruned again.
   Rounds end when no such cube is left.
 
 What remains are a few small cubes per place, whether it lies inside a crowd or far from it. Keys and places alone take part;
@@ -31,7 +31,7 @@ from . import rank
 
 FINEST = 20          # cube side of about 40 feet
 DOWN = 2             # levels between a cube and those that replace it
-LEAF = 16            # cubes with so many sources, or eight times those wanted, are not divided
+LEAF = 8             # cubes with so many sources, or six times those wanted, are not divided
 _XYZ, _AT = ["_x", "_y", "_z"], ["_ux", "_uy", "_uz"]
 
 
@@ -50,20 +50,26 @@ def _around(df: DataFrame, names: Sequence[str], out: Sequence[str]) -> DataFram
     return df.withColumns({o: F.col(n) + F.col(f"_step.{s}") for n, o, s in zip(names, out, "abc")}).drop("_step")
 
 
-def _side() -> Column:
-    return F.expr("2.0D / shiftleft(1L, _l)")
+def _sided(df: DataFrame) -> DataFrame:
+    """With ``_s``, the side of a cube of the row's level."""
+    return df.withColumn("_s", F.expr("2.0D / shiftleft(1L, _l)"))
 
 
 def _bounds() -> tuple[Column, Column]:
     """Squares of the least and the greatest straight distance of the row's point to its cube."""
     least, most = F.lit(0.0), F.lit(0.0)
     for n, p in zip(_XYZ, _AT):
-        low = F.col(n) * _side() - 1 - F.col(p)
-        near, far = F.greatest(low, -low - _side(), F.lit(0.0)), F.greatest(F.abs(low), F.abs(low + _side()))
+        low = F.col(n) * F.col("_s") - 1 - F.col(p)
+        near, far = F.greatest(low, -low - F.col("_s"), F.lit(0.0)), F.greatest(F.abs(low), F.abs(low + F.col("_s")))
         least, most = least + near * near, most + far * far
     return least, most
 
 
+def _spread(rows: DataFrame, spot: Sequence[str]) -> DataFrame:
+    """By spot over as many tasks as the session asks for: few bytes, much work per row."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *spot)
+
+
 def _pruned(cubes: DataFrame, spot: Sequence[str], k: int, slack: float) -> DataFrame:
     """The cubes that can hold one of their spot's k nearest, or a source at most ``slack`` (chord) further.
 
@@ -71,7 +77,7 @@ def _pruned(cubes: DataFrame, spot: Sequence[str], k: int, slack: float) -> Data
     """
     near, far = _bounds()
     known = F.when(F.col("_c") >= k, F.pow(F.sqrt(far) + F.lit(slack), F.lit(2)) * (1 + 1e-12) + 1e-15)
-    rows = cubes.withColumns({"_near": near, "_reach": F.least("_reach", known)})
+    rows = _sided(cubes).withColumns({"_near": near, "_reach": F.least("_reach", known)}).drop("_s")
     return rows.withColumn("_reach", F.min("_reach").over(Window.partitionBy(*spot))).filter("_near <= _reach")
 
 
@@ -99,17 +105,27 @@ def _first_cubes(spots: DataFrame, counts: DataFrame, spot: Sequence[str], by: S
     most = FINEST if slack <= 0 else max(0, min(FINEST, math.floor(1 - math.log2(slack))))
     # where even the whole sphere holds fewer than k, every cube of level 0 counts
     rows = spots.join(enough, spot, "left").withColumn("_all", F.col("_l").isNull()).withColumn("_l", F.least(F.coalesce("_l", F.lit(0)), F.lit(most)))
-    rows = rows.select(*spot, *_AT, "_l", "_all", *_coarser())
+    rows = _sided(rows.select(*spot, *_AT, "_l", "_all", *_coarser()))
     rows = rows.withColumn("_r", F.when(F.col("_all"), F.lit(4.0)).otherwise(F.sqrt(_bounds()[1]) + F.lit(slack))).drop("_all")
+    rows = _spread(rows, spot)
     last = F.expr("shiftleft(1L, _l) - 1")
-    rows = rows.withColumns({n: F.sequence(F.greatest(F.floor((F.col(p) - F.col("_r") + 1) / _side()), F.lit(0)), F.least(F.floor((F.col(p) + F.col("_r") + 1) / _side()), last))
-                             for n, p in zip(_XYZ, _AT)})
+
+    def reached(p: str) -> Column:
+        """Cubes along one axis, with the squares of their distance and of their middle."""
+        at = lambda sign: F.floor((F.col(p) + F.col("_r") * sign + 1) / F.col("_s"))
+        def cube(i: Column) -> Column:
+            low, middle = i * F.col("_s") - 1 - F.col(p), (i + 0.5) * F.col("_s") - 1
+            gap = F.greatest(low, -low - F.col("_s"), F.lit(0.0))
+            return F.struct(i.alias("i"), (gap * gap).alias("gap"), (middle * middle).alias("off"))
+        return F.transform(F.sequence(F.greatest(at(-1), F.lit(0)), F.least(at(1), last)), cube)
+
+    rows = rows.withColumns({n: reached(p) for n, p in zip(_XYZ, _AT)})
     for n in _XYZ:
         rows = rows.withColumn(n, F.explode(n))
-    middle = [(F.col(n) + 0.5) * _side() - 1 for n in _XYZ]
-    on_sphere = F.abs(F.sqrt(middle[0] * middle[0] + middle[1] * middle[1] + middle[2] * middle[2]) - 1) <= _side() * 0.8661
-    reach = F.col("_r") * F.col("_r") * (1 + 1e-12)
-    return rows.filter(on_sphere & (_bounds()[0] <= reach)).withColumn("_reach", reach).drop("_r").join(counts, key)
+    total = lambda part: F.col(f"_x.{part}") + F.col(f"_y.{part}") + F.col(f"_z.{part}")
+    reach, on_sphere = F.col("_r") * F.col("_r") * (1 + 1e-12), F.abs(F.sqrt(total("off")) - 1) <= F.col("_s") * 0.8661
+    rows = rows.filter(on_sphere & (total("gap") <= reach))
+    return rows.select(*spot, *_AT, reach.alias("_reach"), "_l", *[F.col(f"{n}.i").alias(n) for n in _XYZ]).join(counts, key)
 
 
 def _near_rows(targets: DataFrame, sources: DataFrame, k: int, by: Sequence[str], lat: str, lon: str, source_key: str | None,
@@ -122,13 +138,11 @@ def _near_rows(targets: DataFrame, sources: DataFrame, k: int, by: Sequence[str]
     src = _cubes(src, lat, lon, FINEST).withColumn("_row", F.monotonically_increasing_id())
     src = durable(src.select("_row", *by, *_XYZ, *[F.col(c).alias(f"s_{c}") for c in sources.columns if c not in by]))
     counts = durable(_counted(src, by))
-    # few bytes but much work per place: as many tasks as the session asks for
-    tasks = int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spots = _cubes(targets.select(*spot).distinct().repartition(tasks, *spot), lat, lon, FINEST).withColumns(dict(zip(_AT, unit_vector(lat, lon))))
+    spots = _cubes(targets.select(*spot).distinct(), lat, lon, FINEST).withColumns(dict(zip(_AT, unit_vector(lat, lon))))
 
     inside = counts.filter(F.col("_l") >= DOWN).select(
         *by, (F.col("_l") - DOWN).alias("_l"), *[F.shiftright(n, DOWN).alias(n) for n in _XYZ], F.struct("_l", *_XYZ, "_c").alias("_in"))
-    large, known = (F.col("_c") > max(LEAF, 8 * k)) & (F.col("_l") <= FINEST - DOWN), [*spot, *_AT, "_reach"]
+    large, known = (F.col("_c") > max(LEAF, 6 * k)) & (F.col("_l") <= FINEST - DOWN), [*spot, *_AT, "_reach"]
     rows, done = durable(_pruned(_first_cubes(spots, counts, spot, by, k, slack), spot, k, slack)), []
     while True:
         done.append(rows.filter(~large))
@@ -136,11 +150,11 @@ def _near_rows(targets: DataFrame, sources: DataFrame, k: int, by: Sequence[str]
         if rows.isEmpty():
             break
         lower = rows.select(*known, "_l", *_XYZ).join(inside, [*by, "_l", *_XYZ]).select(*known, "_in.*")
-        rows = durable(_pruned(lower.repartition(tasks, *spot), spot, k, slack))
+        rows = durable(_pruned(_spread(lower, spot), spot, k, slack))
 
     found = functools.reduce(DataFrame.unionByName, done).select(*spot, "_near", "_reach", "_l", *_XYZ)
     if len(done) > 1:   # what earlier rounds have left is judged once more, by the last reach
-        found = found.repartition(tasks, *spot).withColumn("_reach", F.min("_reach").over(Window.partitionBy(*spot))).filter("_near <= _reach")
+        found = _spread(found, spot).withColumn("_reach", F.min("_reach").over(Window.partitionBy(*spot))).filter("_near <= _reach")
     found = found.drop("_near", "_reach")
     keys = ["_row", f"s_{lat}", f"s_{lon}", *([f"s_{source_key}"] if source_key is not None else [])]
     placed = src.withColumn("_l", _levels()).select(*by, "_l", *_coarser(), *keys)
