@@ -5,7 +5,7 @@ make of its bytes exactly if every pair of neighbours is (Berglund and van der M
 each prefix of a piece has one tokenisation, and a later one can only leave it at a boundary from which the bytes read so
 far begin some token. A state is the bytes since the last emitted token; reading a byte emits the tokens on which all such
 open boundaries agree, so what is held is about as long as the longest token. States are kept in a table of
-bounded size that is emptied when full. Pieces and space-separated runs of text that came before are looked up.
+bounded size; when it is full, those from which several bytes went on stay. Pieces and space-separated runs of text that came before are looked up.
 
 Decoding streams: token bytes go through an incremental UTF-8 machine (``codecs``), so a character that is spread over
 tokens, or over blocks of them, comes out when its last byte has; bytes that are no UTF-8 become U+FFFD.
@@ -71,6 +71,16 @@ class Transducer:
     def _empty(self) -> None:
         self.start, self.states = State(b"", (-1,), [0]), {}
 
+    def _shrink(self) -> None:
+        """Keep the states that texts share, those from which several bytes went on; of the chains behind them nothing stays."""
+        least, keep = 2, self.states
+        while len(keep) > self.most // 2:
+            keep = {held: s for held, s in keep.items() if len(s.next) >= least}
+            least += 1
+        for s in (self.start, *keep.values()):
+            s.next = {byte: move for byte, move in s.next.items() if move[1] is self.start or keep.get(move[1].held) is move[1]}
+        self.states = keep
+
     def _split(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for a single byte."""
         if token not in self.halves:
@@ -93,33 +103,37 @@ class Transducer:
         if key not in self.fits:
             if len(self.fits) >= PAIRS:
                 self.fits.clear()
-            until, fits = (1 << 60, 0), True
+            until, side, fits = 1 << 60, 0, True   # the merge undone last, and whether it was on the left (0) or the right (2)
+            ranks, token, halves = self.ranks, self.bytes, self.halves
             while True:
-                merged = self.ranks.get(self.bytes[left] + self.bytes[right])
-                if merged is not None and (merged, 1) < until:
+                merged = ranks.get(token[left] + token[right])
+                if merged is not None and (merged < until or (merged == until and side == 2)):
                     fits = False
                     break
-                a, b = self._split(left), self._split(right)
+                a = halves[left] if left in halves else self._split(left)
+                b = halves[right] if right in halves else self._split(right)
                 if a is None and b is None:
                     break
                 # the later of the two merges is undone; of equal ranks the right one came later
                 if b is None or (a is not None and left > right):
-                    until, left = (left, 0), a[1]
+                    until, side, left = left, 0, a[1]
                 else:
-                    until, right = (right, 2), b[0]
+                    until, side, right = right, 2, b[0]
             self.fits[key] = fits
         return self.fits[key]
 
     def _step(self, state: State, byte: int) -> tuple[tuple[int, ...], State]:
         held, token, size = state.held + _ONE[byte], state.token, self.size
-        ranks, open_, made = self.ranks, [], -1
-        for i in state.open:
-            tail = held[i:]
-            if tail in self.begun:
-                open_.append(i)
+        ranks, begun, fits, made = self.ranks, self.begun, self.fits, -1
+        open_ = [i for i in state.open if held[i:] in begun]
+        for i in reversed(state.open):
             # one token fits, and only one: if no later beginning does, it begins where the last emitted one ended
-            if tail in ranks and (i == 0 or self._neighbours(token[i], ranks[tail])):
-                made = ranks[tail]
+            rank = ranks.get(held[i:])
+            if rank is not None:
+                fit = i == 0 or fits.get((token[i], rank))
+                if fit or (fit is None and self._neighbours(token[i], rank)):
+                    made = rank
+                    break
         token += (made,)
         open_.append(len(held))
         # the last boundary through which the tokenisations up to all open positions pass
@@ -140,7 +154,7 @@ class Transducer:
         after = self.states.get(held)
         if after is None:
             if len(self.states) >= self.most:
-                self._empty()
+                self._shrink()
             after = self.states[held] = State(held, token[cut:], open_)
         move = state.next[byte] = out, after
         return move
@@ -163,9 +177,9 @@ class Transducer:
         yield from state.end if state.end is not None else self._finish(state)
 
     def piece(self, data: bytes) -> tuple[int, ...]:
-        out, state = [], self.start
+        out, state, step = [], self.start, self._step
         for byte in data:
-            move = state.next.get(byte) or self._step(state, byte)
+            move = state.next.get(byte) or step(state, byte)
             if move[0]:
                 out += move[0]
             state = move[1]
