@@ -74,7 +74,7 @@ def propose(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of spans that pass their checks, in order."""
     out = [(a, 0, b) for a, b in emails(text)]
     if _DIGIT.search(text):
-        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(q := p.lstrip("0")) <= 3 and int(q or "0") <= 255 for p in m[0].split("."))]
         for m in _CARD.finditer(text):
             # more than 19 digits can't pass: no need to look at them all
             digits = re.sub("[^0-9]", "", m[0]) if m.end() - m.start() <= 37 else ""

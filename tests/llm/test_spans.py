@@ -58,6 +58,15 @@ def test_personal_data_against_a_plain_search(spark, documents):
     assert by[6].scores[0] > pii.START["phone"]
 
 
+def test_long_runs_against_a_plain_search():
+    """Runs of digits, zeros and dots of any length are judged, not refused."""
+    for t in ("0" * 100_000 + ".1.2.3", "7" * 100_000 + ".1.2.3", "1.2.3." + "0" * 100_000 + "9", "." * 100_000 + "1.2.3.4", "0" * 4_299 + "1.0.0.0 " + "9" * 5_000, "+" + "1" * 100_000):
+        spans = pii.propose(t)
+        ips = [(m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(len(p.lstrip("0")) < 4 and int(p[-4:]) <= 255 for p in m[0].split("."))]
+        assert [(a, b) for a, k, b in spans if k == 1] == ips
+    assert [k for _, k, _ in pii.propose("0" * 5_000 + ".1.2.3")] == [1] and not [s for s in pii.propose("7" * 5_000 + ".1.2.3") if s[1] == 1]
+
+
 def test_long_texts_take_linear_time():
     start = time.time()
     for t in (*PII[-2:], "1.1." * 20_000, "a@" * 40_000, "+1 " + "(" * 80_000):
