@@ -14,6 +14,7 @@ order of a hash of their text; an empty table gives an empty result; other colum
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -132,11 +133,22 @@ class Segment:
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]{0,8})")
 
 
+# The normaliser, patterns and mark of a word's end for which words between spaces stand alone
+_WORDWISE = (
+    {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "</w>")
+
+
 class Tokenizer:
     """The tokenizers library's ids of whole texts, with the words that came before looked up.
 
-    The library's normaliser and patterns never look across a space or line end, so a text's ids are those of its words between them.
-    New words go to the library together: plain ones many to a text, cut up again at the tokens that end a word, all others
+    Where the file's normaliser and patterns are ``_WORDWISE``, they never look across a space or line end, so a text's ids are
+    those of its words between them. Texts that hold the string of an added token in any case, and all texts under another file, go
+    to the library whole. New words go to the library together: plain ones many to a text, cut up again at the tokens that end a word, all others
     each for itself.
     """
 
@@ -145,7 +157,14 @@ class Tokenizer:
         from tokenizers import Tokenizer as Library
 
         self.library = Library.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        suffix = file["model"].get("end_of_word_suffix")
+        added = [t["content"] for t in file.get("added_tokens") or ()]
+        ways = (file.get("normalizer"), file.get("pre_tokenizer"), suffix)
+        apart = ways == _WORDWISE and not any(re.search(r"\s", t) for t in added)
+        # what goes to the library whole: nothing where no token is added, anything where words can't be told apart
+        self.whole = re.compile("|".join(map(re.escape, added)) or r"(?!)" if apart else "", re.IGNORECASE)
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.ends = np.zeros(self.library.get_vocab_size(), bool)
         self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
@@ -192,6 +211,14 @@ class Tokenizer:
         return [ids(x) + sign(m[2]) if m else next(others) for x, m in zip(letters, parts)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        whole = [i for i, t in enumerate(texts) if self.whole.search(t)]
+        if not whole:
+            return self._by_words(texts)
+        found = dict(zip(whole, self._alone([texts[i] for i in whole])))
+        rest = iter(self._by_words([t for i, t in enumerate(texts) if i not in found]))
+        return [np.frombuffer(found[i], self.kind) if i in found else next(rest) for i in range(len(texts))]
+
+    def _by_words(self, texts: list[str]) -> list[np.ndarray]:
         get = self.words[0].get
         split = [t.replace("\n", " ").split(" ") for t in texts]
         ids = [list(map(get, w)) for w in split]

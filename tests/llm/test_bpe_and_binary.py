@@ -98,13 +98,27 @@ def test_elias_fano_is_small():
 
 def test_words_give_the_library_s_ids():
     library = Library.from_file(WORDS)
-    library.encode_special_tokens = True
     random.seed(2)
-    texts = ["", "  a  b ", "ΑΣ ΣΑΣ", "don't WE'LL\n\tx", "é é ́a", "<|endoftext|> x", "İstanbul ß"]
+    texts = ["", "  a  b ", "ΑΣ ΣΑΣ", "don't WE'LL\n\tx", "é é ́a", "<|endoftext|> x", "a<|endoftext|>b <|startoftext|>", "<|ENDOFTEXT|>", "<|endof\ntext|>", "İstanbul ß"]
     texts += ["".join(random.choice("aB Σ'\ńéß12.,日 ") for _ in range(random.randint(0, 40))) for _ in range(2000)]
     assert [x.tolist() for x in binary.Tokenizer(WORDS).encode(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_another_tokenizer_gets_whole_texts(tmp_path):
+    """A file whose patterns aren't known to keep words apart is not cut at spaces."""
+    import json
+
+    with open(WORDS, encoding="utf-8") as f:
+        file = json.load(f)
+    file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"\p{L}+( \p{L}+)*"
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(file), encoding="utf-8")
+    texts = ["two words", "", "a b 1 c\nd"]
+    own = binary.Tokenizer(str(path))
+    assert own.whole.search("")
+    assert [x.tolist() for x in own.encode(texts)] == [e.ids for e in Library.from_file(str(path)).encode_batch(texts, add_special_tokens=False)]
+
+
 def test_files_read_back(spark, documents, tmp_path):
     rows = [(i * 7 % 101, f"Some words {i} " * (i % 5), "a") for i in range(101)] + [(500, None, None), (None, "null id", "b"), (None, None, "b"), (3, "again", "b"), (-4, "x" * 100_000, "b")]
     docs = documents(rows)
