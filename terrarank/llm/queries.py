@@ -176,7 +176,8 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(low, ve
 FROM embeddings e LEFT JOIN classes ON vec_id = classes.a LEFT JOIN counts ON vec_id = counts.a""",
     "op10_mixing": r"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS draw FROM documents),
 sources AS (
   SELECT source, sum(size)::BIGINT AS source_size, count(*) FILTER (WHERE size > 0) AS documents FROM sized GROUP BY source),
 named AS (
@@ -195,8 +196,8 @@ rates AS (
 parts AS (
   SELECT *, greatest(0.0::DOUBLE, target - whole * source_size) AS rest FROM rates),
 ranked AS (
-  SELECT doc_id, s.source, size, source_size, target, whole, rest,
-         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS r,
+  SELECT doc_id, s.source, size, source_size, target, whole, rest, draw,
+         (('0x' || substr(draw, 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS r,
          least(1 - 1e-9::DOUBLE, rest / greatest(source_size, 1)) AS part,
          source_size / greatest(documents, 1) AS mean
   FROM sized s JOIN parts p ON s.source IS NOT DISTINCT FROM p.source),
@@ -204,7 +205,7 @@ ordered AS (
   SELECT *, (r / (1 - r)) / (part / (1 - part) * (mean / (mean + size))) AS ratio
   FROM ranked WHERE part > 0 AND size > 0),
 summed AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY ratio / (1 + ratio), doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM ordered)
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY ratio / (1 + ratio), draw ROWS UNBOUNDED PRECEDING) AS upto FROM ordered)
 SELECT doc_id, size, source_size, target, (size * (whole + (upto - size / 2 <= rest)::INT))::BIGINT AS taken FROM summed
 UNION ALL
 SELECT doc_id, size, source_size, target, size * whole AS taken FROM ranked WHERE NOT (part > 0 AND size > 0)""",

@@ -56,6 +56,20 @@ def test_many_buckets_and_few_agree(spark, documents, monkeypatch):
     assert sorted((r.doc_id or -1, r.size, r.taken) for r in mixing.taken(docs).collect()) == many
 
 
+def test_targets_are_met_where_ids_or_rows_tie(spark, documents):
+    """Null ids, one repeated id, and one row repeated: within half a document of each target, in the same words every run."""
+    rows = [(None, f"{i} " + "w " * 9, "a") for i in range(100)] + [(5, f"{i} " + "w " * 9, "b") for i in range(100)]
+    rows += [(6, "w " * 10, "c")] * 100 + [(i + 1000, "w " * 10, "d") for i in range(100)]
+    docs = documents(rows)
+    out = mixing.taken(docs, (1.0, 2.0, 3.0, 5.0), 1.3, 1.9).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.count("*").alias("n")).collect()
+    assert all(r.n == 100 and abs(r.taken - r.target) <= 5 for r in out) and len(out) == 4
+    again = mixing.taken(docs.repartition(7), (1.0, 2.0, 3.0, 5.0), 1.3, 1.9)
+    key = ["source", "doc_id", "size", "copies"]
+    assert not again.select(key).exceptAll(mixing.taken(docs, (1.0, 2.0, 3.0, 5.0), 1.3, 1.9).select(key)).count()
+    mixed = mixing.mixed(docs, (1.0, 2.0, 3.0, 5.0), 1.3, 1.9).groupBy("source").agg((F.count("*") * 10).alias("words")).collect()
+    assert sorted(map(tuple, mixed)) == sorted((r.source, r.taken) for r in out)
+
+
 def test_mixed_rows_are_what_is_taken(spark, documents):
     docs = documents(ROWS)
     out = mixing.mixed(docs)
