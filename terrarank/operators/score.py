@@ -17,10 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import points as P
-from ..session import DEFAULT_LIMITS, Limits
-from . import rank
+from ..session import DEFAULT_LIMITS, Limits, broadcast_checked
+from . import musthaves, rank
+from .musthaves import accept_state, limit_state  # noqa: F401
 
 MATCH, UNKNOWN, EXCLUDED, OUT = 0, 1, 2, 3
+BLOCK = 256   # searches met together in a report over all pairs
 STATUS_WORDS = {MATCH: "match", UNKNOWN: "unknown", EXCLUDED: "excluded", OUT: "out"}
 
 
@@ -75,78 +77,38 @@ def scores(places: DataFrame, key: str, criteria: DataFrame, known: DataFrame, s
     }).drop("_total", "_asked", "_sum", "_weight", "_known")
 
 
-def limit_state(value: Column | str, low: Column | str, high: Column | str) -> Column:
-    """``pass``, ``fail`` or ``unknown`` against inclusive bounds; a NULL bound is open."""
-    v, lo, hi = (F.col(c) if isinstance(c, str) else c for c in (value, low, high))
-    fails = F.coalesce(v < lo, F.lit(False)) | F.coalesce(v > hi, F.lit(False))
-    return F.when(v.isNull(), "unknown").when(fails, "fail").otherwise("pass")
-
-
-def accept_state(value: Column | str, alternative: Column | str, accept: Column | str) -> Column:
-    """A category against an accept list; the alternative value is accepted too, an empty list
-    accepts nothing."""
-    v, alt, ok = (F.col(c) if isinstance(c, str) else c for c in (value, alternative, accept))
-    passes = F.array_contains(ok, v) | F.coalesce(F.array_contains(ok, alt), F.lit(False))
-    return F.when(v.isNull(), "unknown").when(passes, "pass").otherwise("fail")
-
-
-def _search_list(*frames: DataFrame | None) -> DataFrame:
-    out = None
-    for f in frames:
-        if f is not None:
-            ids = f.select("search")
-            out = ids if out is None else out.unionByName(ids)
-    return out.distinct()
-
-
 def status_counts(statuses: DataFrame) -> DataFrame:
     """How many places of each search match, are unknown and are excluded; ``statuses`` as of ``filter_results``."""
     of = lambda k: F.count_if(F.col("status") == k)
     return statuses.groupBy("search").agg(of(0).alias("match"), of(1).alias("unknown"), of(2).alias("excluded"))
 
 
+def _every_pair(places: DataFrame, searches: DataFrame) -> DataFrame:
+    """Each place with each row of ``searches``, for reports over all of both: the searches go in blocks of up to ``BLOCK`` beside the places."""
+    columns = [F.col(c) for c in searches.columns]
+    blocks = -(-searches.count() // BLOCK)
+    block = F.pmod(F.xxhash64("search"), F.lit(max(1, blocks)).cast("long"))
+    rows = searches.groupBy(block.alias("_block")).agg(F.collect_list(F.struct(*columns)).alias("_searches"))
+    return places.crossJoin(broadcast_checked(rows, 1000)).withColumn("_s", F.explode("_searches")).select(*places.columns, "_s.*")
+
+
 def filter_results(places: DataFrame, key: str, limits: DataFrame | None = None, accepts: DataFrame | None = None,
                    alternatives: dict[str, str] | None = None) -> DataFrame:
     """One row per (search, place): ``status``, ``failed`` and ``unknown`` filter names.
 
-    ``limits`` and ``accepts`` are packed into one small row per search, so every place is read
-    once per search and nothing is shuffled.
+    A report over all pairs, for a stated set of searches. To show results use ``musthaves.shown_places``, which
+    meets only the places that a search's narrowest must-have lets through.
     """
-    measures = set(places.columns) - {key}
-    packed = None
-    if limits is not None:
-        packed = limits.groupBy("search").agg(F.array_sort(F.collect_list(F.struct("metric", "min", "max"))).alias("_limits"))
-    if accepts is not None:
-        cats = accepts.groupBy("search").agg(F.array_sort(F.collect_list(F.struct("category", "accept"))).alias("_accepts"))
-        packed = cats if packed is None else packed.join(cats, "search", "full")
-    numeric = [f.name for f in places.schema if f.name in measures and f.dataType.typeName() in
-               ("double", "float", "integer", "long", "short", "byte")]
-    texts = [f.name for f in places.schema if f.dataType.typeName() == "string" and f.name != key]
-    rows = places.join(packed, F.lit(True))
-    states = []
-    if limits is not None:
-        value_of = F.create_map(*[x for m in numeric for x in (F.lit(m), F.col(m).cast("double"))])
-        states.append(F.coalesce(F.transform("_limits", lambda x: F.struct(
-            x["metric"].alias("name"), limit_state(F.try_element_at(value_of, x["metric"]), x["min"], x["max"]).alias("state"))),
-            F.array().cast("array<struct<name:string,state:string>>")))
-    if accepts is not None:
-        alt = alternatives or {}
-        value_of_cat = F.create_map(*[x for m in texts for x in (F.lit(m), F.col(m))])
-        alt_of = F.create_map(*[x for m in texts for x in (F.lit(m), F.col(alt[m]) if m in alt else F.lit(None).cast("string"))])
-        states.append(F.coalesce(F.transform("_accepts", lambda x: F.struct(
-            x["category"].alias("name"),
-            accept_state(F.try_element_at(value_of_cat, x["category"]), F.try_element_at(alt_of, x["category"]), x["accept"]).alias("state"))),
-            F.array().cast("array<struct<name:string,state:string>>")))
-    rows = rows.withColumn("_states", F.concat(*states) if len(states) > 1 else states[0])
-    named = lambda s: F.transform(F.filter("_states", lambda x: x["state"] == s), lambda x: x["name"])
-    failed, unknown = named("fail"), named("unknown")
-    return rows.select("search", key, failed.alias("failed"), unknown.alias("unknown")).withColumn(
-        "status", F.when(F.size("failed") > 0, EXCLUDED).when(F.size("unknown") > 0, UNKNOWN).otherwise(MATCH))
+    given = [f.select("search") for f in (limits, accepts) if f is not None]
+    searches = musthaves.packed(given[0] if len(given) == 1 else given[0].unionByName(given[1]), limits, accepts)
+    measures, texts = musthaves.numbers(places, key), musthaves.categories(places, key)
+    out = musthaves.tested(_every_pair(places, searches), key, measures, texts, alternatives or {})
+    return out.withColumn("status", F.when(F.size("failed") > 0, EXCLUDED).when(F.size("unknown") > 0, UNKNOWN).otherwise(MATCH))
 
 
 def all_match(places: DataFrame, key: str, searches: DataFrame) -> DataFrame:
     """Statuses of searches without must-haves."""
-    rows = places.select(key).join(searches.select("search").distinct(), F.lit(True))
+    rows = _every_pair(places.select(key), searches.select("search").distinct())
     empty = F.array().cast("array<string>")
     return rows.select("search", key, empty.alias("failed"), empty.alias("unknown"), F.lit(MATCH).alias("status"))
 
@@ -178,10 +140,22 @@ def explain(known: DataFrame, key: str, n: int = 3) -> DataFrame:
     return known.groupBy("search", key).agg(side(1).alias("strengths"), side(-1).alias("weaknesses"))
 
 
-def watch_outs(ranked_rows: DataFrame, key: str, watched: Sequence[str], asked: DataFrame, share: float = 5.0) -> DataFrame:
-    """Measures nobody asked about on which a place is among the worst ``share`` % (worse = higher)."""
+def unasked(criteria: DataFrame, watched: Sequence[str]) -> DataFrame:
+    """(search, metric): the watched measures to which a search gives no weight."""
+    weighed = F.collect_set(F.when(P.clamp_weight("weight") > 0, F.col("metric")))
+    left = F.array_except(F.array(*[F.lit(m) for m in watched]), weighed)
+    return criteria.groupBy("search").agg(left.alias("_left")).select("search", F.explode("_left").alias("metric"))
+
+
+def watch_outs(ranked_rows: DataFrame, key: str, watched: Sequence[str], asked: DataFrame, share: float = 5.0,
+               listed: DataFrame | None = None) -> DataFrame:
+    """Measures nobody asked about on which a place is among the worst ``share`` % (worse = higher).
+
+    ``listed`` (search, place): only for these results, met by place; else for all places of each search.
+    """
     worst = ranked_rows.filter(F.col("metric").isin(*watched) & (F.col("lo") >= 100 - share))
     worst = worst.select(key, "metric", F.floor("lo").cast("long").alias("worse_than"))
-    searches = asked.select("search").distinct()
-    weighed = asked.filter(P.clamp_weight("weight") > 0).select("search", "metric")
-    return worst.join(searches, F.lit(True)).join(weighed, ["search", "metric"], "left_anti")
+    if listed is not None:
+        worst = listed.select("search", key).join(worst, key)
+        return worst.join(unasked(asked, watched), ["search", "metric"]).select("search", "metric", key, "worse_than")
+    return worst.join(unasked(asked, watched), "metric").select("search", "metric", key, "worse_than")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import rank, score
+from ..operators import musthaves, rank, score
 from ..session import durable
 from . import base
 from .ranking import LONG, _bounds_sql, _long
@@ -101,7 +101,9 @@ def must_haves(t):
 @query("D39", with_(*SEARCH_SQL, select="""SELECT search, count(*) FILTER (WHERE status = 0) AS match, count(*) FILTER (WHERE status = 1) AS unknown,
   count(*) FILTER (WHERE status = 2) AS excluded FROM status GROUP BY 1"""))
 def search_status_counts(t):
-    return score.status_counts(_statuses(t))
+    p = durable(base.places(t).select("place", "segment", "alt_segment", *MEASURES))
+    found = musthaves.shown_places(p, "place", criteria(t), limits(t), accepts(t), {"segment": "alt_segment"})
+    return musthaves.shown_counts(found, criteria(t), p)
 
 
 @query("F1 F2 F3 F23", with_(*SEARCH_SQL, select=f"SELECT search, place, status::BIGINT AS status, {rts('score')} AS score, missing FROM scored"))
@@ -159,3 +161,46 @@ def place_search(t):
     scored = scored.withColumn("exact", F.col("score")).withColumn("score", r("score", 9))
     best = scored.filter(score.shown("status")).orderBy(*score.result_order("place")).limit(50)
     return best.select("place", F.col("status").cast("long"), rt("exact").alias("score"))
+
+
+# --- a search per customer: places like the customer's own -----------------
+
+OWN_CRITERIA = [("balance", 5.0, "higher"), ("orders", 2.0, "lower")]
+LIKE_SQL = (*base.PLACE_SQL, LONG, BOUNDS, """pairs AS (
+  SELECT o.place AS search, p.place, CASE WHEN o.balance IS NOT NULL AND p.balance IS NULL THEN 1 ELSE 0 END AS status
+  FROM places o JOIN places p ON (p.balance BETWEEN o.balance - 300 AND o.balance + 300 OR p.balance IS NULL OR o.balance IS NULL)
+    AND p.orders <= o.orders AND (p.segment = o.segment OR coalesce(p.alt_segment = o.segment, false)))""",
+  """points AS (SELECT place, (5 * coalesce(max(hi) FILTER (WHERE metric = 'balance'), 50) + 2 * (100 - max(lo) FILTER (WHERE metric = 'orders'))) / 7 AS score
+  FROM bounds GROUP BY place)""")
+
+
+def _customers(t):
+    """Places, and per place a search: a balance near its own, no more orders, its own segment."""
+    p = durable(base.places(t).select("place", "segment", "alt_segment", *MEASURES))
+    own = F.col("place").alias("search")
+    must = p.select(own, F.explode(F.array_compact(F.array(
+        F.when(F.col("balance").isNotNull(), F.struct(F.lit("balance").alias("metric"), (F.col("balance") - 300).alias("min"), (F.col("balance") + 300).alias("max"))),
+        F.struct(F.lit("orders").alias("metric"), F.lit(None).cast("double").alias("min"), F.col("orders").cast("double").alias("max"))))).alias("m")).select("search", "m.*")
+    kinds = p.select(own, F.lit("segment").alias("category"), F.array("segment").alias("accept"))
+    return p, musthaves.shown_places(p, "place", p.select(own), must, kinds, {"segment": "alt_segment"})
+
+
+@query("F2 F3 F23 D39", with_(*LIKE_SQL, select="""SELECT search, count(*) FILTER (WHERE status = 0) AS match, count(*) FILTER (WHERE status = 1) AS unknown,
+  (SELECT count(*) FROM places) - count(*) AS excluded FROM pairs GROUP BY search"""))
+def customer_search_counts(t):
+    p, found = _customers(t)
+    return musthaves.shown_counts(found, p.select(F.col("place").alias("search")), p)
+
+
+@query("F1 F2 F3 F4 F23", with_(*LIKE_SQL, select=f"""SELECT search, place, status::BIGINT AS status, {rts('score')} AS score, position FROM (
+  SELECT *, row_number() OVER (PARTITION BY search ORDER BY status, round(score, 9) DESC, place) AS position FROM pairs JOIN points USING (place)) WHERE position <= 3"""))
+def customer_search_results(t):
+    """The best three places of a search per customer."""
+    p, found = _customers(t)
+    ranked = rank.rank_rows(rank.unpivot(p, ["place"], MEASURES), ["place"], ["metric"])
+    asked = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(w).alias("weight"), F.lit(d).alias("direction")) for m, w, d in OWN_CRITERIA])
+    asked = p.select(F.col("place").alias("search"), F.explode(asked).alias("a")).select("search", "a.*")
+    scored = musthaves.shown_scores(found, "place", ranked, asked)
+    scored = scored.withColumn("exact", F.col("score")).withColumn("score", r("score", 9))
+    best = score.ranked(scored, "place", 3)
+    return best.select("search", "place", F.col("status").cast("long"), rt("exact").alias("score"), F.col("position").cast("long"))
