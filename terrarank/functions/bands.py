@@ -1,158 +1,79 @@
-"""Values to words: one banding operator, and the published word lists."""
+"""Values to words: rows of cuts with a template each, filled from columns. The rows are the caller's."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .values import col, half_up_floor
 
-# Ordered cuts (operator, limit, word) and the word past the last cut.
-HAZARD_WORDS = ([("<", 20, "Very low"), ("<", 40, "Low"), ("<", 60, "Moderate"), ("<", 80, "High")], "Very high")
-SCHOOL_WORDS = ([("<", 25, "Weak schools"), ("<", 40, "Below average"), ("<", 60, "About average"), ("<", 75, "Above average")],
-                "Strong schools")
-SAFETY_WORDS = ([("<", 0.6, "Much safer than a typical US area"), ("<", 0.9, "Safer than a typical US area"),
-                 ("<=", 1.15, "About as safe as a typical US area"), ("<=", 2, "More crime than a typical US area")],
-                "Much more crime than a typical US area")
-DIVERSITY_WORDS = ([("<", 20, "Mostly one group"), ("<", 40, "Somewhat diverse"), ("<", 60, "Diverse")], "Very diverse")
-INCOME_GAP_WORDS = ([("<", 0.38, "Incomes fairly even"), ("<=", 0.46, "A typical income gap"), ("<=", 0.52, "A wide income gap")],
-                    "A very wide income gap")
-PM25_WORDS = ([("<=", 5, "Very clean"), ("<=", 7, "Clean"), ("<=", 9, "Typical"), ("<=", 12, "Somewhat polluted")], "Polluted")
-TYPICAL_VIOLENT_RATE = 248.0
-TYPICAL_YEARLY_CHANGE = 1.6
-HYPHENATED_CITIES = ["Winston-Salem", "Wilkes-Barre"]
-
-
-def band(value: Column | str, words: tuple[Sequence[tuple[str, float, str]], str], unknown: str | None = None) -> Column:
-    """The word of the first cut the value is under; ``unknown`` for NULL."""
-    v = col(value)
-    cuts, last = words
-    out = F.when(v.isNull(), F.lit(unknown))
-    for op, limit, word in cuts:
-        out = out.when(v < limit if op == "<" else v <= limit, F.lit(word))
-    return out.otherwise(last)
-
-
-def whole(value: Column | str) -> Column:
-    """A number as text, halves rounded up."""
-    return half_up_floor(value).cast("long").cast("string")
-
+# (operator, limit, template) in ascending order, and the template past the last cut; a template None says nothing.
+Cuts = tuple[Sequence[tuple[str, float, str | None]], str | None]
 
-def capitalized(c: Column) -> Column:
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 1_000_000))
 
+def filled(template: str | None, parts: Mapping[str, Column] | None = None) -> Column:
+    """A template with each ``{name}`` replaced by that part; NULL where a part is."""
+    if template is None:
+        return F.lit(None).cast("string")
+    pieces = re.split(r"\{(\w+)\}", template)
+    texts = [(parts or {})[p] if i % 2 else F.lit(p) for i, p in enumerate(pieces) if i % 2 or p]
+    return F.concat(*texts) if len(texts) > 1 else texts[0] if texts else F.lit("")
 
-def schools_verdict(p: Column | str) -> Column:
-    return band(p, SCHOOL_WORDS, "No test scores for this district")
 
-
-def safety_verdict(violent: Column | str, note: Column | str, typical: float = TYPICAL_VIOLENT_RATE) -> Column:
-    v = col(violent)
-    missing = F.when(F.coalesce(col(note), F.lit("")) != "", "Too little reported to rate").otherwise("No crime data")
-    return F.when(v.isNull(), missing).otherwise(band(v / typical, SAFETY_WORDS))
+def band(value: Column | str, words: Cuts, unknown: Column | str | None = None, parts: Mapping[str, Column] | None = None) -> Column:
+    """The template of the first cut the value is under; ``unknown`` for NULL."""
+    v = col(value)
+    cuts, last = words
+    out = F.when(v.isNull(), unknown if isinstance(unknown, Column) else filled(unknown, parts))
+    for op, limit, word in cuts:
+        out = out.when(v < limit if op == "<" else v <= limit, filled(word, parts))
+    return out.otherwise(filled(last, parts))
 
 
-def diversity_verdict(index: Column | str, shares: Sequence[tuple[str, Column | str]]) -> Column:
-    largest = F.array_max(F.array(*[F.struct(col(c).alias("p"), F.lit(-i).alias("o"), F.lit(label).alias("l"))
-                                    for i, (label, c) in enumerate(shares)]))
-    words = band(index, DIVERSITY_WORDS)
-    tail = F.concat(F.lit(" · largest group "), largest["l"], F.lit(" ("), whole(largest["p"]), F.lit("%)"))
-    return F.when(col(index).isNull(), "No data on who lives here").otherwise(
-        F.concat(words, F.when(largest["p"].isNotNull(), tail).otherwise("")))
+def joined(bits: Sequence[Column], separator: str, empty: str) -> Column:
+    """The bits that are known, as one text that begins with a capital."""
+    text = F.concat_ws(separator, *bits)
+    return F.when(text == "", empty).otherwise(F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 1_000_000)))
 
 
-def people_verdict(age: Column | str, owners: Column | str, highrise: Column | str, single: Column | str) -> Column:
-    a, o, h, s = col(age), col(owners), col(highrise), col(single)
-    bits = F.array_compact(F.array(
-        F.when(a < 35, "Young").when(a > 45, "Older"),
-        F.when(o < 40, "mostly renters").when(o > 75, "mostly owners"),
-        F.when(h >= 40, "mostly apartments").when(s >= 75, "mostly houses")))
-    return F.when(F.size(bits) == 0, "A mix of ages, owners and renters").otherwise(capitalized(F.array_join(bits, ", ")))
+def foremost(values: Sequence[tuple[str, Column | str]]) -> Column:
+    """``value`` and ``label`` of the largest of labelled columns, the first of equal ones."""
+    known = [F.struct(col(c).alias("value"), F.lit(-i).alias("order"), F.lit(label).alias("label")) for i, (label, c) in enumerate(values)]
+    return F.array_max(F.array(*known))
 
 
-def around_verdict(downtown: Column | str, commute: Column | str) -> Column:
-    d, c = col(downtown), col(commute)
-    where = F.when(d <= 3, F.lit("Close to downtown")).when(d <= 12, F.concat(whole(d), F.lit(" mi to downtown"))).when(
-        d > 12, "Far from a downtown")
-    trip = F.when(c <= 20, "short commute").when(c >= 35, "long commute")
-    return F.coalesce(F.when(where.isNotNull() & trip.isNotNull(), F.concat(where, F.lit(", "), trip)), where, capitalized(trip),
-                      F.lit("Distances below"))
+def whole(value: Column | str) -> Column:
+    """A number as text, halves rounded up."""
+    return half_up_floor(value).cast("long").cast("string")
 
 
-def fixed1(c: Column) -> Column:
-    return F.replace(F.format_number(c, 1), F.lit(","), F.lit(""))
+def fixed1(value: Column | str) -> Column:
+    return F.replace(F.format_number(col(value), 1), F.lit(","), F.lit(""))
 
 
-def market_verdict(change: Column | str, typical: float = TYPICAL_YEARLY_CHANGE) -> Column:
-    y = col(change)
-    usual = f"typical {'+' if typical >= 0 else '−'}{typical}%"
-    return (F.when(y.isNull(), "No recent price data").when(F.abs(y) < 0.5, f"Prices flat this year ({usual})")
-            .otherwise(F.concat(F.lit("Prices "), F.when(y > 0, "up ").otherwise("down "), fixed1(F.abs(y)),
-                                F.lit(f"% in a year ({usual})"))))
+def ordinal(value: Column | str, endings: Mapping[int, str], other: str) -> Column:
+    """A whole number with its ending, by the last digit but for 11 to 13."""
+    n = half_up_floor(value).cast("long")
+    found = F.element_at(F.create_map(*[x for d, e in endings.items() for x in (F.lit(d), F.lit(e))]), (n % 10).cast("int"))
+    return F.concat(n.cast("string"), F.when((n % 100).between(11, 13), other).otherwise(F.coalesce(found, F.lit(other))))
 
 
-def hazards_verdict(overall: Column | str, hazards: Sequence[tuple[str, Column | str]], rating: Column | str) -> Column:
-    """Overall word, the worst single hazard where it stands out, and the agency's own rating."""
-    worst = F.array_max(F.array(*[F.struct(col(c).alias("p"), F.lit(-i).alias("o"), F.lit(label).alias("l"))
-                                  for i, (label, c) in enumerate(hazards)]))
-    tail = F.when(F.coalesce(col(rating), F.lit("")) != "", F.concat(F.lit(" · FEMA: "), col(rating))).otherwise("")
-    word, o = band(overall, HAZARD_WORDS), col(overall)
-    return (F.when(o.isNull() & worst["p"].isNotNull(), F.concat(F.lit("Highest: "), F.lower(worst["l"]), tail))
-            .when(o.isNull(), "No hazard data")
-            .when((worst["p"] >= 80) & (o < 60), F.concat(word, F.lit(" loss rate overall — but "), F.lower(worst["l"]), tail))
-            .otherwise(F.concat(word, F.lit(" loss rate overall"), tail)))
+def metro_city(metro: Column | str, hyphenated: Sequence[str]) -> Column:
+    """A metro's first city."""
+    names = "|".join(map(re.escape, hyphenated))
+    return F.trim(F.regexp_extract(F.trim(F.substring_index(col(metro), ",", 1)), rf"^({names}|[^-]*)", 1))
 
 
-def buy_or_rent_verdict(price_to_rent: Column | str) -> Column:
-    years = half_up_floor(price_to_rent)
-    cost = F.concat(F.lit(" · a home costs "), years.cast("long").cast("string"), F.lit(" years of rent"))
-    return (F.when(years.isNull(), "No housing data")
-            .when(years < 15, F.concat(F.lit("Buying is cheap next to renting"), cost))
-            .when(years > 20, F.concat(F.lit("Renting is cheap next to buying"), cost))
-            .otherwise(F.concat(F.lit("Buying and renting are about even"), cost)))
+def standing_case(direction: Column | str, points: Column | str, beats: Column | str, top: tuple[float, float], tie: float) -> Column:
+    """Where a value stands: ``unranked``, ``top`` (full points, though others have them too), ``tied`` or ``over`` others."""
+    p, b = col(points), col(beats)
+    return (F.when(F.coalesce(p, b).isNull() | (p + b).isNull() | (col(direction) == "middle"), "unranked")
+            .otherwise(F.when((p >= top[0]) & (b < top[1]), "top").otherwise(F.when(p - b < tie, "over").otherwise("tied"))))
 
 
-def metro_city(metro: Column | str) -> Column:
-    """A metro's first city."""
-    head = F.trim(F.substring_index(col(metro), ",", 1))
-    out = F.trim(F.substring_index(head, "-", 1))
-    for name in HYPHENATED_CITIES:
-        out = F.when(head.startswith(name), F.lit(name)).otherwise(out)
-    return out
-
-
-def location_verdict(miles: Column | str, metro: Column | str) -> Column:
-    m, city = col(miles), F.coalesce(metro_city(metro), F.lit("a big metro"))
-    return (F.when(m.isNull(), "Distances below").when(m < 1, F.concat(F.lit("In the "), city, F.lit(" metro")))
-            .when(m <= 15, F.concat(F.lit("Next to the "), city, F.lit(" metro · "), whole(m), F.lit(" mi from its edge")))
-            .when(m <= 60, F.concat(whole(m), F.lit(" mi from the "), city, F.lit(" metro")))
-            .otherwise(F.concat(F.lit("Far from big metros · "), whole(m), F.lit(" mi to "), city)))
-
-
-def pollution_verdict(pm25: Column | str, doubted: Column | str, smoke: Column | str, radon: Column | str, watch: float = 40.0) -> Column:
-    p = col(pm25)
-    sure = F.concat(band(p, PM25_WORDS), F.lit(" air (PM2.5 "), fixed1(p), F.lit(")"))
-    unsure = F.concat(F.lit("Air quality uncertain (model PM2.5 "), fixed1(p), F.lit(")"))
-    bits = F.array_compact(F.array(
-        F.when(p.isNotNull(), F.when(F.coalesce(col(doubted), F.lit(False)), unsure).otherwise(sure)),
-        F.when(col(smoke).isNotNull(), F.concat(whole(smoke), F.lit(" smoke days a year"))),
-        F.when(col(radon) >= watch, F.lit("radon: test any home"))))
-    return F.when(F.size(bits) == 0, "No pollution data").otherwise(F.array_join(bits, " · "))
-
-
-def standing(level: Column | str, direction: Column | str, points: Column | str, beats: Column | str, percentile: Column | str) -> Column:
-    """Where a value stands, from its points, what it beats and its percentile."""
-    d, p, b = col(direction), col(points), col(beats)
-    of = F.when(col(level) == "county", "US counties").otherwise("US areas")
-    n = half_up_floor(F.coalesce(col(percentile), F.lit(0.0))).cast("long")
-    teen = (n % 100).between(11, 13)
-    suffix = F.when(~teen & (n % 10 == 1), "st").when(~teen & (n % 10 == 2), "nd").when(~teen & (n % 10 == 3), "rd").otherwise("th")
-    better = F.when(d == "lower", "lower is better").when(d == "higher", "higher is better").otherwise("typical is best")
-    plain = F.concat(n.cast("string"), suffix, F.lit(" percentile of "), of, F.lit(" · "), better)
-    word = F.when(d == "lower", "lower").otherwise("higher")
-    return (F.when((d == "middle") | p.isNull() | b.isNull(), plain)
-            .when((p >= 99.95) & (b < 99.5), F.concat(F.lit("as "), F.when(d == "lower", "low").otherwise("high"), F.lit(" as any of the "), of))
-            .when(p - b >= 1, F.concat(word, F.lit(" than or tied with "), whole(p), F.lit("% of "), of))
-            .otherwise(F.concat(word, F.lit(" than "), whole(b), F.lit("% of "), of)))
+def by_case(case: Column, templates: Mapping[str, str], parts: Mapping[str, Column]) -> Column:
+    """The template of a case, filled."""
+    return F.coalesce(*[F.when(case == name, filled(t, parts)) for name, t in templates.items()])

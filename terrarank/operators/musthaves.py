@@ -87,15 +87,17 @@ class Cuts:
     edges: tuple[float, ...]
     parts: int
 
-    def place(self, value: Column) -> tuple[Column, Column]:
-        """Cell and part of a value; the pair grows with the value."""
-        edges = F.lit(list(self.edges)).cast("array<double>")
-        inner = F.lit(list(self.edges[1:-1])).cast("array<double>")
+    def place(self, value: Column) -> Column:
+        """Cell and part of a value, (c, p); the pair grows with the value."""
+        edges, inner = (F.expr("array(" + ", ".join(f"double('{x!r}')" for x in e) + ")").cast("array<double>") for e in (self.edges, self.edges[1:-1]))
         cell = F.size(F.filter(inner, lambda e: e < value))
-        left, right = F.get(edges, cell), F.get(edges, cell + 1)
-        share = F.when(right > left, (value - left) / F.when(right > left, right - left)).otherwise(0.0)
-        part = F.floor(F.least(F.greatest(share * self.parts, F.lit(0.0)), F.lit(self.parts - 1.0))).cast("int")
-        return cell, part
+        ends = F.struct(value.alias("v"), cell.alias("c"), F.get(edges, cell).alias("left"), F.get(edges, cell + 1).alias("right"))
+
+        def part(x: Column) -> Column:
+            share = F.when(x["right"] > x["left"], (x["v"] - x["left"]) / F.when(x["right"] > x["left"], x["right"] - x["left"])).otherwise(0.0)
+            return F.floor(F.least(F.greatest(share * self.parts, F.lit(0.0)), F.lit(self.parts - 1.0))).cast("int")
+
+        return F.transform(F.array(ends), lambda x: F.struct(x["c"].alias("c"), part(x).alias("p")))[0]
 
 
 def cuts(places: DataFrame, measures: Sequence[str]) -> dict[str, Cuts]:
@@ -120,20 +122,18 @@ def _run(first: Column, last: Column, name: Callable[[Column], Column]) -> Colum
 
 def _covering(low: Column, high: Column, of: Cuts) -> Column:
     """Cells and parts between two bounds, a NULL bound being open."""
-    (c1, p1), (c2, p2) = of.place(low), of.place(high)
     last, top = len(of.edges) - 2, of.parts - 1
-    c1, p1 = F.when(low.isNull(), 0).otherwise(c1), F.when(low.isNull(), 0).otherwise(p1)
-    c2, p2 = F.when(high.isNull(), last).otherwise(c2), F.when(high.isNull(), top).otherwise(p2)
-    ends = F.struct(c1.alias("c1"), p1.alias("p1"), c2.alias("c2"), p2.alias("p2"))
+    pair = lambda c, p: F.struct(F.lit(c).alias("c"), F.lit(p).alias("p"))
+    ends = F.struct(F.when(low.isNull(), pair(0, 0)).otherwise(of.place(low)).alias("a"), F.when(high.isNull(), pair(last, top)).otherwise(of.place(high)).alias("b"))
 
     def names(e: Column) -> Column:
         # a cell that is covered to its end counts as whole
-        whole_first, whole_last = e["p1"] == 0, e["p2"] == top
-        same = F.when(whole_first & whole_last, F.array(_name(e["c1"]))).otherwise(_run(e["p1"], e["p2"], lambda p: _name(e["c1"], p)))
-        first = F.when(whole_first, F.array(_name(e["c1"]))).otherwise(_run(e["p1"], F.lit(top), lambda p: _name(e["c1"], p)))
-        final = F.when(whole_last, F.array(_name(e["c2"]))).otherwise(_run(F.lit(0), e["p2"], lambda p: _name(e["c2"], p)))
-        between = F.concat(first, _run(e["c1"] + 1, e["c2"] - 1, lambda c: _name(c)), final)
-        return F.when(e["c1"] < e["c2"], between).when(e["c1"] == e["c2"], same).otherwise(F.array().cast(NAMES))
+        whole_first, whole_last = e["a"]["p"] == 0, e["b"]["p"] == top
+        same = F.when(whole_first & whole_last, F.array(_name(e["a"]["c"]))).otherwise(_run(e["a"]["p"], e["b"]["p"], lambda p: _name(e["a"]["c"], p)))
+        first = F.when(whole_first, F.array(_name(e["a"]["c"]))).otherwise(_run(e["a"]["p"], F.lit(top), lambda p: _name(e["a"]["c"], p)))
+        final = F.when(whole_last, F.array(_name(e["b"]["c"]))).otherwise(_run(F.lit(0), e["b"]["p"], lambda p: _name(e["b"]["c"], p)))
+        between = F.concat(first, _run(e["a"]["c"] + 1, e["b"]["c"] - 1, lambda c: _name(c)), final)
+        return F.when(e["a"]["c"] < e["b"]["c"], between).when(e["a"]["c"] == e["b"]["c"], same).otherwise(F.array().cast(NAMES))
 
     return F.transform(F.array(ends), names)[0]
 
@@ -142,18 +142,19 @@ def _entries(places: DataFrame, edges: Mapping[str, Cuts], texts: Sequence[str],
     """Each place under each of its cells. A category's alternative is a second cell, marked with the place's own one."""
     none = F.lit(None).cast("string")
     entry = lambda name, cell, own=none: F.struct(F.lit(name).alias("name"), cell.alias("cell"), own.alias("own"))
-    out = [entry(ALL, F.lit(ALL))]
+    out, located = [entry(ALL, F.lit(ALL))], places
     for m, of in edges.items():
         v = F.col(m).cast("double")
-        cell, part = of.place(v)
-        out += [entry(m, F.when(v.isNull(), UNKNOWN_CELL).otherwise(_name(cell))), F.when(v.isNotNull(), entry(m, _name(cell, part)))]
+        at = F.col(f"_at_{m}")
+        located = located.withColumn(f"_at_{m}", F.when(v.isNotNull(), of.place(v)))
+        out += [entry(m, F.when(v.isNull(), UNKNOWN_CELL).otherwise(_name(at["c"]))), F.when(v.isNotNull(), entry(m, _name(at["c"], at["p"])))]
     for c in texts:
         own = F.concat(F.lit("="), F.col(c))
         out.append(entry(c, F.coalesce(own, F.lit(UNKNOWN_CELL))))
         if c in alternatives:
             other = F.concat(F.lit("="), F.col(alternatives[c]))
             out.append(F.when(F.coalesce(own != other, F.lit(False)), entry(c, other, own)))
-    return places.withColumn("_e", F.explode(F.array_compact(F.array(*out)))).select(*places.columns, "_e.*")
+    return located.withColumn("_e", F.explode(F.array_compact(F.array(*out)))).select(*places.columns, "_e.*")
 
 
 def _intervals(searches: DataFrame, limits: DataFrame | None, accepts: DataFrame | None, edges: Mapping[str, Cuts], texts: Sequence[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import bands, flags, text, values
 from ..functions.climate import family_rows
 from ..operators import climate, taxes
-from . import base
+from . import base, wordings
 from .registry import query, r, rs, shared, with_
 
 
@@ -178,10 +178,10 @@ def verdict_words(t):
     k = F.col("place")
     v = base.places(t).select("place", F.when(k % 10 != 0, (k * 13 % 1000) / 10.0).alias("p"))
     return v.select(
-        "place", bands.band("p", bands.HAZARD_WORDS).alias("hazard"), bands.schools_verdict("p").alias("schools"),
-        bands.safety_verdict(F.col("p") * 8, F.lit(None).cast("string")).alias("safety"), bands.band(F.col("p") / 150, bands.INCOME_GAP_WORDS, "No data").alias("gap"),
-        bands.buy_or_rent_verdict(F.col("p") / 3).alias("market"), bands.location_verdict("p", F.lit("Austin-Round Rock, TX")).alias("location"),
-        bands.market_verdict(F.col("p") - 50).alias("prices"))
+        "place", bands.band("p", wordings.HAZARD).alias("hazard"), wordings.schools("p").alias("schools"),
+        wordings.safety(F.col("p") * 8, F.lit(None).cast("string")).alias("safety"), bands.band(F.col("p") / 150, wordings.INCOME_GAP, "No data").alias("gap"),
+        wordings.buy_or_rent(F.col("p") / 3).alias("market"), wordings.location("p", F.lit("Austin-Round Rock, TX")).alias("location"),
+        wordings.prices(F.col("p") - 50).alias("prices"))
 
 
 @query("B25", with_(*base.PLACE_SQL, "v AS (SELECT place, CASE WHEN place % 10 <> 0 THEN (place * 13 % 1000) / 10.0::DOUBLE END AS p, CASE WHEN place % 9 <> 0 THEN (place * 29 % 1000) / 10.0::DOUBLE END AS q FROM places)",
@@ -200,10 +200,10 @@ def verdict_sentences(t):
     k = F.col("place")
     v = base.places(t).select("place", F.when(k % 10 != 0, (k * 13 % 1000) / 10.0).alias("p"), F.when(k % 9 != 0, (k * 29 % 1000) / 10.0).alias("q"))
     return v.select(
-        "place", bands.diversity_verdict("p", [("White", "p"), ("Asian", "q")]).alias("diversity"),
-        bands.hazards_verdict("p", [("Tornadoes", "q")], F.when(k % 2 == 0, "Very High")).alias("hazards"),
-        bands.people_verdict("p", "q", "q", "p").alias("people"), bands.around_verdict("p", "q").alias("around"),
-        bands.pollution_verdict(F.col("p") / 8, k % 6 == 0, "q", "q").alias("pollution"))
+        "place", wordings.diversity("p", [("White", "p"), ("Asian", "q")]).alias("diversity"),
+        wordings.hazards("p", [("Tornadoes", "q")], F.when(k % 2 == 0, "Very High")).alias("hazards"),
+        wordings.people("p", "q", "q", "p").alias("people"), wordings.around("p", "q").alias("around"),
+        wordings.pollution(F.col("p") / 8, k % 6 == 0, "q", "q").alias("pollution"))
 
 
 @query("F27", with_(*base.PLACE_SQL, "v AS (SELECT place, (place * 13 % 1001) / 10.0::DOUBLE AS p, (place * 13 % 1001) / 10.0 - place % 3 AS b, place % 5 AS m FROM places)", select="""SELECT place, CASE WHEN m = 0 THEN floor(p + 0.5)::BIGINT || CASE WHEN floor(p + 0.5)::BIGINT % 100 BETWEEN 11 AND 13 THEN 'th' WHEN floor(p + 0.5)::BIGINT % 10 = 1 THEN 'st'
@@ -213,7 +213,7 @@ def standing_words(t):
     k = F.col("place")
     p = (k * 13 % 1001) / 10.0
     d = F.when(k % 5 == 0, "middle").otherwise("lower")
-    return base.places(t).select("place", bands.standing(F.lit("area"), d, p, p - k % 3, p).alias("standing"))
+    return base.places(t).select("place", wordings.standing(F.lit("area"), d, p, p - k % 3, p).alias("standing"))
 
 
 MONTHS = """mon AS (SELECT fips, month, 20 + d * 900 + 20 * cos((month - 7) * 0.5235987755982988::DOUBLE) AS tmax_f, d * 400 + 10 + 22 * cos((month - 7) * 0.5235987755982988::DOUBLE) AS tmin_f,
