@@ -147,7 +147,7 @@ class Tokenizer:
     """The tokenizers library's ids of whole texts, with the words that came before looked up.
 
     Where the file's normaliser and patterns are ``_WORDWISE``, they never look across a space or line end, so a text's ids are
-    those of its words between them. Texts that hold the string of an added token in any case, and all texts under another file, go
+    those of its words between them. Texts that hold the string of an added token, and all texts under another file, go
     to the library whole. New words go to the library together: plain ones many to a text, cut up again at the tokens that end a word, all others
     each for itself.
     """
@@ -160,11 +160,11 @@ class Tokenizer:
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         suffix = file["model"].get("end_of_word_suffix")
-        added = [t["content"] for t in file.get("added_tokens") or ()]
+        tokens = file.get("added_tokens") or ()
+        self.added = [t["content"] for t in tokens]
         ways = (file.get("normalizer"), file.get("pre_tokenizer"), suffix)
-        apart = ways == _WORDWISE and not any(re.search(r"\s", t) for t in added)
-        # what goes to the library whole: nothing where no token is added, anything where words can't be told apart
-        self.whole = re.compile("|".join(map(re.escape, added)) or r"(?!)" if apart else "", re.IGNORECASE)
+        # strings that are looked for after the text is normalised, or that spaces cut, are not found in the text as it is
+        self.apart = ways == _WORDWISE and not any(t["normalized"] or re.search(r"\s", t["content"]) for t in tokens)
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.ends = np.zeros(self.library.get_vocab_size(), bool)
         self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
@@ -211,7 +211,7 @@ class Tokenizer:
         return [ids(x) + sign(m[2]) if m else next(others) for x, m in zip(letters, parts)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        whole = [i for i, t in enumerate(texts) if self.whole.search(t)]
+        whole = [i for i, t in enumerate(texts) if not self.apart or any(a in t for a in self.added)]
         if not whole:
             return self._by_words(texts)
         found = dict(zip(whole, self._alone([texts[i] for i in whole])))
