@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import forget, slices
+from .text import forget, free_names, slices
 
 TRIE_BYTES = 96 << 20   # memory of one trie before it spills
 PIECE_BYTES = 8 << 20   # text folded at once before the shuffle
@@ -213,7 +213,7 @@ def decisions(docs: DataFrame, largest: bool = True) -> DataFrame:
 def without_copies(docs: DataFrame, largest: bool = True) -> DataFrame:
     """The rows that stay, one of each text, with all their columns."""
     found = owners(docs, largest)
-    sha, id_, tag = "__sha", "__keep", "__same"
+    sha, id_, tag = free_names(docs, "__sha", "__keep", "__same")
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     keyed = docs.withColumn(sha, F.sha2(F.translate(F.coalesce("text", F.lit("")), letters, letters.lower()), 256))
     marked = keyed.join(found.select(F.col("text_sha256").alias(sha), F.col("keep_id").alias(id_), F.col("same").alias(tag)), sha, "left")

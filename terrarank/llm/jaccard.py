@@ -1,18 +1,23 @@
-"""Operator 6, n-gram Jaccard join: chosen paths.
+"""Operator 6, n-gram Jaccard join: chosen paths (Christiani, Pagh and Sivertsen, 2018).
 
-A document is the set of its runs of ``width`` words (words: see ``text``; a shorter text is one run). In each of several
-runs the sets are split, recursively, on a token that they share: under a random order of all tokens, fixed for the run and
-the level, every set takes its first one, so two sets stay together with their Jaccard similarity as probability. Splitting
-starts with two levels at once; what is larger than ``limit`` is split once more. What remains is compared by brute force,
-in blocks where it is still large, so nothing is capped. Runs repeat until pairs at the threshold are missed with at most
-``1 - recall``: ``(1 - threshold ** 3) ** runs``, counting the deepest level for all; 20 runs for a millionth.
+A document is the set of its runs of ``width`` words (words: see ``text``; a shorter text is one run), and a sketch of that set:
+its least token under each of ``positions`` random orders. Two sets agree at a position with their Jaccard similarity as
+probability. Each run grows a tree. A node has a path, which decides the positions that are chosen there: ``1 / threshold`` of them
+in the mean. For each, a set goes on to the child named by its token at that position, so similar sets stay together on one path in
+the mean, others on ever fewer. Nodes are split, level by level, while they hold more than ``limit`` sets; nodes whose sets are alike
+in the mean (``similar``, from counted tokens) end there, since their pairs are results. What remains is compared by brute force, in
+blocks where it is still large, so nothing is capped.
+
+The chance that a pair at the threshold shares a path down to a level follows from the number of positions where it agrees, which is
+binomial; ``Settings.runs`` gives the runs after which pairs are missed with at most ``1 - recall``. All sets take the runs for the
+first ``start`` levels (12 for a millionth); sets that met in a node split beyond take the further runs for the deepest level reached.
 
 Texts of the same words in the same order are one item with a weight. Every verified pair is exact: sets of 64-bit hashes.
 
 Edges: null text is empty text; texts without words link with nothing and are their own class; rows that share a
 doc_id are one document in ``join``, and judged by their texts in ``one_of_each``; a null doc_id stays null, comes before all others
 and ties no rows together; an empty table gives an empty result; other
-columns are ignored, or pass in ``one_of_each``.
+columns are ignored, or pass in ``one_of_each``, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +36,10 @@ from pyspark.sql import functions as F
 from ..session import broadcast_checked, durable
 from .components import components
 from .links import linked, live_buckets
-from .text import Words, as_bytes, forget, mix, seeds, shingles, slices
+from .text import Words, as_bytes, forget, free_names, mix, seeds, shingles, slices
 
 NO_ID = -(2**63)   # stands for a null doc_id
-LEVELS = 3
+PROBES = 32          # positions from which the similarity inside a node is estimated
 
 
 @dataclass(frozen=True)
@@ -41,12 +47,31 @@ class Settings:
     width: int = 5
     threshold: float = 0.8
     recall: float = 0.999999
-    limit: int = 256   # larger buckets are split once more
+    limit: int = 256       # larger nodes are split
+    start: int = 2         # levels that all sets take at once
+    depth: int = 12        # levels at most
+    similar: float = 0.72  # mean similarity from which a node is compared as it is
+    positions: int = 128
     seed: int = 6
 
-    @property
-    def runs(self) -> int:
-        return math.ceil(math.log(1 - self.recall) / math.log(1 - self.threshold ** LEVELS))
+    def shared(self, agree: float, depth: int) -> float:
+        """The chance that two sets which agree at this share of positions have a path of ``depth`` levels in common."""
+        few, more = divmod(1 / self.threshold, 1)
+        chance = 1.0
+        for _ in range(depth):
+            lost = 1 - agree * chance
+            chance = (1 - more) * (1 - lost ** few) + more * (1 - lost ** (few + 1))
+        return chance
+
+    def runs(self, depth: int) -> int:
+        """Runs after which pairs at the threshold have met in a node of ``depth`` with ``recall``."""
+        n, t = self.positions, self.threshold
+        agree = [math.comb(n, k) * t ** k * (1 - t) ** (n - k) for k in range(n + 1)]
+        missed = [1 - self.shared(k / n, depth) for k in range(n + 1)]
+        runs = 1
+        while sum(a * m ** runs for a, m in zip(agree, missed)) > 1 - self.recall:
+            runs += 1
+        return runs
 
 
 def _halves(w: Words) -> list[pa.Array]:
@@ -56,11 +81,11 @@ def _halves(w: Words) -> list[pa.Array]:
 
 
 def sketches(docs: DataFrame, settings: Settings) -> DataFrame:
-    """doc_id, two halves of a digest of the words in order, and the buckets after two and three levels of every run.
+    """doc_id, two halves of a digest of the words in order, and the sketch: 32 bits of the least token in each order.
 
-    Texts without words have null halves.
+    Texts without words have null halves and no sketch.
     """
-    by = seeds(settings.runs * LEVELS, settings.seed)
+    by = seeds(settings.positions, settings.seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -69,23 +94,112 @@ def sketches(docs: DataFrame, settings: Settings) -> DataFrame:
                 w = Words(*as_bytes(piece.column("text")))
                 tokens, row = shingles(w, settings.width)
                 has, first = np.unique(row, return_index=True)
-                least = np.zeros((len(by), len(has)), np.uint64)
-                for k, b in enumerate(by):
+                least = np.zeros((w.rows, len(by)), np.uint32)
+                for k, b in enumerate(by if len(has) else ()):
                     h = (tokens ^ (b >> np.uint64(7))) * b
                     h ^= h >> np.uint64(32)
                     h *= b
-                    least[k] = np.minimum.reduceat(h, first) if len(has) else least[k]
-                two, three = np.zeros((settings.runs, w.rows), np.uint64), np.zeros((settings.runs, w.rows), np.uint64)
-                for r in range(settings.runs):
-                    a, b, c = (mix(least[LEVELS * r + i]) for i in range(LEVELS))
-                    two[r, has] = mix(a + mix(b + np.uint64(r)))
-                    three[r, has] = mix(two[r, has] ^ c)
-                some = w.count > 0
-                lists = lambda x: pa.array([v if s else None for v, s in zip(np.ascontiguousarray(x.T).view(np.int64), some)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id").fill_null(NO_ID), *_halves(w), lists(two), lists(three)], names=["doc_id", "k1", "k2", "two", "three"])
+                    least[has, k] = (mix(np.minimum.reduceat(h, first)) >> np.uint64(32)).astype(np.uint32)
+                drawn = pa.array([v.tobytes() if n else None for v, n in zip(least, w.count)], pa.binary())
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id").fill_null(NO_ID), *_halves(w), drawn], names=["doc_id", "k1", "k2", "sketch"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, k1 long, k2 long, sketch binary")
+
+
+def _values(column: pa.Array, positions: int) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_buffer() for x in column), np.uint32).reshape(len(column), positions)
+
+
+def children(row: np.ndarray, path: np.ndarray, values: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and paths one level down: the path alone decides which positions are chosen, the set's tokens there where it goes."""
+    n = np.uint64(values.shape[1])
+    drawn = mix(path ^ np.uint64(0x9E3779B97F4A7C15))
+    many = np.floor(1 / threshold + (mix(drawn) >> np.uint64(11)) / 2.0**53).astype(np.int64)
+    first, step = drawn % n, np.uint64(1) + (drawn >> np.uint64(32)) % max(n - np.uint64(1), np.uint64(1))
+    rows, paths = [], []
+    for i in range(int(many.max(initial=0))):
+        go = many > i
+        at = (first[go] + np.uint64(i) * step[go]) % n
+        token = values[row[go], at.astype(np.int64)].astype(np.uint64)
+        rows.append(row[go])
+        paths.append(mix(path[go] + mix(token ^ (at << np.uint64(32)))))
+    return (np.concatenate(rows), np.concatenate(paths)) if rows else (row[:0], path[:0])
+
+
+def started(sets_: DataFrame, first: int, last: int, settings: Settings) -> DataFrame:
+    """(id, bucket): the nodes of each set after ``start`` levels, in the runs from ``first`` up to ``last``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roots = mix(np.arange(first, last, dtype=np.uint64) + np.uint64(settings.seed << 32))
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                piece = batch.slice(i, 4096)
+                values = _values(piece.column("sketch"), settings.positions)
+                row, path = np.repeat(np.arange(len(values)), len(roots)), np.tile(roots, len(values))
+                for _ in range(settings.start):
+                    row, path = children(row, path, values, settings.threshold)
+                yield pa.RecordBatch.from_arrays([piece.column("id").take(pa.array(row)), pa.array(path.view(np.int64))], names=["id", "bucket"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, k1 long, k2 long, two array<long>, three array<long>")
+    return sets_.select("id", "sketch").mapInArrow(run, "id long, bucket long")
+
+
+def _split(entries: DataFrame, settings: Settings) -> DataFrame:
+    """(id, bucket) one level down, of (id, bucket, sketch)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                path = batch.column("bucket").to_numpy().view(np.uint64)
+                row, path = children(np.arange(batch.num_rows), path, _values(batch.column("sketch"), settings.positions), settings.threshold)
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), pa.array(path.view(np.int64))], names=["id", "bucket"])
+
+    return entries.select("id", "bucket", "sketch").mapInArrow(run, "id long, bucket long")
+
+
+def _probed(entries: DataFrame, settings: Settings) -> DataFrame:
+    """(bucket, at, token) of every set in a node at a few positions, the same for all its sets."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                bucket = batch.column("bucket").to_numpy()
+                values = _values(batch.column("sketch"), settings.positions)
+                at = ((mix(bucket.view(np.uint64))[:, None] >> np.uint64(8)) + np.arange(PROBES, dtype=np.uint64) * np.uint64(settings.positions // PROBES)) % np.uint64(settings.positions)
+                token = np.take_along_axis(values, at.astype(np.int64), 1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(bucket, PROBES)), pa.array(np.tile(np.arange(PROBES, dtype=np.int32), len(bucket))),
+                                                  pa.array(token.ravel().astype(np.int64))], names=["bucket", "at", "token"])
+
+    return entries.select("bucket", "sketch").mapInArrow(run, "bucket long, at int, token long")
+
+
+def _settled(entries: DataFrame, sets_: DataFrame, settings: Settings, depth: int) -> tuple[list[DataFrame], list[DataFrame], int]:
+    """Nodes that need no more splitting, as tables of (id, bucket); the sets that were split on; the deepest level."""
+    done, went = [], []
+    for level in range(settings.start, depth):
+        large = durable(entries.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > settings.limit))
+        if large.isEmpty():
+            return [*done, entries], went, level
+        sketch = sets_.select("id", "sketch")
+        members = entries.join(broadcast_checked(large), "bucket")
+        counts = _probed(members.join(sketch, "id"), settings).groupBy("bucket", "at", "token").agg(F.count("*").alias("c"))
+        pairs = counts.groupBy("bucket").agg(F.sum(F.col("c").cast("double") * (F.col("c") - 1)).alias("pairs"))
+        mixed = durable(large.join(pairs, "bucket").where(
+            F.col("pairs") < settings.similar * PROBES * F.col("n").cast("double") * (F.col("n") - 1)).select("bucket"))
+        if mixed.isEmpty():
+            return [*done, entries], went, level
+        split = durable(entries.join(broadcast_checked(mixed), "bucket"))
+        done.append(entries.join(broadcast_checked(mixed), "bucket", "left_anti"))
+        went.append(split.select("id").distinct())
+        entries = durable(_split(split.join(sketch, "id"), settings))
+    return [*done, entries], went, depth
+
+
+def nodes(sets_: DataFrame, settings: Settings) -> DataFrame:
+    """(id, bucket) of all nodes whose sets are to be compared. ``sets_``: (id, sketch), durable, one row per text."""
+    first = settings.runs(settings.start)
+    ends, went, deepest = _settled(durable(started(sets_, 0, first, settings)), sets_, settings, settings.depth)
+    if went:
+        again = durable(reduce(DataFrame.union, went).distinct().join(sets_, "id").select("id", "sketch"))
+        more = durable(started(again, first, settings.runs(deepest), settings))
+        ends += _settled(more, again, settings, deepest)[0]
+    return ends[0] if len(ends) == 1 else durable(reduce(DataFrame.union, (e.select("id", "bucket") for e in ends)))
 
 
 def sets(docs: DataFrame, width: int) -> DataFrame:
@@ -126,16 +240,16 @@ def jaccard_kernel(threshold: float):
     return kernel
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """All columns, and the halves of the digest as ``__k1`` and ``__k2``."""
+def keyed(docs: DataFrame, k1: str, k2: str) -> DataFrame:
+    """All columns, and the halves of the digest under these names."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in batches:
             for piece in slices(batch):
-                yield pa.RecordBatch.from_arrays([*piece.columns, *_halves(Words(*as_bytes(piece.column("text"))))], names=[*piece.schema.names, "__k1", "__k2"])
+                yield pa.RecordBatch.from_arrays([*piece.columns, *_halves(Words(*as_bytes(piece.column("text"))))], names=[*piece.schema.names, k1, k2])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, __k1 long, __k2 long")
+    kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, f"{kinds}, {k1} long, {k2} long")
 
 
 def _classes(docs: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
@@ -144,16 +258,13 @@ def _classes(docs: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]
     Texts are known by their digest throughout, so rows of one id, or without one, never meet because of it.
     """
     drawn = durable(sketches(docs, settings))
+    # numbers once written: unlike hashes of the digest, no two texts can share one
     classes = durable(drawn.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(
-        F.min("doc_id").alias("low"), F.count("*").alias("weight"), F.first("two").alias("two"), F.first("three").alias("three"))
-        .withColumn("id", F.xxhash64("k1", "k2")))
-    paths = classes.select("id", F.explode(F.arrays_zip("two", "three")).alias("at")).select("id", "at.two", "at.three")
-    sizes = paths.groupBy("two").agg(F.count("*").alias("n")).where("n > 1")
-    bucket = F.when(F.col("n") <= settings.limit, F.col("two")).otherwise(F.col("three"))
-    live = live_buckets(durable(paths.join(sizes, "two").select("id", bucket.alias("bucket")).distinct()))
+        F.min("doc_id").alias("low"), F.count("*").alias("weight"), F.first("sketch").alias("sketch")).withColumn("id", F.monotonically_increasing_id()))
+    live = live_buckets(nodes(classes.select("id", "sketch"), settings))
     # the text of each item: a row with its smallest doc_id and its digest
     wanted = classes.select("id", "weight", "low", F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).join(live, "id")
-    texts = keyed(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("low"), "text")).join(wanted.hint("shuffle_hash"), ["low", "__k1", "__k2"])
+    texts = keyed(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("low"), "text"), "__k1", "__k2").join(wanted.hint("shuffle_hash"), ["low", "__k1", "__k2"])
     items = sets(texts.drop("low", "__k1", "__k2"), settings.width).dropDuplicates(["id", "k1", "k2"])
     found = durable(linked(items, jaccard_kernel(settings.threshold)))
     reach = components(found.select("id", "label"))
@@ -189,8 +300,9 @@ def join(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The rows of the first text of each class with its smallest doc_id, with all their columns; classes are of texts, whatever their ids."""
     drawn, known = _classes(docs, settings)
+    id_, k1, k2, g1, g2 = free_names(docs, "__gone", "__k1", "__k2", "__g1", "__g2")
     gone = drawn.select("doc_id", "k1", "k2").join(known, ["k1", "k2"]).where("doc_id <> low OR k1 <> f1 OR k2 <> f2").select(
-        F.col("doc_id").alias("__gone"), F.col("k1").alias("__g1"), F.col("k2").alias("__g2")).distinct()
-    rows = keyed(docs)
-    same = (F.coalesce(rows["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("__gone")) & (F.col("__k1") == F.col("__g1")) & (F.col("__k2") == F.col("__g2"))
-    return rows.join(gone, same, "left_anti").drop("__k1", "__k2")
+        F.col("doc_id").alias(id_), F.col("k1").alias(g1), F.col("k2").alias(g2)).distinct()
+    rows = keyed(docs, k1, k2)
+    same = (F.coalesce(rows["doc_id"].cast("long"), F.lit(NO_ID)) == F.col(id_)) & (F.col(k1) == F.col(g1)) & (F.col(k2) == F.col(g2))
+    return rows.join(gone, same, "left_anti").drop(k1, k2)

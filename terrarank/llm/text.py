@@ -142,3 +142,10 @@ def shingles(words: Words, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(rows, kind="stable")
         out, rows = out[order], rows[order]
     return out, rows
+
+
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """These names, lengthened until none is a column of the table."""
+    taken = {c.lower() for c in docs.columns}
+    more = next(m for m in ("_" * i for i in range(len(taken) + 1)) if not taken & {n.lower() + m for n in names})
+    return [n + more for n in names]

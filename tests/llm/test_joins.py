@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrarank.llm import embeddings, jaccard, lattice
+from terrarank.llm import embeddings, exact, jaccard, lattice
 from terrarank.llm.components import components
 
 
@@ -78,8 +78,78 @@ def test_rows_of_one_id_or_none_are_judged_by_their_texts(spark, documents):
     assert got == {(3, 3), (7, 3), (None, None)}   # rows of one id are one document there
 
 
-def test_number_of_runs():
-    assert jaccard.Settings().runs == 20 and jaccard.Settings(recall=0.99).runs == 7
+def test_number_of_runs_by_simulation():
+    s = jaccard.Settings()
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 2**32, (400, s.positions), dtype=np.uint32)
+    b = np.where(rng.random(a.shape) < s.threshold, a, a + 1)
+    for depth in (2, 5):
+        met, runs = [], 12
+        for r in range(runs):
+            seen = []
+            for values in (a, b):
+                row, path = np.arange(len(a)), np.full(len(a), jaccard.mix(np.array([r], np.uint64))[0])
+                for _ in range(depth):
+                    row, path = jaccard.children(row, path, values, s.threshold)
+                seen.append({(int(i), int(p)) for i, p in zip(row, path)})
+            met.append(len({i for i, _ in seen[0] & seen[1]}) / len(a))
+        assert abs(np.mean(met) - s.shared(s.threshold, depth)) < 0.06
+        assert jaccard.Settings(recall=0.99).runs(depth) < s.runs(depth)
+    assert s.runs(2) == 12
+
+
+@pytest.mark.parametrize("settings", [jaccard.Settings(), jaccard.Settings(limit=8)])
+def test_recall_of_nodes(spark, settings):
+    """Texts at the threshold share a node, whether nodes are split once or many times; copies stay together."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**32, (300, settings.positions), dtype=np.uint32)
+    hot = base[0]
+    far = np.where(rng.random((300, settings.positions)) < 0.55, hot, rng.integers(0, 2**32, base.shape, dtype=np.uint32))   # a shared template
+    left = np.concatenate([base, far])
+    right = np.where(rng.random(left.shape) < settings.threshold, left, rng.integers(0, 2**32, left.shape, dtype=np.uint32))
+    n = len(left)
+    rows = [(i, bytes(v.tobytes())) for i, v in enumerate(np.concatenate([left, right]))]
+    sets_ = jaccard.durable(spark.createDataFrame(rows, "id long, sketch binary"))
+    found = jaccard.nodes(sets_, settings)
+    a, b = found.alias("a"), found.alias("b")
+    met = a.join(b, F.expr("a.bucket = b.bucket AND b.id = a.id + %d" % n)).where(F.col("a.id") < n).select("a.id").distinct().count()
+    assert met >= n - 1
+    if settings.limit == 8:
+        assert found.groupBy("bucket").count().agg(F.max("count")).first()[0] < 60   # 300 to 600 texts of the template met at first
+
+
+def test_nodes_of_a_template_stay_small(spark, documents):
+    """Texts that share a long template are split apart: pairs to compare grow with the texts, not with their square."""
+    random.seed(4)
+    template = [f"t{i}" for i in range(100)]
+    compared = []
+    for n in (500, 2000):
+        docs = documents([(i, " ".join(template + [f"d{i}x{j}" for j in range(80)]), "t") for i in range(n)])
+        s = jaccard.Settings(limit=32)
+        drawn = jaccard.durable(jaccard.sketches(docs, s))
+        found = jaccard.nodes(jaccard.durable(drawn.select(F.col("doc_id").alias("id"), "sketch")), s)
+        sizes = found.groupBy("bucket").count()
+        compared.append(sizes.agg(F.sum(F.col("count") * (F.col("count") - 1))).first()[0] / n)
+    assert compared[1] < 1.6 * compared[0], compared
+
+
+def test_alike_sets_are_not_split(spark, documents):
+    base = [f"w{i}" for i in range(200)]
+    docs = documents([(i, " ".join([*base[:-1], f"x{i}"]), "t") for i in range(300)])
+    drawn = jaccard.durable(jaccard.sketches(docs, jaccard.Settings(limit=16)))
+    sets_ = jaccard.durable(drawn.select(F.col("doc_id").alias("id"), "sketch"))
+    s = jaccard.Settings(limit=16)
+    assert jaccard._settled(jaccard.durable(jaccard.started(sets_, 0, 2, s)), sets_, s, s.depth)[1] == []
+    got = jaccard.join(docs, s).collect()
+    assert {(r.class_id, r.n_links) for r in got} == {(0, 299)}
+
+
+def test_columns_of_any_name_pass(spark):
+    rows = [(1, "a b c d e f g", 5, 6, "p", "q"), (2, "a b c d e f g", 7, 8, "r", "s"), (3, "z", 9, 10, "t", "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __k1 long, __G2 long, __sha string, `__keep` string")
+    assert sorted(jaccard.one_of_each(docs).collect()) == [rows[0], rows[2]]
+    stays = exact.without_copies(docs)
+    assert stays.columns == docs.columns and sorted(stays.collect()) == [rows[1], rows[2]]
 
 
 def test_components_against_closure(spark):
