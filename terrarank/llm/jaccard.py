@@ -5,7 +5,7 @@ its least token under each of ``positions`` random orders. Two sets agree at a p
 probability. Each run grows a tree. A node has a path, which decides the positions that are chosen there: ``1 / threshold`` of them
 in the mean. For each, a set goes on to the child named by its token at that position, so similar sets stay together on one path in
 the mean, others on ever fewer. Nodes are split, level by level, while they hold more than ``limit`` sets; nodes whose sets are alike
-in the mean (``similar``, from counted tokens) end there, since their pairs are results. What remains is compared by brute force, in
+in the mean (``similar``, from counted tokens of some) end there, since their pairs are results. What remains is compared by brute force, in
 blocks where it is still large, so nothing is capped.
 
 The chance that a pair at the threshold shares a path down to a level follows from the number of positions where it agrees, which is
@@ -39,7 +39,8 @@ from .links import linked, live_buckets
 from .text import Words, as_bytes, forget, free_names, mix, seeds, shingles, slices
 
 NO_ID = -(2**63)   # stands for a null doc_id
-PROBES = 32          # positions from which the similarity inside a node is estimated
+PROBES = 32          # positions from which the similarity inside a node is estimated,
+PROBED = 256         # and the sets, in the mean; this decides whether a node is split, never what is compared
 
 
 @dataclass(frozen=True)
@@ -47,7 +48,7 @@ class Settings:
     width: int = 5
     threshold: float = 0.8
     recall: float = 0.999999
-    limit: int = 256       # larger nodes are split
+    limit: int = 2048      # larger nodes are split; below, the further runs cost more comparisons and copies of texts than they save
     start: int = 2         # levels that all sets take at once
     depth: int = 12        # levels at most
     similar: float = 0.72  # mean similarity from which a node is compared as it is
@@ -81,7 +82,7 @@ def _halves(w: Words) -> list[pa.Array]:
 
 
 def sketches(docs: DataFrame, settings: Settings) -> DataFrame:
-    """doc_id, two halves of a digest of the words in order, and the sketch: 32 bits of the least token in each order.
+    """doc_id, two halves of a digest of the words in order, and the sketch: 16 bits of the least token in each order.
 
     Texts without words have null halves and no sketch.
     """
@@ -94,12 +95,12 @@ def sketches(docs: DataFrame, settings: Settings) -> DataFrame:
                 w = Words(*as_bytes(piece.column("text")))
                 tokens, row = shingles(w, settings.width)
                 has, first = np.unique(row, return_index=True)
-                least = np.zeros((w.rows, len(by)), np.uint32)
+                least = np.zeros((w.rows, len(by)), np.uint16)
                 for k, b in enumerate(by if len(has) else ()):
                     h = (tokens ^ (b >> np.uint64(7))) * b
                     h ^= h >> np.uint64(32)
                     h *= b
-                    least[has, k] = (mix(np.minimum.reduceat(h, first)) >> np.uint64(32)).astype(np.uint32)
+                    least[has, k] = (mix(np.minimum.reduceat(h, first)) >> np.uint64(48)).astype(np.uint16)
                 drawn = pa.array([v.tobytes() if n else None for v, n in zip(least, w.count)], pa.binary())
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id").fill_null(NO_ID), *_halves(w), drawn], names=["doc_id", "k1", "k2", "sketch"])
 
@@ -107,7 +108,7 @@ def sketches(docs: DataFrame, settings: Settings) -> DataFrame:
 
 
 def _values(column: pa.Array, positions: int) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_buffer() for x in column), np.uint32).reshape(len(column), positions)
+    return np.frombuffer(b"".join(x.as_buffer() for x in column), np.uint16).reshape(len(column), positions)
 
 
 def children(row: np.ndarray, path: np.ndarray, values: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -177,11 +178,11 @@ def _settled(entries: DataFrame, sets_: DataFrame, settings: Settings, depth: in
         if large.isEmpty():
             return [*done, entries], went, level
         sketch = sets_.select("id", "sketch")
-        members = entries.join(broadcast_checked(large), "bucket")
-        counts = _probed(members.join(sketch, "id"), settings).groupBy("bucket", "at", "token").agg(F.count("*").alias("c"))
-        pairs = counts.groupBy("bucket").agg(F.sum(F.col("c").cast("double") * (F.col("c") - 1)).alias("pairs"))
-        mixed = durable(large.join(pairs, "bucket").where(
-            F.col("pairs") < settings.similar * PROBES * F.col("n").cast("double") * (F.col("n") - 1)).select("bucket"))
+        some = F.pmod(F.xxhash64("id", "bucket"), F.col("n")) < PROBED
+        members = entries.join(broadcast_checked(large), "bucket").where(some)
+        counts = _probed(members.join(sketch, "id"), settings).groupBy("bucket", "at", "token").agg(F.count("*").cast("double").alias("c"))
+        pairs = counts.groupBy("bucket").agg(F.sum(F.col("c") * (F.col("c") - 1)).alias("pairs"), (F.sum("c") / PROBES).alias("m"))
+        mixed = durable(pairs.where(F.col("pairs") < settings.similar * PROBES * F.col("m") * (F.col("m") - 1)).select("bucket"))
         if mixed.isEmpty():
             return [*done, entries], went, level
         split = durable(entries.join(broadcast_checked(mixed), "bucket"))

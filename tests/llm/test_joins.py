@@ -81,7 +81,7 @@ def test_rows_of_one_id_or_none_are_judged_by_their_texts(spark, documents):
 def test_number_of_runs_by_simulation():
     s = jaccard.Settings()
     rng = np.random.default_rng(3)
-    a = rng.integers(0, 2**32, (400, s.positions), dtype=np.uint32)
+    a = rng.integers(0, 2**16, (400, s.positions), dtype=np.uint16)
     b = np.where(rng.random(a.shape) < s.threshold, a, a + 1)
     for depth in (2, 5):
         met, runs = [], 12
@@ -102,11 +102,11 @@ def test_number_of_runs_by_simulation():
 def test_recall_of_nodes(spark, settings):
     """Texts at the threshold share a node, whether nodes are split once or many times; copies stay together."""
     rng = np.random.default_rng(5)
-    base = rng.integers(0, 2**32, (300, settings.positions), dtype=np.uint32)
+    base = rng.integers(0, 2**16, (300, settings.positions), dtype=np.uint16)
     hot = base[0]
-    far = np.where(rng.random((300, settings.positions)) < 0.55, hot, rng.integers(0, 2**32, base.shape, dtype=np.uint32))   # a shared template
+    far = np.where(rng.random((300, settings.positions)) < 0.55, hot, rng.integers(0, 2**16, base.shape, dtype=np.uint16))   # a shared template
     left = np.concatenate([base, far])
-    right = np.where(rng.random(left.shape) < settings.threshold, left, rng.integers(0, 2**32, left.shape, dtype=np.uint32))
+    right = np.where(rng.random(left.shape) < settings.threshold, left, rng.integers(0, 2**16, left.shape, dtype=np.uint16))
     n = len(left)
     rows = [(i, bytes(v.tobytes())) for i, v in enumerate(np.concatenate([left, right]))]
     sets_ = jaccard.durable(spark.createDataFrame(rows, "id long, sketch binary"))
