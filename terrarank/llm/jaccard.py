@@ -171,10 +171,12 @@ def _probed(entries: DataFrame, settings: Settings) -> DataFrame:
 
 
 def _settled(entries: DataFrame, sets_: DataFrame, settings: Settings, depth: int) -> tuple[list[DataFrame], list[DataFrame], int]:
-    """Nodes that need no more splitting, as tables of (id, bucket); the sets that were split on; the deepest level."""
+    """Nodes of several sets that need no more splitting, as tables of (id, bucket); the sets that were split on; the deepest level."""
     done, went = [], []
     for level in range(settings.start, depth):
-        large = durable(entries.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > settings.limit))
+        shared = durable(entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+        entries = entries.join(shared.select("bucket"), "bucket", "left_semi")
+        large = durable(shared.where(F.col("n") > settings.limit))
         if large.isEmpty():
             return [*done, entries], went, level
         sketch = sets_.select("id", "sketch")
@@ -200,7 +202,7 @@ def nodes(sets_: DataFrame, settings: Settings) -> DataFrame:
         again = durable(reduce(DataFrame.union, went).distinct().join(sets_, "id").select("id", "sketch"))
         more = durable(started(again, first, settings.runs(deepest), settings))
         ends += _settled(more, again, settings, deepest)[0]
-    return ends[0] if len(ends) == 1 else durable(reduce(DataFrame.union, (e.select("id", "bucket") for e in ends)))
+    return durable(reduce(DataFrame.union, (e.select("id", "bucket") for e in ends)))
 
 
 def sets(docs: DataFrame, width: int) -> DataFrame:
