@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 
 
 def newest_period(df: DataFrame, period: str) -> DataFrame:
-    """Rows of the newest period; the period itself is one aggregated row."""
-    return df.join(F.broadcast(df.agg(F.max(period).alias(period))), period, "left_semi")
+    """Rows of the newest period.
+
+    The first read takes the period's column alone; its one value is a literal filter of the second, which reaches the
+    scan, so files, partitions and row groups of other periods are skipped.
+    """
+    newest = df.agg(F.max(period)).first()[0]
+    return df.where(F.lit(False) if newest is None else F.col(period) == F.lit(newest))
 
 
 def latest_month(wide: DataFrame, key: str, months: Sequence[str], out: str, known_share: float = 0.5) -> DataFrame:

@@ -127,6 +127,28 @@ def test_nested_tables_and_unclosed_cells(spark):
     assert rows == [(0, 0, ["City", "$17"]), (1, 0, ["State", "Wage"]), (1, 1, ["New York", "$16 City $17"]), (1, 2, ["Utah note", "A & B"])]
 
 
+def test_long_page(spark):
+    """A page of 100,000 tags, with a table open across all stretches of the fold."""
+    inner = "<table><tr><td>deep</td></tr></table>"
+    page = "<table>" + "".join(f"<tr><td>{i}</td><td>x{inner if i == 9_000 else ''}</td></tr>" for i in range(16_666)) + "</table>"
+    rows = html.table_rows(spark.createDataFrame([(1, page)], "page int, html string"), "page", "html").collect()
+    got = {(r["table_no"], r["row_no"]): r["cells"] for r in rows}
+    assert got == {(0, 0): ["deep"]} | {(1, i): [str(i), "x deep" if i == 9_000 else "x"] for i in range(16_666)}
+
+
+def test_newest_period_is_a_pushed_filter(spark, tmp_path):
+    spark.createDataFrame([(1, "2024-01"), (2, "2024-03"), (3, "2024-03"), (4, None)], "k int, month string").write.partitionBy("month").parquet(f"{tmp_path}/by")
+    spark.read.parquet(f"{tmp_path}/by").write.parquet(f"{tmp_path}/flat")
+    for name, word in (("by", "PartitionFilters"), ("flat", "PushedFilters")):
+        newest = periods.newest_period(spark.read.parquet(f"{tmp_path}/{name}"), "month")
+        assert sorted(r["k"] for r in newest.collect()) == [2, 3]
+        plan = newest._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        assert plan.count("Scan parquet") <= 2 and "Join" not in plan
+        assert any(word in line and "2024-0" in line for line in plan.split("\n")), plan
+    nothing = spark.createDataFrame([(4, None)], "k int, month string")
+    assert periods.newest_period(nothing, "month").count() == 0
+
+
 def test_page_hash_ignores_markup(spark):
     df = spark.createDataFrame([("<p>No  “permit”</p><script>x()</script>",), ('no <b>"permit"</b>',)], "h string")
     a, b = [r[0] for r in df.select(text.page_hash("h")).collect()]
