@@ -195,7 +195,7 @@ def picked_columns_and_levels(t):
     """The column named like a key but holding state codes is rejected; one level is kept; grades averaged."""
     k = F.col("c_custkey")
     rows = t.customer.withColumn("g", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("s", F.explode(F.array(F.lit("All "), F.lit("wht")))).select(
-        F.col("c_nationkey").cast("string").alias("FIPS"), (10000 + k).cast("string").alias("sedacounty"), F.col("s").alias("subgroup"), F.lit("0").alias("gap"),
+        F.col("c_nationkey").cast("string").alias("FIPS"), F.lpad((10000 + k).cast("string"), 5, "0").alias("sedacounty"), F.col("s").alias("subgroup"), F.lit("0").alias("gap"),
         F.col("g").alias("grade"), F.when(F.col("s") == "wht", 0.0).otherwise(F.col("c_acctbal") + F.col("g")).cast("string").alias("cs"))
     key = files.pick_column(rows, ["fips", "sedacounty"], [4, 5])
     level = files.level_rows(rows, {"subgroup": "all", "gap": "0"})
