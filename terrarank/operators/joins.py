@@ -130,8 +130,10 @@ def candidate_match(rows: DataFrame, key: str, candidates: Sequence[tuple[str, D
     table, ``order`` breaks ties. Rows without any match keep NULLs."""
     found = None
     for i, (how, table, on) in enumerate(candidates):
-        hit = rows.select(key, *on).join(table, list(on)).groupBy(key).agg(
-            F.min(F.struct(F.lit(i).alias("i"), *order, F.col(target).alias("t"), F.lit(how).alias("how"))).alias("_m"))
+        # the first candidate of each name before any row meets it: a row joins one candidate, however many share the name
+        first = table.groupBy(*on).agg(F.min(F.struct(*[c for c in order if c != key], F.col(target).alias("t"))).alias("_c"))
+        hit = rows.select(key, *on).join(first, list(on)).groupBy(key).agg(
+            F.min(F.struct(F.lit(i).alias("i"), "_c.*", F.lit(how).alias("how"))).alias("_m"))
         hit = hit.select(key, F.struct(F.col("_m.i").alias("i"), F.col("_m.t").alias("t"), F.col("_m.how").alias("how")).alias("_m"))
         found = hit if found is None else found.unionByName(hit)
     best = found.groupBy(key).agg(F.min("_m").alias("_m"))

@@ -149,3 +149,14 @@ def test_text_profile_shows_first_known_values(spark):
     got = {r["column"]: r for r in quality.text_profile(spark.createDataFrame(rows, "k long, a string, b string"), "k", ["a", "b"]).collect()}
     assert (got["a"].nulls, got["a"].rows, got["a"].samples) == (3, 9, ["v1", "v2", "v4"])
     assert (got["b"].nulls, got["b"].samples) == (9, [])
+
+
+def test_rows_meet_one_candidate_of_each_name(spark):
+    table = spark.range(2_000).select((F.col("id") % 2).alias("nm"), (5_000 - F.col("id")).alias("agency"), (F.col("id") % 7).alias("worth"))
+    rows = spark.createDataFrame([(1, 0), (2, 1), (3, 9), (4, None)], "area long, nm long")
+    found = joins.candidate_match(rows, "area", [("name", table, ["nm"])], "agency", ["worth"])
+    assert {r["area"]: (r["agency"], r["matched_by"]) for r in found.collect()} == {
+        1: (3_012, "name"), 2: (3_005, "name"), 3: (None, None), 4: (None, None)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    below = plan.split("Join Inner")[1]
+    assert below.index("min(struct(worth") < below.index("Range"), "candidates are narrowed below the join"
