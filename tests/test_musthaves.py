@@ -85,3 +85,51 @@ def test_watch_outs_of_listed_results(spark):
     rows = lambda f: sorted((r["search"], r["k"], r["metric"], r["worse_than"]) for r in f.collect())
     assert rows(score.watch_outs(ranked, "k", ["a", "b"], asked, listed=listed)) == [("s", 1, "b", 99), ("t", 2, "a", 96)]
     assert rows(score.watch_outs(ranked, "k", ["a", "b"], asked)) == [("s", 1, "b", 99), ("t", 1, "a", 97), ("t", 1, "b", 99), ("t", 2, "a", 96)]
+
+
+def given(spark, seed):
+    places, limits, accepts = drawn(seed)
+    places += [places[3], (7, 1.0, 4, "y", "z"), (None, 0.0, 2, "x", None)]     # keys may repeat or be null
+    accepts += [("s1", "c", ["x", "z"]), ("s2", "no such column", ["x"]), ("s3", "d", ["y"])]
+    df, lim, acc = spark.createDataFrame(places, PLACES), spark.createDataFrame(limits, LIMITS), spark.createDataFrame(accepts, ACCEPTS)
+    named = lim.select("search").union(acc.select("search")).union(spark.createDataFrame([("free",), (None,)], "search string")).distinct()
+    return musthaves.Asked(df, "k", named, lim, acc, {"c": "d"})
+
+
+@pytest.mark.parametrize("seed,most", [(4, 3), (5, 0)])
+def test_counts_without_pairs_are_those_of_pairs(spark, monkeypatch, seed, most):
+    monkeypatch.setattr(musthaves, "MEASURES_NESTED", most)
+    asked = given(spark, seed)
+    rows = lambda f: {r["search"]: (r["match"], r["unknown"], r["excluded"]) for r in f.collect()}
+    assert rows(musthaves.shown_counts(asked, asked.searches, asked.places)) == rows(musthaves.shown_counts(asked.of(asked.searches), asked.searches, asked.places))
+
+
+def test_the_best_without_pairs_are_those_of_pairs(spark):
+    asked = given(spark, 6)
+    weights = [("a", 3.0, "higher"), ("b", 2.0, "lower")], [("b", 1.0, "middle")]
+    named = [r[0] for r in asked.searches.where("search <> 's5'").collect()]
+    criteria = spark.createDataFrame([(s, *w) for i, s in enumerate(sorted(named)) for w in weights[i % 2]], "search string, metric string, weight double, direction string")
+    ranked = spark.createDataFrame([(k, m, float(k * p % 10 * 10), float(k * p % 10 * 10), 50.0) for k in range(100) for m, p in (("a", 7), ("b", 3))],
+                                   "k long, metric string, lo double, hi double, mid double")
+
+    def best(found):
+        top = score.ranked(musthaves.shown_scores(found, "k", ranked, criteria), "k", 3)
+        return sorted((r["search"], r["position"], r["k"] is None, r["k"], r["status"], r["score"], r["unknown"]) for r in top.collect())
+
+    few = musthaves.best_places(asked, ranked, criteria, 3)
+    assert best(few) == best(asked.of(asked.searches))
+    assert few.groupBy("search").count().where("count > 3").isEmpty() and few.count() > 30
+
+
+def test_counting_does_not_follow_the_places_shown(spark):
+    """Each search shows about half of all places; four times the places let what is read per search grow by two levels a measure."""
+    read = {}
+    for n in (500, 2000):
+        df = durable(spark.range(n).select(F.col("id").alias("k"), F.rand(3).alias("a"), F.rand(4).alias("b")))
+        asked = df.select(F.col("k").alias("search"), F.explode(F.array(
+            F.struct(F.lit("a").alias("metric"), (F.col("a") - 0.4).alias("min"), (F.col("a") + 0.4).alias("max")),
+            F.struct(F.lit("b").alias("metric"), F.lit(None).cast("double").alias("min"), (F.col("b") + 0.2).alias("max")))).alias("m")).select("search", "m.*")
+        nests, apart, _ = musthaves._nests(musthaves.Asked(df, "k", df.select(F.col("k").alias("search")), asked))
+        assert apart.isEmpty() and len(nests) == 1
+        read[n] = nests[0].lookups().count() / n, nests[0].entries(nests[0].places).count() / n
+    assert all(more <= 2.0 * fewer for more, fewer in zip(read[2000], read[500]))
