@@ -44,21 +44,28 @@ _KEPT: dict[object, object] = {}
 
 
 def kept(key: object, make: Callable[[], T]) -> T:
-    """A table of this worker process that outlives its tasks, until one of another operator asks for its own or forgets all."""
+    """A table of this worker process that outlives its tasks, until one of another operator asks for its own or forgets all.
+
+    Before it is made, all else that this process holds goes, and so do in each task Arrow's pages of batches that are gone.
+    """
     if key not in _KEPT:
         _KEPT.clear()
+        _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    if key not in _KEPT:
         _KEPT[key] = make()
     return _KEPT[key]
 
 
 def forget() -> None:
-    """Give back what earlier tasks of this worker process have kept."""
+    """Give back what earlier tasks of this worker process have kept, and Arrow's pages of batches that are gone."""
     _KEPT.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 2 * CHUNK)
+        size = max(n, CHUNK) * 9 // 8   # a chunk ends after the text that fills it
         both = []
         for base in (_STEP, _BACK):
             p = np.full(size, base, dtype=np.uint64)
