@@ -171,11 +171,11 @@ def _probed(entries: DataFrame, settings: Settings) -> DataFrame:
 
 
 def _settled(entries: DataFrame, sets_: DataFrame, settings: Settings, depth: int) -> tuple[list[DataFrame], list[DataFrame], int]:
-    """Nodes of several sets that need no more splitting, as tables of (id, bucket); the sets that were split on; the deepest level."""
+    """Nodes of several sets that need no more splitting, as durable tables of (id, bucket); the sets that were split on; the deepest level."""
     done, went = [], []
     for level in range(settings.start, depth):
         shared = durable(entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
-        entries = entries.join(shared.select("bucket"), "bucket", "left_semi")
+        entries = durable(entries.join(shared.select("bucket"), "bucket", "left_semi"))   # read up to three times below
         large = durable(shared.where(F.col("n") > settings.limit))
         if large.isEmpty():
             return [*done, entries], went, level
@@ -188,21 +188,21 @@ def _settled(entries: DataFrame, sets_: DataFrame, settings: Settings, depth: in
         if mixed.isEmpty():
             return [*done, entries], went, level
         split = durable(entries.join(broadcast_checked(mixed), "bucket"))
-        done.append(entries.join(broadcast_checked(mixed), "bucket", "left_anti"))
+        done.append(durable(entries.join(broadcast_checked(mixed), "bucket", "left_anti")))
         went.append(split.select("id").distinct())
         entries = durable(_split(split.join(sketch, "id"), settings))
     return [*done, entries], went, depth
 
 
 def nodes(sets_: DataFrame, settings: Settings) -> DataFrame:
-    """(id, bucket) of all nodes whose sets are to be compared. ``sets_``: (id, sketch), durable, one row per text."""
+    """(id, bucket) of all nodes whose sets are to be compared, durable. ``sets_``: (id, sketch), durable, one row per text."""
     first = settings.runs(settings.start)
     ends, went, deepest = _settled(durable(started(sets_, 0, first, settings)), sets_, settings, settings.depth)
     if went:
         again = durable(reduce(DataFrame.union, went).distinct().join(sets_, "id").select("id", "sketch"))
         more = durable(started(again, first, settings.runs(deepest), settings))
         ends += _settled(more, again, settings, deepest)[0]
-    return durable(reduce(DataFrame.union, (e.select("id", "bucket") for e in ends)))
+    return reduce(DataFrame.union, (e.select("id", "bucket") for e in ends))
 
 
 def sets(docs: DataFrame, width: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terrarank.llm import embeddings, exact, jaccard, lattice
 from terrarank.llm.components import components
+from terrarank.session import durable
 
 
 def tokens(text):
@@ -133,6 +134,14 @@ def test_nodes_of_a_template_stay_small(spark, documents):
     assert compared[1] < 1.6 * compared[0], compared
 
 
+def test_sets_are_matched_with_shared_nodes_once_a_level(spark, documents):
+    rows = [(i, " ".join(["same"] * 30 + [f"w{i}"]), "a") for i in range(40)]
+    drawn = durable(jaccard.sketches(documents(rows), jaccard.Settings()).withColumnRenamed("doc_id", "id"))
+    done, went, _ = jaccard._settled(durable(jaccard.started(drawn, 0, 12, jaccard.Settings())), drawn, jaccard.Settings(limit=8, similar=1.1), 5)
+    assert went and len(done) > 1
+    assert not [t for t in done if "Join" in t._jdf.queryExecution().optimizedPlan().toString()]
+
+
 def test_alike_sets_are_not_split(spark, documents):
     base = [f"w{i}" for i in range(200)]
     docs = documents([(i, " ".join([*base[:-1], f"x{i}"]), "t") for i in range(300)])
