@@ -19,20 +19,21 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import broadcast_checked
-from .text import CHUNK, kept, slices
+from .text import CHUNK, LOWER, as_bytes, kept, slices
 
 SEGMENT_IDS = 1 << 20
 SAMPLE = 256
-WORDS_KEPT = 800_000   # words, and as many runs of letters, whose ids a worker remembers at most
+PIECES_KEPT = 1_600_000   # pieces whose ids a worker remembers at most
 
 _ROW = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("before", pa.int64()), ("documents", pa.int64()), ("size", pa.int64()), ("data", pa.binary())])
 _HEADER = struct.Struct("<4sBxxxQQQ")   # mark, bytes per id, documents, ids, documents without doc_id
@@ -129,8 +130,12 @@ class Segment:
         return [None] * self.nulls + self.known.all().tolist()
 
 
-# letters that are one piece whatever their case, and marks after them that are another
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]{0,8})")
+# Bytes by what the patterns make of them: a space or line end, a letter, a mark other than the apostrophe, a digit, and all else
+_SPACE, _LETTER, _MARK, _DIGIT, _OTHER = range(5)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = _MARK
+_KIND[ord("'")] = _OTHER
+_KIND[48:58], _KIND[65:91], _KIND[97:123], _KIND[[10, 32]] = _DIGIT, _LETTER, _LETTER, _SPACE
 
 
 # The normaliser, patterns and mark of a word's end for which words between spaces stand alone
@@ -144,11 +149,13 @@ _WORDWISE = (
 
 
 class Tokenizer:
-    """The tokenizers library's ids of whole texts, with the words that came before looked up.
+    """The tokenizers library's ids of whole texts, with the pieces that came before looked up.
 
     Where the file's normaliser and patterns are ``_WORDWISE``, they never look across a space or line end, so a text's ids are
-    those of its words between them. Texts that hold the string of an added token, and all texts under another file, go
-    to the library whole. New words go to the library together: plain ones many to a text, cut up again at the tokens that end a word, all others
+    those of its words between them. Words of ASCII and Latin-1 letters, digits and marks fall into runs of letters, runs of
+    marks and single digits, each in lower case and for itself; all other words are pieces as they are. Each piece that a chunk
+    holds is looked up once a chunk. Texts that hold the string of an added token, and all texts under another file, go
+    to the library whole. New pieces go to the library together: plain ones many to a text, cut up again at the tokens that end a word, all others
     each for itself.
     """
 
@@ -168,9 +175,8 @@ class Tokenizer:
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.ends = np.zeros(self.library.get_vocab_size(), bool)
         self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
-        self.words: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}    # newer and older
-        self.letters: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
-        self.marks: tuple[dict[str, bytes], dict[str, bytes]] = {"": b""}, {}
+        self.newer: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _alone(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -185,49 +191,73 @@ class Tokenizer:
             out += [data[a:b] for a, b in zip([0, *cuts], cuts)] if len(cuts) == len(group) else self._alone(group)
         return out
 
-    @staticmethod
-    def _look(tables: tuple[dict, dict], wanted: Iterable[str], encode: Callable[[list[str]], list[bytes]]) -> tuple[tuple[dict, dict], dict[str, bytes]]:
-        """The ids of ``wanted``, none of which the newer table knows, and the tables with them; a full newer one becomes the older."""
-        newer, older = tables
-        found = {w: older.get(w) for w in wanted}
-        new = [w for w, ids in found.items() if ids is None]
-        found.update(zip(new, encode(new)))
-        kept = found if all(len(w) <= 64 for w in found) else {w: ids for w, ids in found.items() if len(w) <= 64}
-        if len(newer) + len(kept) > WORDS_KEPT // 2:
-            return (dict(kept), newer), found
-        newer.update(kept)
-        return (newer, older), found
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        parts = [_PLAIN.fullmatch(w) for w in words]
-        letters = [m and m[1].lower() for m in parts]
-        known, marks = self.letters[0], self.marks[0]
-        fresh = {x for x in letters if x is not None and x not in known}
-        self.letters, found = self._look(self.letters, fresh, self._together)
-        self.marks, signs = self._look(self.marks, {m[2] for m in parts if m and m[2] not in marks}, self._alone)
-        others = iter(self._alone([w for w, m in zip(words, parts) if not m]))
-        ids = lambda x: found[x] if x in found else known[x]
-        sign = lambda x: signs[x] if x in signs else marks[x]
-        return [ids(x) + sign(m[2]) if m else next(others) for x, m in zip(letters, parts)]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        whole = [i for i, t in enumerate(texts) if not self.apart or any(a in t for a in self.added)]
-        if not whole:
-            return self._by_words(texts)
-        found = dict(zip(whole, self._alone([texts[i] for i in whole])))
-        rest = iter(self._by_words([t for i, t in enumerate(texts) if i not in found]))
-        return [np.frombuffer(found[i], self.kind) if i in found else next(rest) for i in range(len(texts))]
-
-    def _by_words(self, texts: list[str]) -> list[np.ndarray]:
-        get = self.words[0].get
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        ids = [list(map(get, w)) for w in split]
-        gaps = [[i for i, x in enumerate(f) if x is None] if None in f else () for f in ids]
-        self.words, found = self._look(self.words, {w[i] for w, at in zip(split, gaps) for i in at}, self._words)
-        for f, w, at in zip(ids, split, gaps):
-            for i in at:
-                f[i] = found[w[i]]
-        return [np.frombuffer(b"".join(f), self.kind) for f in ids]
+    def _look(self, pieces: list[bytes], other: list[bool]) -> list[bytes]:
+        """The ids of different pieces. A full newer table becomes the older one."""
+        out = list(map(self.newer.get, pieces))
+        gaps = [i for i, ids in enumerate(out) if ids is None]
+        for i in gaps:
+            out[i] = self.older.get(pieces[i])
+        new = [i for i in gaps if out[i] is None]
+        for encode, at in ((self._together, [i for i in new if not other[i]]), (self._alone, [i for i in new if other[i]])):
+            for i, ids in zip(at, encode([pieces[i].decode() for i in at])):
+                out[i] = ids
+        kept = {pieces[i]: out[i] for i in gaps if len(pieces[i]) <= 64}
+        if len(self.newer) + len(kept) > PIECES_KEPT // 2:
+            self.newer, self.older = kept, self.newer
+        else:
+            self.newer.update(kept)
+        return out
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
+        """The ids of each text; null is empty text."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        whole = np.full(len(texts), not self.apart)
+        for a in self.added:
+            whole |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self._by_pieces(texts)
+        found = iter(self._alone(texts.filter(pa.array(whole)).to_pylist()))
+        rest = iter(self._by_pieces(texts.filter(pa.array(~whole))))
+        return [np.frombuffer(next(found), self.kind) if w else next(rest) for w in whole]
+
+    def _by_pieces(self, texts: pa.Array) -> list[np.ndarray]:
+        data, offsets = as_bytes(texts)
+        if not len(data):
+            return [np.zeros(0, self.kind)] * len(texts)
+        kinds, low = _KIND[data], LOWER[data]
+        lead = np.flatnonzero(data[:-1] == 0xC3)   # two bytes of À to ÿ
+        second = data[lead + 1]
+        lead, second = (x[(second & 0xC0 == 0x80) & (second != 0x97) & (second != 0xB7)] for x in (lead, second))   # but not × and ÷
+        kinds[lead] = kinds[lead + 1] = _LETTER
+        low[lead + 1] = np.where(second <= 0x9E, second | 0x20, second)
+        first = offsets[:-1][offsets[:-1] < offsets[1:]]
+        if (others := np.flatnonzero(kinds == _OTHER)).size:
+            gap = kinds == _SPACE
+            begins = ~gap
+            begins[1:] &= gap[:-1]
+            begins[first] = ~gap[first]
+            start = np.flatnonzero(begins)
+            word = np.unique(np.searchsorted(start, others, side="right") - 1)
+            mine = np.zeros(len(start), bool)
+            mine[word] = True
+            mine = np.repeat(mine, np.diff(start, append=len(data)))   # with the spaces after a word
+            at = np.flatnonzero(mine & ~gap[start[0]:]) + start[0]
+            kinds[at], low[at] = _OTHER, data[at]
+        begins = np.ones(len(data), bool)
+        begins[1:] = (kinds[1:] != kinds[:-1]) | (kinds[1:] == _DIGIT)
+        begins[first] = True
+        inside = kinds != _SPACE
+        begins &= inside
+        start, low, edges = np.flatnonzero(begins), low[inside], np.flatnonzero(begins[inside])
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.append(edges, len(low))), pa.py_buffer(low)]).dictionary_encode()
+        at = pieces.indices.to_numpy()
+        other = np.zeros(len(pieces.dictionary), bool)
+        other[at[kinds[start] == _OTHER]] = True
+        ids = pa.array(self._look(pieces.dictionary.to_pylist(), other.tolist()), pa.large_binary()).take(pieces.indices)
+        _, ends, flat = ids.buffers()
+        cuts = np.frombuffer(ends, np.int64)[: len(ids) + 1][np.searchsorted(start, offsets)] // self.kind.itemsize
+        flat = np.frombuffer(flat or b"", np.uint8).view(self.kind)
+        return [flat[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
 
 
 def tokenizer(path: str) -> Tokenizer:
@@ -254,7 +284,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None
         end = np.array([] if end_id is None else [end_id], own.kind)
         for batch in batches:
             for piece in slices(batch, limit=4 * CHUNK):
-                for doc, found in zip(piece.column("doc_id").to_pylist(), own.encode([t or "" for t in piece.column("text").to_pylist()])):
+                for doc, found in zip(piece.column("doc_id").to_pylist(), own.encode(piece.column("text"))):
                     doc_ids.append(doc)
                     lengths.append(len(found) + len(end))
                     ids += [found, end]

@@ -104,6 +104,36 @@ def test_words_give_the_library_s_ids():
     assert [x.tolist() for x in binary.Tokenizer(WORDS).encode(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_pieces_known_from_other_words_are_not_encoded_again():
+    """Words put together from known letters, marks and digits cost the library nothing, wherever the marks stand."""
+    class Spy:
+        texts = 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.texts += len(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    library, spy = Library.from_file(WORDS), Spy()
+    own = binary.Tokenizer(WORDS)
+    own.library = spy
+    own.encode(["word été ( ) . , 1 2"])
+    assert spy.texts > 0
+    spy.texts = 0
+    texts = ["(WORD) Été,1word.2", "", " \n", "21été(", "word word(word"]
+    got = own.encode(texts)
+    assert spy.texts == 0
+    assert [x.tolist() for x in got] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_each_letter_and_mark_between_others():
+    """Every character of ASCII and Latin-1, and some after them, before, in and after words, alone and in one batch."""
+    library, own = Library.from_file(WORDS), binary.Tokenizer(WORDS)
+    texts = [t for c in map(chr, [*range(0x180), 0x301, 0x3a3, 0x2019, 0x65e5, 0x1f600]) for t in (c, f"{c}aB", f"a{c}B", f"É1{c} x", f"x {c}{c}", f"({c})\n{c}é")]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in own.encode(texts)] == want
+    assert [own.encode([t])[0].tolist() for t in texts] == want
+
+
 def test_another_tokenizer_gets_whole_texts(tmp_path):
     """A file whose patterns aren't known to keep words apart is not cut at spaces."""
     import json
